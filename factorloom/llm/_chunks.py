@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 from . import _words as W
 from ._store import materialise
@@ -142,15 +144,12 @@ def gathered(answer: pa.Table, keys: np.ndarray, bits: int, dtype, columns: int
     return out
 
 
-def resolve(chunks: DataFrame, answer: DataFrame, fn: Callable[[int, pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+def resolve(chunks: DataFrame, answer: DataFrame, fn: Callable[[int, pa.Table, pa.Table], pa.Table], schema: str | StructType) -> DataFrame:
     """``fn(chunk, rows, answers)`` for each chunk, with the answers it got (none: an empty table)."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = [fn(left.column("chunk")[i].as_py(), W.unpack_table(left.column("data")[i].as_py()), right) for i in range(left.num_rows)]
         return pa.concat_tables(out) if out else empty
 
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
-    empty = to_arrow_schema(_parse_datatype_string(schema)).empty_table()
+    empty = to_arrow_schema(_parse_datatype_string(schema) if isinstance(schema, str) else schema).empty_table()
     return chunks.select("chunk", "data").groupBy("chunk").cogroup(answer.groupBy("chunk")).applyInArrow(run, schema)
