@@ -42,3 +42,12 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return remove_repeats(docs, window=35).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query("op3_quality_rules")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and the outlier verdict of all documents."""
+    from .quality import COUNTS, judge
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return judge(docs).select("doc_id", *COUNTS, "base_failed", "kept", "distance")
