@@ -7,8 +7,9 @@ last token of the prefix before it, and counts follow in one pass:
 ``count[i] = count[i - len(last)] + 1``.  No piece of the vocabulary holds a
 space after another character (checked when the model is loaded), so texts fall
 into units of spaces and one word, which are solved once and kept in a bounded
-cache.  A unit whose count differs from the library's is solved by encoding
-each of its prefixes (ties between equal scores could cause this).
+cache.  Only runs of spaces have pieces of equal score; a unit with such a run
+is also counted by the library, and solved by encoding each of its prefixes if
+the counts differ.
 
 Definitions for odd input: a null or empty text has no bytes and no tokens;
 texts of any length are taken whole (memory follows the longest text); repeated
@@ -47,9 +48,11 @@ class PrefixCounter:
             raise ValueError("this vocabulary has pieces that run across a space")
         if lib.encode(" Ⅳ", out_type=str)[:1] != [SPACE] and lib.encode("  a", out_type=str)[-1:] != [SPACE + "a"]:
             raise ValueError("this model changes texts before it encodes them")
-        self.longest = max(map(len, self.score))
+        self.joined = {p[k : k + 2] for p in self.score for k in range(len(p) - 1)}
+        self.tails = {p[k:] for p in self.score for k in range(len(p) - 1)}
         self.pairs: dict[tuple[str, str], bool] = {}
         self.limit = cache
+        self.parts: dict[str, tuple[int, ...]] = {}
         self.young: dict[str, bytes | np.ndarray] = {}
         self.old: dict[str, bytes | np.ndarray] = {}
 
@@ -68,31 +71,55 @@ class PrefixCounter:
         return parts
 
     def fits(self, a: str, b: str) -> bool:
-        key = (a, b)
-        ok = self.pairs.get(key)
-        if ok is None:
-            if len(self.pairs) > 2_000_000:
-                self.pairs.clear()
-            ok = self.pairs[key] = self.merge(a + b) == [a, b]
+        if len(self.pairs) > 2_000_000:
+            self.pairs.clear()
+        ok = self.pairs[a, b] = self.merge(a + b) == ([a, b] if a else [b])
         return ok
 
-    def solve(self, unit: str) -> bytes | np.ndarray:
-        """Counts at the prefixes of one unit, the empty one left out; ``unit`` has all its spaces."""
-        score, fits = self.score, self.fits
+    def solve(self, unit: str) -> list[int]:
+        """Counts at the prefixes of some characters, from no characters on; ``unit`` has all its spaces."""
+        score, tails, pairs = self.score, self.tails, self.pairs
         count, last = [0], [""]
         for i in range(1, len(unit) + 1):
-            one = unit[i - 1]
-            found = None
-            for j in range(max(0, i - self.longest), i - 1):
-                piece = unit[j:i]
-                if piece in score and (fits(last[j], piece) if j else self.merge(piece) == [piece]):
-                    found = (count[j] + 1, piece)
+            one = piece = unit[i - 1]
+            found = -1
+            for j in range(i - 2, -1, -1):  # one piece at most is compatible; no longer one ends in what no piece ends in
+                longer = unit[j:i]
+                if longer not in tails:
                     break
-            count.append(found[0] if found else count[i - 1] + (1 if one in score else len(one.encode("utf-8", "surrogatepass"))))
-            last.append(found[1] if found else one)
-        if count[-1] != len(self.library.encode(unit[1:].replace(SPACE, " "), num_threads=1)):
-            count = [0] + [len(self.library.encode(unit[1:k].replace(SPACE, " "), num_threads=1)) if k > 1 else 1 for k in range(1, len(unit) + 1)]
-        return bytes(count[1:]) if max(count) < 256 else np.array(count[1:], np.int64)
+                if longer in score:
+                    ok = pairs.get((last[j], longer))
+                    if ok or ok is None and self.fits(last[j], longer):
+                        found, piece = j, longer
+                        break
+            last.append(piece)
+            count.append(count[found] + 1 if found >= 0 else count[i - 1] + (1 if one in score else len(one.encode("utf-8", "surrogatepass"))))
+        return count
+
+    def whole(self, unit: str) -> bytes | np.ndarray:
+        """Counts at the prefixes of a unit, the empty one left out.
+
+        Two neighbours that no piece holds are never merged, so what lies
+        between such places is solved alone, and kept for other units.
+        """
+        joined, parts = self.joined, self.parts
+        count: list[int] = []
+        a, total = 0, 0
+        for k in range(1, len(unit) + 1):
+            if k == len(unit) or unit[k - 1 : k + 1] not in joined:
+                part = unit[a:k]
+                got = parts.get(part)
+                if got is None:
+                    got = self.solve(part)
+                    if len(part) <= 64:
+                        if len(parts) >= self.limit:
+                            parts.clear()
+                        parts[part] = tuple(got)
+                count += [total + c for c in got[1:]]
+                total, a = count[-1], k
+        if SPACE * 2 in unit and total != len(self.library.encode(unit[1:].replace(SPACE, " "), num_threads=1)):
+            count = [len(self.library.encode(unit[1:k].replace(SPACE, " "), num_threads=1)) if k > 1 else 1 for k in range(1, len(unit) + 1)]
+        return bytes(count) if count[-1] < 256 else np.array(count, np.int64)
 
     def unit(self, rest: str) -> bytes | np.ndarray:
         """Counts for a unit given without its first space."""
@@ -100,7 +127,7 @@ class PrefixCounter:
         if got is None:
             got = self.old.get(rest)
             if got is None:
-                got = self.solve(SPACE + rest)
+                got = self.whole(SPACE + rest)
             if len(rest) <= 64:
                 if len(self.young) >= self.limit:
                     self.old, self.young = self.young, {}
