@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import mixing
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -51,3 +53,10 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     return judge(docs).select("doc_id", *COUNTS, "base_failed", "kept", "distance")
+
+
+@query("op8_source_mixing", mixing.oracle((3, 1, 2), 1.5, 2, "mix").replace("any_value(source) AS source, ", ""))
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.mix_sources(docs, (3, 1, 2), 1.5, 2, "mix").select("doc_id", "size", "source_size", "target", "taken")
