@@ -60,3 +60,12 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mix_sources(docs, (3, 1, 2), 1.5, 2, "mix").select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op4_jaccard_join")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose four-word shingles agree to 85 percent."""
+    from .jaccard_join import link_documents
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return link_documents(docs, size=4, percent=85).select("doc_id", "n_shingles", "component_id")
