@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import mixing
 
@@ -69,3 +70,13 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return link_documents(docs, size=4, percent=85).select("doc_id", "n_shingles", "component_id")
+
+
+@query("op1_lm_scoring")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deleted-interpolation scores of all documents; a seventh of them is not learned from."""
+    from .deleted_interpolation import score_texts
+
+    part = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 7
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (part == 2).alias("held_out"), part.alias("part"))
+    return score_texts(docs, training=~F.col("held_out"), fold=F.col("part") == 3, order=3).drop("part")
