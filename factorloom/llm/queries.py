@@ -80,3 +80,20 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 7
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", (part == 2).alias("held_out"), part.alias("part"))
     return score_texts(docs, training=~F.col("held_out"), fold=F.col("part") == 3, order=3).drop("part")
+
+
+@query("op9_html_text")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    from .html_text import extract_text
+
+    return extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
+@query("op2_warc_round_trip")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as archives and read back through the index."""
+    from .warc import read_records, write_archive
+
+    index, _ = write_archive(table(spark, sf_dir, "pages").select("page_id", "url", "html"), revisit_from=0)
+    return read_records(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
