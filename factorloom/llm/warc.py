@@ -134,12 +134,13 @@ def write_archive(pages: DataFrame, page_id: str = "page_id", url: str = "url",
         name = f"{folder}/data/part-{task.partitionId():06d}-{task.taskAttemptId()}.warc.gz"
         store, place = _filesystem(name)
         out, offset = None, 0
+        done: list[pa.RecordBatch] = []  # shown when the file is complete
         for batch in batches:
             if not batch.num_rows:
                 continue
             if out is None:
                 store.create_dir(place.rpartition("/")[0], recursive=True)
-                out = store.open_output_stream(place)
+                out = store.open_output_stream(place, compression=None)
             rows = []
             for r in batch.to_pylist():
                 payload = r["payload"].encode()
@@ -148,9 +149,12 @@ def write_archive(pages: DataFrame, page_id: str = "page_id", url: str = "url",
                 out.write(member)
                 rows.append((name, offset, len(member), r["url"], digest, r["page_id"]))
                 offset += len(member)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), index_arrow)], schema=index_arrow)
+            done.append(pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), index_arrow)], schema=index_arrow))
         if out is not None:
             out.close()
+            if store.get_file_info(place).size != offset:
+                raise OSError(f"{name} is not whole")
+        yield from done
 
     index_arrow = to_arrow_schema(INDEX)
     decided.mapInArrow(write, INDEX).write.option("compression", "zstd").parquet(f"{folder}/index")
