@@ -11,10 +11,14 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _roots: dict[str, str] = {}
+_tag: list[str] = []
+_tagged: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,7 +44,29 @@ def _forget(spark: SparkSession, app: str) -> None:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    if _tag:
+        _tagged.setdefault(_tag[-1], []).append(path)
+    return path
+
+
+@contextmanager
+def tagged(tag: str) -> Iterator[None]:
+    """Tables made inside are known by ``tag``."""
+    _tag.append(tag)
+    try:
+        yield
+    finally:
+        _tag.pop()
+
+
+def release(spark: SparkSession, tag: str, needed: DataFrame) -> None:
+    """Remove the tables of ``tag`` unless ``needed`` still reads one of them."""
+    old = _tagged.get(tag, [])
+    names = {p.rpartition("/")[2] for p in old}
+    if old and not any(part in names for f in needed.inputFiles() for part in f.split("/")):
+        for p in _tagged.pop(tag):
+            remove(spark, p)
 
 
 def remove(spark: SparkSession, path: str) -> None:

@@ -167,13 +167,13 @@ def _same_group() -> Column:
     return a.eqNullSafe(b) & F.col("f.g_source").eqNullSafe(F.col("m.g_source")) & (F.col("f.level") == F.col("m.level"))
 
 
-def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", min_words: int = 20, max_repeat_percent: int = 30, cutoff: float = 40.0, share: float = 0.75, steps: int = 4, min_rows: int = 200) -> DataFrame:
+def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", min_words: int = 20, max_repeat_percent: int = 30, cutoff: float = 40.0, share: float = 0.75, steps: int = 4, min_rows: int = 200, with_text: bool = False) -> DataFrame:
     """Adds the base counts, ``base_failed``, ``distance`` (squared Mahalanobis) and ``kept``.
 
-    The text itself is left out of the result unless it is also another column.
+    The text itself is left out of the result unless ``with_text``.
     """
     added = {*COUNTS, *_MORE, *STATS, "base_failed", "distance", "kept", "__text", "__lang", "__source", "g_lang", "g_source", "level"}
-    kept = [c for c in docs.columns if c not in added and c != text]
+    kept = [c for c in docs.columns if c not in added and (with_text or c != text)]
     given = docs.select(*kept, F.col(lang).cast("string").alias("__lang"), F.col(source).cast("string").alias("__source"), F.col(text).alias("__text"))
     names = [*COUNTS, *_MORE]
     schema = T.StructType([*given.drop("__text").schema.fields, *(T.StructField(n, T.LongType()) for n in names)])
