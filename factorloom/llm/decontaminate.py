@@ -23,6 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._columns import DOC, bundle, col, unbundle
 from ._store import materialise
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -86,7 +87,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, on
     kept = [c for c in docs.columns if c not in results and c != text]
     anchors, _ = materialise(anchor_table(benchmark, size, item_id=item_id), "anchors")
     shape = anchors.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(F.array_join("left", " ")) + F.octet_length(F.array_join("right", " ")) + 40), F.lit(0)).alias("bytes")).first()
-    rows = docs.select(*(F.col(c) for c in kept), words_of(F.col(text)).alias("__w")).withColumn("__row", F.monotonically_increasing_id())
+    rows = docs.select(bundle(kept), words_of(col(text)).alias("__w")).withColumn("__row", F.monotonically_increasing_id())
     w = F.col("__w")
     if shape["n"] == 0:
         at = F.array().cast("array<int>")
@@ -99,7 +100,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, on
         at = F.transform(w, lambda x, i: i)
     rows = rows.withColumn("__at", F.explode_outer(at)).withColumn("n_words", F.size("__w"))
     left, right = _around(w, F.col("__at"), size)
-    rows = rows.select(*(F.col(c) for c in kept), "__row", "n_words", "__at", left.alias("__left"), right.alias("__right"))
+    rows = rows.select(DOC, "__row", "n_words", "__at", left.alias("__left"), right.alias("__right"))
     both = F.array(F.xxhash64(F.get("__right", F.lit(0)), F.coalesce(F.get("__right", F.lit(1)), F.lit(""))), F.xxhash64(F.get("__right", F.lit(0))))
     rows = rows.withColumn("__key", F.explode_outer(F.when(F.col("__at").isNotNull(), both)))
     a = F.broadcast(anchors) if shape["bytes"] <= MOST_BYTES else anchors
@@ -109,11 +110,11 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, on
     long_ = (F.col("m") >= size) & (F.col("l") + F.col("r") >= size)
     short = (F.col("m") < size) & (F.col("l") >= F.col("at")) & (F.col("r") >= F.col("m") - F.col("at"))
     hit = F.when(long_ | short, F.struct((p - F.col("l")).cast("int").alias("first"), (p + F.col("r") - 1).cast("int").alias("last")))
-    met = met.select(*(F.col(c) for c in kept), "__row", "n_words", hit.alias("hit"), F.when(hit.isNotNull(), F.col("item_id").cast("string")).alias("item"))
-    out = met.groupBy("__row").agg(*(F.first(c).alias(c) for c in kept), F.first("n_words").cast("long").alias("n_words"), F.collect_set("hit").alias("hits"), F.array_sort(F.collect_set("item")).alias("items"))
+    met = met.select(DOC, "__row", "n_words", hit.alias("hit"), F.when(hit.isNotNull(), F.col("item_id").cast("string")).alias("item"))
+    out = met.groupBy("__row").agg(F.first(DOC).alias(DOC), F.first("n_words").cast("long").alias("n_words"), F.collect_set("hit").alias("hits"), F.array_sort(F.collect_set("item")).alias("items"))
     covered = F.array_distinct(F.flatten(F.transform("hits", lambda x: F.sequence(x["first"], x["last"]))))
     out = out.withColumn("n_hit", F.size(covered).cast("long"))
-    return out.select(*kept, "n_words", "n_hit", "items", "hits", ((F.col("n_hit") > 0) & (one_in * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
+    return out.select(*unbundle(kept), "n_words", "n_hit", "items", "hits", ((F.col("n_hit") > 0) & (one_in * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
 
 
 def remove_contamination(docs: DataFrame, benchmark: DataFrame, what: str = "documents", size: int = 13, one_in: int = 20, text: str = "text") -> DataFrame:
@@ -123,15 +124,15 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, what: str = "doc
     """
     if what not in ("documents", "spans"):
         raise ValueError("what must be 'documents' or 'spans'")
-    key = F.xxhash64(*(F.col(c) for c in docs.columns)).alias("__key")
-    again = F.hash(*(F.col(c) for c in docs.columns)).alias("__hash")
-    judged = find_contamination(docs.select(F.col(text).alias("__text"), key, again), benchmark, size, one_in, text="__text")
+    cells = [col(c) for c in docs.columns]
+    key, again = F.xxhash64(*cells).alias("__a"), F.hash(*cells).alias("__b")
+    judged = find_contamination(docs.select(col(text).alias("__t"), key, again), benchmark, size, one_in, text="__t")
     if what == "documents":
-        bad, _ = materialise(judged.where("contaminated").select("__key", "__hash").distinct(), "contaminated")
-        return docs.withColumns({"__key": key, "__hash": again}).join(bad, ["__key", "__hash"], "left_anti").select(*docs.columns)
-    hits, _ = materialise(judged.where("n_hit > 0").select("__key", "__hash", "hits").dropDuplicates(["__key", "__hash"]), "contaminated")
-    joined = docs.withColumns({"__key": key, "__hash": again}).join(hits, ["__key", "__hash"], "left")
-    pieces = F.regexp_extract_all(F.col(text), F.lit(_PIECE), F.lit(0))
-    clean = F.transform(pieces, lambda x, i: F.when(F.exists("hits", lambda h: (h["first"] <= i) & (i <= h["last"])), F.lit("")).otherwise(x))
-    cut = F.concat(F.regexp_extract(F.col(text), _LEAD, 0), F.array_join(clean, ""))
-    return joined.select(*(F.when(F.col("hits").isNotNull(), cut).otherwise(F.col(c)).alias(c) if c == text else F.col(c) for c in docs.columns))
+        bad, _ = materialise(judged.where("contaminated").select("__a", "__b").distinct(), "contaminated")
+        return docs.withColumns({"__a": key, "__b": again}).join(bad, ["__a", "__b"], "left_anti").select(*cells)
+    hits, _ = materialise(judged.where("n_hit > 0").groupBy("__a", "__b").agg(F.first("hits").alias("__hits")), "contaminated")
+    joined = docs.withColumns({"__a": key, "__b": again}).join(hits, ["__a", "__b"], "left")
+    pieces = F.regexp_extract_all(col(text), F.lit(_PIECE), F.lit(0))
+    clean = F.transform(pieces, lambda x, i: F.when(F.exists("__hits", lambda h: (h["first"] <= i) & (i <= h["last"])), F.lit("")).otherwise(x))
+    cut = F.concat(F.regexp_extract(col(text), _LEAD, 0), F.array_join(clean, ""))
+    return joined.select(*(F.when(F.col("__hits").isNotNull(), cut).otherwise(col(c)).alias(c) if c == text else col(c) for c in docs.columns))

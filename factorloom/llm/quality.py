@@ -38,6 +38,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import _words as W
 from ._chunks import slices
+from ._columns import DOC, bundle, col, unbundle
 from ._store import materialise
 
 WINDOW = 8
@@ -172,9 +173,8 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
 
     The text itself is left out of the result unless ``with_text``.
     """
-    added = {*COUNTS, *_MORE, *STATS, "base_failed", "distance", "kept", "__text", "__lang", "__source", "g_lang", "g_source", "level"}
-    kept = [c for c in docs.columns if c not in added and (with_text or c != text)]
-    given = docs.select(*kept, F.col(lang).cast("string").alias("__lang"), F.col(source).cast("string").alias("__source"), F.col(text).alias("__text"))
+    kept = [c for c in docs.columns if c not in {*COUNTS, "base_failed", "distance", "kept"} and (with_text or c != text)]
+    given = docs.select(bundle(kept), col(lang).cast("string").alias("__lang"), col(source).cast("string").alias("__source"), col(text).alias("__text"))
     names = [*COUNTS, *_MORE]
     schema = T.StructType([*given.drop("__text").schema.fields, *(T.StructField(n, T.LongType()) for n in names)])
     arrow = to_arrow_schema(schema)
@@ -207,6 +207,6 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
         model, _ = materialise(near.groupBy(*by, "bin").agg(*sums).groupBy(*by).applyInPandas(_concentrate(share), _MODEL), "quality-model")
     f, m = rows.alias("f"), model.alias("m")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    out = f.join(m, _same_group(), "left").select(*(F.col(f"f.`{c}`") for c in kept), *COUNTS, failed.alias("base_failed"), _distance().alias("distance"))
+    out = f.join(m, _same_group(), "left").select(*unbundle(kept, f"f.{DOC}"), *COUNTS, failed.alias("base_failed"), _distance().alias("distance"))
     return out.withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= cutoff))
 
