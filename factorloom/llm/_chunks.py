@@ -54,10 +54,11 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterat
         yield pa.Table.from_batches(held)
 
 
-def chunked(docs: DataFrame, name: str, text: str = "text") -> tuple[DataFrame, dict, str]:
+def chunked(docs: DataFrame, name: str, text: str = "text", tag: int = 0) -> tuple[DataFrame, dict, str]:
     """Write ``docs`` as chunks: ``chunk, n_docs, n_bytes, n_words, data`` (the rows, compressed).
 
     Returns the table, its totals (docs, bytes, words, chunks) and its path.
+    Chunk numbers of another ``tag`` are other numbers.
     """
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,7 +68,7 @@ def chunked(docs: DataFrame, name: str, text: str = "text") -> tuple[DataFrame,
             n = len(W.word_spans(buf, offs)[0])
             yield pa.RecordBatch.from_pydict(
                 {
-                    "chunk": pa.array([part << 32 | k], pa.int64()),
+                    "chunk": pa.array([part << 32 | tag << 30 | k], pa.int64()),
                     "n_docs": pa.array([t.num_rows], pa.int64()),
                     "n_bytes": pa.array([len(buf)], pa.int64()),
                     "n_words": pa.array([n], pa.int64()),

@@ -39,6 +39,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import _words as W
 from ._chunks import ANSWER, ANSWER_ARROW, ask, bucket_bits, chunked, gathered, requests, resolve
+from ._columns import DOC, bundle, col, unbundle
 from ._store import materialise
 
 _END = W.U(0x5851F42D4C957F2D)
@@ -138,9 +139,12 @@ def score_texts(docs: DataFrame, training: Column, fold: Column, text: str = "te
     results = [("n_tokens", T.LongType()), ("n_known", T.LongType()), ("train_tokens", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType())]
     kept = [c for c in docs.columns if c not in {n for n, _ in results} and c != text]
     role = F.when(F.coalesce(training, F.lit(False)), F.when(F.coalesce(fold, F.lit(False)), 2).otherwise(1)).otherwise(0)
-    given = docs.select(*(F.col(c) for c in kept), role.cast("int").alias("__role"), F.col(text).alias("__text"))
-    chunks, total, _ = chunked(given, "model-chunks", "__text")
-    bits = bucket_bits(total["n_words"] * order)
+    given = docs.select(bundle(kept), role.cast("int").alias("__role"), col(text).alias("__text"))
+    # held-out texts are chunks of their own: only these are read to learn the weights
+    held, held_total, _ = chunked(given.where("__role = 2"), "model-chunks", "__text", tag=1)
+    other, total, _ = chunked(given.where("__role <> 2"), "model-chunks", "__text")
+    chunks = other.unionByName(held)
+    bits = bucket_bits((total["n_words"] + held_total["n_words"]) * order)
 
     def roles(rows: pa.Table) -> np.ndarray:
         return rows.column("__role").to_numpy()
@@ -180,7 +184,8 @@ def score_texts(docs: DataFrame, training: Column, fold: Column, text: str = "te
     told, _ = materialise(ask(chunks, count).groupBy("bucket").applyInArrow(tally, ANSWER), "model-counts")
     per_bucket = told.where("chunk = -1").select(*(F.split(F.col("vals").cast("string"), ",")[i].cast("long").alias(f"s{i}") for i in range(4)))
     kinds, tokens, kept_kinds, kept_tokens = (int(x or 0) for x in per_bucket.agg(*(F.sum(f"s{i}") for i in range(4))).first())
-    texts, fold_texts = (int(x or 0) for x in given.agg(F.sum((F.col("__role") > 0).cast("long")), F.sum((F.col("__role") == 2).cast("long"))).first())
+    fold_texts = int(held_total["n_docs"])
+    texts = fold_texts + int(given.agg(F.sum((F.col("__role") == 1).cast("long"))).first()[0] or 0)
     told = told.where("chunk <> -1")
 
     def counts(rows: pa.Table, got: pa.Table) -> tuple[Grams, list[np.ndarray], list[np.ndarray]]:
@@ -213,10 +218,10 @@ def score_texts(docs: DataFrame, training: Column, fold: Column, text: str = "te
             code = code // BUCKETS
         return pa.table({c: out[c] for c in [*columns, "n"]})
 
-    hist = resolve(chunks, told, describe, hist_schema).groupBy(*columns).agg(F.sum("n").alias("n"))
+    hist = resolve(held, told.join(held.select("chunk"), "chunk", "left_semi"), describe, hist_schema).groupBy(*columns).agg(F.sum("n").alias("n"))
     weights = learn_weights([tuple(r) for r in hist.collect()], order, 1.0 / (kept_kinds + 1), rounds)
 
-    schema = T.StructType([given.schema[c] for c in kept] + [T.StructField(n, t) for n, t in results])
+    schema = T.StructType([given.schema[DOC], *(T.StructField(n, t) for n, t in results)])
     arrow = to_arrow_schema(schema)
 
     def score(chunk: int, rows: pa.Table, got: pa.Table) -> pa.Table:
@@ -230,8 +235,8 @@ def score_texts(docs: DataFrame, training: Column, fold: Column, text: str = "te
         base = np.log10((c[0] + 1) / (tokens + (kinds + 1)))
         n = rows.num_rows
         sums = [np.add.reduceat(x.astype(np.float64), g.offs[:-1]) if n else np.zeros(0) for x in (c[0] > 0, base, np.log10(p))]
-        out = [*(rows.column(x) for x in kept), np.diff(g.offs), sums[0].astype(np.int64), np.full(n, tokens, np.int64), sums[1], sums[2]]
+        out = [rows.column(DOC), np.diff(g.offs), sums[0].astype(np.int64), np.full(n, tokens, np.int64), sums[1], sums[2]]
         return pa.table([x.combine_chunks().cast(f.type) if isinstance(x, pa.ChunkedArray) else pa.array(x, f.type) for x, f in zip(out, arrow)], schema=arrow)
 
-    return resolve(chunks, told, score, schema)
+    return resolve(chunks, told, score, schema).select(*unbundle(kept), *(n for n, _ in results))
 

@@ -79,7 +79,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     part = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 7
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", (part == 2).alias("held_out"), part.alias("part"))
-    return score_texts(docs, training=~F.col("held_out"), fold=F.col("part") == 3, order=3).drop("part")
+    return score_texts(docs, training=~F.col("held_out"), fold=F.col("part") == 3, order=2).drop("part")
 
 
 @query("op9_html_text")
