@@ -2,13 +2,527 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import tables as T
+from .operators import candidates as C
+from .operators import factors, ingest, library, scoring
+from .plans import expr as X
+from .plans import registry
+from .sources import panels
+from .streaming.bars import stream_bars
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
+def query(name: str, sql: str | None = None, times: Sequence[str] = ()):
+    """Register a query; its ``times`` columns are shown as text on both sides."""
+
+    def keep(fn: Callable[[SparkSession, str], DataFrame]):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            out = fn(spark, sf_dir)
+            shown = {"date": "yyyy-MM-dd", "timestamp_ntz": "yyyy-MM-dd HH:mm:ss"}
+            return out.select(*(F.date_format(c, shown[t]).alias(c) if t in shown else F.col(c) for c, t in out.dtypes))
+
+        QUERIES[name] = run
+        if sql:
+            shown_sql = ", ".join(f"""strftime({c}, '{"%Y-%m-%d" if c == "day" else "%Y-%m-%d %H:%M:%S"}') AS {c}""" for c in times)
+            ORACLE[name] = f"SELECT * REPLACE ({shown_sql}) FROM ({sql})" if times else sql
+        return fn
+
+    return keep
+
+
+def _round(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Doubles rounded, so that the order of sums does not show."""
+    return df.select(*(F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+
+
+# One expression each -----------------------------------------------------------
+
+
+def _w(n: int) -> str:
+    return f"OVER (PARTITION BY asset ORDER BY day ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+
+
+def _fin(c: str) -> str:
+    return f"(CASE WHEN isfinite({c}) THEN {c} END)"
+
+
+def _pearson(a: str, b: str, over: str = "") -> str:
+    x, y = (f"(CASE WHEN isfinite({a}) AND isfinite({b}) THEN {v} END)" for v in (a, b))
+    return f"CASE WHEN count({x}) {over} >= 2 AND stddev_pop({x}) {over} > 1e-12 AND stddev_pop({y}) {over} > 1e-12 THEN covar_pop({x}, {y}) {over} / (stddev_pop({x}) {over} * stddev_pop({y}) {over}) END"
+
+
+_CLOSE, _RET = '"close"', '"returns"'
+_EMA = f"list_filter(list(volume) {_w(5)}, lambda v: v IS NOT NULL)"
+#: name: (expression, the same in SQL over the panel p)
+EXPRESSIONS = {
+    "ts_mean": ("ts_mean(crypto.volume(5))", f"avg(volume) {_w(5)}"),
+    "ts_std": ("ts_std(crypto.returns(6))", f"stddev_pop({_fin(_RET)}) {_w(6)}"),
+    "ts_sum": ("ts_sum(crypto.returns(4))", f"sum({_fin(_RET)}) {_w(4)}"),
+    "ts_min": ("ts_min(crypto.volume(7))", f"min(volume) {_w(7)}"),
+    "ts_max": ("ts_max(crypto.returns(3))", f"max({_fin(_RET)}) {_w(3)}"),
+    "first": ("first(crypto.volume(4))", f"first_value(volume) {_w(4)}"),
+    "last": ("last(crypto.volume(3))", "volume"),
+    "field": ("crypto.returns(5)", _RET),
+    "diff": ("diff(crypto.close(4))", f"{_CLOSE} - prev"),
+    "normalize": ("normalize(crypto.volume(5))", f"CASE WHEN sum(abs(volume)) {_w(5)} > 1e-12 THEN volume / sum(abs(volume)) {_w(5)} END"),
+    "ema": ("ema(crypto.volume(5))", f"CASE WHEN len({_EMA}) > 0 THEN list_reduce({_EMA}, lambda s, v: 2.0::DOUBLE / (least(rn, 5) + 1) * v + (1 - 2.0::DOUBLE / (least(rn, 5) + 1)) * s) END"),
+    "log": ("log(crypto.volume(3))", "CASE WHEN volume > 0 THEN ln(volume) END"),
+    "add": ("add(ts_mean(crypto.close(3)), last(crypto.volume(1)))", f"avg({_CLOSE}) {_w(3)} + volume"),
+    "sub": ("sub(crypto.close(5), ts_mean(crypto.close(5)))", f"{_CLOSE} - avg({_CLOSE}) {_w(5)}"),
+    "mul": ("mul(crypto.high(3), crypto.low(3))", "high * low"),
+    "div": ("div(ts_mean(crypto.close(4)), sub(ts_max(crypto.high(4)), ts_min(crypto.high(4))))", f"CASE WHEN abs(max(high) {_w(4)} - min(high) {_w(4)}) >= 1e-12 THEN avg({_CLOSE}) {_w(4)} / (max(high) {_w(4)} - min(high) {_w(4)}) END"),
+    "infix": ("(ts_mean(crypto.close(3)) - 2.5) * -1e1 / last(crypto.open(1)) + .5", f"CASE WHEN abs(open) >= 1e-12 THEN (avg({_CLOSE}) {_w(3)} - 2.5::DOUBLE) * -10.0::DOUBLE / open + 0.5::DOUBLE END"),
+    "neg": ("neg(crypto.volume(2))", "-volume"),
+    "abs": ("abs(sub(last(crypto.close(1)), ts_mean(crypto.close(5))))", f"abs({_CLOSE} - avg({_CLOSE}) {_w(5)})"),
+    "abs_s": ("abs_s(diff(crypto.close(2)))", f"abs({_CLOSE} - prev)"),
+    "tanh": ("tanh(diff(crypto.close(3)))", f"tanh({_CLOSE} - prev)"),
+    "tanh_s": ("tanh_s(ts_mean(crypto.returns(3)))", f"tanh(avg({_fin(_RET)}) {_w(3)})"),
+    "sign": ("sign(diff(crypto.close(5)))", f"CAST(sign({_CLOSE} - prev) AS DOUBLE)"),
+    "sign_s": ("sign_s(sub(last(crypto.close(1)), ts_mean(crypto.close(20))))", f"CAST(sign(round({_CLOSE} - avg({_CLOSE}) {_w(20)}, 9)) AS DOUBLE)"),
+    "corr": ("corr(crypto.close(10), crypto.volume(8))", _pearson(_CLOSE, "volume", _w(8))),
+    "cov": ("cov(crypto.returns(9), crypto.volume(9))", f"CASE WHEN count(CASE WHEN isfinite({_RET}) AND volume IS NOT NULL THEN 1 END) {_w(9)} >= 2 THEN covar_pop(CASE WHEN isfinite({_RET}) THEN {_RET} END, CASE WHEN isfinite({_RET}) THEN volume END) {_w(9)} END"),
+    "zscore": ("zscore(crypto.volume(6))", f"CASE WHEN stddev_pop(volume) {_w(6)} > 1e-12 THEN (volume - avg(volume) {_w(6)}) / stddev_pop(volume) {_w(6)} END"),
+    "rank": ("rank(crypto.volume(6))", f"CASE WHEN volume IS NOT NULL THEN CAST(len(list_filter(list(volume) {_w(6)}, lambda v: v <= volume)) AS DOUBLE) END"),
+    "nested": ("ts_mean(diff(crypto.close(5)))", f"avg(CASE WHEN rn > 1 THEN {_CLOSE} - prev END) {_w(4)}"),
+    "lengths": ("sub(crypto.close(5), crypto.close(9))", f"CASE WHEN rn <= 5 THEN 0.0::DOUBLE END"),
+    "constant": ("corr(sub(crypto.close(5), crypto.close(5)), crypto.close(5))", "CAST(NULL AS DOUBLE)"),
+}
+
+
+def _expression(name: str, text: str, sql: str) -> None:
+    @query(f"dsl_{name}", f'WITH {T.USER_DAY}, f AS (SELECT asset, day, {sql} AS v FROM p) SELECT asset, day, round({_fin("v")}, 6) AS factor FROM f', times=("day",))
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = factors.factor_series(T.user_day(spark, sf_dir), text, "crypto")
+        return _round(found.select("asset", F.col("ts").cast("date").alias("day"), "factor"))
+
+
+for _name, (_text, _sql) in EXPRESSIONS.items():
+    _expression(_name, _text, _sql)
+
+
+# Scores ---------------------------------------------------------------------------
+
+FLAGSHIP = "div(ts_mean(crypto.returns(3)), ts_std(crypto.returns(7)))"
+_FLAGSHIP_SQL = f"CASE WHEN abs(stddev_pop({_fin(_RET)}) {_w(7)}) >= 1e-12 THEN avg({_fin(_RET)}) {_w(3)} / stddev_pop({_fin(_RET)}) {_w(7)} END"
+SCORED = {FLAGSHIP: _FLAGSHIP_SQL, "neg(ts_mean(crypto.volume(5)))": f"-(avg(volume) {_w(5)})", "rank(crypto.close(9))": f"CAST(len(list_filter(list({_CLOSE}) {_w(9)}, lambda v: v <= {_CLOSE})) AS DOUBLE)", "sign(diff(crypto.close(3)))": f"CAST(sign({_CLOSE} - prev) AS DOUBLE)"}
+_HISTORY = 5
+
+
+def _pairs_sql(exprs: dict[str, str] = SCORED, history: int = _HISTORY) -> str:
+    """CTE l: expr_id, day, asset, factor, fwd."""
+    cols = ", ".join(f"{s} AS f{i}" for i, s in enumerate(exprs.values()))
+    parts = " UNION ALL ".join(f"SELECT {i} AS expr_id, day, asset, {_fin(f'f{i}')} AS factor, fwd FROM w WHERE rn >= {history}" for i in range(len(exprs)))
+    return f"{T.USER_DAY}, w AS (SELECT *, {cols} FROM p), l AS ({parts})"
+
+
+def _sections_sql(source: str = "l", out: str = "s", least: int = 8) -> str:
+    rank = lambda c: f"rank() OVER (PARTITION BY expr_id, day ORDER BY {c}) + (count(*) OVER (PARTITION BY expr_id, day, {c}) - 1) / 2.0::DOUBLE"
+    ic = """CASE WHEN count(*) >= 2 AND bool_and(isfinite(fwd)) AND stddev_pop(CASE WHEN isfinite(fwd) THEN factor END) > 1e-12 AND stddev_pop(CASE WHEN isfinite(fwd) THEN fwd END) > 1e-12
+        THEN covar_pop(factor, CASE WHEN isfinite(fwd) THEN fwd END) / (stddev_pop(factor) * stddev_pop(CASE WHEN isfinite(fwd) THEN fwd END)) END"""
+    spread = "avg(CASE WHEN place > n - greatest(1, floor(n * 0.2::DOUBLE)) THEN fwd END) - avg(CASE WHEN place <= greatest(1, floor(n * 0.2::DOUBLE)) THEN fwd END)"
+    return f"""{out}0 AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY expr_id, day) AS n FROM {source} WHERE factor IS NOT NULL AND fwd IS NOT NULL) WHERE n >= {least}),
+{out}1 AS (SELECT *, {rank("factor")} AS rf, {rank("fwd")} AS rr, row_number() OVER (PARTITION BY expr_id, day ORDER BY factor, asset) AS place FROM {out}0),
+{out} AS (SELECT expr_id, day, any_value(n) AS assets, avg(CASE WHEN sign(factor) <> 0 THEN CAST(sign(factor) = sign(fwd) AS DOUBLE) END) AS dir_acc, {ic} AS ic, {_pearson("rf", "rr")} AS rank_ic,
+    CASE WHEN isfinite({spread}) THEN {spread} END AS spread FROM {out}1 GROUP BY expr_id, day)"""
+
+
+_TOTALS = """t AS (SELECT expr_id, avg(dir_acc) AS dir_acc, avg(ic) AS ic_mean, avg(rank_ic) AS rank_ic_mean, stddev_pop(rank_ic) AS rank_ic_std,
+    avg(rank_ic) / (stddev_pop(rank_ic) + 1e-12) * sqrt(count(rank_ic)) AS rank_ic_ir, avg(ic) / (stddev_pop(ic) + 1e-12) AS icir, avg(spread) AS long_short_mean,
+    avg(spread) / (stddev_pop(spread) + 1e-12) * sqrt(count(spread)) AS long_short_sharpe, count(rank_ic) AS valid_times, avg(assets) AS mean_assets FROM s GROUP BY expr_id)"""
+
+
+def _scored(df: DataFrame) -> DataFrame:
+    return _round(df)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return scoring.score_cross_section(T.user_day(spark, sf_dir), [FLAGSHIP], "crypto", "close", 1, _HISTORY)
+
+
+@query(
+    "score_cross_section",
+    f"""WITH {_pairs_sql()}, {_sections_sql()}, {_TOTALS}
+SELECT expr_id, round(greatest(-1.0::DOUBLE, least(1.0::DOUBLE, rank_ic_mean * 5 + 0.02::DOUBLE * tanh(rank_ic_ir))), 6) AS score, round(rank_ic_mean, 6) AS rank_ic_mean, round(rank_ic_std, 6) AS rank_ic_std, round(rank_ic_ir, 6) AS rank_ic_ir,
+    round(long_short_mean, 6) AS long_short_mean, round(long_short_sharpe, 6) AS long_short_sharpe, valid_times, round(mean_assets, 6) AS mean_assets FROM t""",
+)
+def _score_cross_section(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(scoring.score_cross_section(T.user_day(spark, sf_dir), list(SCORED), "crypto", "close", 1, _HISTORY).drop("expr"))
+
+
+@query(
+    "score_undersized",
+    "SELECT * FROM (VALUES (0, -1.0::DOUBLE, 0::BIGINT)) AS x(expr_id, score, valid_times)",
+)
+def _undersized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    few = T.user_day(spark, sf_dir).where(F.col("asset").isin("1", "2", "3"))
+    return scoring.score_cross_section(few, [FLAGSHIP], "crypto", "close").select("expr_id", "score", "valid_times")
+
+
+@query("score_invalid", "SELECT * FROM (VALUES (0, -1.0::DOUBLE, 0::BIGINT), (1, -1.0::DOUBLE, 0::BIGINT)) AS x(expr_id, score, valid_times)")
+def _invalid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.score_cross_section(T.user_day(spark, sf_dir), ["no(crypto.close(2))", "last(crsp.dlyclose(2))"], "crypto", "close").select("expr_id", "score", "valid_times")
+
+
+@query(
+    "score_direction",
+    f"""WITH {_pairs_sql()}, d0 AS (SELECT expr_id, asset, factor, fwd FROM l WHERE factor IS NOT NULL AND fwd IS NOT NULL),
+d1 AS (SELECT *, rank() OVER (PARTITION BY expr_id, asset ORDER BY factor) + (count(*) OVER (PARTITION BY expr_id, asset, factor) - 1) / 2.0::DOUBLE AS rf,
+    rank() OVER (PARTITION BY expr_id, asset ORDER BY fwd) + (count(*) OVER (PARTITION BY expr_id, asset, fwd) - 1) / 2.0::DOUBLE AS rr FROM d0),
+d2 AS (SELECT expr_id, asset, avg(CASE WHEN sign(factor) <> 0 THEN CAST(sign(factor) = sign(fwd) AS DOUBLE) END) AS dir_acc, {_pearson("rf", "rr")} AS rank_ic, count(*) AS samples FROM d1 GROUP BY 1, 2),
+a AS (SELECT DISTINCT expr_id, asset FROM l)
+SELECT a.expr_id, a.asset, round(CASE WHEN samples IS NOT NULL THEN coalesce(dir_acc, -1.0::DOUBLE) END, 6) AS score, round(dir_acc, 6) AS dir_acc, round(rank_ic, 6) AS rank_ic, coalesce(samples, 0) AS samples
+FROM a LEFT JOIN d2 ON a.expr_id = d2.expr_id AND a.asset = d2.asset""",
+)
+def _score_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(scoring.score_direction(T.user_day(spark, sf_dir), list(SCORED), "crypto", "close", 1, _HISTORY).drop("expr", "ic"))
+
+
+@query("score_forward_returns", f"WITH {T.USER_DAY} SELECT asset, day, round(fwd, 6) AS fwd FROM p", times=('day',))
+def _forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(factors.forward_returns(T.user_day(spark, sf_dir), "close").select("asset", F.col("ts").cast("date").alias("day"), "fwd"))
+
+
+@query("score_min_history", f"WITH {T.USER_DAY} SELECT asset, day, round(\"close\", 6) AS factor FROM p WHERE rn >= 4", times=('day',))
+def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(factors.factor_series(T.user_day(spark, sf_dir), "last(crypto.close(2))", "crypto", 4).select("asset", F.col("ts").cast("date").alias("day"), "factor"))
+
+
+@query("score_last_values", f"WITH {T.USER_DAY} SELECT asset, max(day) AS day, round(arg_max(\"close\", day), 6) AS f0, max(rn)::DOUBLE AS f1 FROM (SELECT *, CASE WHEN true THEN rn END AS r FROM p) GROUP BY asset", times=('day',))
+def _last_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    days = T.user_day(spark, sf_dir)
+    found = factors.last_values(days, ["last(crypto.close(1))", "ts_sum(div(crypto.close(400) + 1, crypto.close(400) + 1))"], "crypto")
+    return _round(found.select("asset", F.col("ts").cast("date").alias("day"), "f0", "f1"))
+
+
+@query("score_time_slice", f"WITH {T.USER_DAY} SELECT asset, day, round(avg(volume) {_w(3)}, 6) AS factor FROM p WHERE day BETWEEN (SELECT min(day) + 5 FROM p) AND (SELECT min(day) + 12 FROM p)", times=('day',))
+def _sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A window of the panel cuts the history too."""
+    days = T.user_day(spark, sf_dir)
+    first = days.agg(F.min("ts").cast("date")).first()[0]
+    from datetime import timedelta
+
+    inside = panels.time_slice(days, str(first + timedelta(days=5)), str(first + timedelta(days=12)))
+    return _round(factors.factor_series(inside, "ts_mean(crypto.volume(3))", "crypto").select("asset", F.col("ts").cast("date").alias("day"), "factor"))
+
+
+# Libraries --------------------------------------------------------------------------
+
+
+def _library_pairs(spark: SparkSession, sf_dir: str, exprs: Sequence[str] = tuple(SCORED)) -> DataFrame:
+    return factors.factor_long(T.user_day(spark, sf_dir), list(exprs), "crypto", _HISTORY, "close")
+
+
+_METRICS_SQL = ", ".join(f"round({m}, 6) AS {m}" for m in library.METRICS)
+
+
+@query("lib_metrics", f"WITH {_pairs_sql()}, {_sections_sql()}, {_TOTALS} SELECT expr_id, {_METRICS_SQL}, valid_times, round(mean_assets, 6) AS mean_assets FROM t")
+def _lib_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(library.evaluate(_library_pairs(spark, sf_dir)))
+
+
+@query("lib_cross_sections", f"WITH {_pairs_sql()}, {_sections_sql()} SELECT expr_id, day, assets, round(dir_acc, 6) AS dir_acc, round(ic, 6) AS ic, round(rank_ic, 6) AS rank_ic, round(spread, 6) AS spread FROM s", times=('day',))
+def _lib_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scoring.cross_sections(_library_pairs(spark, sf_dir))
+    return _round(found.withColumn("day", F.col("ts").cast("date")).drop("ts"))
+
+
+@query(
+    "lib_pair_correlations",
+    f"WITH {_pairs_sql()}, c AS (SELECT x.expr_id AS a, y.expr_id AS b, x.factor AS u, y.factor AS v FROM l x JOIN l y ON x.day = y.day AND x.asset = y.asset AND x.expr_id < y.expr_id WHERE x.factor IS NOT NULL AND y.factor IS NOT NULL) SELECT a, b, round({_pearson('u', 'v')}, 6) AS corr FROM c GROUP BY a, b",
+)
+def _lib_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(library.pair_correlations(_library_pairs(spark, sf_dir)))
+
+
+_RANKED = """n AS (SELECT *, (((rank() OVER (PARTITION BY expr_id, day ORDER BY factor) + (count(*) OVER (PARTITION BY expr_id, day, factor) - 1) / 2.0::DOUBLE) / count(*) OVER (PARTITION BY expr_id, day)) - 0.5::DOUBLE) * 2 AS "rank" FROM l WHERE factor IS NOT NULL)"""
+
+
+@query("lib_normalised_rank", f'WITH {_pairs_sql()}, {_RANKED} SELECT expr_id, day, asset, round("rank", 6) AS "rank" FROM n', times=('day',))
+def _lib_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(library.normalised_rank(_library_pairs(spark, sf_dir)).select("expr_id", F.col("ts").cast("date").alias("day"), "asset", "rank"))
+
+
+@query(
+    "lib_fusion",
+    f"""WITH {_pairs_sql()}, {_RANKED}, z AS (SELECT 0 AS expr_id, day, asset, round(sum("rank") / 2, 9) AS factor, any_value(fwd) AS fwd FROM n WHERE expr_id IN (0, 1) GROUP BY day, asset HAVING count(*) = 2), {_sections_sql("z")}, {_TOTALS}
+SELECT {_METRICS_SQL}, valid_times, round(mean_assets, 6) AS mean_assets FROM t""",
+)
+def _lib_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fused = library.fuse(_library_pairs(spark, sf_dir), [0, 1]).withColumns({"expr_id": F.lit(0), "factor": F.round("factor", 9)})
+    return _round(library.evaluate(fused).drop("expr_id"))
+
+
+@query("lib_evaluate")
+def _lib_evaluate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Selection and fusion on a 70/30 split of days; sequential, so held against plain Python in tests."""
+    panel = T.user_day(spark, sf_dir)
+    days = [r[0] for r in panel.select(F.col("ts").cast("date")).distinct().orderBy("ts").collect()]
+    first, second = C.split_days(days)
+    found = library.evaluate_library(panel, list(SCORED), "crypto", "close", library.Selection((first.start, first.end), (second.start, second.end), min_history=_HISTORY))
+    rows = [(e.split, ",".join(found.selected), e.rank_ic_mean, e.ic_mean, e.valid_times) for e in (found.validation, found.test)]
+    return spark.createDataFrame(rows, "split string, selected string, rank_ic_mean double, ic_mean double, valid_times long")
+
+
+# Ingest -----------------------------------------------------------------------------
+
+_DAILY_COLS = ", ".join(ingest.DAILY)
+
+
+@query(
+    "ingest_clean_daily",
+    f"""WITH {T.BRAND_MONTH}, r AS (SELECT CAST(substr(asset, 7) AS BIGINT) AS k, *, 0 AS o FROM bm UNION ALL SELECT CAST(substr(asset, 7) AS BIGINT), asset, day, dlyclose, dlyvol + 1, dlycap, dlyhigh, dlylow, dlyopen, dlyret, 1 FROM bm WHERE extract(month FROM day) = 1)
+SELECT CAST(k AS VARCHAR) AS asset, day, {", ".join(f"round({c}, 6) AS {c}" for c in ingest.DAILY)} FROM (SELECT *, row_number() OVER (PARTITION BY k, day ORDER BY o DESC) AS place FROM r WHERE dlyclose IS NOT NULL AND dlyret IS NOT NULL) WHERE place = 1""", times=('day',))
+def _clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = T.brand_month(spark, sf_dir).select(F.substring("asset", 7, 9).alias("permno"), F.col("day").alias("dlycaldt"), *ingest.DAILY, F.lit(0).alias("o"))
+    again = raw.where(F.month("dlycaldt") == 1).withColumns({"dlyvol": F.col("dlyvol") + 1, "o": F.lit(1)})
+    out = ingest.clean_daily(raw.unionByName(again), "o")
+    return _round(out.select("asset", F.col("ts").cast("date").alias("day"), *ingest.DAILY))
+
+
+_MEMBERS_SQL = """iv AS (SELECT c_nationkey AS permno, min(CAST(o_orderdate AS DATE)) + 100 AS start, CASE WHEN c_nationkey % 5 <> 0 THEN min(CAST(o_orderdate AS DATE)) + 800 END AS ending FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1),
+ro AS (SELECT o_orderkey, c_nationkey AS permno, CAST(o_orderdate AS DATE) AS day, o_totalprice FROM orders JOIN customer ON o_custkey = c_custkey)"""
+
+
+def _orders_by_nation(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    o = T.load(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("k"), F.to_date("o_orderdate").alias("day"), "o_totalprice")
+    rows = o.join(T.load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("permno")), "k").drop("k")
+    first = rows.groupBy("permno").agg(F.min("day").alias("d"))
+    return rows, first.select("permno", F.date_add("d", 100).alias("start"), F.when(F.col("permno") % 5 != 0, F.date_add("d", 800)).alias("ending"))
+
+
+@query("ingest_membership", f"WITH {_MEMBERS_SQL} SELECT o_orderkey, ro.permno, day FROM ro JOIN iv ON ro.permno = iv.permno AND day >= start AND day <= coalesce(ending, DATE '9999-12-31')", times=('day',))
+def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, intervals = _orders_by_nation(spark, sf_dir)
+    return ingest.members(rows, intervals, "permno", "day").select("o_orderkey", "permno", "day")
+
+
+@query("ingest_largest_assets", f"WITH {T.BRAND_MONTH}, t5 AS (SELECT asset FROM bm GROUP BY asset ORDER BY avg(abs(dlycap)) DESC NULLS LAST, asset LIMIT 5) SELECT asset, day, round(dlycap, 4) AS dlycap FROM bm WHERE asset IN (SELECT asset FROM t5)", times=('day',))
+def _largest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(ingest.largest(T.brand_month(spark, sf_dir), "asset", "dlycap", 5).select("asset", "day", "dlycap"), 4)
+
+
+@query(
+    "ingest_daily_scan",
+    f"WITH {T.BRAND_MONTH}, f AS (SELECT * FROM bm WHERE dlyret IS NOT NULL AND dlyclose IS NOT NULL AND day BETWEEN DATE '1994-01-01' AND DATE '1996-12-31'), t5 AS (SELECT asset FROM f GROUP BY asset ORDER BY avg(abs(dlycap)) DESC NULLS LAST, asset LIMIT 7) SELECT asset, day, round(dlyret, 6) AS dlyret FROM f WHERE asset IN (SELECT asset FROM t5)", times=('day',))
+def _daily_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ingest.daily_rows(T.brand_month(spark, sf_dir), "1994-01-01", "1996-12-31", most=7, key="asset", day="day")
+    return _round(rows.select("asset", "day", "dlyret"))
+
+
+@query(
+    "ingest_bars",
+    f"""WITH {T.TICKS}, r AS (SELECT *, date_trunc('hour', ts) AS h, CASE WHEN price > mid THEN 1 WHEN price < mid THEN -1 ELSE 0 END * size AS signed FROM tk),
+g AS (SELECT symbol, h, arg_min(price, ts) AS open, max(price) AS high, min(price) AS low, arg_max(price, ts) AS "close", sum(size) AS volume, avg(sp) AS spread, avg(size) AS trade_size, count(*)::DOUBLE AS trade_count, sum(signed) AS signed, arg_max(mid, ts) FILTER (WHERE mid IS NOT NULL) AS mid FROM r GROUP BY 1, 2),
+m AS (SELECT *, last_value(mid IGNORE NULLS) OVER (PARTITION BY symbol, CAST(h AS DATE) ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS now_, last_value(mid IGNORE NULLS) OVER (PARTITION BY symbol, CAST(h AS DATE) ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS then_ FROM g)
+SELECT symbol, CAST(h AS TIMESTAMP) AS ts, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round("close", 6) AS "close", round(volume, 6) AS volume, round(spread, 6) AS spread, round(CASE WHEN then_ <> 0 THEN now_ / then_ - 1 END, 6) AS midret,
+    round(CASE WHEN abs(volume) > 0 THEN signed / abs(volume) END, 6) AS imbalance, round(trade_size, 6) AS trade_size, trade_count FROM m""", times=('ts',))
+def _bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(ingest.build_bars(T.ticks(spark, sf_dir), "1 hour"))
+
+
+@query("ingest_symbol_counts", "SELECT s AS symbol, coalesce(n, 0) AS \"rows\" FROM (SELECT DISTINCT event_type AS s FROM events UNION SELECT 'none') LEFT JOIN (SELECT event_type, count(*) AS n FROM events GROUP BY 1) ON s = event_type")
+def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = T.ticks(spark, sf_dir)
+    wanted = t.select("symbol").distinct().unionByName(spark.createDataFrame([("none",)], "symbol string"))
+    return ingest.symbol_counts(t, wanted)
+
+
+@query("ingest_upsert", "SELECT user_id, CAST(ts AS DATE) AS day, round(CASE WHEN extract(day FROM CAST(ts AS DATE)) > 20 THEN sum(value) * 2 ELSE sum(value) END, 6) AS v FROM events GROUP BY 1, 2", times=('day',))
+def _upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    days = T.load(spark, sf_dir, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.sum("value").alias("v"))
+    new = days.where(F.dayofmonth("day") > 20).withColumn("v", F.col("v") * 2)
+    return _round(ingest.upsert(days, new, ("user_id", "day")))
+
+
+@query("ingest_wide_to_long", "WITH h AS (SELECT CAST(ts AS DATE) AS day, event_type AS asset, max(value) AS high, min(value) AS low FROM events GROUP BY 1, 2), g AS (SELECT DISTINCT day FROM h), a AS (SELECT DISTINCT asset FROM h) SELECT a.asset, g.day, round(high, 6) AS high, round(low, 6) AS low FROM g CROSS JOIN a LEFT JOIN h ON h.day = g.day AND h.asset = a.asset", times=('day',))
+def _wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = T.load(spark, sf_dir, "events")
+    names = [r[0] for r in e.select("event_type").distinct().orderBy("event_type").collect()]
+    one = lambda fn: e.groupBy(F.to_date("ts").alias("day")).pivot("event_type", names).agg(fn("value"))
+    out = panels.from_wide({"high": one(F.max), "low": one(F.min)}, "day", names)
+    return _round(out.withColumnRenamed("ts", "day"))
+
+
+@query("ingest_unpivot", f"WITH {T.USER_DAY} SELECT asset, day, field, round(value, 6) AS value FROM (SELECT asset, day, 'close' AS field, \"close\" AS value FROM p UNION ALL SELECT asset, day, 'volume', volume FROM p)", times=('day',))
+def _unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    long = panels.to_long(T.user_day(spark, sf_dir), ["close", "volume"])
+    return _round(long.select("asset", F.col("ts").cast("date").alias("day"), "field", "value"))
+
+
+@query("ingest_as_of", f"WITH {T.USER_DAY}, e AS (SELECT CAST(user_id AS VARCHAR) AS asset, event_id, ts FROM events) SELECT e.event_id, e.asset, round(p.volume, 6) AS volume, p.day FROM e ASOF LEFT JOIN (SELECT asset, CAST(day AS TIMESTAMP) AS t, day, volume FROM p) p ON e.asset = p.asset AND e.ts >= p.t", times=('day',))
+def _as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The day's bar that was open at each event: two time scales, one point in time."""
+    e = T.load(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("asset"), "ts", "event_id")
+    d = T.user_day(spark, sf_dir).select("asset", "ts", "volume", F.col("ts").cast("date").alias("day"))
+    return _round(panels.as_of(e, d).select("event_id", "asset", "volume", "day"))
+
+
+@query("ingest_adapter", f"WITH {T.USER_DAY} SELECT asset, day, round(open, 6) AS open, round(\"close\", 6) AS \"close\", round(\"returns\", 6) AS \"returns\" FROM p", times=('day',))
+def _adapter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers as text and no returns: read leniently, returns computed."""
+    raw = T.user_day(spark, sf_dir).select("asset", F.col("ts").cast("string").alias("ts"), *(F.col(c).cast("string").alias(c) for c in panels.NEEDED["crypto"]))
+    out = panels.adapt(raw, "crypto")
+    return _round(out.select("asset", F.col("ts").cast("date").alias("day"), "open", "close", "returns"))
+
+
+@query("ingest_stream_bars", "SELECT event_type AS symbol, date_trunc('hour', ts) AS start, round(arg_min(value, ts), 6) AS open, max(value) AS high, min(value) AS low, round(arg_max(value, ts), 6) AS \"close\", count(*) AS trade_count FROM events GROUP BY 1, 2", times=('start',))
+def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as a stream that ends; complete mode shows every bar."""
+    schema = T.load(spark, sf_dir, "events").schema
+    trades = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(sf_dir)
+    bars = stream_bars(trades.select(F.col("event_type").alias("symbol"), "ts", F.col("value").alias("price"), F.lit(1.0).alias("size")), "1 hour", "1 hour")
+    name = "bars_stream_out"
+    bars.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    return _round(spark.table(name).drop("volume").withColumn("start", F.col("start").cast("timestamp_ntz")))
+
+
+# Candidates -------------------------------------------------------------------------
+
+
+def _completions(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(T.COMPLETIONS)), "ordinal int, text string")
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_COMPLETIONS_SQL = "c AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {_quoted(t)})" for i, t in enumerate(T.COMPLETIONS)) + ") AS v(ordinal, text))"
+_STRIP = "lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')"
+_EXTRACT_SQL = f"""x AS (SELECT ordinal, list_filter(list_transform(CASE WHEN len(tags) > 0 THEN tags ELSE regexp_split_to_array(text, '\\r\\n|\\n|\\r') END, {_STRIP}), lambda x: x <> '') AS found
+    FROM (SELECT *, regexp_extract_all(text, '(?is)<expr>\\s*(.*?)\\s*</expr>', 1) AS tags FROM c))"""
+
+
+@query("seed_extract", f"WITH {_COMPLETIONS_SQL}, {_EXTRACT_SQL} SELECT ordinal, CAST(i - 1 AS INTEGER) AS place, found[i] AS expr FROM (SELECT ordinal, found, unnest(range(1, len(found) + 1)) AS i FROM x)")
+def _extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.extract_expressions(_completions(spark))
+
+
+_ALL = [e for t in T.COMPLETIONS for e in C.expressions_in(t)]
+
+
+@query(
+    "seed_realize",
+    "SELECT * FROM (VALUES "
+    + ", ".join(
+        f"({i}, {_quoted(e)}, {str(ok).lower()}, {'sha256(' + _quoted(form) + ')' if ok else _quoted('')})"
+        for i, (e, ok, form) in enumerate(
+            [
+                ("ts_mean(crypto.close(5))", True, "call:ts_mean(field:crypto.close:5)"),
+                ("add(ts_mean(crypto.volume(3)), ts_std(crypto.close(4)))", True, "call:add(call:ts_mean(field:crypto.volume:3),call:ts_std(field:crypto.close:4))"),
+                ("add(ts_std(crypto.close(4)), ts_mean(crypto.volume(3)))", True, "call:add(call:ts_mean(field:crypto.volume:3),call:ts_std(field:crypto.close:4))"),
+                ("neg(ts_mean(crypto.returns(3)))", True, "call:neg(call:ts_mean(field:crypto.returns:3))"),
+                ("unknown(crypto.close(5))", False, ""),
+                ("last(crsp.dlyclose(1))", True, "call:last(field:crsp.dlyclose:1)"),
+                ("no expression here", False, ""),
+                ("corr(crypto.close(9), crypto.volume(9))", True, "call:corr(field:crypto.close:9,field:crypto.volume:9)"),
+            ]
+        )
+    )
+    + ") AS v(ordinal, expr, valid, signature)",
+)
+def _realize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.realize_all(spark, _ALL).drop("reason")
+
+
+@query(
+    "seed_pool",
+    ORACLE["seed_realize"].replace("SELECT * FROM", "WITH r AS (SELECT *, CAST((ordinal * 7) % 5 AS DOUBLE) / 4 AS score FROM", 1)
+    + "), k AS (SELECT *, row_number() OVER (PARTITION BY signature ORDER BY score DESC, ordinal) AS place FROM r WHERE valid AND score >= 0.25) SELECT ordinal, expr, score, signature FROM k WHERE place = 1 ORDER BY score DESC, ordinal LIMIT 3",
+)
+def _pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = C.realize_all(spark, _ALL).withColumn("score", ((F.col("ordinal") * 7) % 5).cast("double") / 4)
+    return C.pool_frame(scored, 3, 0.25)
+
+
+@query("seed_task_bank", "SELECT s.expr, s.score, w.start, w.\"end\" FROM (VALUES ('a', 0.5::DOUBLE), ('b', 0.25::DOUBLE)) AS s(expr, score) CROSS JOIN (VALUES ('2020-01-01', '2020-07-01'), ('2020-07-02', '2020-12-31')) AS w(start, \"end\")")
+def _task_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seeds = spark.createDataFrame([("a", 0.5), ("b", 0.25)], "expr string, score double")
+    windows = [(w.start, w.end) for w in C.time_windows("2020-01-01", "2020-12-31", 2)]
+    return C.task_bank_frame(seeds, spark.createDataFrame(windows, "start string, end string"))
+
+
+_SEED_BANK_EXPRS = [e for e in registry.templates(registry.CROSS_SECTION) if X.only_uses(e, "crypto")]
+
+
+@query("seed_bank")
+def _seed_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All templates of a request, scored in one job; expression by expression in score_* queries' SQL."""
+    request = C.refine("cross-sectional rankic on crypto, horizon 2d")
+    bank = C.seed_bank(T.user_day(spark, sf_dir), request.scenario, request.space, request.price, C.time_windows("2024-01-01", "2024-01-30", 2), min_history=5)
+    return spark.createDataFrame([(t.seed_expr, t.seed_score, t.window.start, t.window.end, t.scenario.horizon) for t in bank.tasks], "expr string, score double, start string, end string, horizon int")
+
+
+_REWARD_ROWS = [
+    (0, "s0", True, 0.4, {"score": 0.4, "x": 1.0, "y": 3.0}),
+    (1, "s1", True, 0.9, {"score": 0.9, "x": -1.0, "y": -3.0}),
+    (2, "", False, -1.0, {}),
+    (3, "s3", True, -0.9, {"score": 1.0, "x": 1.0, "y": 1.0}),
+]
+_ARCHIVED = [("e", "s1", 0.5, 0.6, {"score": 0.5, "x": 2.0, "y": 4.0})]
+
+
+@query(
+    "seed_reward",
+    """WITH m AS (SELECT * FROM (VALUES (0, 0.4::DOUBLE, 0.5::DOUBLE), (0, 1, 2), (0, 3, 4), (1, 0.9, 0.5), (1, -1, 2), (1, -3, 4), (3, 1, 0.5), (3, 1, 2), (3, 1, 4)) AS v(ordinal, x, y)),
+k AS (SELECT ordinal, coalesce(abs(CASE WHEN stddev_pop(x) > 1e-12 THEN covar_pop(x, y) / (stddev_pop(x) * stddev_pop(y)) END), 0) AS closest FROM m GROUP BY ordinal),
+r AS (SELECT * FROM (VALUES (0, true, 0.4::DOUBLE, false), (1, true, 0.9, true), (2, false, -1.0, false), (3, true, -0.9, false)) AS v(ordinal, valid, score, duplicate))
+SELECT r.ordinal, duplicate, round(coalesce(closest, 0), 6) AS closest, round(CASE WHEN valid THEN greatest(-1.0::DOUBLE, least(1.0::DOUBLE, score + CASE WHEN duplicate THEN -0.25::DOUBLE ELSE 0.05::DOUBLE END + 0.05::DOUBLE * (1 - coalesce(closest, 0)))) ELSE -1.0::DOUBLE END, 6) AS reward
+FROM r LEFT JOIN k ON r.ordinal = k.ordinal""",
+)
+def _reward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame(_REWARD_ROWS, "ordinal int, signature string, valid boolean, score double, metrics map<string,double>")
+    archive = spark.createDataFrame(_ARCHIVED, "expr string, signature string, score double, reward double, metrics map<string,double>")
+    return _round(C.reward_batch(rows, archive).select("ordinal", "duplicate", "closest", "reward"))
+
+
+@query("seed_reward_spread", "SELECT o_orderpriority AS task, count(*) AS rollouts, round(avg(o_totalprice), 4) AS reward_mean, round(stddev_pop(o_totalprice), 4) AS reward_std, sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END)::BIGINT AS valid, stddev_pop(o_totalprice) > 0.05 AS varies FROM orders GROUP BY 1")
+def _spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = T.load(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("task"), F.col("o_totalprice").alias("reward"), (F.col("o_orderstatus") == "F").alias("valid"))
+    return _round(C.reward_spread(o), 4)
+
+
+@query("seed_discover")
+def _discover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A generator's candidates through scoring, reward and archive; order-dependent, tested in Python."""
+    scenario = C.Scenario.of(registry.CROSS_SECTION, "crypto", 1)
+    task = C.Task(FLAGSHIP, 0.0, scenario, C.Period("2024-01-01", "2024-01-30"), scenario.objective)
+    made = C.discover(T.user_day(spark, sf_dir), task, "crypto", "close", lambda *_: [*SCORED, FLAGSHIP, "bad("], archive=C.Archive(), min_history=5, min_score=-1.0, min_reward=-1.0)
+    return spark.createDataFrame([(o.expr, o.valid, o.score, o.reward, o.stored, o.reason) for o in made], "expr string, valid boolean, score double, reward double, stored boolean, reason string")
+
+
+@query("seed_completions")
+def _rewarded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One reward for each completion, from its first expression; order-dependent, tested in Python."""
+    scenario = C.Scenario.of(registry.CROSS_SECTION, "crypto", 1)
+    task = C.Task(FLAGSHIP, 0.0, scenario, C.Period("2024-01-01", "2024-01-30"), scenario.objective)
+    made = C.reward_completions(T.user_day(spark, sf_dir), T.COMPLETIONS, task, "crypto", "close", C.Archive(), min_history=5)
+    return spark.createDataFrame([(i, o.expr, o.valid, o.score, o.reward, o.stored) for i, o in enumerate(made)], "ordinal int, expr string, valid boolean, score double, reward double, stored boolean")
+
+
+@query("seed_prompt_rows", "SELECT 'factorloom/factor_dsl' AS data_source, CAST(i AS INTEGER) AS index, CAST(k AS INTEGER) AS repeat_index, 'rule' AS style, 2::INTEGER AS messages, 'crypto_daily_cross_sectional_rankic' AS family FROM range(2) t(i) CROSS JOIN range(3) u(k)")
+def _prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scenario = C.Scenario.of(registry.CROSS_SECTION, "crypto", 1)
+    tasks = [C.Task(e, 0.0, scenario, C.Period("2024-01-01", "2024-01-30"), scenario.objective) for e in list(SCORED)[:2]]
+    rows = C.prompt_rows(spark, tasks, "crypto", 3)
+    return rows.select("data_source", "extra_info.index", "extra_info.repeat_index", "reward_model.style", F.size("prompt").alias("messages"), "extra_info.family")
+
+
+@query("seed_single_expression", "WITH " + _COMPLETIONS_SQL + " SELECT ordinal, CASE WHEN t <> '' THEN t WHEN k <> '' THEN k ELSE trim(text) END AS expr FROM (SELECT *, regexp_extract(text, '(?is)<expr>\\s*(.*?)\\s*</expr>', 1) AS t, regexp_extract(text, '(?s)([A-Za-z_]\\w*\\s*\\(.*\\))', 1) AS k FROM c)")
+def _single(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _completions(spark).select("ordinal", C.single_expression(F.col("text")).alias("expr"))
+
+
+@query("lib_compare_approaches")
+def _compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The offline generators under one protocol; each part has its own SQL elsewhere."""
+    found = C.compare_approaches(T.user_day(spark, sf_dir), {"alpha_jungle": C.expansions, "rd_agent": C.refinements}, count=6, min_history=5)
+    rows = [(n, r["raw_candidate_count"], r["valid_candidate_count"], ";".join(r["selected"]), r["test"]["rank_ic_mean"]) for n, r in found.items()]
+    return spark.createDataFrame(rows, "approach string, raw int, valid int, selected string, test_rank_ic double")
