@@ -335,7 +335,7 @@ def reward_batch(candidates: DataFrame, archive: DataFrame, w: RewardWeights = R
     """
     known = archive.select("signature").distinct().withColumn("duplicate", F.lit(True))
     left = candidates.select("ordinal", F.explode("metrics").alias("k", "x"))
-    right = archive.select(F.monotonically_increasing_id().alias("record"), F.explode("metrics").alias("k", "y"))
+    right = archive.select(F.col("signature").alias("record"), F.explode("metrics").alias("k", "y"))
     close = left.join(right, "k").groupBy("ordinal", "record").agg(F.abs(pearson(F.col("x"), F.col("y"))).alias("c")).groupBy("ordinal").agg(F.max("c").alias("closest"))
     out = candidates.join(known, "signature", "left").join(close, "ordinal", "left").withColumns({"duplicate": F.coalesce("duplicate", F.lit(False)), "closest": F.coalesce("closest", F.lit(0.0))})
     return out.withColumn("reward", reward_column(F.col("valid"), F.col("score"), F.col("duplicate"), F.col("closest"), w))
