@@ -25,6 +25,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._columns import col
 from ._store import materialise
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -46,8 +47,9 @@ def targets(sizes: DataFrame, weights: Sequence[float], share: float, max_repeat
     after = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     every = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     level = (F.lit(float(share)) * F.sum("source_size").over(every) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(after)
+    # the level at which the first source has enough; as if later ones were capped too, levels only fall
     open_ = F.when(F.col("cap") / F.col("weight") > F.col("level"), F.col("level"))
-    found = ranked.withColumn("level", level).withColumn("final", F.min(open_).over(every))
+    found = ranked.withColumn("level", level).withColumn("final", F.max(open_).over(every))
     target = F.least(F.col("cap"), F.coalesce(F.col("weight") * F.col("final"), F.col("cap")))
     return found.select("source", "rank", "source_size", target.alias("target"))
 
@@ -58,8 +60,8 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: fl
     ``bucket_digits``: a source is cut into 16 to this power buckets; raise it
     where a bucket of the largest source would not fit a task.
     """
-    size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
-    narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), size.alias("size"))
+    size = F.coalesce(F.regexp_count(col(text), F.lit(WORD)), F.lit(0)).cast("long")
+    narrow = docs.select(col(doc_id).alias("doc_id"), col(source).cast("string").alias("source"), size.alias("size"))
     narrow = narrow.withColumn("key", shuffle_key(F.col("doc_id"), seed))
     rows, _ = materialise(narrow.withColumn("bucket", F.substring("key", 1, bucket_digits)), "mix-sizes")
     sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
@@ -120,7 +122,7 @@ r AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM
 w AS (SELECT *, (CASE rank % {len(weights)} {cases} END)::DOUBLE AS weight, {float(max_repeats)}::DOUBLE * source_size AS cap FROM r),
 l AS (SELECT *, ({float(share)}::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
     / sum(weight) OVER (ORDER BY cap / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
-t AS (SELECT *, least(cap, coalesce(weight * min(CASE WHEN cap / weight > level THEN level END) OVER (), cap)) AS target FROM l),
+t AS (SELECT *, least(cap, coalesce(weight * max(CASE WHEN cap / weight > level THEN level END) OVER (), cap)) AS target FROM l),
 p AS (SELECT d.*, t.rank, t.source_size, t.target,
     sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id, d.size RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
     FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
