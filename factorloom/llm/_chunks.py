@@ -23,7 +23,7 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 from . import _words as W
 from ._store import materialise
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 3 << 20
 #: Words behind one bucket of the hash space, before chunks drop repeats.
 BUCKET_WORDS = 2 << 20
 REQUEST = "bucket int, chunk long, n int, keys binary, vals binary"
@@ -75,6 +75,7 @@ def chunked(docs: DataFrame, name: str, text: str = "text", tag: int = 0) -> tup
                     "data": pa.array([W.pack_table(t)], pa.binary()),
                 }
             )
+        W.trim()
 
     rows = docs.mapInArrow(build, "chunk long, n_docs long, n_bytes long, n_words long, data binary")
     table, path = materialise(rows, name)
@@ -113,6 +114,7 @@ def ask(chunks: DataFrame, fn: Callable[[int, pa.Table], Iterator[dict[str, list
             for i in range(batch.num_rows):
                 for rows in fn(batch.column("chunk")[i].as_py(), W.unpack_table(batch.column("data")[i].as_py())):
                     yield pa.RecordBatch.from_pydict(rows, schema=REQUEST_ARROW)
+                W.trim()
 
     return chunks.select("chunk", "data").mapInArrow(run, REQUEST)
 
@@ -150,6 +152,7 @@ def resolve(chunks: DataFrame, answer: DataFrame, fn: Callable[[int, pa.Table, p
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = [fn(left.column("chunk")[i].as_py(), W.unpack_table(left.column("data")[i].as_py()), right) for i in range(left.num_rows)]
+        W.trim()
         return pa.concat_tables(out) if out else empty
 
     empty = to_arrow_schema(_parse_datatype_string(schema) if isinstance(schema, str) else schema).empty_table()

@@ -7,11 +7,18 @@ codes followed by a mixing step; they are the same in every process.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+    _libc.malloc_trim
+except (OSError, AttributeError):  # another C library
+    _libc = None
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _CODES = _rng.integers(1, 2**63, size=256, dtype=np.uint64) * U(2) + U(1)
 _BASE = U(0x9E3779B97F4A7C15 | 1)
@@ -134,6 +141,13 @@ def doc_of(word_offs: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(word_offs) - 1), np.diff(word_offs))
 
 
+def trim() -> None:
+    """Hand freed memory back to the system, so that an idle worker does not keep its peak."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
 # Packed blobs -----------------------------------------------------------------
 
 def squeeze(a: np.ndarray) -> bytes:

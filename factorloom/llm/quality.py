@@ -50,18 +50,21 @@ FLOOR = np.array([0.10, 0.10, 0.05, 0.01, 0.03])
 CONSISTENCY = 1.41
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _MORE = ("n_lines", "n_kinds", "n_marks", "n_capitals")
-_SYMBOL = np.zeros(256, np.int64)
+_SYMBOL = np.zeros(256, np.uint8)
 _SYMBOL[list(b"#*$%&|<>")] = 1
 _MARK = _SYMBOL.copy()
 _MARK[list(b"!")] = 1
-_CAPITAL = np.zeros(256, np.int64)
+_CAPITAL = np.zeros(256, np.uint8)
 _CAPITAL[65:91] = 1
-_START = np.ones(256, np.int64)
-_START[0x80:0xC0] = 0
+_LETTER = np.ones(256, np.uint8)
+_LETTER[0x80:0xC0] = 0
+_LETTER[W.SPACE] = 0
 
 
 def _per_doc(flags: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    return np.diff(np.concatenate(([0], np.cumsum(flags)))[offs])
+    upto = np.zeros(len(flags) + 1, np.int32 if len(flags) < 2**31 else np.int64)
+    np.cumsum(flags, dtype=upto.dtype, out=upto[1:])
+    return np.diff(upto[offs]).astype(np.int64)
 
 
 def text_counts(column: pa.Array) -> dict[str, np.ndarray]:
@@ -72,7 +75,7 @@ def text_counts(column: pa.Array) -> dict[str, np.ndarray]:
     doc = W.doc_of(word_offs)
     own = W.mix(np.arange(len(offs) - 1, dtype=np.uint64), 77)
     out = {"n_words": np.diff(word_offs)}
-    out["word_chars"] = _per_doc(_START[buf] * ~W.SPACE[buf], offs)
+    out["word_chars"] = _per_doc(_LETTER[buf], offs)
     out["n_symbols"] = _per_doc(_SYMBOL[buf], offs)
     out["n_marks"] = _per_doc(_MARK[buf], offs)
     upper = _CAPITAL[buf]
@@ -180,10 +183,11 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     arrow = to_arrow_schema(schema)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in slices(batches, "__text", 4 << 20):
+        for t in slices(batches, "__text", 1 << 20):
             got = text_counts(t.column("__text"))
             out = [*(t.column(f.name).cast(f.type) for f in list(arrow)[: -len(names)]), *(pa.array(got[n], pa.int64()) for n in names)]
             yield from pa.table(out, schema=arrow).to_batches()
+        W.trim()
 
     table, _ = materialise(given.mapInArrow(count, schema).select("*", *_stats()), "quality-stats")
     # groups that are large enough, and what small ones are pooled to
