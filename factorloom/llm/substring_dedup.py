@@ -34,6 +34,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import _words as W
 from ._chunks import REQUEST, REQUEST_ARROW, answers, ask, bucket_bits, chunked, gathered, requests, resolve
+from ._columns import DOC, bundle, col, unbundle
 from ._store import new_path, remove
 
 TOP = W.U(2**64 - 1)
@@ -217,12 +218,11 @@ def remove_repeats(docs: DataFrame, text: str = "text", window: int = 35, batche
     """
     spark = docs.sparkSession
     new = [("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept_sha256", T.StringType())] + [("kept_text", T.StringType())] * with_text
-    names = {n for n, _ in new} | {"__text"}
-    kept = [c for c in docs.columns if c not in names]
-    source = text if text in kept else "__text"
-    given = docs.select(*kept, *([F.col(text).alias("__text")] if source == "__text" else []))
-    passed = [c for c in kept if c != source or with_text]
-    schema = T.StructType([given.schema[c] for c in passed] + [T.StructField(n, t) for n, t in new])
+    names = {n for n, _ in new}
+    kept = [c for c in docs.columns if c not in names and (with_text or c != text)]
+    source = "__text"
+    given = docs.select(bundle(kept), col(text).alias(source))
+    schema = T.StructType([given.schema[DOC], *(T.StructField(n, t) for n, t in new)])
     arrow = to_arrow_schema(schema)
     chunks, total, _ = chunked(given, "substring-chunks", source)
     bits = bucket_bits(total["n_words"] // 8)
@@ -281,7 +281,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", window: int = 35, batche
                 texts.append(b" ".join([data[s:e] for s, e in zip(w.starts[keep], w.ends[keep])]))
             else:
                 texts.append(b" ".join(data[w.starts[i] : w.ends[j - 1]].split()) if j > i else b"")
-        out = [rows.column(c) for c in passed] + [pa.array(n_words, pa.int64()), pa.array(n_gone, pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in texts])]
+        out = [rows.column(DOC), pa.array(n_words, pa.int64()), pa.array(n_gone, pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in texts])]
         if with_text:
             out.append(pa.array([t.decode("utf-8", "replace") for t in texts], pa.string()))
         return pa.table([c.combine_chunks().cast(f.type) if isinstance(c, pa.ChunkedArray) else c.cast(f.type) for c, f in zip(out, arrow)], schema=arrow)
@@ -295,5 +295,5 @@ def remove_repeats(docs: DataFrame, text: str = "text", window: int = 35, batche
         kind = got.column("kind").to_numpy()
         return finish(chunk, rows, got.filter(pa.array(kind == 0)), got.filter(pa.array(kind == 1)))
 
-    return resolve(chunks, both, last, schema)
+    return resolve(chunks, both, last, schema).select(*unbundle(kept), *(n for n, _ in new))
 

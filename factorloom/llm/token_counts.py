@@ -30,6 +30,7 @@ from pyspark.sql import types as T
 
 from . import _words as W
 from ._chunks import slices
+from ._columns import DOC, bundle, col, unbundle
 
 SPACE = "▁"
 _UNITS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -187,24 +188,24 @@ def count_tokens(docs: DataFrame, model: str, text: str = "text", limit: int | N
     new += [("over_limit", T.BooleanType())] * (limit is not None) + [("fit_chars", T.LongType())] * (budget is not None) + [("prefix_counts", T.ArrayType(T.LongType()))] * prefixes
     names = {n for n, _ in new}
     kept = [c for c in docs.columns if c not in names]
-    given = docs.select(*[docs[c] for c in kept], *([docs[text].alias("__text")] if text not in kept else []))
-    source = text if text in kept else "__text"
-    schema = T.StructType([given.schema[c] for c in kept] + [T.StructField(n, t) for n, t in new])
+    given = docs.select(bundle(kept), col(text).alias("__text"))
+    schema = T.StructType([given.schema[DOC], *(T.StructField(n, t) for n, t in new)])
+    names_ = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(model)
-        for t in slices(batches, source, 4 << 20):
-            column = t.column(source)
+        for t in slices(batches, "__text", 4 << 20):
+            column = t.column("__text")
             _, offs = W.text_bytes(column)
             texts = [x or "" for x in column.to_pylist()]
             n = [c.total(x) for x in texts]
-            out = [t.column(k) for k in kept] + [pa.array(np.diff(offs), pa.int64()), pa.array(n, pa.int64())]
+            out = [t.column(DOC), pa.array(np.diff(offs), pa.int64()), pa.array(n, pa.int64())]
             if limit is not None:
                 out.append(pa.array([x > limit for x in n], pa.bool_()))
             if budget is not None:
                 out.append(pa.array([c.fit(x, budget) for x in texts], pa.int64()))
             if prefixes:
                 out.append(pa.array([c.prefixes(x) for x in texts], pa.list_(pa.int64())))
-            yield from pa.table(out, names=schema.names).to_batches()
+            yield from pa.table(out, names=names_).to_batches()
 
-    return given.mapInArrow(run, schema)
+    return given.mapInArrow(run, schema).select(*unbundle(kept), *(n for n, _ in new))
