@@ -9,6 +9,7 @@ session, removed when the driver ends.
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -25,7 +26,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder, as a URI or path that Spark can write to."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        if not spark.sparkContext.master.startswith("local["):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="factorloom-")
         spark.conf.set("spark.checkpoint.dir", at)
