@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tables as T
+from .operators import acceptance, factors, ingest, library, scoring
 from .operators import candidates as C
-from .operators import factors, ingest, library, scoring
 from .plans import expr as X
 from .plans import registry
 from .sources import panels
@@ -526,3 +526,28 @@ def _compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = C.compare_approaches(T.user_day(spark, sf_dir), {"alpha_jungle": C.expansions, "rd_agent": C.refinements}, count=6, min_history=5)
     rows = [(n, r["raw_candidate_count"], r["valid_candidate_count"], ";".join(r["selected"]), r["test"]["rank_ic_mean"]) for n, r in found.items()]
     return spark.createDataFrame(rows, "approach string, raw int, valid int, selected string, test_rank_ic double")
+
+
+@query(
+    "seed_duplicates",
+    "WITH c AS (" + ORACLE["seed_realize"] + ") SELECT ordinal, expr, signature IN (SELECT signature FROM c WHERE ordinal = 1 AND valid) AS known FROM (SELECT *, row_number() OVER (PARTITION BY signature ORDER BY ordinal) AS place FROM c) WHERE place = 1 OR NOT valid",
+)
+def _duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = acceptance.first_of_batch(C.realize_all(spark, _ALL))
+    archive = C.realize_all(spark, _ALL[1:2])
+    old, new = (acceptance.duplicates_of(rows, archive, k).withColumn("known", F.lit(k)) for k in (True, False))
+    return old.unionByName(new).select("ordinal", "expr", "known")
+
+
+@query("seed_rollout_expressions", "WITH c AS (" + ORACLE["seed_realize"] + ") SELECT expr, CAST(min(ordinal) AS INTEGER) AS ordinal FROM (SELECT * FROM c UNION ALL SELECT ordinal + 100, expr, valid, signature FROM c) WHERE valid GROUP BY expr")
+def _rollout_expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = C.realize_all(spark, [*_ALL, *_ALL])
+    return acceptance.valid_expressions(rows)
+
+
+@query("gate_rewards")
+def _gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five windows of the panel, a fixed generator; order-dependent, tested in Python."""
+    jobs = acceptance.acceptance_tasks(T.user_day(spark, sf_dir), C.Seed(FLAGSHIP, 0.0, ""), min_history=3)
+    made = acceptance.reward_gate(jobs, lambda task, k: [f"<expr>{e}</expr>" for e in [*SCORED, "bad(", ""]][:k], rollouts=6, min_history=3)
+    return spark.createDataFrame([(t["task"], t["benchmark"], t["reward_mean"], t["reward_std"], made["passed"]) for t in made["tasks"]], "task int, benchmark string, reward_mean double, reward_std double, passed boolean")

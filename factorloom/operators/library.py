@@ -58,7 +58,7 @@ def evaluate(pairs: DataFrame, min_assets: int = 8, keys: Sequence[str] = ("expr
     return over_time(cross_sections(pairs, min_assets, keys), keys).select(*keys, *METRICS, "valid_times", F.coalesce("mean_assets", F.lit(0.0)).alias("mean_assets"))
 
 
-def pair_correlations(factors: DataFrame, only: Sequence[tuple[int, int]] | None = None) -> DataFrame:
+def pair_correlations(factors: DataFrame) -> DataFrame:
     """``a, b, corr`` of all pairs of expressions, pooled over (ts, asset), from ``expr_id, ts, asset, factor``.
 
     The factors of a cell meet in one map, so each pair is a conditional sum
@@ -67,8 +67,6 @@ def pair_correlations(factors: DataFrame, only: Sequence[tuple[int, int]] | None
     cells = factors.where(F.col("factor").isNotNull()).groupBy("ts", "asset").agg(F.sort_array(F.collect_list(F.struct("expr_id", "factor"))).alias("x"))
     pairs = F.flatten(F.transform("x", lambda p: F.transform(F.filter("x", lambda q: q["expr_id"] > p["expr_id"]), lambda q: F.struct(p["expr_id"].alias("a"), q["expr_id"].alias("b"), p["factor"].alias("u"), q["factor"].alias("v")))))
     rows = cells.select(F.explode(pairs).alias("p")).select("p.*")
-    if only is not None:
-        rows = rows.where(F.struct("a", "b").isin([F.struct(F.lit(a), F.lit(b)) for a, b in only]))
     return rows.groupBy("a", "b").agg(pearson(F.col("u"), F.col("v")).alias("corr"))
 
 

@@ -93,3 +93,21 @@ def test_generators():
     assert C.mutations(t, 3) == tuple(f"ts_mean(crypto.close({k}))" for k in (5, 7, 10))
     assert C.refinements(t, 6)[:3] == (t[0], f"tanh({t[0]})", f"zscore({t[0]})") and len(C.refinements(t, 6)) == 6
     assert C.expansions(t, 4)[2].startswith("div(") and C.expansions(t, 0) == ()
+
+
+def test_gate_and_rollout(spark):
+    from factorloom.operators import acceptance as A
+
+    panel = coins(spark, rising(8, 20))
+    jobs = A.acceptance_tasks(panel, C.Seed("last(crypto.close(1))", 0.1, ""), min_history=2)
+    assert [j[0].scenario.benchmark for j in jobs] == [registry.CROSS_SECTION] * 3 + [registry.DIRECTION] * 2
+    assert jobs[0][1].select("ts").distinct().count() == 4 and jobs[4][1].select("asset").distinct().count() == 1
+    with pytest.raises(ValueError):
+        A.acceptance_tasks(panel, C.Seed("x", 0.0, ""), min_history=4)
+    texts = ["<expr>last(crypto.close(1))</expr>", "<expr>neg(crypto.close(1))</expr>", "junk"]
+    gate = A.reward_gate(jobs, lambda t, k: texts, min_history=2)
+    assert gate["varying"] >= 3 and gate["all_invalid"] == 0 and gate["passed"]
+    assert not A.reward_gate(jobs[:1], lambda t, k: ["junk"], min_history=2)["passed"]
+    assert A.sweep(panel, ["last(crypto.close(1))", "neg(crypto.close(1))"], min_history=2)["passed"]
+    bank, rows = A.rollout(panel, "crypto cross-sectional", lambda *_: ["last(crypto.low(1))", "bad("], ["last(crypto.close(1))"], min_history=2)
+    assert len(bank.tasks) == 1 and [r["valid"] for r in rows] == [True, False]
