@@ -393,6 +393,7 @@ PAGES = [
     (_page("<article><p>kept</p><div id='comments'><article><p>a reader</p></article></div><ul><li>x<li>y</ul></article>"), "kept x y"),
     (_page("<div class=\"cookie-notice\">we</div><article><p>t<!-- <p>no</p> -->u</p><table><tr><td>1<td>2</table></article>"), "tu 1 2"),
     (_page("<article><p hidden>h</p><p title='a>b'>q</p><p>&lt;b&gt; &#233;&eacute; &unknown; &</p></article>"), "q <b> éé &unknown; &"),
+    (_page("<div class='page-header'>Site</div><article><div class='post-header'><h1>Title</h1></div><p>x</p><div class='shareButtons'>y</div></article>"), "Title x"),
     ("", ""),
     (None, ""),
     ("plain words", "plain words"),
