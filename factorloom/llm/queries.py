@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing
+from . import mixing, oracles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -38,7 +38,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model"), limit=4096).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
-@query("op10_substring_dedup")
+@query("op10_substring_dedup", oracles.REPEATS)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words in windows of 35 that repeat anywhere in the documents, removed."""
     from .substring_dedup import remove_repeats
@@ -63,7 +63,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(docs, (3, 1, 2), 1.5, 2, "mix").select("doc_id", "size", "source_size", "target", "taken")
 
 
-@query("op4_jaccard_join")
+@query("op4_jaccard_join", oracles.JACCARD)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose four-word shingles agree to 85 percent."""
     from .jaccard_join import link_documents
@@ -90,7 +90,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
 
 
-@query("op2_warc_round_trip")
+@query("op2_warc_round_trip", oracles.WARC)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written as archives and read back through the index."""
     from .warc import read_records, write_archive
@@ -99,7 +99,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_records(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-@query("op6_decontamination")
+@query("op6_decontamination", oracles.CONTAMINATION)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows in all documents."""
     from .decontaminate import find_contamination
