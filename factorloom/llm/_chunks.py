@@ -21,6 +21,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 from . import _words as W
+from ._ship import ship
 from ._store import materialise
 
 CHUNK_BYTES = 3 << 20
@@ -77,6 +78,7 @@ def chunked(docs: DataFrame, name: str, text: str = "text", tag: int = 0) -> tup
             )
         W.trim()
 
+    ship(docs.sparkSession)
     rows = docs.mapInArrow(build, "chunk long, n_docs long, n_bytes long, n_words long, data binary")
     table, path = materialise(rows, name)
     got = table.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_docs", "n_bytes", "n_words")), F.count("*").alias("chunks")).first()

@@ -39,6 +39,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from . import _words as W
 from ._chunks import slices
 from ._columns import DOC, bundle, col, unbundle
+from ._ship import ship
 from ._store import materialise
 
 WINDOW = 8
@@ -177,6 +178,7 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     The text itself is left out of the result unless ``with_text``.
     """
     kept = [c for c in docs.columns if c not in {*COUNTS, "base_failed", "distance", "kept"} and (with_text or c != text)]
+    ship(docs.sparkSession)
     given = docs.select(bundle(kept), col(lang).cast("string").alias("__lang"), col(source).cast("string").alias("__source"), col(text).alias("__text"))
     names = [*COUNTS, *_MORE]
     schema = T.StructType([*given.drop("__text").schema.fields, *(T.StructField(n, T.LongType()) for n in names)])

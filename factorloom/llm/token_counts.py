@@ -31,6 +31,7 @@ from pyspark.sql import types as T
 from . import _words as W
 from ._chunks import slices
 from ._columns import DOC, bundle, col, unbundle
+from ._ship import ship
 
 SPACE = "▁"
 _UNITS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -188,6 +189,7 @@ def count_tokens(docs: DataFrame, model: str, text: str = "text", limit: int | N
     new += [("over_limit", T.BooleanType())] * (limit is not None) + [("fit_chars", T.LongType())] * (budget is not None) + [("prefix_counts", T.ArrayType(T.LongType()))] * prefixes
     names = {n for n, _ in new}
     kept = [c for c in docs.columns if c not in names]
+    ship(docs.sparkSession)
     given = docs.select(bundle(kept), col(text).alias("__text"))
     schema = T.StructType([given.schema[DOC], *(T.StructField(n, t) for n, t in new)])
     names_ = schema.names

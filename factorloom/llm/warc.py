@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ._ship import ship
 from ._store import materialise, new_path
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -120,6 +121,7 @@ def sha1_base32(payload: bytes) -> str:
 def write_archive(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", revisit_from: int = 0, path: str | None = None, date: str = "2024-01-01T00:00:00Z") -> tuple[DataFrame, str]:
     """Write ``pages`` as archives; returns the index, which is a table beside them, and the folder."""
     spark = pages.sparkSession
+    ship(spark)
     folder = path or new_path(spark, "archive")
     given = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html).cast("string"), F.lit("")).alias("payload"))
     given = given.withColumn("sha1", F.sha1("payload"))
@@ -167,6 +169,7 @@ def read_records(index: DataFrame, gap: int = 64 << 10, most: int = 8 << 20, str
     Ranges of one file are joined if at most ``gap`` bytes lie between them and
     the read stays under ``most`` bytes; a task reads a ``stretch`` of a file.
     """
+    ship(index.sparkSession)
     spots = index.select("file", "offset", "length").withColumn("stretch", F.floor(F.col("offset") / stretch))
     sorted_ = spots.repartition("file", "stretch").sortWithinPartitions("file", "offset")
     arrow = to_arrow_schema(RECORD)
