@@ -523,7 +523,7 @@ def _single(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("lib_compare_approaches")
 def _compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The offline generators under one protocol; each part has its own SQL elsewhere."""
-    found = C.compare_approaches(T.user_day(spark, sf_dir), {"alpha_jungle": C.expansions, "rd_agent": C.refinements}, count=6, min_history=5)
+    found = C.compare_approaches(T.user_day(spark, sf_dir), {"expansion": C.expansions, "refinement": C.refinements}, count=6, min_history=5)
     rows = [(n, r["raw_candidate_count"], r["valid_candidate_count"], ";".join(r["selected"]), r["test"]["rank_ic_mean"]) for n, r in found.items()]
     return spark.createDataFrame(rows, "approach string, raw int, valid int, selected string, test_rank_ic double")
 

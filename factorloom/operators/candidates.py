@@ -477,7 +477,7 @@ def expansions(templates: Sequence[str], count: int) -> tuple[str, ...]:
     return tuple(x for _, x in zip(range(count), (*templates, *pairs)))
 
 
-GENERATORS = {"quantaalpha": mutations, "rd_agent": refinements, "alpha_jungle": expansions}
+GENERATORS = {"mutation": mutations, "refinement": refinements, "expansion": expansions}
 
 
 def compare_approaches(panel: DataFrame, approaches: Mapping[str, Callable[[Sequence[str], int], Sequence[str]]] | None = None, space: str = "crypto", price: str = "close", count: int = 12, top_k: int = 5, threshold: float = 0.7, min_history: int = 30) -> dict[str, dict]:
