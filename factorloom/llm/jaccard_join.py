@@ -299,7 +299,7 @@ def _link(docs: DataFrame, text: str, doc_id: str, size: int, percent: int, rare
         found = listed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         mixed = found.groupBy("sig").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("sig")
         open_ = found.join(mixed, "sig").withColumn("place", F.row_number().over(place))
-        open_ = open_.where((F.col("members") > done) if done > 1 else F.lit(True)).join(packed.select("node", "bits"), "node")
+        open_ = open_.where((F.col("members") > max(done, rare)) if done > 1 else F.lit(True)).join(packed.select("node", "bits"), "node")
         open_, _ = materialise(open_.select("sig", "node", "n", "members", "root", "place", "bits"), "jaccard-open")
         if open_.isEmpty():
             break
@@ -309,7 +309,7 @@ def _link(docs: DataFrame, text: str, doc_id: str, size: int, percent: int, rare
         pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("n_a"), F.col("y.n").alias("n_b"))
         more, _ = materialise(linked(pairs), "jaccard-edges")
         edges = edges.unionByName(more)
-        done, width = max(done + width, rare), width * 4
+        done, width = done + width, width * 4
         if not more.isEmpty():
             roots, _ = materialise(components(edges), "jaccard-roots")
 

@@ -226,6 +226,21 @@ def test_links_in_crowded_groups(spark, rare):
     assert _sorted(tuple(r) for r in got.select("doc_id", "n_shingles", "component_id").collect()) == _sorted(want)
 
 
+def test_links_of_frequent_shingles_alone(spark):
+    """Groups of 60 sparse variants of one opening, in pairs one block apart: all shingles are frequent, all lists longer than the default ``rare``."""
+    rng, rows = random.Random(7), []
+    blocks = [[" ".join(f"b{k}{o}{i}" for i in range(4)) for o in "xy"] for k in range(16)]
+    for g in range(6):
+        opening = [f"g{g}w{i}" for i in range(24)] + ["same"] * 4
+        for _ in range(30):
+            picks = [rng.randrange(2) for _ in blocks]
+            for turn in (None, rng.randrange(len(blocks))):
+                rows.append((len(rows), " ".join(opening + [b[p ^ (k == turn)] for k, (b, p) in enumerate(zip(blocks, picks))])))
+    want = [(i, *x) for (i, _), x in zip(rows, B.components(rows))]
+    got = link_documents(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert _sorted(tuple(r) for r in got.select("doc_id", "n_shingles", "component_id").collect()) == _sorted(want)
+
+
 # 5 -------------------------------------------------------------------------------
 
 
