@@ -6,11 +6,13 @@ host make its style tree.  A node of it is important when pages present it in
 many ways (entropy of its presentation over the host's pages) and when its
 contents differ from page to page (contents that all pages share have the
 highest entropy over pages, so the lowest importance).  Branches of low
-importance are notices, menus and slogans of the site and are removed, outside
-of article elements; entropy cannot tell a menu that changes from page to page
+importance are notices, menus and slogans of the site and are removed; inside
+of article elements only those that show the same on practically all pages
+that have them.  Copies of a page count once in the tree, so that they do not
+make an article look like a notice.  Entropy cannot tell a menu that changes from page to page
 from an article, so branches whose element, class or role says what they are
-(navigation, adverts, forms, comments, ...) are removed by that prior.  If a
-page marks its article, or else its main part, only that is kept.
+(navigation, adverts, forms, comments, ...) are removed by that prior.  If
+the rest of a page has a marked article, or else a main part, only that is kept.
 
 Trees are built by two grouped counts keyed by host, path and content, so a
 host with a third of all pages is spread over tasks; nothing collects a host.
@@ -18,8 +20,8 @@ host with a third of all pages is spread over tasks; nothing collects a host.
 Definitions for odd input: a null or empty page, and a page without text, gives
 the empty string; a null url, or one without host, belongs to the host '';
 broken markup is closed as browsers do in simple cases; texts of any length are
-taken whole; repeated rows count as pages of their own; an empty table gives an
-empty result; other columns pass through unless they clash with the names of
+taken whole; repeated rows each get their text; an empty table gives an empty
+result; other columns pass through unless they clash with the names of
 the results, which win.
 """
 
@@ -176,19 +178,13 @@ class Page:
             self.flush()
 
 
-def main_blocks(source: str | None) -> tuple[list[tuple[str, int, str, str]], int]:
-    """Blocks that the prior keeps, and the best area of the page."""
-    blocks = Page(source or "").blocks
-    area = max((b[1] for b in blocks), default=0)
-    return [b for b in blocks if b[1] == area], area
-
-
-def extract_text(pages: DataFrame, page: str = "html", url: str = "url", threshold: float = 0.2, weight: float = 0.9, min_pages: int = 4) -> DataFrame:
+def extract_text(pages: DataFrame, page: str = "html", url: str = "url", threshold: float = 0.2, marked: float = 0.02, weight: float = 0.9, min_pages: int = 4) -> DataFrame:
     """Adds ``text`` and ``n_chars``; the source of the page is left out.
 
-    ``threshold``: nodes of less importance are removed.  ``weight``: the share
-    of content in importance, beside presentation.  ``min_pages``: nodes on
-    fewer pages of a host are not judged.
+    ``threshold``: nodes of less importance are removed.  ``marked``: the same
+    for nodes in article elements.  ``weight``: the share of content in
+    importance, beside presentation.  ``min_pages``: nodes on fewer pages of a
+    host are not judged.
     """
     kept = [c for c in pages.columns if c not in {"text", "n_chars", page}]
     host = F.lower(F.coalesce(F.regexp_extract(col(url), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
@@ -200,23 +196,24 @@ def extract_text(pages: DataFrame, page: str = "html", url: str = "url", thresho
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in slices(batches, "__page", 4 << 20):
-            got = [[dict(zip(("path", "area", "text", "style"), b)) for b in main_blocks(x)[0]] for x in t.column("__page").to_pylist()]
+            got = [[dict(zip(("path", "area", "text", "style"), b)) for b in Page(x or "").blocks] for x in t.column("__page").to_pylist()]
             yield from pa.table([*(t.column(f.name).cast(f.type) for f in list(arrow)[:-1]), pa.array(got, arrow.field("blocks").type)], schema=arrow).to_batches()
 
-    parsed, _ = materialise(given.mapInArrow(parse, schema).withColumn("row", F.monotonically_increasing_id()), "pages-parsed")
-    loose = parsed.where(F.exists("blocks", lambda b: b["area"] < 2))
-    parts = loose.select("__host", "row", F.explode(F.filter("blocks", lambda b: b["area"] < 2)).alias("b")).select("__host", "row", F.col("b.path").alias("path"), F.xxhash64("b.text").alias("content"), F.xxhash64("b.style").alias("style")).distinct()
+    parsed, _ = materialise(given.mapInArrow(parse, schema).withColumn("page", F.xxhash64("blocks")), "pages-parsed")
+    parts = parsed.select("__host", "page", F.explode("blocks").alias("b")).select("__host", "page", F.col("b.path").alias("path"), F.col("b.area").alias("area"), F.xxhash64("b.text").alias("content"), F.xxhash64("b.style").alias("style"))
     by_path = ["__host", "path"]
-    on = parts.select(*by_path, "row").distinct().groupBy(*by_path).agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
-    content = parts.select(*by_path, "row", "content").distinct().groupBy(*by_path, "content").agg(F.count("*").alias("c")).groupBy(*by_path).agg(F.avg(F.log("c")).alias("content_log"))
-    style = parts.select(*by_path, "row", "style").distinct().groupBy(*by_path, "style").agg(F.count("*").alias("c")).groupBy(*by_path).agg(F.sum("c").alias("all"), F.sum(F.col("c") * F.log("c")).alias("c_log"))
+    on = parts.groupBy(*by_path, "page").agg(F.max("area").alias("area")).groupBy(*by_path).agg(F.count("*").alias("pages"), F.max("area").alias("area")).where(F.col("pages") >= min_pages)
+    content = parts.select(*by_path, "page", "content").distinct().groupBy(*by_path, "content").agg(F.count("*").alias("c")).groupBy(*by_path).agg(F.avg(F.log("c")).alias("content_log"))
+    style = parts.select(*by_path, "page", "style").distinct().groupBy(*by_path, "style").agg(F.count("*").alias("c")).groupBy(*by_path).agg(F.sum("c").alias("all"), F.sum(F.col("c") * F.log("c")).alias("c_log"))
     joined = on.join(content, by_path).join(style, by_path)
     shown = (F.log("all") - F.col("c_log") / F.col("all")) / F.log("pages")
     importance = weight * (1 - F.col("content_log") / F.log("pages")) + (1 - weight) * shown
-    low = joined.where(importance < threshold).groupBy("__host").agg(F.collect_set("path").alias("low"))
+    low = joined.where(importance < F.when(F.col("area") == 2, marked).otherwise(threshold)).groupBy("__host").agg(F.collect_set("path").alias("low"))
     low, _ = materialise(low, "pages-low")
     out = parsed.join(low, "__host", "left")
     dull = F.coalesce(F.col("low"), F.array().cast("array<string>"))
-    text = F.array_join(F.transform(F.filter("blocks", lambda b: (b["area"] == 2) | ~F.array_contains(dull, b["path"])), lambda b: b["text"]), " ")
+    out = out.withColumn("blocks", F.filter("blocks", lambda b: ~F.array_contains(dull, b["path"])))
+    best = F.array_max(F.transform("blocks", lambda b: b["area"]))
+    text = F.array_join(F.transform(F.filter("blocks", lambda b: b["area"] == best), lambda b: b["text"]), " ")
     out = out.select(DOC, text.alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))
     return out.select(*unbundle(kept), "text", "n_chars")

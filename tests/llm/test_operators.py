@@ -442,6 +442,18 @@ def test_the_site_tree_finds_what_pages_share(spark):
     assert got[3] == "story 3 www" and got[99] == "Welcome to our site"
 
 
+def test_the_site_tree_has_all_pages(spark):
+    """Pages that mark their article are in the tree and judged by it; copies of one article are not taken for a notice."""
+    top = "<div class='top'><p>Welcome to our site</p></div>"
+    rows = [(i, "http://site/x", _page(f"{top}<article><p>story {i}</p><div class='end'>Thanks for reading</div></article>")) for i in range(12)]
+    rows += [(20 + i, "http://site/y", _page(f"{top}<div class='body'><p>plain {i}</p></div>")) for i in range(2)]
+    rows += [(30 + i, "http://copies/x", _page("<article><h1>One</h1><p>story</p></article>")) for i in range(9)]
+    got = {r["page_id"]: r["text"] for r in extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(12)] == [f"story {i}" for i in range(12)]
+    assert got[20] == "plain 0" and got[21] == "plain 1"
+    assert {got[30 + i] for i in range(9)} == {"One story"}
+
+
 # 10 ------------------------------------------------------------------------------
 
 
