@@ -107,6 +107,14 @@ def test_the_model_is_a_distribution(spark, order):
     assert all(v < 0 for v in out.values()) and all(single[k] < out[k] for k in (100, 101, 102, 103))
 
 
+def test_the_query_uses_trigrams(spark, sf):
+    part = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 7
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    want = {r["doc_id"]: r["score"] for r in score_texts(docs, training=part != 2, fold=part == 3, order=3).collect()}
+    got = {r["doc_id"]: r["score"] for r in Q.QUERIES["op1_lm_scoring"](spark, sf).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-9) for k in want)
+
+
 def test_weights_follow_the_held_out_counts():
     sure = learn_weights([(5, 0, 1000)], 1, 1e-6)
     assert sure[0, 5] > 0.99
