@@ -5,7 +5,8 @@ therefore first written as chunks of a few megabytes; a chunk asks about all
 its keys at once, one compressed blob of sorted hashes for each bucket of the
 hash space, and gets an answer aligned with what it asked.  Every key counts
 once per chunk, so a key that a third of all rows share costs a bucket one
-entry per chunk.  The number of buckets follows the input.
+entry per chunk.  Chunks and buckets both grow with the square root of the
+input, so that the blobs between them keep their size.
 """
 
 from __future__ import annotations
@@ -24,33 +25,43 @@ from . import _words as W
 from ._ship import ship
 from ._store import materialise
 
-CHUNK_BYTES = 3 << 20
+#: A chunk's bytes, and the rows it holds at most (node ids have 23 bits for them).
+CHUNK_BYTES, CHUNK_ROWS = 3 << 20, 1 << 20
 #: Words behind one bucket of the hash space, before chunks drop repeats.
 BUCKET_WORDS = 2 << 20
+#: Above this input both grow, up to sixteen times.
+ROOT_BYTES = 32 << 30
 REQUEST = "bucket int, chunk long, n int, keys binary, vals binary"
 ANSWER = "chunk long, bucket int, vals binary"
 
 
+def growth(size: float) -> float:
+    """The factor for chunks and buckets at an input of ``size`` bytes."""
+    return min(16.0, max(1.0, size / ROOT_BYTES) ** 0.5)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.Table]:
-    """The rows regrouped to about ``limit`` bytes of ``column`` each; a longer text stands alone."""
+    """The rows regrouped to about ``limit`` bytes each, ``column`` in full and a share of the others; a longer row stands alone."""
     held: list[pa.RecordBatch] = []
-    size = 0
+    size = rows = 0
     for batch in batches:
         _, offs = W.text_bytes(batch.column(column))
+        rest = max(0, batch.nbytes - int(offs[-1])) // max(1, batch.num_rows)
+        cost = offs + rest * np.arange(len(offs))
         a = 0
         while a < batch.num_rows:
-            b = max(a + 1, int(np.searchsorted(offs, offs[a] + limit - size, "right")) - 1)
-            if b > a and size and size + offs[b] - offs[a] > limit:
+            b = max(a + 1, int(np.searchsorted(cost, cost[a] + limit - size, "right")) - 1)
+            if size and size + cost[b] - cost[a] > limit:
                 yield pa.Table.from_batches(held)
-                held, size = [], 0
+                held, size, rows = [], 0, 0
                 continue
-            b = min(b, batch.num_rows)
+            b = min(b, batch.num_rows, a + CHUNK_ROWS - rows)
             held.append(batch.slice(a, b - a))
-            size += int(offs[b] - offs[a])
+            size, rows = size + int(cost[b] - cost[a]), rows + b - a
             a = b
-            if size >= limit:
+            if size >= limit or rows >= CHUNK_ROWS:
                 yield pa.Table.from_batches(held)
-                held, size = [], 0
+                held, size, rows = [], 0, 0
     if held:
         yield pa.Table.from_batches(held)
 
@@ -63,8 +74,9 @@ def chunked(docs: DataFrame, name: str, text: str = "text", tag: int = 0) -> tup
     """
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        W.lean()
         part = TaskContext.get().partitionId()
-        for k, t in enumerate(slices(batches, text, CHUNK_BYTES)):
+        for k, t in enumerate(slices(batches, text, limit)):
             buf, offs = W.text_bytes(t.column(text))
             n = len(W.word_spans(buf, offs)[0])
             yield pa.RecordBatch.from_pydict(
@@ -78,15 +90,16 @@ def chunked(docs: DataFrame, name: str, text: str = "text", tag: int = 0) -> tup
             )
         W.trim()
 
+    limit = int(CHUNK_BYTES * growth(float(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))))
     ship(docs.sparkSession)
     rows = docs.mapInArrow(build, "chunk long, n_docs long, n_bytes long, n_words long, data binary")
-    table, path = materialise(rows, name)
+    table, path = materialise(rows, name, "none")
     got = table.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_docs", "n_bytes", "n_words")), F.count("*").alias("chunks")).first()
     return table, got.asDict(), path
 
 
 def bucket_bits(words: int) -> int:
-    return max(4, int(np.ceil(np.log2(max(1, words) / BUCKET_WORDS))) + 1)
+    return max(6, int(np.ceil(np.log2(max(1, words) / (BUCKET_WORDS * growth(8.0 * words))))) + 1)
 
 
 def requests(chunk: int, keys: np.ndarray, bits: int, vals: np.ndarray | None = None) -> dict[str, list]:
@@ -112,6 +125,7 @@ def ask(chunks: DataFrame, fn: Callable[[int, pa.Table], Iterator[dict[str, list
     """REQUEST rows that ``fn(chunk, rows)`` makes for each chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        W.lean()
         for batch in batches:
             for i in range(batch.num_rows):
                 for rows in fn(batch.column("chunk")[i].as_py(), W.unpack_table(batch.column("data")[i].as_py())):
@@ -128,12 +142,15 @@ def answers(asked: DataFrame, fn: Callable[[list[np.ndarray], list[np.ndarray |
     """
 
     def run(table: pa.Table) -> pa.Table:
+        W.lean()
         table = table.combine_chunks()
         n = table.column("n").to_pylist()
         keys = [W.unpack_sorted(x.as_py(), k) for x, k in zip(table.column("keys"), n)]
         vals = [W.unsqueeze(x.as_py(), k, dtype) if dtype is not None else None for x, k in zip(table.column("vals"), n)]
-        out = fn(keys, vals)
-        return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "vals": pa.array([W.squeeze(np.ascontiguousarray(x)) for x in out], pa.binary())}, schema=ANSWER_ARROW)
+        out = [W.squeeze(np.ascontiguousarray(x)) for x in fn(keys, vals)]
+        del keys, vals
+        W.trim()
+        return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "vals": pa.array(out, pa.binary())}, schema=ANSWER_ARROW)
 
     return asked.groupBy("bucket").applyInArrow(run, ANSWER)
 
@@ -153,6 +170,7 @@ def resolve(chunks: DataFrame, answer: DataFrame, fn: Callable[[int, pa.Table, p
     """``fn(chunk, rows, answers)`` for each chunk, with the answers it got (none: an empty table)."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        W.lean()
         out = [fn(left.column("chunk")[i].as_py(), W.unpack_table(left.column("data")[i].as_py()), right) for i in range(left.num_rows)]
         W.trim()
         return pa.concat_tables(out) if out else empty

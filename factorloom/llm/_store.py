@@ -3,7 +3,8 @@
 Long jobs cut their lineage with Parquet tables under ``spark.checkpoint.dir``;
 the setting is read from the session and only set here (to a local temporary
 folder, as in tests) where it is missing.  Tables live in one folder per
-session, removed when the driver ends.
+session, removed when the driver ends.  The shuffle files of a job that wrote
+such a table are removed as soon as it is written: nothing reads them again.
 """
 
 from __future__ import annotations
@@ -76,10 +77,34 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def materialise(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _cleaned(spark: SparkSession) -> Iterator[None]:
+    """Jobs inside leave no shuffle files."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
+def write(df: DataFrame, path: str, codec: str = "zstd", by: str | None = None, mode: str = "errorifexists") -> None:
+    """Write a scratch table."""
+    out = df.write.mode(mode).option("compression", codec)
+    with _cleaned(df.sparkSession):
+        (out.partitionBy(by) if by else out).parquet(path)
+
+
+def materialise(df: DataFrame, name: str, codec: str = "zstd") -> tuple[DataFrame, str]:
     """Write ``df`` to the shared folder and return the table read back, and its path."""
     spark = df.sparkSession
-    path = new_path(spark, name)
     schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
+    path = new_path(spark, name)
+    write(df, path, codec)
     return spark.read.schema(schema).parquet(path), path

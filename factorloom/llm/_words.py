@@ -1,13 +1,19 @@
 """Vectorised words, hashes and packed blobs (numpy over Arrow buffers).
 
 A word is a maximal run of bytes other than the six ASCII white-space bytes,
-i.e. ``[^\\x20\\x09-\\x0D]+``.  Hashes are 64-bit polynomials over random byte
-codes followed by a mixing step; they are the same in every process.
+i.e. ``[^\\x20\\x09-\\x0D]+``.  Word hashes take the bytes in blocks of eight, each
+scrambled into the state that the blocks before it left (a word of up to eight
+bytes has a hash that no other word of its length has); words of more than
+LONG_WORD bytes go through BLAKE2b.  Two lanes of 64 bits with different
+constants make 128 bits where a digest needs them.  Windows are hashed by
+pairing, with a scrambling at every step, so neither words nor windows of
+regular patterns meet by construction.  Hashes are the same in every process.
 """
 
 from __future__ import annotations
 
 import ctypes
+import hashlib
 
 import numpy as np
 import pyarrow as pa
@@ -16,37 +22,32 @@ import pyarrow.compute as pc
 U = np.uint64
 try:
     _libc = ctypes.CDLL("libc.so.6")
-    _libc.malloc_trim
+    _libc.malloc_trim, _libc.mallopt
 except (OSError, AttributeError):  # another C library
     _libc = None
-_rng = np.random.Generator(np.random.PCG64(20240229))
-_CODES = _rng.integers(1, 2**63, size=256, dtype=np.uint64) * U(2) + U(1)
-_BASE = U(0x9E3779B97F4A7C15 | 1)
-_STEP = U(0xD6E8FEB86659FD93 | 1)
-_INVERSE = U(pow(int(_BASE), -1, 2**64))
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
-_LOWER = _CODES.copy()
-_LOWER[65:91] = _CODES[97:123]
-_BLOCK = 1 << 20
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+LONG_WORD = 256
+_ODD = U(0xD6E8FEB86659FD93)
+_STEP = U(0x9E3779B97F4A7C15)
+#: Which bytes of a block belong to a word of 0 to 8 more bytes.
+_MASK = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 
 
 def mix(h: np.ndarray, salt: int = 0) -> np.ndarray:
     """A bijective scrambling of 64-bit values (distinct values stay distinct)."""
     h = h + U(salt * 0x9E3779B97F4A7C15 % 2**64)
-    h = (h ^ (h >> U(30))) * U(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> U(27))) * U(0x94D049BB133111EB)
-    return h ^ (h >> U(31))
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_BASE, _INVERSE)):
-            p = np.full(n, base, np.uint64)
-            p[0] = 1
-            _powers[k] = np.multiply.accumulate(p)
-    return _powers[0], _powers[1]
+    t = h >> U(30)
+    h ^= t
+    h *= U(0xBF58476D1CE4E5B9)
+    np.right_shift(h, U(27), out=t)
+    h ^= t
+    h *= U(0x94D049BB133111EB)
+    np.right_shift(h, U(31), out=t)
+    h ^= t
+    return h
 
 
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -84,36 +85,44 @@ def word_spans(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts, ends, np.searchsorted(starts, offs)
 
 
-def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool) -> np.ndarray:
-    """A 64-bit hash of each word, A-Z as a-z if ``lower``; works through blocks of about a megabyte."""
-    codes = _LOWER if lower else _CODES
-    out = np.empty(len(starts), np.uint64)
-    a = 0
-    while a < len(starts):
-        at = starts[a]
-        b = max(a + 1, int(np.searchsorted(ends, at + _BLOCK, "right")))
-        part = codes[buf[at : ends[b - 1]]]
-        up, down = _power(len(part) + 1)
-        part *= up[: len(part)]
-        sums = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(part, out=sums[1:])
-        s, e = starts[a:b] - at, ends[a:b] - at
-        out[a:b] = (sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64)
-        a = b
-    return mix(out)
+def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool, lane: int = 0) -> np.ndarray:
+    """A 64-bit hash of each word, A-Z as a-z if ``lower``; the lanes are two different hashes."""
+    data = np.zeros(len(buf) + 8, np.uint8)
+    data[: len(buf)] = _LOWER[buf] if lower else buf
+    blocks = np.ndarray(len(buf) + 1, "<u8", data, strides=(1,))
+    size = ends - starts
+    out = mix(size.astype(np.uint64), 1000 + lane)
+    out ^= blocks[starts] & _MASK[np.minimum(size, 8)]
+    out = mix(out, 2000 + lane)
+    more = np.flatnonzero((size > 8) & (size <= LONG_WORD))
+    at = 8
+    while len(more):
+        h = out[more] * _ODD
+        h ^= blocks[starts[more] + at] & _MASK[np.minimum(size[more] - at, 8)]
+        out[more] = mix(h, 3000 + lane)
+        at += 8
+        more = more[size[more] > at]
+    for k in np.flatnonzero(size > LONG_WORD):
+        digest = hashlib.blake2b(data[starts[k] : ends[k]], digest_size=16).digest()
+        out[k] = int.from_bytes(digest[8 * lane : 8 * lane + 8], "little")
+    return out
 
 
 def grams(h: np.ndarray, n: int, salt: int = 0) -> np.ndarray:
-    """Hash of every ``n`` consecutive values (``len(h) - n + 1`` of them)."""
-    if len(h) < n:
-        return np.zeros(0, np.uint64)
+    """Hash of every ``n`` consecutive values (``len(h) - n + 1`` of them), put together from windows of 1, 2, 4, ..."""
     m = len(h) - n + 1
-    acc = h[:m].copy()
-    step = mix(np.array([int(_STEP) + 2 * salt], np.uint64))[0] | U(1)
-    for k in range(1, n):
-        acc *= step
-        acc += h[k : k + m]
-    return mix(acc, n + salt)
+    if m <= 0:
+        return np.zeros(0, np.uint64)
+    out, have, level, width = None, 0, h, 1
+    while True:
+        if n & width:
+            part = level[have : have + m]
+            out = mix(part, 100 + salt) if out is None else mix(out * _ODD + part, 100 + salt)
+            have += width
+        if 2 * width > n:
+            return out
+        level = mix(level[:-width] * _STEP + level[width:], width)
+        width *= 2
 
 
 def inside_doc(word_offs: np.ndarray, n: int, m: int) -> np.ndarray:
@@ -141,6 +150,17 @@ def doc_of(word_offs: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(word_offs) - 1), np.diff(word_offs))
 
 
+def lean() -> None:
+    """Worker settings: large arrays go back to the system as soon as they are free, and small ones soon."""
+    global _lean
+    if not _lean:
+        _lean = True
+        pa.set_memory_pool(pa.system_memory_pool())
+        if _libc is not None:
+            for option, value in ((-3, 8 << 20), (-1, 32 << 20), (-8, 2)):  # thresholds for mmap and trimming, arenas
+                _libc.mallopt(option, value)
+
+
 def trim() -> None:
     """Hand freed memory back to the system, so that an idle worker does not keep its peak."""
     pa.default_memory_pool().release_unused()
@@ -148,6 +168,8 @@ def trim() -> None:
         _libc.malloc_trim(0)
 
 
+_lean = False
+
 # Packed blobs -----------------------------------------------------------------
 
 def squeeze(a: np.ndarray) -> bytes:
