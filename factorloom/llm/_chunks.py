@@ -23,7 +23,7 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 
 from . import _words as W
 from ._ship import ship
-from ._store import materialise
+from ._store import materialise, write
 
 #: A chunk's bytes, and the rows it holds at most (node ids have 23 bits for them).
 CHUNK_BYTES, CHUNK_ROWS = 3 << 20, 1 << 20
@@ -66,11 +66,11 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterat
         yield pa.Table.from_batches(held)
 
 
-def chunked(docs: DataFrame, name: str, text: str = "text", tag: int = 0) -> tuple[DataFrame, dict, str]:
+def chunked(docs: DataFrame, name: str, text: str = "text", tag: int = 0, offset: int = 0, at: str | None = None) -> tuple[DataFrame, dict, str]:
     """Write ``docs`` as chunks: ``chunk, n_docs, n_bytes, n_words, data`` (the rows, compressed).
 
     Returns the table, its totals (docs, bytes, words, chunks) and its path.
-    Chunk numbers of another ``tag`` are other numbers.
+    Chunk numbers of another ``tag`` or ``offset`` are other numbers.  ``at``: the path, else one for ``name``.
     """
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,7 +81,7 @@ def chunked(docs: DataFrame, name: str, text: str = "text", tag: int = 0) -> tup
             n = len(W.word_spans(buf, offs)[0])
             yield pa.RecordBatch.from_pydict(
                 {
-                    "chunk": pa.array([part << 32 | tag << 30 | k], pa.int64()),
+                    "chunk": pa.array([offset + (part << 32 | tag << 30 | k)], pa.int64()),
                     "n_docs": pa.array([t.num_rows], pa.int64()),
                     "n_bytes": pa.array([len(buf)], pa.int64()),
                     "n_words": pa.array([n], pa.int64()),
@@ -93,7 +93,11 @@ def chunked(docs: DataFrame, name: str, text: str = "text", tag: int = 0) -> tup
     limit = int(CHUNK_BYTES * growth(float(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))))
     ship(docs.sparkSession)
     rows = docs.mapInArrow(build, "chunk long, n_docs long, n_bytes long, n_words long, data binary")
-    table, path = materialise(rows, name, "none")
+    if at is None:
+        table, path = materialise(rows, name, "none")
+    else:
+        write(rows, at, "none", mode="overwrite")
+        table, path = docs.sparkSession.read.schema(rows.schema).parquet(at), at
     got = table.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_docs", "n_bytes", "n_words")), F.count("*").alias("chunks")).first()
     return table, got.asDict(), path
 
@@ -121,18 +125,19 @@ REQUEST_ARROW = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("n",
 ANSWER_ARROW = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("vals", pa.binary())])
 
 
-def ask(chunks: DataFrame, fn: Callable[[int, pa.Table], Iterator[dict[str, list]]]) -> DataFrame:
-    """REQUEST rows that ``fn(chunk, rows)`` makes for each chunk."""
+def ask(chunks: DataFrame, fn: Callable[[int, pa.Table], Iterator[dict[str, list]]], schema: str = REQUEST) -> DataFrame:
+    """Rows (of REQUEST) that ``fn(chunk, rows)`` makes for each chunk."""
+    arrow = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         W.lean()
         for batch in batches:
             for i in range(batch.num_rows):
                 for rows in fn(batch.column("chunk")[i].as_py(), W.unpack_table(batch.column("data")[i].as_py())):
-                    yield pa.RecordBatch.from_pydict(rows, schema=REQUEST_ARROW)
+                    yield pa.RecordBatch.from_pydict(rows, schema=arrow)
                 W.trim()
 
-    return chunks.select("chunk", "data").mapInArrow(run, REQUEST)
+    return chunks.select("chunk", "data").mapInArrow(run, schema)
 
 
 def answers(asked: DataFrame, fn: Callable[[list[np.ndarray], list[np.ndarray | None]], list[np.ndarray]], dtype=None) -> DataFrame:

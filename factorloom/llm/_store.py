@@ -77,6 +77,36 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def _file(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small file, or None; if its replacement was broken off, the new one."""
+    for at in (path, f"{path}.new"):
+        where, store = _file(spark, at)
+        if store.exists(where):
+            stream = store.open(where)
+            try:
+                return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            finally:
+                stream.close()
+    return None
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Replace a small file: the new one is whole before the old one goes."""
+    new, store = _file(spark, f"{path}.new")
+    stream = store.create(new, True)
+    stream.write(text.encode())
+    stream.close()
+    where, _ = _file(spark, path)
+    store.delete(where, False)
+    store.rename(new, where)
+
+
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 

@@ -4,15 +4,22 @@ Fingerprints.  Each window of ``window`` words is represented by the smallest
 hash among its short word grams (about a tenth of all positions are chosen), so
 two equal windows always share a fingerprint.  The index holds them in sorted
 immutable runs, one for each batch: a new batch is merge-joined, bucket by
-bucket, with the runs before it; what is found in both is reported to the new
-chunk and to the chunk that owned the key; runs are compacted when there are
-too many.  A key that was found twice needs no owner any more.
-
-Verification.  Only windows whose fingerprint was reported are hashed whole, to
-96 bits of all their words in order, and compared over all batches.  Windows
-that are equal there are equal; 2^-96 is the chance for a given pair that is
+bucket, with the runs before it.  What is found again is reported to the new
+chunk and, the first time, to the chunk that owned the key; from then on the
+key needs no owner.  Runs are compacted when there are too many.
+
+Verification.  Windows whose fingerprint was reported are hashed whole, to 128
+bits of all their words in order (two independent lanes from the bytes of the
+words on), and these digests go through runs of the same kind.  Windows of
+equal digests are taken as equal; 2^-128 is the chance for a given pair that is
 not.  Words inside such windows are removed, first occurrences included.
 
+Incremental use.  A ``RepeatIndex`` lives in a folder: chunks of texts, runs of
+fingerprints and digests, and the repeats found for each chunk.  It is opened
+by its path; adding a batch reads the runs, the batch, and the old chunks that
+the batch touches, and returns decisions for these.  Compaction also deals the
+keys to more buckets when the index has grown.
+
 Definitions for odd input: null and empty texts have no words and nothing
 removed; texts shorter than a window keep all words; repeated rows count as
 occurrences of their own, so a repeated text of a window or more goes; an
@@ -23,6 +30,7 @@ clash with the names of the results, which win.
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,16 +40,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from . import _store
 from . import _words as W
-from ._chunks import REQUEST, REQUEST_ARROW, answers, ask, bucket_bits, chunked, gathered, requests, resolve
+from ._chunks import ask, bucket_bits, chunked, resolve
 from ._columns import DOC, bundle, col, unbundle
-from ._store import new_path, remove
 
-TOP = W.U(2**64 - 1)
 _REPEATED = -1
-_RUN = "kind int, bucket int, chunk long, n int, keys binary, vals binary"
-_RUN_ARROW = pa.schema([("kind", pa.int32()), *REQUEST_ARROW])
+_RUN = "kind int, bucket int, chunk long, n int, keys binary, rest binary, vals binary"
+_RUN_ARROW = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("chunk", pa.int64()), ("n", pa.int32()), ("keys", pa.binary()), ("rest", pa.binary()), ("vals", pa.binary())])
 _IS_RUN, _IS_REPORT = 0, 1
+_BATCH = 52
 
 
 def gram_size(window: int) -> int:
@@ -64,6 +72,7 @@ class Windows:
     def __init__(self, rows: pa.Table, text: str, window: int):
         self.buf, offs = W.text_bytes(rows.column(text))
         self.starts, self.ends, self.offs = W.word_spans(self.buf, offs)
+        self.texts = offs
         self.hash = W.word_hashes(self.buf, self.starts, self.ends, lower=False)
         self.window = window
         n = max(0, len(self.hash) - window + 1)
@@ -83,217 +92,295 @@ class Windows:
         return low, g[chosen]
 
     def digests(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return W.grams(self.hash, self.window, salt=2)[at], (W.grams(self.hash, self.window, salt=3)[at] >> W.U(32)).astype(np.uint32)
-
-
-def _merge(table: pa.Table) -> pa.Table:
-    """One bucket: runs (kind 0) against a new batch's requests (kind 1); the new run and reports."""
-    table = table.combine_chunks()
-    kinds, n = np.array(table.column("kind").to_pylist()), table.column("n").to_pylist()
-    chunk = table.column("chunk").to_pylist()
-    keys, owner, twice, new = [], [], [], []
-    for i, k in enumerate(n):
-        keys.append(W.unpack_sorted(table.column("keys")[i].as_py(), k))
-        vals = table.column("vals")[i].as_py()
-        if kinds[i] == _IS_RUN:
-            own = W.unsqueeze(vals, k, np.int64)
-            owner.append(own)
-            twice.append(own == _REPEATED)
-        else:
-            owner.append(np.full(k, chunk[i], np.int64))
-            twice.append(W.unsqueeze(vals, k, np.uint8) > 1)
-        new.append(np.full(k, kinds[i] != _IS_RUN))
-    sizes = n
-    keys, owner, twice, new = (np.concatenate(x) for x in (keys, owner, twice, new))
-    kind, first, where, count = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
-    again = (count > 1) | (np.bincount(where, weights=twice, minlength=len(kind)) > 0)
-    fresh = np.bincount(where, weights=new, minlength=len(kind)) > 0
-    # the new run: keys of this batch, and history keys whose state changes
-    held = np.where(again, _REPEATED, owner[first])
-    state = fresh
-    bucket = table.column("bucket")[0].as_py()
-    out = {c: [] for c in _RUN_ARROW.names}
-
-    def put(kind_, chunk_, ks, vs):
-        for c, v in zip(out, (kind_, bucket, chunk_, len(ks), W.pack_sorted(ks), vs), strict=True):
+        """128 bits of the windows that start at ``at``."""
+        first = W.grams(self.hash, self.window, salt=2)[at]
+        other = W.word_hashes(self.buf, self.starts, self.ends, lower=False, lane=1)
+        return first, W.grams(other, self.window, salt=3)[at]
+
+
+def _groups(a: np.ndarray, b: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Places sorted by key, and where each key begins."""
+    order = np.argsort(a, kind="stable") if b is None else np.lexsort((b, a))
+    new = np.ones(len(a), bool)
+    sa = a[order]
+    new[1:] = sa[1:] != sa[:-1]
+    if b is not None:
+        sb = b[order]
+        new[1:] |= sb[1:] != sb[:-1]
+    return order, new
+
+
+def _rows(kind: int, chunk: int, a: np.ndarray, b: np.ndarray | None, vals: np.ndarray | None, bits: int) -> dict[str, list]:
+    """Rows of _RUN for keys sorted by ``a``, one for each bucket."""
+    edges = np.concatenate(([0], np.searchsorted(a, np.arange(1, 1 << bits, dtype=np.uint64) << W.U(64 - bits)), [len(a)]))
+    out: dict[str, list] = {c: [] for c in _RUN_ARROW.names}
+    for k in np.flatnonzero(np.diff(edges)):
+        i, j = edges[k], edges[k + 1]
+        cells = (kind, int(k), chunk, int(j - i), W.pack_sorted(a[i:j]), None if b is None else W.squeeze(b[i:j].copy()), None if vals is None else W.squeeze(vals[i:j].copy()))
+        for c, v in zip(out, cells, strict=True):
             out[c].append(v)
+    return out
 
-    if state.any():
-        put(_IS_RUN, 0, kind[state], W.squeeze(np.ascontiguousarray(held[state])))
-    # reports: what this batch asked, and older owners that learn of a second occurrence
-    at = 0
-    told = again[where]
-    for i, k in enumerate(sizes):
-        if kinds[i] != _IS_RUN and told[at : at + k].any():
-            ks = keys[at : at + k][told[at : at + k]]
-            put(_IS_REPORT, chunk[i], ks, b"")
-        at += k
-    late = ~new & (owner != _REPEATED) & told & fresh[where]
-    for c in np.unique(owner[late]):
-        put(_IS_REPORT, int(c), np.sort(keys[late & (owner == c)]), b"")
-    return pa.table(out, schema=_RUN_ARROW)
-
-
-def _compact(table: pa.Table) -> pa.Table:
-    """The runs of one bucket as one run."""
-    table = table.combine_chunks()
+
+def _read(table: pa.Table, wide: bool) -> tuple[list[int], np.ndarray, np.ndarray | None]:
     n = table.column("n").to_pylist()
-    keys = np.concatenate([W.unpack_sorted(x.as_py(), k) for x, k in zip(table.column("keys"), n)])
-    owner = np.concatenate([W.unsqueeze(x.as_py(), k, np.int64) for x, k in zip(table.column("vals"), n)])
-    order = np.lexsort((owner, keys))  # a repeated state comes first among equal keys
-    keys, owner = keys[order], owner[order]
-    first = np.concatenate(([True], keys[1:] != keys[:-1]))
-    return pa.table({"kind": [_IS_RUN], "bucket": [table.column("bucket")[0].as_py()], "chunk": [0], "n": [int(first.sum())], "keys": [W.pack_sorted(keys[first])], "vals": [W.squeeze(np.ascontiguousarray(owner[first]))]}, schema=_RUN_ARROW)
+    a = np.concatenate([W.unpack_sorted(x.as_py(), k) for x, k in zip(table.column("keys"), n)])
+    return n, a, np.concatenate([W.unsqueeze(x.as_py(), k, np.uint64) for x, k in zip(table.column("rest"), n)]) if wide else None
+
+
+def _merge(wide: bool):
+    def merge(table: pa.Table) -> pa.Table:
+        """One bucket: runs (kind 0) against a new batch's requests (kind 1); the new run and reports."""
+        W.lean()
+        table = table.combine_chunks()
+        kinds, chunk, bucket = table.column("kind").to_pylist(), table.column("chunk").to_pylist(), table.column("bucket")[0].as_py()
+        n, a, b = _read(table, wide)
+        owner, twice = [], []
+        for kind, c, k, v in zip(kinds, chunk, n, table.column("vals")):
+            owner.append(W.unsqueeze(v.as_py(), k, np.int64) if kind == _IS_RUN else np.full(k, c, np.int64))
+            twice.append(owner[-1] == _REPEATED if kind == _IS_RUN else W.unsqueeze(v.as_py(), k, np.uint8) > 1)
+        owner, twice = np.concatenate(owner), np.concatenate(twice)
+        new = np.repeat(np.array(kinds) != _IS_RUN, n)
+        order, first = _groups(a, b)
+        key = np.empty(len(a), np.int64)
+        key[order] = np.cumsum(first) - 1
+        head = order[first]
+        size = len(head)
+        again = (np.bincount(key, minlength=size) > 1) | (np.bincount(key, weights=twice, minlength=size) > 0)
+        fresh = np.bincount(key, weights=new, minlength=size) > 0
+        known = np.bincount(key, weights=twice & ~new, minlength=size) > 0
+        out: dict[str, list] = {c: [] for c in _RUN_ARROW.names}
+
+        def put(kind: int, chunk_: int, at: np.ndarray, vals: np.ndarray | None) -> None:
+            cells = (kind, bucket, chunk_, len(at), W.pack_sorted(a[at]), None if b is None else W.squeeze(b[at]), None if vals is None else W.squeeze(vals))
+            for c, v in zip(out, cells, strict=True):
+                out[c].append(v)
+
+        if fresh.any():  # the new run: what this batch holds, older keys with their new state
+            put(_IS_RUN, 0, head[fresh], np.where(again, _REPEATED, owner[head])[fresh])
+        edge = np.concatenate(([0], np.cumsum(n)))
+        for i, kind in enumerate(kinds):
+            if kind != _IS_RUN:
+                told = edge[i] + np.flatnonzero(again[key[edge[i] : edge[i + 1]]])
+                if len(told):
+                    put(_IS_REPORT, chunk[i], told, None)
+        # owners that learn of a second occurrence, once
+        late = np.flatnonzero(~new & (owner != _REPEATED) & (fresh & ~known)[key])
+        late = late[np.lexsort((a[late], owner[late]))]
+        for part in np.split(late, np.flatnonzero(np.diff(owner[late])) + 1) if len(late) else []:
+            put(_IS_REPORT, int(owner[part[0]]), part, None)
+        del a, b, owner, twice, new, order, key
+        W.trim()
+        return pa.table(out, schema=_RUN_ARROW)
+
+    return merge
+
+
+def _compact(wide: bool, bits: int):
+    def compact(table: pa.Table) -> pa.Table:
+        """The runs of one bucket as one run, dealt to 2^bits buckets."""
+        W.lean()
+        table = table.combine_chunks()
+        n, a, b = _read(table, wide)
+        owner = np.concatenate([W.unsqueeze(x.as_py(), k, np.int64) for x, k in zip(table.column("vals"), n)])
+        order, first = _groups(a, b)
+        state = np.minimum.reduceat(owner[order], np.flatnonzero(first))  # repeated wins
+        head = order[first]
+        out = pa.table(_rows(_IS_RUN, 0, a[head], None if b is None else b[head], state, bits), schema=_RUN_ARROW)
+        W.trim()
+        return out
+
+    return compact
 
 
-class FingerprintIndex:
-    """Sorted immutable runs of fingerprints in the shared folder."""
+class Runs:
+    """Sorted immutable runs of keys in the shared folder; ``state``: their paths and the number of buckets, as kept in the manifest."""
 
-    def __init__(self, spark: SparkSession, bits: int, fanout: int = 4):
-        self.spark, self.bits, self.fanout = spark, bits, fanout
-        self.runs: list[str] = []
-        self.tables: list[str] = []
+    def __init__(self, spark: SparkSession, folder: str, state: dict, wide: bool, fanout: int):
+        self.spark, self.folder, self.state, self.wide, self.fanout = spark, folder, state, wide, fanout
 
-    def _read(self, path: str) -> DataFrame:
+    def _path(self) -> str:
+        self.state["made"] = self.state.get("made", 0) + 1
+        return f"{self.folder}/run-{self.state['made']:06d}"
+
+    def _open(self, path: str) -> DataFrame:
         return self.spark.read.schema(_RUN).parquet(path)
 
     def history(self) -> DataFrame | None:
         out = None
-        for path in self.runs:
-            run = self._read(path).where(F.col("kind") == _IS_RUN)
+        for path in self.state["runs"]:
+            run = self._open(path).where(F.col("kind") == _IS_RUN)
             out = run if out is None else out.unionByName(run)
         return out
 
     def add(self, asked: DataFrame) -> DataFrame:
         """Merge-join a batch of requests with the runs, keep its run, return its reports."""
-        rows = asked.select(F.lit(_IS_REPORT).alias("kind"), *REQUEST_ARROW.names)
         old = self.history()
-        rows = rows if old is None else rows.unionByName(old)
-        path = new_path(self.spark, "run")
-        rows.groupBy("bucket").applyInArrow(_merge, _RUN).write.option("compression", "none").partitionBy("kind").parquet(path)
-        self.runs.append(path)
-        self.tables.append(path)
-        if len(self.runs) >= self.fanout:
-            self.compact()
-        return self._read(path).where(F.col("kind") == _IS_REPORT)
-
-    def compact(self) -> None:
-        old = self.runs
-        path = new_path(self.spark, "compacted")
-        self.history().groupBy("bucket").applyInArrow(_compact, _RUN).write.option("compression", "none").partitionBy("kind").parquet(path)
-        self.runs = [path]
-        self.tables.append(path)
-        for p in old:  # reports of these are still read
-            remove(self.spark, f"{p}/kind={_IS_RUN}")
-
-    def drop(self) -> None:
-        for p in self.tables:
-            remove(self.spark, p)
-        self.runs, self.tables = [], []
-
-
-def _ask_fingerprints(text: str, window: int, bits: int):
-    def ask_one(chunk: int, rows: pa.Table) -> Iterator[dict[str, list]]:
-        keys, count = np.unique(Windows(rows, text, window).fingerprints()[1], return_counts=True)
-        yield requests(chunk, keys, bits, np.minimum(count, 2).astype(np.uint8))
-
-    return ask_one
-
-
-def _candidates(rows: pa.Table, text: str, window: int, reported: list[np.ndarray]) -> tuple[Windows, np.ndarray]:
-    """Starts of the windows whose fingerprint was reported."""
-    w = Windows(rows, text, window)
-    low, _ = w.fingerprints()
-    told = np.unique(np.concatenate(reported)) if reported else np.zeros(0, np.uint64)
-    if not len(told) or not len(low):
-        return w, np.zeros(0, np.int64)
-    at = np.minimum(np.searchsorted(told, low), len(told) - 1)
-    return w, np.flatnonzero(w.valid & (told[at] == low))
-
-
-def remove_repeats(docs: DataFrame, text: str = "text", window: int = 35, batches: int = 2, fanout: int = 2, with_text: bool = False) -> DataFrame:
+        rows = asked if old is None else asked.unionByName(old)
+        path = self._path()
+        _store.write(rows.groupBy("bucket").applyInArrow(_merge(self.wide), _RUN), path, "none", by="kind", mode="overwrite")
+        self.state["runs"].append(path)
+        return self._open(path).where(F.col("kind") == _IS_REPORT)
+
+    def compact(self, bits: int) -> list[str]:
+        """One run in place of all, in 2^bits buckets; returns the folders that are no longer needed."""
+        old = self.state["runs"]
+        path = self._path()
+        _store.write(self.history().groupBy("bucket").applyInArrow(_compact(self.wide, bits), _RUN), path, "none", by="kind", mode="overwrite")
+        self.state.update(runs=[path], bits=bits)
+        return old
+
+
+class RepeatIndex:
+    """A persistent index of the windows of all texts that were added.
+
+    The manifest names what counts; it is replaced last, so that a call that
+    died leaves the index as it was, and its files are written over.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, text: str = "text", window: int = 35, fanout: int = 4):
+        self.spark, self.path, self.fanout = spark, path.rstrip("/"), fanout
+        held = _store.read_text(spark, f"{self.path}/manifest.json")
+        self.state = json.loads(held) if held else {"text": text, "window": window, "words": 0, "batches": 0, "chunks": [], "hits": [], "schema": None, "keys": {"runs": [], "bits": 0}, "digests": {"runs": [], "bits": 0}}
+        if (self.state["text"], self.state["window"]) != (text, window):
+            raise ValueError(f"this index holds windows of {self.state['window']} words of {self.state['text']}")
+        self.window = window
+
+    def _save(self) -> None:
+        _store.write_text(self.spark, f"{self.path}/manifest.json", json.dumps(self.state))
+
+    def _runs(self, name: str) -> Runs:
+        return Runs(self.spark, f"{self.path}/{name}", self.state[name], name == "digests", self.fanout)
+
+    def _chunks(self) -> DataFrame:
+        return self.spark.read.schema("chunk long, n_docs long, n_bytes long, n_words long, data binary").parquet(*self.state["chunks"])
+
+    def store(self, docs: DataFrame) -> tuple[DataFrame, dict]:
+        """The chunks of a batch, kept in the index's folder."""
+        given = docs.select(bundle([c for c in docs.columns if c != self.state["text"]]), col(self.state["text"]).alias("__text"))
+        schema = given.schema[DOC].dataType.json()
+        if self.state["schema"] not in (None, schema):
+            raise ValueError("the batches of an index have the same columns")
+        number = self.state["batches"] + 1
+        path = f"{self.path}/chunks-{number:06d}"
+        table, total, _ = chunked(given, path, "__text", offset=number << _BATCH, at=path)
+        self.state.update(schema=schema, batches=number, chunks=[*self.state["chunks"], path], words=self.state["words"] + total["n_words"])
+        return table, total
+
+    def fold(self, chunks: DataFrame, words: int) -> None:
+        """Find what ``chunks`` (stored, not folded in yet) share with each other and with the index."""
+        gone: list[str] = []
+        for name, per in (("keys", 8), ("digests", 2)):
+            runs, bits = self._runs(name), bucket_bits(self.state["words"] // per)
+            if not runs.state["runs"]:
+                runs.state["bits"] = bits
+            elif bits > runs.state["bits"] or len(runs.state["runs"]) >= self.fanout:
+                gone += runs.compact(max(bits, runs.state["bits"]))
+        window, key_bits, digest_bits = self.window, self.state["keys"]["bits"], self.state["digests"]["bits"]
+
+        def fingerprints(chunk: int, rows: pa.Table) -> Iterator[dict[str, list]]:
+            keys, count = np.unique(Windows(rows, "__text", window).fingerprints()[1], return_counts=True)
+            yield _rows(_IS_REPORT, chunk, keys, None, np.minimum(count, 2).astype(np.uint8), key_bits)
+
+        def whole(chunk: int, rows: pa.Table, told: pa.Table) -> pa.Table:
+            if not told.num_rows:
+                return _RUN_ARROW.empty_table()
+            w = Windows(rows, "__text", window)
+            low, _ = w.fingerprints()
+            known = np.unique(np.concatenate([W.unpack_sorted(k.as_py(), n) for k, n in zip(told.column("keys"), told.column("n").to_pylist())]))
+            at = np.minimum(np.searchsorted(known, low), len(known) - 1)
+            a, b = w.digests(np.flatnonzero(w.valid & (known[at] == low)))
+            order, first = _groups(a, b)
+            head = order[first]
+            count = np.diff(np.concatenate((np.flatnonzero(first), [len(a)])))
+            return pa.table(_rows(_IS_REPORT, chunk, a[head], b[head], np.minimum(count, 2).astype(np.uint8), digest_bits), schema=_RUN_ARROW)
+
+        told = self._runs("keys").add(ask(chunks, fingerprints, _RUN))
+        held = self._chunks() if len(self.state["chunks"]) > 1 or self.state["hits"] else chunks
+        wanted = held.join(told.select("chunk").distinct(), "chunk", "left_semi")
+        hits = self._runs("digests").add(resolve(wanted, told, whole, _RUN))
+        path = f"{self.path}/hits-{len(self.state['hits']) + 1:06d}"
+        _store.write(hits.select("chunk", "n", "keys", "rest"), path, "none", mode="overwrite")
+        self.state["hits"].append(path)
+        self._save()
+        for p in gone:
+            _store.remove(self.spark, p)
+
+    def _hits(self, paths: list[str]) -> DataFrame:
+        return self.spark.read.schema("chunk long, n int, keys binary, rest binary").parquet(*paths)
+
+    def decide(self, chunks: DataFrame, kept: list[str], with_text: bool = False) -> DataFrame:
+        """Decisions on the rows of ``chunks``, from all that the index has found."""
+        window = self.window
+        fields = [("__chunk", T.LongType()), ("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept_sha256", T.StringType())] + [("kept_text", T.StringType())] * with_text
+        doc = T.StructType.fromJson(json.loads(self.state["schema"]))
+        schema = T.StructType([T.StructField(DOC, doc), *(T.StructField(n, t) for n, t in fields)])
+        arrow = to_arrow_schema(schema)
+
+        def finish(chunk: int, rows: pa.Table, hits: pa.Table) -> pa.Table:
+            w = Windows(rows, "__text", window)
+            gone = np.zeros(len(w.hash), bool)
+            if hits.num_rows and len(w.valid):
+                known_a, known_b = (np.concatenate(x) for x in zip(*((W.unpack_sorted(k.as_py(), n), W.unsqueeze(r.as_py(), n, np.uint64)) for k, r, n in zip(hits.column("keys"), hits.column("rest"), hits.column("n").to_pylist()))))
+                start = np.flatnonzero(w.valid)
+                a, b = w.digests(start)
+                maybe = np.isin(a, known_a)
+                start, a, b = start[maybe], a[maybe], b[maybe]
+                # a window counts if both lanes agree with one known digest
+                order, first = _groups(np.concatenate((known_a, a)), np.concatenate((known_b, b)))
+                group = np.empty(len(order), np.int64)
+                group[order] = np.cumsum(first) - 1
+                is_known = np.zeros(len(order) and group.max() + 1, bool)
+                is_known[group[: len(known_a)]] = True
+                gone = W.covered(start[is_known[group[len(known_a) :]]], window, len(w.hash))
+            n_words = np.diff(w.offs)
+            n_gone = np.diff(np.concatenate(([0], np.cumsum(gone)))[w.offs])
+            data = w.buf.tobytes()
+            digest, texts = [], []
+            missing = rows.column("__text").is_null().to_pylist()
+            for d in range(rows.num_rows):
+                i, j = w.offs[d], w.offs[d + 1]
+                keep = np.flatnonzero(~gone[i:j]) + i if n_gone[d] else None
+                words = b" ".join([data[s:e] for s, e in zip(w.starts[keep], w.ends[keep])]) if n_gone[d] else b" ".join(data[w.starts[i] : w.ends[j - 1]].split()) if j > i else b""
+                digest.append(hashlib.sha256(words).hexdigest())
+                if with_text:
+                    begin, end = w.texts[d], w.texts[d + 1]
+                    if n_gone[d]:  # each word goes with the white space behind it
+                        stop = np.append(w.starts[i + 1 : j], end)[keep - i]
+                        texts.append((data[begin : w.starts[i]] + b"".join([data[s:e] for s, e in zip(w.starts[keep], stop)])).decode("utf-8", "replace"))
+                    else:
+                        texts.append(None if missing[d] else data[begin:end].decode("utf-8", "replace"))
+            out = [rows.column(DOC), pa.array(np.full(rows.num_rows, chunk), pa.int64()), pa.array(n_words, pa.int64()), pa.array(n_gone, pa.int64()), pa.array(digest, pa.string())]
+            if with_text:
+                out.append(pa.array(texts, pa.string()))
+            return pa.table([c.combine_chunks().cast(f.type) if isinstance(c, pa.ChunkedArray) else c.cast(f.type) for c, f in zip(out, arrow)], schema=arrow)
+
+        return resolve(chunks, self._hits(self.state["hits"]), finish, schema).select(*unbundle(kept), *(n for n, _ in fields))
+
+    def add(self, docs: DataFrame, with_text: bool = False) -> DataFrame:
+        """Fold a batch in; decisions on its rows, and again on older rows of the chunks that it touches (``is_new`` false)."""
+        chunks, total = self.store(docs)
+        self.fold(chunks, total["n_words"])
+        touched = self._hits(self.state["hits"][-1:]).select("chunk").unionByName(chunks.select("chunk")).distinct()
+        names = {"n_words", "n_removed", "kept_sha256", "kept_text", "is_new", self.state["text"]}
+        out = self.decide(self._chunks().join(touched, "chunk", "left_semi"), [c for c in docs.columns if c not in names], with_text)
+        return out.withColumn("is_new", F.shiftright("__chunk", _BATCH) == self.state["batches"]).drop("__chunk")
+
+
+def remove_repeats(docs: DataFrame, text: str = "text", window: int = 35, batches: int = 2, fanout: int = 4, with_text: bool = False) -> DataFrame:
     """Adds ``n_words``, ``n_removed`` and ``kept_sha256`` (kept words joined by a space), and by request ``kept_text``.
 
-    ``batches``: the chunks are added to the index in so many batches.
+    ``kept_text`` has the removed words cut out, each with the white space
+    behind it, and all other bytes as they were (null for a null text).  The
+    text itself is left out.  ``batches``: the chunks are added to a new index in so many batches.
     """
+    names = {"n_words", "n_removed", "kept_sha256", text} | ({"kept_text"} if with_text else set())
+    kept = [c for c in docs.columns if c not in names]
     spark = docs.sparkSession
-    new = [("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept_sha256", T.StringType())] + [("kept_text", T.StringType())] * with_text
-    names = {n for n, _ in new}
-    kept = [c for c in docs.columns if c not in names and (with_text or c != text)]
-    source = "__text"
-    given = docs.select(bundle(kept), col(text).alias(source))
-    schema = T.StructType([given.schema[DOC], *(T.StructField(n, t) for n, t in new)])
-    arrow = to_arrow_schema(schema)
-    chunks, total, _ = chunked(given, "substring-chunks", source)
-    bits = bucket_bits(total["n_words"] // 8)
-    index = FingerprintIndex(spark, bits, fanout)
-    reports = None
+    index = RepeatIndex(spark, _store.new_path(spark, "repeats"), "__text", window, fanout)
+    given = docs.select(*(col(c).alias(f"c{i}") for i, c in enumerate(kept)), col(text).alias("__text"))
+    chunks, total = index.store(given)
     for b in range(batches):
-        got = index.add(ask(chunks.where(F.pmod(F.col("chunk"), F.lit(batches)) == b), _ask_fingerprints(source, window, bits)))
-        reports = got if reports is None else reports.unionByName(got)
-
-    def candidates(chunk: int, rows: pa.Table, told: pa.Table) -> tuple[Windows, np.ndarray]:
-        keys = [W.unpack_sorted(k.as_py(), n) for k, n in zip(told.column("keys"), told.column("n").to_pylist())]
-        return _candidates(rows, source, window, keys)
-
-    wide = bits + 1
-
-    def whole(chunk: int, rows: pa.Table, told: pa.Table) -> pa.Table:
-        w, at = candidates(chunk, rows, told)
-        a, b = w.digests(at)
-        order = np.lexsort((b, a))
-        a, b = a[order], b[order]
-        # one entry for each key and count, the rest of the digest beside it
-        first = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else np.zeros(0, bool)
-        count = np.diff(np.concatenate((np.flatnonzero(first), [len(a)])))
-        rest = b[first].astype(np.uint64) | (np.minimum(count, 2).astype(np.uint64) << W.U(32))
-        return pa.table(requests(chunk, a[first], wide, rest), schema=REQUEST_ARROW)
-
-    def compare(keys: list[np.ndarray], vals: list[np.ndarray]) -> list[np.ndarray]:
-        a, v = np.concatenate(keys), np.concatenate(vals)
-        b, twice = v & W.U(2**32 - 1), (v >> W.U(32)) > 1
-        order = np.lexsort((b, a))
-        sa, sb = a[order], b[order]
-        same = (sa[1:] == sa[:-1]) & (sb[1:] == sb[:-1])
-        hit = twice[order]
-        hit[1:] |= same
-        hit[:-1] |= same
-        out = np.zeros(len(a), np.uint8)
-        out[order] = hit
-        return np.split(out, np.cumsum([len(k) for k in keys])[:-1])
-
-    def finish(chunk: int, rows: pa.Table, told: pa.Table, answer: pa.Table) -> pa.Table:
-        w, at = candidates(chunk, rows, told)
-        a, b = w.digests(at)
-        order = np.lexsort((b, a))
-        sa, sb = a[order], b[order]
-        first = np.concatenate(([True], (sa[1:] != sa[:-1]) | (sb[1:] != sb[:-1]))) if len(a) else np.zeros(0, bool)
-        hit = gathered(answer, sa[first], wide, np.uint8)
-        gone = W.covered(np.sort(at[order][hit[np.cumsum(first) - 1] > 0]) if len(a) else at, window, len(w.hash))
-        n_words = np.diff(w.offs)
-        n_gone = np.diff(np.concatenate(([0], np.cumsum(gone)))[w.offs])
-        data = w.buf.tobytes()
-        texts = []
-        for d in range(rows.num_rows):
-            i, j = w.offs[d], w.offs[d + 1]
-            if n_gone[d]:
-                keep = np.flatnonzero(~gone[i:j]) + i
-                texts.append(b" ".join([data[s:e] for s, e in zip(w.starts[keep], w.ends[keep])]))
-            else:
-                texts.append(b" ".join(data[w.starts[i] : w.ends[j - 1]].split()) if j > i else b"")
-        out = [rows.column(DOC), pa.array(n_words, pa.int64()), pa.array(n_gone, pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in texts])]
-        if with_text:
-            out.append(pa.array([t.decode("utf-8", "replace") for t in texts], pa.string()))
-        return pa.table([c.combine_chunks().cast(f.type) if isinstance(c, pa.ChunkedArray) else c.cast(f.type) for c, f in zip(out, arrow)], schema=arrow)
-
-    reports = reports.select("chunk", "n", "keys", F.lit(0).alias("kind"), F.col("bucket"), F.lit(None).cast("binary").alias("vals"))
-    asked = resolve(chunks, reports, whole, REQUEST)
-    answer = answers(asked, compare, np.uint64)
-    both = reports.unionByName(answer.select("chunk", F.lit(0).alias("n"), F.lit(None).cast("binary").alias("keys"), F.lit(1).alias("kind"), "bucket", "vals"))
-
-    def last(chunk: int, rows: pa.Table, got: pa.Table) -> pa.Table:
-        kind = got.column("kind").to_numpy()
-        return finish(chunk, rows, got.filter(pa.array(kind == 0)), got.filter(pa.array(kind == 1)))
-
-    return resolve(chunks, both, last, schema).select(*unbundle(kept), *(n for n, _ in new))
-
+        index.fold(chunks.where(F.pmod(F.col("chunk"), F.lit(batches)) == b), total["n_words"])
+    out = index.decide(chunks, [f"c{i}" for i in range(len(kept))], with_text)
+    return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(kept)), "n_words", "n_removed", "kept_sha256", *["kept_text"] * with_text)

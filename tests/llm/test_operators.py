@@ -16,7 +16,7 @@ from factorloom.llm.html_text import extract_text
 from factorloom.llm.jaccard_join import keep_one, link_documents
 from factorloom.llm.mixing import mix_sources
 from factorloom.llm.quality import judge
-from factorloom.llm.substring_dedup import remove_repeats
+from factorloom.llm.substring_dedup import RepeatIndex, remove_repeats
 from factorloom.llm.token_counts import PrefixCounter, count_tokens
 from factorloom.llm.warc import read_records, write_archive
 
@@ -234,6 +234,22 @@ def test_links_in_crowded_groups(spark, rare):
     assert _sorted(tuple(r) for r in got.select("doc_id", "n_shingles", "component_id").collect()) == _sorted(want)
 
 
+def _morse(n):
+    """A word of n letters and its letter swap, which polynomial hashes modulo 2^64 cannot tell apart."""
+    word = "".join("ab"[bin(i).count("1") & 1] for i in range(n))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [8, 128, 1024, 4096])
+def test_regular_words_are_different(spark, n):
+    one, two = _morse(n)
+    rows = [(k, " ".join([w, *(f"{t}{w[:3]}" for t in "mnop")] * 9)) for k, w in enumerate((one, two))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["component_id"] for r in link_documents(docs).collect()} == {0, 1}
+    plain = spark.createDataFrame([(k, " ".join(f"{w}" if i == 20 else f"w{i}" for i in range(35))) for k, w in enumerate((one, two))], docs.schema)
+    assert {r["n_removed"] for r in remove_repeats(plain).collect()} == {0}
+
+
 def test_links_of_frequent_shingles_alone(spark):
     """Groups of 60 sparse variants of one opening, in pairs one block apart: all shingles are frequent, all lists longer than the default ``rare``."""
     rng, rows = random.Random(7), []
@@ -475,16 +491,56 @@ def test_repeats(spark, sf):
     assert _sorted(tuple(r) for r in Q.QUERIES["op10_substring_dedup"](spark, sf).collect()) == _sorted(want)
 
 
-@pytest.mark.parametrize("batches,fanout,window", [(1, 2, 35), (3, 2, 35), (4, 9, 7), (2, 2, 1)])
+def _cut(text, window, every):
+    """Each removed word goes with the white space behind it."""
+    import re
+
+    if text is None:
+        return None
+    words = B.words(text)
+    gone = [False] * len(words)
+    for k in range(len(words) - window + 1):
+        if every[tuple(words[k : k + window])] > 1:
+            gone[k : k + window] = [True] * window
+    lead = re.match(r"[\x20\x09-\x0D]*", text)[0]
+    pieces = re.findall(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*", text)
+    return lead + "".join(p for p, g in zip(pieces, gone) if not g)
+
+
+@pytest.mark.parametrize("batches,fanout,window", [(1, 2, 35), (3, 1, 35), (4, 9, 7), (2, 2, 1)])
 def test_repeats_of_odd_rows(spark, odd, odd_docs, batches, fanout, window):
+    from collections import Counter
+
     got = remove_repeats(odd_docs, window=window, batches=batches, fanout=fanout, with_text=True)
-    want = [(i, n, n - len(k), _digest(k), " ".join(k)) for (i, *_), (n, k) in zip(odd, B.repeats([r[1] for r in odd], window))]
+    texts = [r[1] for r in odd]
+    every = Counter(tuple(w[k : k + window]) for w in map(B.words, texts) for k in range(len(w) - window + 1))
+    want = [(i, n, n - len(k), _digest(k), _cut(t, window, every)) for (i, t, *_), (n, k) in zip(odd, B.repeats(texts, window))]
     assert _sorted(tuple(r) for r in got.select("doc_id", "n_words", "n_removed", "kept_sha256", "kept_text").collect()) == _sorted(want)
     if batches == 1:
         _kept_clashes(got)
         assert remove_repeats(odd_docs.limit(0)).count() == 0
 
 
+def test_an_index_that_grows(spark, odd, tmp_path):
+    """Batches added to an index that is opened again each time; old rows hear of new repeats."""
+    rows = [(k, r[1]) for k, r in enumerate(odd)]
+    parts = [rows[:7], rows[7:9], [], rows[9:13], rows[13:]]
+    now = {}
+    for n, part in enumerate(parts):
+        index = RepeatIndex(spark, f"file://{tmp_path}/index", window=20, fanout=2)
+        got = index.add(spark.createDataFrame(part, "doc_id long, text string").coalesce(1), with_text=n % 2 == 0)
+        for r in got.collect():
+            assert r["is_new"] == (r["doc_id"] in dict(part))
+            now[r["doc_id"]] = (r["n_words"], r["n_removed"], r["kept_sha256"])
+        known = [t for p in parts[: n + 1] for _, t in p]
+        want = {i: (m, m - len(k), _digest(k)) for (i, (m, k)) in enumerate(B.repeats(known, 20))}
+        assert now == want
+    with pytest.raises(ValueError):
+        RepeatIndex(spark, f"file://{tmp_path}/index", window=21)
+    with pytest.raises(ValueError):
+        index.add(spark.createDataFrame(rows[:1], "id int, text string"))
+
+
 # What all share --------------------------------------------------------------------
 
 
