@@ -47,8 +47,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Words in windows of 35 that occur elsewhere are cut; texts of which nothing is left go."""
     cut = remove_repeats(docs, window=35, with_text=True)
     cut = cut.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
-    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
-    return cut.withColumn("text", text).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    n_chars = F.when(F.col("n_removed") > 0, F.char_length("kept_text").cast("long")).otherwise(F.col("n_chars"))
+    return cut.withColumns({"n_chars": n_chars, "text": F.col("kept_text")}).select(*docs.columns)
 
 
 @_stage
