@@ -20,6 +20,11 @@ up to ``rare`` members, with a growing number of further stars in longer ones,
 until no list holds an untested pair of different components.  No link between
 components is lost, and copies are never expanded into pairs.
 
+What is compared.  A shingle is known by a 64-bit hash of the bytes of its
+words; two given shingles of different words count as one with a chance of
+2^-64.  Pairs are verified on these hashes.  Sets are taken as equal by 128
+bits, 64 from each of two independent hashes of their shingles.
+
 Definitions for odd input: null and empty texts, and texts without words, have
 no shingles and are linked with nothing, not even with each other; a text of
 fewer words than a shingle has its whole sequence as the only shingle; texts of
@@ -54,36 +59,38 @@ STEP = 8
 
 
 class Shingles:
-    """Distinct shingles of the texts of one chunk: ``doc`` and ``hash``, sorted by both."""
+    """Distinct shingles of the texts of one chunk: ``doc`` and ``hash``, sorted by both; ``other``: a second hash, by request."""
 
-    def __init__(self, rows: pa.Table, text: str, size: int):
+    def __init__(self, rows: pa.Table, text: str, size: int, lanes: int = 1):
         buf, offs = W.text_bytes(rows.column(text))
         starts, ends, word_offs = W.word_spans(buf, offs)
-        h = W.word_hashes(buf, starts, ends, lower=True)
-        m = max(0, len(h) - size + 1)
-        at = np.flatnonzero(W.inside_doc(word_offs, size, m))
-        doc, full = W.doc_of(word_offs), W.grams(h, size, salt=5)
-        docs, hashes = [doc[at]], [full[at]]
-        n = np.diff(word_offs)
-        for k in range(1, size):
-            short = np.flatnonzero(n == k)
-            if len(short):
-                docs.append(short)
-                hashes.append(W.grams(h, k, salt=5)[word_offs[short]])
-        doc, h = np.concatenate(docs), np.concatenate(hashes)
+        doc, n = W.doc_of(word_offs), np.diff(word_offs)
+        found, docs = [], []
+        for lane in range(lanes):
+            h = W.word_hashes(buf, starts, ends, lower=True, lane=lane)
+            at = np.flatnonzero(W.inside_doc(word_offs, size, max(0, len(h) - size + 1)))
+            hashes, docs = [W.grams(h, size, salt=5 + lane)[at]], [doc[at]]
+            for k in range(1, size):
+                short = np.flatnonzero(n == k)
+                if len(short):
+                    docs.append(short)
+                    hashes.append(W.grams(h, k, salt=5 + lane)[word_offs[short]])
+            found.append(np.concatenate(hashes))
+        doc, h = np.concatenate(docs), found[0]
         order = np.lexsort((h, doc))
         doc, h = doc[order], h[order]
         new = np.ones(len(h), bool)
         new[1:] = (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])
         self.doc, self.hash = doc[new], h[new]
+        self.other = found[-1][order][new]
         self.offs = np.searchsorted(self.doc, np.arange(rows.num_rows + 1))
         self.n = np.diff(self.offs)
 
     def digests(self) -> tuple[np.ndarray, np.ndarray]:
-        """128 bits of each set, in two halves."""
+        """128 bits of each set, in two halves; needs both lanes."""
         out = []
-        for salt in (11, 12):
-            sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(W.mix(self.hash, salt))))
+        for salt, h in ((11, self.hash), (12, self.other)):
+            sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(W.mix(h, salt))))
             out.append(W.mix(sums[self.offs[1:]] - sums[self.offs[:-1]], salt).view(np.int64))
         return out[0], out[1]
 
@@ -152,6 +159,7 @@ def _may_link(percent: int) -> Column:
 
 
 def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    W.lean()
     for t in batches:
         keep = np.zeros(t.num_rows, bool)
         n_a, n_b = t.column("n_a").to_pylist(), t.column("n_b").to_pylist()
@@ -165,6 +173,7 @@ def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
             shared = int((both[1:] == both[:-1]).sum())
             keep[i] = 100 * shared >= percent * (n_a[i] + n_b[i] - shared)
         yield t.select(["a", "b"]).filter(pa.array(keep))
+        W.trim()
 
 
 def link_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = 4, percent: int = 85, rare: int = 32) -> DataFrame:
@@ -212,13 +221,15 @@ def _link(docs: DataFrame, text: str, doc_id: str, size: int, percent: int, rare
     arrow = to_arrow_schema(schema)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        W.lean()
         for batch in batches:
             for i in range(batch.num_rows):
                 rows = W.unpack_table(batch.column("data")[i].as_py())
-                s = Shingles(rows, "__text", size)
+                s = Shingles(rows, "__text", size, lanes=2)
                 nodes = node_ids(batch.column("chunk")[i].as_py(), np.arange(rows.num_rows))
                 out = [rows.column(DOC), rows.column("__id"), nodes, s.n.astype(np.int64), *s.digests()]
                 yield from pa.table(out, schema=arrow).to_batches()
+                W.trim()
 
     rows, _ = materialise(chunks.select("chunk", "data").mapInArrow(sets, schema), "jaccard-rows")
     classes = rows.where("n_shingles > 0").groupBy("d1", "d2", "n_shingles").agg(F.min("node").alias("node"), F.min("__id").alias("least"), F.min(F.struct(F.coalesce("__id", F.lit(2**63 - 1)).alias("id"), F.col("node"))).alias("best"))
@@ -277,7 +288,7 @@ def _link(docs: DataFrame, text: str, doc_id: str, size: int, percent: int, rare
         wanted = np.unique(got.column("row").to_numpy().astype(np.int64))
         s = Shingles(t, "__text", size) if len(wanted) else None
         each = [s.hash[s.offs[d] : s.offs[d + 1]] for d in wanted]
-        blobs = [W.pack_sorted(h >> W.U(16)) for h in each]
+        blobs = [W.pack_sorted(h) for h in each]
         return pa.table({"node": node_ids(chunk, wanted), "n": s.n[wanted].astype(np.int32) if s else np.zeros(0, np.int32), "shingles": pa.array(blobs, pa.binary()), "bits": pa.array([parity_bits(h) for h in each], pa.list_(pa.int64()))})
 
     nodes = _places(listed.select("node").distinct())
@@ -292,11 +303,20 @@ def _link(docs: DataFrame, text: str, doc_id: str, size: int, percent: int, rare
     # 5. stars, then what stars left apart
     star = listed.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"), F.col("pivot_n").alias("n_a"), F.col("n").alias("n_b"))
     edges, _ = materialise(linked(star), "jaccard-edges")
-    roots, _ = materialise(components(edges), "jaccard-roots")
+    everyone = listed.select("node").distinct()
+    first_roots = components(edges)
+    roots, _ = materialise(everyone.join(first_roots, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "jaccard-roots")
+
+    def joined(roots: DataFrame, more: DataFrame) -> DataFrame:
+        """Roots after further links: only the links between roots are looked at."""
+        a = more.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a").join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b")
+        moved = components(a.select(F.col("ra").alias("a"), F.col("rb").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("to"))
+        return roots.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+
     place = Window.partitionBy("sig").orderBy(F.desc("pop"), "node")
     done, width = 1, 4
     while True:
-        found = listed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        found = listed.join(roots, "node")
         mixed = found.groupBy("sig").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("sig")
         open_ = found.join(mixed, "sig").withColumn("place", F.row_number().over(place))
         open_ = open_.where((F.col("members") > max(done, rare)) if done > 1 else F.lit(True)).join(packed.select("node", "bits"), "node")
@@ -308,10 +328,9 @@ def _link(docs: DataFrame, text: str, doc_id: str, size: int, percent: int, rare
         pairs = a.join(b, "sig").where((F.col("x.place") < F.col("y.place")) & (F.col("x.root") != F.col("y.root")) & _may_link(percent))
         pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("n_a"), F.col("y.n").alias("n_b"))
         more, _ = materialise(linked(pairs), "jaccard-edges")
-        edges = edges.unionByName(more)
         done, width = done + width, width * 4
         if not more.isEmpty():
-            roots, _ = materialise(components(edges), "jaccard-roots")
+            roots, _ = materialise(joined(roots, more), "jaccard-roots")
 
     # 6. back to the rows
     own = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
