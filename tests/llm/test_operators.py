@@ -478,6 +478,24 @@ def test_the_site_tree_has_all_pages(spark):
     assert {got[30 + i] for i in range(9)} == {"One story"}
 
 
+def test_branches_of_the_site_tree(spark):
+    """Importance goes from children to branches: a branch goes with all below it, or stays for one part that differs."""
+    news = lambda i: f"<div class='box'><div class='head'><p>Latest</p><p>Contact us</p></div><div class='items'><p>item {i}</p></div></div>"
+    top = "<div class='top'><div class='in'><p>Our site</p><ul><li>since</li><li>1999</li></ul></div></div>"
+    rows = [(i, "http://site/x", _page(f"{top}{news(i)}<div class='body'><h2>Story {i}</h2><p>{'w ' * i}</p></div>")) for i in range(1, 13)]
+    got = {r["page_id"]: r["text"] for r in extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[3] == "item 3 Story 3 w w w"
+
+
+def test_names_that_articles_use(spark):
+    rows = [(1, "http://a/", _page("<article><p>x</p><section class='discussion'><p>we discuss</p></section><p class='related-work'>others</p><div class='comments'>reader</div></article>")), (2, "http://b/", _page("<div class='story'><p>" + "a long story " * 30 + "</p></div><article><p>teaser</p></article>"))]
+    rows += [(10 + i, "http://c/", _page(f"<article><p>text {i}</p><div class='related'><p>See also our shop</p></div></article>")) for i in range(8)]
+    rows += [(30, "http://d/", "<article>" + "<div>x" * 20000), (31, "http://d/", "<p>y</p>" + "<a " * 100000), (32, "http://d/", "<article><script>x = \"<a href='\"</script><p>it's</p></article><p>don't</p>"), (33, "http://d/", "<article>" + "<div><dt>z</dt>" * 5000)]
+    got = {r["page_id"]: r["text"] for r in extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1] == "x we discuss others" and got[2].startswith("a long story") and got[12] == "text 2"
+    assert got[30] == " ".join(["x"] * 20000) and got[31].startswith("y <a <a") and got[32] == "it's" and got[33] == " ".join(["z"] * 5000)
+
+
 # 10 ------------------------------------------------------------------------------
 
 
