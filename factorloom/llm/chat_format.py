@@ -1,10 +1,13 @@
 """Reply trees as training conversations, with DataFrame functions only.
 
 Messages form trees by their parents.  Iterative self-joins double the known
-part of every root-to-leaf path in each round (the table of 2^k-th ancestors is
-joined with itself), so a path of n messages takes log2(n) rounds.  Paths are
-ranked within their tree by the sum of message scores, and each chosen path is
-formatted as one conversation::
+part of every way to the root in each round (the table of 2^k-th ancestors is
+joined with itself, scores are summed on the way), so a path of n messages
+takes log2(n) rounds.  Branches are ranked within their tree by the sum of
+their messages' scores before any path is written out; the paths of the chosen
+leaves are then enumerated by joins with the same tables, so their number does
+not grow with branches that are not chosen.  Each chosen path is formatted as
+one conversation::
 
     <|im_start|>role\\ntext<|im_end|>\\n
 
@@ -57,38 +60,63 @@ def from_turns(rows: DataFrame, tree: str = "conv_id", turn: str = "turn", role:
     return rows.select(F.col(tree).alias("tree"), k.alias("id"), F.when(k > 1, k - 1).alias("parent"), F.col(role).alias("role"), F.col(text).alias("text"), F.lit(0.0).alias("score"))
 
 
-def tree_paths(messages: DataFrame, rounds: int = 40) -> DataFrame:
-    """``tree, leaf, node, up``: every message of every root-to-leaf path, ``up`` steps above the leaf."""
-    m = messages.select("tree", "id", "parent")
-    ids = m.select("tree", F.col("id").alias("parent"))
-    linked = m.where("parent is not null").alias("a").join(ids.distinct().alias("b"), F.col("a.tree").eqNullSafe(F.col("b.tree")) & (F.col("a.parent") == F.col("b.parent")), "left_semi")
-    jump, _ = materialise(linked.select("tree", F.col("id").alias("node"), F.col("parent").alias("above")), "tree-links")
-    leaf = m.alias("a").join(jump.alias("j"), F.col("a.tree").eqNullSafe(F.col("j.tree")) & (F.col("a.id") == F.col("j.above")), "left_anti")
-    paths = leaf.select("tree", F.col("id").alias("leaf"), F.col("id").alias("node"), F.lit(0).cast("long").alias("up"))
-    paths, _ = materialise(paths, "tree-paths")
-    step = 1
-    for _ in range(rounds):
-        if jump.isEmpty():
-            return paths
+def _same(a: str, b: str) -> Column:
+    return F.col(f"{a}.tree").eqNullSafe(F.col(f"{b}.tree"))
+
+
+def clean_messages(messages: DataFrame) -> DataFrame:
+    """One row for each ``tree, id``, null roles and texts empty, null scores 0."""
+    cells = F.struct(F.col("parent").cast("long").alias("parent"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
+    one = messages.where(F.col("id").isNotNull()).groupBy("tree", F.col("id").cast("long").alias("id")).agg(F.min(cells).alias("c"))
+    return one.select("tree", "id", "c.*")
+
+
+def ways_up(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """``tree, leaf, score`` of all branches, and the tables of 2^k-th ancestors (``tree, node, above``)."""
+    a, b = nodes.select("tree", "id", "parent", "score").alias("a"), nodes.select("tree", F.col("id").alias("above")).alias("b")
+    linked = a.join(b, _same("a", "b") & (F.col("a.parent") == F.col("b.above")), "left")
+    state, _ = materialise(linked.select("a.tree", F.col("a.id").alias("node"), "above", F.col("a.score").alias("sum")), "tree-ways")
+    first, jumps = state, []
+    most = state.groupBy("tree").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    for _ in range(most.bit_length() + 1):
+        open_ = state.where(F.col("above").isNotNull())
+        if open_.isEmpty():
+            break
+        jumps.append(open_.select("tree", "node", "above"))
+        x, y = state.alias("x"), state.alias("y")
+        further = x.join(y, _same("x", "y") & (F.col("x.above") == F.col("y.node")), "left")
+        state, _ = materialise(further.select("x.tree", "x.node", "y.above", (F.col("x.sum") + F.coalesce("y.sum", F.lit(0.0))).alias("sum")), "tree-ways")
+    # after as many rounds as the largest tree could take, what still goes up goes round
+    done = state.where(F.col("above").isNull()).alias("d")
+    leaf = done.join(first.alias("f"), _same("d", "f") & (F.col("d.node") == F.col("f.above")), "left_anti")
+    return leaf.select("tree", F.col("node").alias("leaf"), F.col("sum").alias("score")), jumps
+
+
+def paths_of(leaves: DataFrame, jumps: list[DataFrame]) -> DataFrame:
+    """``tree, leaf, node, up``: the messages of the paths of some leaves, ``up`` steps above the leaf."""
+    paths = leaves.select("tree", "leaf", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("up"))
+    for k, jump in enumerate(jumps):
         p, j = paths.alias("p"), jump.alias("j")
-        longer = p.join(j, F.col("p.tree").eqNullSafe(F.col("j.tree")) & (F.col("p.node") == F.col("j.node"))).select("p.tree", "leaf", F.col("above").alias("node"), (F.col("up") + step).alias("up"))
+        longer = p.join(j, _same("p", "j") & (F.col("p.node") == F.col("j.node"))).select("p.tree", "leaf", F.col("above").alias("node"), (F.col("up") + 2**k).alias("up"))
         paths, _ = materialise(paths.unionByName(longer), "tree-paths")
-        a, b = jump.alias("a"), jump.alias("b")
-        twice = a.join(b, F.col("a.tree").eqNullSafe(F.col("b.tree")) & (F.col("a.above") == F.col("b.node"))).select("a.tree", "a.node", "b.above")
-        jump, _ = materialise(twice, "tree-links")
-        step *= 2
-    raise ValueError("the replies hold a cycle")
+    return paths
+
+
+def tree_paths(messages: DataFrame) -> DataFrame:
+    """``tree, leaf, node, up``: every message of every root-to-leaf path."""
+    leaves, jumps = ways_up(clean_messages(messages.withColumns({c: F.lit(None) for c in ("role", "text", "score") if c not in messages.columns})))
+    return paths_of(leaves, jumps)
 
 
 def format_trees(messages: DataFrame, best: int = 1, learn: Sequence[str] = ("assistant",)) -> DataFrame:
     """``tree, leaf, score, formatted, loss_spans``: the ``best`` paths of each tree, by score."""
-    nodes, _ = materialise(messages.select("tree", F.col("id").cast("long").alias("id"), F.col("parent").cast("long").alias("parent"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")), "messages")
-    paths = tree_paths(nodes)
-    same = F.col("p.tree").eqNullSafe(F.col("n.tree")) & (F.col("p.node") == F.col("n.id"))
-    scored = paths.alias("p").join(nodes.select("tree", "id", "score").alias("n"), same).groupBy("p.tree", "leaf").agg(F.sum("score").alias("score"))
+    nodes, _ = materialise(clean_messages(messages), "messages")
+    leaves, jumps = ways_up(nodes)
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), "leaf"))
-    chosen = scored.withColumn("rank", rank).where(F.col("rank") <= best).select(F.col("tree").alias("c_tree"), F.col("leaf").alias("c_leaf"), F.col("score").alias("path_score"))
-    picked = paths.join(chosen, F.col("tree").eqNullSafe(F.col("c_tree")) & (F.col("leaf") == F.col("c_leaf"))).select("tree", "leaf", "node", "up", "path_score")
+    chosen, _ = materialise(leaves.withColumn("rank", rank).where(F.col("rank") <= best).select("tree", "leaf", F.col("score").alias("path_score")), "tree-chosen")
+    c, w = chosen.alias("c"), paths_of(chosen, jumps).alias("w")
+    picked = w.join(c, _same("w", "c") & (F.col("w.leaf") == F.col("c.leaf"))).select("w.tree", "w.leaf", "node", "up", "path_score")
+    same = F.col("p.tree").eqNullSafe(F.col("n.tree")) & (F.col("p.node") == F.col("n.id"))
     rows = picked.alias("p").join(nodes.alias("n"), same).select("p.tree", "leaf", "path_score", "up", "role", escape_role(F.col("role")).alias("r"), escape(F.col("text")).alias("t"))
     piece = F.concat(F.lit(START), F.col("r"), F.lit("\n"), F.col("t"), F.lit(END))
     rows = rows.withColumn("piece", piece)
