@@ -1,14 +1,23 @@
 """Quality rules: robust multivariate outliers for each language and source.
 
 Each text gives a vector of transformed statistics.  For each (language,
-source) the location and scatter of the most central ``share`` of rows are
-found by concentration steps (the minimum-covariance-determinant estimate,
-started from medians and median deviations), and rows whose squared Mahalanobis
-distance exceeds ``cutoff`` are rejected.  A step is one grouped pass: moments
-are summed by (group, distance bin), and each group then keeps its lowest bins
-up to the share, so nothing but a few hundred bins of a group ever meets in one
-task, however large the group is.  Statistics are rounded to 1/1024 and summed
-as whole numbers; sums do not depend on the order of rows, so reruns agree.
+source) the minimum-covariance-determinant estimate is sought: location and
+scatter of the ``share`` of rows whose scatter has the least determinant.  It
+starts from medians and median deviations and from seeded subsets of about
+SUBSET rows each, takes two concentration steps from every start, keeps the
+start of least determinant and goes on until its determinant no longer falls.
+The scatter is made consistent for a normal cloud (the factor follows from
+``share``), and rows whose squared Mahalanobis distance exceeds the chi-square
+quantile of ``quantile`` are rejected.
+
+A step is one grouped pass: moments are summed by (group, start, distance bin),
+and each group then keeps its lowest bins that together hold the share (bins
+are 1/32 of a natural logarithm wide), so nothing but a few hundred bins of a
+group ever meets in one task, however large the group is.  Statistics are
+rounded to 1/1024 and moments are summed as whole numbers, so sums do not
+depend on the order of rows and reruns agree.  Models have one row for each
+group; Spark broadcasts them while they are small and else splits hot groups in
+its joins.
 
 Groups of fewer than ``min_rows`` rows are pooled by language, and what is
 still fewer over all languages; with fewer than 16 rows there is no verdict and
@@ -26,12 +35,13 @@ the results, which win.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -47,8 +57,8 @@ SCALE = 1024
 STATS = ("mean_word", "marks", "repeated_lines", "variety", "capitals")
 #: The scatter gets these standard deviations beside what was estimated, so that statistics without spread do no harm.
 FLOOR = np.array([0.10, 0.10, 0.05, 0.01, 0.03])
-#: Expected scatter of the central three quarters of a normal cloud in five dimensions, inverted.
-CONSISTENCY = 1.41
+#: Seeded starts beside the medians, rows that each of them has on average, and the most steps.
+STARTS, SUBSET, MOST_STEPS = 4, 60, 40
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _MORE = ("n_lines", "n_kinds", "n_marks", "n_capitals")
 _SYMBOL = np.zeros(256, np.uint8)
@@ -120,49 +130,109 @@ def _distance(mean: str = "mean", inverse: str = "inverse") -> Column:
 
 
 _PAIRS = [(i, j) for i in range(len(STATS)) for j in range(i, len(STATS))]
-_MODEL = "g_lang string, g_source string, level int, mean array<double>, inverse array<double>"
+_BY = ["g_lang", "g_source", "level"]
+_MODEL = "g_lang string, g_source string, level int, start int, mean array<double>, inverse array<double>, log_det double, settled boolean"
+#: Products are summed in two whole parts.
+_LOW = 20
 
 
-def _model_row(key: tuple, mean: np.ndarray, cov: np.ndarray) -> pd.DataFrame:
-    inverse = np.linalg.inv(cov * CONSISTENCY + np.diag(FLOOR**2))
-    return pd.DataFrame({"g_lang": [key[0]], "g_source": [key[1]], "level": [key[2]], "mean": [mean.tolist()], "inverse": [inverse.ravel().tolist()]})
+def chi_square(df: int, x: float) -> float:
+    """The chance that a chi-square variable is below ``x``."""
+    a, x = df / 2, x / 2
+    term = total = 1 / a
+    n = 0
+    while term > 1e-17 * total:
+        n += 1
+        term *= x / (a + n)
+        total += term
+    return min(1.0, total * math.exp(a * math.log(x) - x - math.lgamma(a))) if x > 0 else 0.0
 
 
-def _none() -> pd.DataFrame:
-    return pd.DataFrame({"g_lang": [], "g_source": [], "level": [], "mean": [], "inverse": []})
+def chi_square_quantile(df: int, p: float) -> float:
+    low, high = 0.0, 200.0
+    for _ in range(100):
+        middle = (low + high) / 2
+        low, high = (middle, high) if chi_square(df, middle) < p else (low, middle)
+    return low
+
+
+def consistency(share: float, df: int = len(STATS)) -> float:
+    """What the scatter of the central ``share`` of a normal cloud is multiplied by."""
+    return share / chi_square(df + 2, chi_square_quantile(df, share))
+
+
+def _model_row(key: tuple, start: int, mean: np.ndarray, cov: np.ndarray, factor: float, settled: bool = False) -> dict:
+    full = cov * factor + np.diag(FLOOR**2)
+    return dict(zip(_BY, key)) | {"start": start, "mean": mean.tolist(), "inverse": np.linalg.inv(full).ravel().tolist(), "log_det": float(np.linalg.slogdet(full)[1]), "settled": settled}
+
+
+def _frame(rows: list[dict]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=[c.split()[0] for c in _MODEL.split(", ")])
 
 
 def _clean(key: tuple) -> tuple:
     return tuple(None if x is None or x != x else x for x in key)
 
 
-def _start(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    """Medians and median deviations from histograms."""
-    mean, sd = np.zeros(len(STATS)), np.zeros(len(STATS))
+def _medians(factor: float):
+    def start(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        """Medians and median deviations from histograms."""
+        mean, sd = np.zeros(len(STATS)), np.zeros(len(STATS))
+
+        def middle(values: np.ndarray, counts: np.ndarray) -> float:
+            order = np.argsort(values, kind="stable")
+            return values[order][np.searchsorted(np.cumsum(counts[order]), counts.sum() / 2)]
+
+        for k in range(len(STATS)):
+            part = pdf[pdf["stat"] == k]
+            v, c = part["bin"].to_numpy() / 64.0, part["n"].to_numpy()
+            mean[k] = middle(v, c)
+            sd[k] = 1.4826 * middle(np.abs(v - mean[k]), c)
+        return _frame([_model_row(_clean(key), 0, mean, np.diag(sd**2), factor)])
+
+    return start
+
+
+def _moments() -> list[Column]:
+    out = [F.count("*").alias("n"), *(F.sum(n).alias(f"s{i}") for i, n in enumerate(STATS))]
+    for i, j in _PAIRS:
+        p = F.col(STATS[i]) * F.col(STATS[j])
+        out += [F.sum(F.shiftright(p, _LOW)).alias(f"h{i}_{j}"), F.sum(p.bitwiseAND(F.lit((1 << _LOW) - 1))).alias(f"l{i}_{j}")]
+    return out
+
+
+def _estimate(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and covariance from rows of moments."""
+    whole = lambda c: sum(int(x) for x in pdf[c])
+    n = whole("n")
+    s = [whole(f"s{i}") for i in range(len(STATS))]
+    cov = np.zeros((len(STATS), len(STATS)))
+    for i, j in _PAIRS:
+        cov[i, j] = cov[j, i] = (n * ((whole(f"h{i}_{j}") << _LOW) + whole(f"l{i}_{j}")) - s[i] * s[j]) / (n * n) / SCALE**2
+    return np.array(s) / n / SCALE, cov
+
 
-    def middle(values: np.ndarray, counts: np.ndarray) -> float:
-        order = np.argsort(values, kind="stable")
-        return values[order][np.searchsorted(np.cumsum(counts[order]), counts.sum() / 2)]
+def _subsets(factor: float):
+    def start(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return _frame([_model_row(_clean(key), int(s), *_estimate(part), factor) for s, part in pdf.groupby("start")])
 
-    for k in range(len(STATS)):
-        part = pdf[pdf["stat"] == k]
-        v, c = part["bin"].to_numpy() / 64.0, part["n"].to_numpy()
-        mean[k] = middle(v, c)
-        sd[k] = 1.4826 * middle(np.abs(v - mean[k]), c)
-    return _model_row(_clean(key), mean, np.diag(sd**2))
+    return start
 
 
-def _concentrate(share: float):
-    def step(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("bin", kind="stable")
-        total = np.cumsum(pdf["n"].to_numpy())
-        keep = pdf.iloc[: int(np.searchsorted(total, share * total[-1])) + 1]
-        n = float(keep["n"].sum())
-        mean = np.array([keep[f"s{i}"].sum() for i in range(len(STATS))]) / n
-        cov = np.zeros((len(STATS), len(STATS)))
-        for i, j in _PAIRS:
-            cov[i, j] = cov[j, i] = keep[f"p{i}_{j}"].sum() / n - mean[i] * mean[j]
-        return _model_row(_clean(key), mean / SCALE, cov / SCALE**2)
+def _concentrate(share: float, factor: float, best: bool):
+    def step(key: tuple, sums: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for was in old.to_dict("records"):
+            pdf = sums[sums["start"] == was["start"]].sort_values("bin", kind="stable")
+            if not len(pdf):
+                continue
+            total = np.cumsum(pdf["n"].to_numpy())
+            keep = pdf.iloc[: int(np.searchsorted(total, share * total[-1])) + 1]
+            new = _model_row(_clean(key), int(was["start"]), *_estimate(keep), factor)
+            if best and new["log_det"] >= was["log_det"] - 1e-9:  # it no longer falls
+                new = was | dict(zip(_BY, _clean(key))) | {"settled": True}
+            out.append(new)
+        return _frame([min(out, key=lambda m: (m["log_det"], m["start"]))] if best and out else out)
 
     return step
 
@@ -172,10 +242,11 @@ def _same_group() -> Column:
     return a.eqNullSafe(b) & F.col("f.g_source").eqNullSafe(F.col("m.g_source")) & (F.col("f.level") == F.col("m.level"))
 
 
-def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", min_words: int = 20, max_repeat_percent: int = 30, cutoff: float = 40.0, share: float = 0.75, steps: int = 4, min_rows: int = 200, with_text: bool = False) -> DataFrame:
+def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", min_words: int = 20, max_repeat_percent: int = 30, quantile: float = 0.9999, share: float = 0.75, min_rows: int = 200, with_text: bool = False) -> DataFrame:
     """Adds the base counts, ``base_failed``, ``distance`` (squared Mahalanobis) and ``kept``.
 
-    The text itself is left out of the result unless ``with_text``.
+    ``quantile``: of a normal cloud such a share is kept.  The text itself is
+    left out of the result unless ``with_text``.
     """
     kept = [c for c in docs.columns if c not in {*COUNTS, "base_failed", "distance", "kept"} and (with_text or c != text)]
     ship(docs.sparkSession)
@@ -200,17 +271,29 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     groups = s.join(p, F.col("s.__lang").eqNullSafe(F.col("p.__lang")), "left").select(F.col("s.__lang").alias("lang_"), F.col("s.__source").alias("source_"), level.alias("level"))
     groups, _ = materialise(groups.select("lang_", "source_", "level", F.when(F.col("level") < 2, F.col("lang_")).alias("g_lang"), F.when(F.col("level") < 1, F.col("source_")).alias("g_source")), "quality-groups")
     rows = table.join(groups, table["__lang"].eqNullSafe(groups["lang_"]) & table["__source"].eqNullSafe(groups["source_"])).drop("lang_", "source_")
-    by = ["g_lang", "g_source", "level"]
+    rows, _ = materialise(rows.withColumn("__known", F.lit(True)), "quality-rows")
+    factor = consistency(share)
     bins = F.explode(F.array(*(F.struct(F.lit(i).alias("stat"), F.floor(F.col(n) * 64 / SCALE).cast("long").alias("bin")) for i, n in enumerate(STATS)))).alias("x")
-    hist = rows.select(*by, bins).groupBy(*by, "x.stat", "x.bin").agg(F.count("*").alias("n"))
-    enough = F.sum("n").over(Window.partitionBy(*by))
-    first = hist.withColumn("all", enough).where(F.col("all") >= 16 * len(STATS)).groupBy(*by).applyInPandas(_start, _MODEL)
-    model, _ = materialise(first, "quality-model")
-    for _ in range(steps):
-        f, m = rows.alias("f"), model.alias("m")
-        near = f.join(m, _same_group()).select(*(F.col(f"f.{c}") for c in by), *STATS, F.floor(F.log(_distance() + F.lit(1e-6)) * 32).cast("long").alias("bin"))
-        sums = [F.count("*").alias("n"), *(F.sum(n).cast("double").alias(f"s{i}") for i, n in enumerate(STATS)), *(F.sum((F.col(STATS[i]) * F.col(STATS[j])).cast("double")).alias(f"p{i}_{j}") for i, j in _PAIRS)]
-        model, _ = materialise(near.groupBy(*by, "bin").agg(*sums).groupBy(*by).applyInPandas(_concentrate(share), _MODEL), "quality-model")
+    hist = rows.select(*_BY, bins).groupBy(*_BY, "x.stat", "x.bin").agg(F.count("*").alias("n"))
+    totals = rows.groupBy(*_BY).agg(F.count("*").alias("total")).where(F.col("total") >= 16)
+    totals, _ = materialise(totals, "quality-totals")
+    same = lambda a, b: F.col(f"{a}.g_lang").eqNullSafe(F.col(f"{b}.g_lang")) & F.col(f"{a}.g_source").eqNullSafe(F.col(f"{b}.g_source")) & (F.col(f"{a}.level") == F.col(f"{b}.level"))
+    middle = hist.alias("h").join(totals.alias("t"), same("h", "t"), "left_semi").groupBy(*_BY).applyInPandas(_medians(factor), _MODEL)
+    drawn = F.filter(F.array(*(F.when(F.pmod(F.xxhash64(*STATS, F.lit(k)), F.lit(2**31)) * F.col("total") < SUBSET * 2**31, k) for k in range(1, STARTS + 1))), lambda k: k.isNotNull())
+    picked = rows.alias("r").join(totals.alias("t"), same("r", "t")).select(*(F.col(f"r.{c}") for c in _BY), *STATS, F.explode(drawn).alias("start"))
+    seeded = picked.groupBy(*_BY, "start").agg(*_moments()).groupBy(*_BY).applyInPandas(_subsets(factor), _MODEL)
+    model, _ = materialise(middle.unionByName(seeded), "quality-model")
+    for k in range(MOST_STEPS):
+        active = model.where(~F.col("settled"))
+        if k > 2 and active.isEmpty():
+            break
+        f, m = rows.alias("f"), active.alias("m")
+        near = f.join(m, _same_group()).select(*(F.col(f"f.{c}") for c in _BY), F.col("m.start").alias("start"), *STATS, F.floor(F.log(_distance() + F.lit(1e-6)) * 32).cast("long").alias("bin"))
+        sums = near.groupBy(*_BY, "start", "bin").agg(*_moments())
+        was = active.select(*(F.col(c).alias(c) for c in active.columns))
+        new = sums.groupBy(*_BY).cogroup(was.groupBy(*_BY)).applyInPandas(_concentrate(share, factor, k > 1), _MODEL)
+        model, _ = materialise(new.unionByName(model.where("settled")), "quality-model")
+    cutoff = chi_square_quantile(len(STATS), quantile)
     f, m = rows.alias("f"), model.alias("m")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     out = f.join(m, _same_group(), "left").select(*unbundle(kept, f"f.{DOC}"), *COUNTS, failed.alias("base_failed"), _distance().alias("distance"))

@@ -148,3 +148,59 @@ def mixture(rows, weights=(3, 1, 2), share=1.5, repeats_=2, seed="mix"):
             break
         taken[c[6], c[7], c[4]] += c[4]
     return {(i, s, n): (size[s], target[s], taken[i, s, n]) for i, s, n, _ in docs}
+
+
+FLOOR = (0.10, 0.10, 0.05, 0.01, 0.03)
+
+
+def statistics(text):
+    """The five transformed statistics of a text, in units of 1/1024."""
+    t, w = text or "", words(text)
+    n, chars = len(w), sum(map(len, w))
+    marks, capitals = len(re.findall(r"[#*$%&|<>!]", t)), len(re.findall("[A-ZÀ-Þ]", t))
+    lines = [x for x in t.split("\n") if WORD.search(x)]
+    raw = ((chars + 250) / (n + 50), math.sqrt(marks / (n + 50)), (len(lines) - len(set(lines))) / (len(lines) + 5), math.log(len(set(w)) + 50) / math.log(n + 50), math.sqrt(capitals / (chars + 250)))
+    return [math.floor(x * 1024 + 0.5) for x in raw]
+
+
+def outliers(rows, share=0.75, quantile_cut=25.7, factor=1.4121, min_rows=200):
+    """Squared distances of (lang, source, text) rows: least determinant of many random starts in each group."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    stats = np.array([statistics(t) for _, _, t in rows], float) / 1024
+    size = Counter((a, b) for a, b, _ in rows)
+    pooled = Counter()
+    for (a, _), n in size.items():
+        pooled[a] += n * (n < min_rows)
+    group = [(0, a, b) if size[a, b] >= min_rows else (1, a, None) if pooled[a] >= min_rows else (2, None, None) for a, b, _ in rows]
+    out = np.zeros(len(rows))
+    for g in set(group):
+        at = np.array([i for i, x in enumerate(group) if x == g])
+        x = stats[at]
+        if len(x) < 16:
+            continue
+
+        def distance(mean, cov):
+            d = x - mean
+            return np.einsum("ij,jk,ik->i", d, np.linalg.inv(cov), d)
+
+        def model(part):
+            return part.mean(axis=0), np.cov(part.T, bias=True) * factor + np.diag(np.square(FLOOR))
+
+        best = None
+        for _ in range(12):
+            mean, cov = model(x[rng.choice(len(x), min(len(x), 40), replace=False)])
+            last = np.inf
+            while True:
+                bins = np.floor(np.log(distance(mean, cov) + 1e-6) * 32)
+                edge = np.sort(bins)[math.ceil(share * len(x)) - 1]
+                new = model(x[bins <= edge])
+                det = np.linalg.slogdet(new[1])[1]
+                if det >= last - 1e-9:
+                    break
+                last, (mean, cov) = det, new
+            if best is None or last < best[0]:
+                best = last, mean, cov
+        out[at] = distance(*best[1:])
+    return out

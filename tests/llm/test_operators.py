@@ -170,6 +170,19 @@ def test_quality(spark, sf):
     assert sum(good) == len(good) and sum(bad) < 0.3 * len(bad)
 
 
+def test_the_verdict_is_that_of_a_plain_estimate(spark, sf):
+    """Minimum-covariance-determinant estimates with many random starts in numpy give the same verdicts."""
+    from factorloom.llm import quality
+
+    assert quality.chi_square_quantile(5, 0.999) == pytest.approx(20.515, abs=1e-3) and quality.consistency(0.75) == pytest.approx(1.4121, abs=1e-4)
+    assert quality.chi_square_quantile(5, 0.9999) == pytest.approx(25.7448, abs=1e-3)
+    docs = _table(spark, sf, "documents", "doc_id", "lang", "source", "text")
+    got = {r["doc_id"]: r for r in Q.QUERIES["op3_quality_rules"](spark, sf).collect()}
+    want = B.outliers([r[1:] for r in docs])
+    for (i, *_), d in zip(docs, want):
+        assert got[i]["kept"] == (not got[i]["base_failed"] and d <= 25.7448), (i, d, got[i]["distance"])
+
+
 def test_quality_of_odd_rows(spark, odd, odd_docs):
     got = judge(odd_docs)
     _kept_clashes(got)
@@ -387,13 +400,46 @@ def test_reply_trees(spark):
     best = {r["tree"]: r for r in format_trees(m).collect()}
     assert best["t"]["leaf"] == 4 and best["t"]["score"] == pytest.approx(1.2)
     assert format_trees(m, best=2).count() == 3
-    with pytest.raises(ValueError):
-        tree_paths(spark.createDataFrame(rows, m.schema), rounds=4)
+    cyclic = tree_paths(spark.createDataFrame([*rows, ("v", 3, 2, "user", "hangs from it", 0.0), ("v", 4, None, "user", "root", 0.0)], m.schema))
+    assert {(r["tree"], r["leaf"]): r["n"] for r in cyclic.groupBy("tree", "leaf").agg(F.count("*").alias("n")).collect()} == {("t", 4): 3, ("t", 5): 3, ("u", 9): 1, ("v", 4): 1}
     long = spark.createDataFrame([("w", k, k - 1 if k else None, "user", str(k), 0.0) for k in range(100)], m.schema)
     turns = format_trees(long).select(read_turns(F.col("formatted")).alias("t")).first()["t"]
     assert [t["text"] for t in turns] == [str(k) for k in range(100)]
 
 
+def test_repeated_messages(spark):
+    """A chain with each row twice is one path; of different rows with one id the first stays."""
+    rows = [("t", k, k - 1 if k else None, "user", f"m{k}", 1.0) for k in range(12) for _ in range(2)] + [("t", 5, 4, "user", "m0 first", 0.5), (None, None, None, "user", "no id", 0.0)]
+    m = spark.createDataFrame(rows, "tree string, id long, parent long, role string, text string, score double")
+    assert tree_paths(m).count() == 12
+    got = format_trees(m).select("score", read_turns(F.col("formatted")).alias("t")).collect()
+    assert len(got) == 1 and [t["text"] for t in got[0]["t"]] == ["m0 first" if k == 5 else f"m{k}" for k in range(12)] and got[0]["score"] == 11.5
+
+
+def test_branches_against_plain_python(spark):
+    """Random trees with ties: the best branches, their turns and scores."""
+    rng, rows = random.Random(5), []
+    for t in range(30):
+        for k in range(rng.randint(1, 40)):
+            rows.append((t, k, rng.randrange(k) if k and rng.random() < 0.95 else None, rng.choice(("user", "assistant")), f"{t}:{k}", float(rng.randint(0, 2))))
+    want = {}
+    for t in range(30):
+        own = {r[1]: r for r in rows if r[0] == t}
+        above = {r[2] for r in own.values()}
+        paths = []
+        for leaf in own.keys() - above:
+            path, at = [], leaf
+            while at is not None:
+                path.append(own[at])
+                at = own[at][2]
+            paths.append((-sum(r[5] for r in path), leaf, [(r[3], r[4]) for r in reversed(path)]))
+        for score, leaf, turns in sorted(paths)[:2]:
+            want[t, leaf] = (-score, turns)
+    m = spark.createDataFrame(rows, "tree long, id long, parent long, role string, text string, score double")
+    got = {(r["tree"], r["leaf"]): (r["score"], [(t["role"], t["text"]) for t in r["t"]]) for r in format_trees(m, best=2).select("tree", "leaf", "score", read_turns(F.col("formatted")).alias("t")).collect()}
+    assert got == want
+
+
 # 8 -------------------------------------------------------------------------------
 
 
