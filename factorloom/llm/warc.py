@@ -163,7 +163,7 @@ def write_archive(pages: DataFrame, page_id: str = "page_id", url: str = "url",
     return spark.read.schema(INDEX).parquet(f"{folder}/index"), folder
 
 
-def read_records(index: DataFrame, gap: int = 64 << 10, most: int = 8 << 20, stretch: int = 32 << 20) -> DataFrame:
+def read_records(index: DataFrame, gap: int = 64 << 10, most: int = 8 << 20, stretch: int = 16 << 20) -> DataFrame:
     """RECORD rows for the selected rows of an index.
 
     Ranges of one file are joined if at most ``gap`` bytes lie between them and
@@ -171,7 +171,10 @@ def read_records(index: DataFrame, gap: int = 64 << 10, most: int = 8 << 20, str
     """
     ship(index.sparkSession)
     spots = index.select("file", "offset", "length").withColumn("stretch", F.floor(F.col("offset") / stretch))
-    sorted_ = spots.repartition("file", "stretch").sortWithinPartitions("file", "offset")
+    # by the bytes to read: the index rows themselves are so few that Spark would give them one task
+    selected = index.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("bytes")).first()["bytes"]
+    tasks = max(2 * -(-selected // stretch), index.sparkSession.sparkContext.defaultParallelism)
+    sorted_ = spots.repartition(int(tasks), "file", "stretch").sortWithinPartitions("file", "offset")
     arrow = to_arrow_schema(RECORD)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
