@@ -5,8 +5,10 @@ Documents of a source are shuffled by a hash of their id and queue for
 words up to its end divided by the source's target, and the mix is the start of
 the global order of finish times that fits the total budget.  No sort sees a
 whole source: words are summed by (source, hash bucket), offsets come from the
-bucket sums, and exact order is only made inside buckets.  The place where the
-budget ends is found in a histogram of finish times, then exactly in one bin.
+bucket sums and are merged in on the partitioning that the buckets have, and
+exact order is only made inside buckets.  The place where the budget ends is
+found in a histogram of finish times, whose bin is cut into 4,096 again while
+it holds more than ``most_edge`` copies, then exactly in that bin.
 
 Targets: the budget is shared by weight; a source cannot give more than
 ``max_repeats`` times its size, and what is over goes to the others by weight.
@@ -29,8 +31,8 @@ from ._columns import col
 from ._store import materialise
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Bins of finish time, up to twice the target.
-BINS = 4096
+#: Bits of a level of the histogram of finish times, and its levels at most.
+BITS, LEVELS = 12, 4
 
 
 def shuffle_key(doc_id: Column, seed: str) -> Column:
@@ -54,7 +56,7 @@ def targets(sizes: DataFrame, weights: Sequence[float], share: float, max_repeat
     return found.select("source", "rank", "source_size", target.alias("target"))
 
 
-def mix_sources(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, max_repeats: int = 2, seed: str = "mix", text: str = "text", doc_id: str = "doc_id", source: str = "source", bucket_digits: int = 3) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, max_repeats: int = 2, seed: str = "mix", text: str = "text", doc_id: str = "doc_id", source: str = "source", bucket_digits: int = 3, most_edge: int = 200_000) -> DataFrame:
     """``doc_id, source, size, source_size, target, taken`` for each row of ``docs``.
 
     ``bucket_digits``: a source is cut into 16 to this power buckets; raise it
@@ -63,31 +65,42 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: fl
     size = F.coalesce(F.regexp_count(col(text), F.lit(WORD)), F.lit(0)).cast("long")
     narrow = docs.select(col(doc_id).alias("doc_id"), col(source).cast("string").alias("source"), size.alias("size"))
     narrow = narrow.withColumn("key", shuffle_key(F.col("doc_id"), seed))
-    rows, _ = materialise(narrow.withColumn("bucket", F.substring("key", 1, bucket_digits)), "mix-sizes")
-    sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
+    queue = F.concat_ws("", F.when(F.col("source").isNull(), "n").otherwise("s"), "source")  # never null, so that windows and joins agree
+    rows, _ = materialise(narrow.withColumns({"bucket": F.substring("key", 1, bucket_digits), "queue": queue}), "mix-sizes")
+    sums = rows.groupBy("queue", "bucket").agg(F.sum("size").alias("words"), F.first("source").alias("source"))
+    sums, _ = materialise(sums, "mix-sums")
     wanted, _ = materialise(targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, max_repeats), "mix-targets")
-    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("queue").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.withColumn("offset", F.coalesce(F.sum("words").over(before), F.lit(0))).alias("o")
-    offsets = offsets.join(wanted.alias("t"), F.col("o.source").eqNullSafe(F.col("t.source"))).select("o.source", "bucket", "offset", "rank", "source_size", "target")
+    offsets = offsets.join(wanted.alias("t"), F.col("o.source").eqNullSafe(F.col("t.source"))).select("queue", "bucket", "offset", "rank", "source_size", "target")
     offsets, _ = materialise(offsets, "mix-offsets")
-    inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    summed = rows.withColumn("within", F.sum("size").over(inside)).alias("r")
-    o = offsets.alias("o")
-    placed = summed.join(o, F.col("r.source").eqNullSafe(F.col("o.source")) & (F.col("r.bucket") == F.col("o.bucket"))).select("r.doc_id", "r.source", "size", "key", "rank", "source_size", "target", (F.col("offset") + F.col("within")).alias("upto"))
+    inside = Window.partitionBy("queue", "bucket").orderBy("key", "doc_id", "size").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = rows.withColumn("within", F.sum("size").over(inside))
+    placed = summed.join(offsets.hint("merge"), ["queue", "bucket"]).select("doc_id", "source", "size", "key", "rank", "source_size", "target", (F.col("offset") + F.col("within")).alias("upto"))
+    placed, _ = materialise(placed, "mix-placed")
 
     def finish(k: int) -> Column:
         done = (F.col("upto") + F.lit(k) * F.col("source_size")).cast("double")
         return F.when(F.col("target") > 0, done / F.when(F.col("target") > 0, F.col("target"))).otherwise(F.lit(0.0))
 
-    def bin_(k: int) -> Column:
-        return F.least(F.floor(finish(k) * BINS), F.lit(2 * BINS)).cast("long")
+    def bin_(at: Column, level: int) -> Column:
+        """Bins of one level are exact parts of those of the level before."""
+        return F.floor(at * float(1 << (BITS * level))).cast("long")
 
-    copies = F.explode(F.array(*(F.struct(bin_(k).alias("bin"), finish(k).alias("finish"), F.lit(k).alias("round")) for k in range(max_repeats)))).alias("c")
+    copies = F.explode(F.array(*(F.struct(finish(k).alias("finish"), F.lit(k).alias("round")) for k in range(max_repeats)))).alias("c")
     copy = placed.select("*", copies)
     budget = F.lit(float(share)) * F.lit(float(wanted.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]))
-    upto = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    bins = copy.groupBy("c.bin").agg(F.sum("size").alias("words")).withColumn("words_upto", F.sum("words").over(upto))
-    last = bins.where(F.col("words_upto") > budget).orderBy("bin").select("bin", (F.col("words_upto") - F.col("words")).alias("before")).first()
+    edge, spent, lower = copy, 0, 0.0
+    for level in range(1, LEVELS + 1):
+        bins = edge.groupBy(bin_(F.col("c.finish"), level).alias("bin")).agg(F.sum("size").alias("words"), F.count("*").alias("copies"))
+        upto = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        last = bins.withColumn("words_upto", F.sum("words").over(upto) + F.lit(spent)).where(F.col("words_upto") > budget).orderBy("bin").first()
+        if last is None:  # all is taken
+            break
+        spent, lower = last["words_upto"] - last["words"], last["bin"] / float(1 << (BITS * level))
+        edge = edge.where(bin_(F.col("c.finish"), level) == last["bin"])
+        if last["copies"] <= most_edge:
+            break
 
     def place(round_: Column, at: Column) -> Column:
         return F.struct(at.alias("finish"), F.col("rank").alias("rank"), F.col("key").alias("key"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.col("size").alias("size"), round_.alias("round"))
@@ -96,15 +109,15 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: fl
         counted = [F.lit(1)] * max_repeats
     else:
         # inside the bin where the budget ends: the exact order
-        edge = copy.where(F.col("c.bin") == last["bin"]).withColumn("place", place(F.col("c.round"), F.col("c.finish")))
+        ends = edge.withColumn("place", place(F.col("c.round"), F.col("c.finish")))
         run = F.sum("size").over(Window.orderBy("place").rangeBetween(Window.unboundedPreceding, Window.currentRow))
-        fits = edge.withColumn("run", run + F.lit(last["before"])).where(F.col("run") <= budget).agg(F.max("place").alias("p")).first()["p"]
+        fits = ends.withColumn("run", run + F.lit(spent)).where(F.col("run") <= budget).agg(F.max("place").alias("p")).first()["p"]
         counted = []
         for k in range(max_repeats):
-            early = bin_(k) < last["bin"]
+            early = finish(k) < lower
             if fits is not None:
                 end = F.struct(F.lit(fits["finish"]).alias("finish"), F.lit(fits["rank"]).alias("rank"), F.lit(fits["key"]).alias("key"), F.lit(fits["id"]).alias("id"), F.lit(fits["size"]).alias("size"), F.lit(fits["round"]).alias("round"))
-                early = early | ((bin_(k) == last["bin"]) & (place(F.lit(k), finish(k)) <= end))
+                early = early | (place(F.lit(k), finish(k)) <= end)
             counted.append(early.cast("int"))
     taken = (F.col("size") * sum(counted[1:], counted[0])).cast("long")
     return placed.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))

@@ -454,6 +454,7 @@ def test_mix_of_odd_rows(spark, odd, odd_docs):
     assert mix_sources(odd_docs.limit(0)).count() == 0
     assert mix_sources(odd_docs.where("doc_id < 3")).where("taken > 0").count() == 0
     assert _sorted(tuple(r) for r in mix_sources(odd_docs.repartition(5)).collect()) == _sorted(tuple(r) for r in rows)
+    assert _sorted(tuple(r) for r in mix_sources(odd_docs, most_edge=0).collect()) == _sorted(tuple(r) for r in rows)
 
 
 def test_mix_is_near_its_targets(spark, sf):
