@@ -116,6 +116,20 @@ def repeats(texts, window=35):
     return out
 
 
+def cut(text, window, every):
+    """Each removed word goes with the white space behind it."""
+    if text is None:
+        return None
+    own = words(text)
+    gone = [False] * len(own)
+    for k in range(len(own) - window + 1):
+        if every[tuple(own[k : k + window])] > 1:
+            gone[k : k + window] = [True] * window
+    lead = re.match(r"[\x20\x09-\x0D]*", text)[0]
+    pieces = re.findall(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*", text)
+    return lead + "".join(p for p, g in zip(pieces, gone) if not g)
+
+
 def mixture(rows, weights=(3, 1, 2), share=1.5, repeats_=2, seed="mix"):
     """{(doc_id, source, size): (source_size, target, taken)} for (doc_id, source, text) rows."""
     docs = [(i, s, len(words(t)), hashlib.md5(f"{seed}:{'' if i is None else i}".encode()).hexdigest()) for i, s, t in rows]

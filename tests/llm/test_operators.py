@@ -556,22 +556,6 @@ def test_repeats(spark, sf):
     assert _sorted(tuple(r) for r in Q.QUERIES["op10_substring_dedup"](spark, sf).collect()) == _sorted(want)
 
 
-def _cut(text, window, every):
-    """Each removed word goes with the white space behind it."""
-    import re
-
-    if text is None:
-        return None
-    words = B.words(text)
-    gone = [False] * len(words)
-    for k in range(len(words) - window + 1):
-        if every[tuple(words[k : k + window])] > 1:
-            gone[k : k + window] = [True] * window
-    lead = re.match(r"[\x20\x09-\x0D]*", text)[0]
-    pieces = re.findall(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*", text)
-    return lead + "".join(p for p, g in zip(pieces, gone) if not g)
-
-
 @pytest.mark.parametrize("batches,fanout,window", [(1, 2, 35), (3, 1, 35), (4, 9, 7), (2, 2, 1)])
 def test_repeats_of_odd_rows(spark, odd, odd_docs, batches, fanout, window):
     from collections import Counter
@@ -579,7 +563,7 @@ def test_repeats_of_odd_rows(spark, odd, odd_docs, batches, fanout, window):
     got = remove_repeats(odd_docs, window=window, batches=batches, fanout=fanout, with_text=True)
     texts = [r[1] for r in odd]
     every = Counter(tuple(w[k : k + window]) for w in map(B.words, texts) for k in range(len(w) - window + 1))
-    want = [(i, n, n - len(k), _digest(k), _cut(t, window, every)) for (i, t, *_), (n, k) in zip(odd, B.repeats(texts, window))]
+    want = [(i, n, n - len(k), _digest(k), B.cut(t, window, every)) for (i, t, *_), (n, k) in zip(odd, B.repeats(texts, window))]
     assert _sorted(tuple(r) for r in got.select("doc_id", "n_words", "n_removed", "kept_sha256", "kept_text").collect()) == _sorted(want)
     if batches == 1:
         _kept_clashes(got)

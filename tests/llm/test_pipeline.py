@@ -1,5 +1,7 @@
 """Each stage and the whole pipeline against plain Python, on small and on odd tables."""
 
+from collections import Counter
+
 import brute as B
 import pytest
 from pyspark.sql import functions as F
@@ -22,8 +24,9 @@ def _plain(rows, items):
         if n and (c not in first or (r[0] if r[0] is not None else 2**63) < (rows[first[c]][0] if rows[first[c]][0] is not None else 2**63)):
             first[c] = k
     rows = [r for k, r in enumerate(rows) if parts[k][0] == 0 or first[parts[k][1]] == k]
-    cut = B.repeats([r[1] for r in rows])
-    rows = [r if len(w) == n else (r[0], " ".join(w), r[2], r[3], len(" ".join(w))) for r, (n, w) in zip(rows, cut) if w or n == 0]
+    gone = B.repeats([r[1] for r in rows])
+    every = Counter(tuple(w[k : k + 35]) for w in (B.words(r[1]) for r in rows) for k in range(len(w) - 34))
+    rows = [r if len(w) == n else (r[0], t := B.cut(r[1], 35, every), r[2], r[3], len(t)) for r, (n, w) in zip(rows, gone) if w or n == 0]
     rows = [r for r in rows if not B.contamination(r[1], items)[3]]
     mix = B.mixture([(r[0], r[3], r[1]) for r in rows])
     return [(*r, len(B.words(r[1])), *mix[r[0], r[3], len(B.words(r[1]))]) for r in rows]
