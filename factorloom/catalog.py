@@ -122,14 +122,17 @@ def _pairs_sql(exprs: dict[str, str] = SCORED, history: int = _HISTORY) -> str:
     return f"{T.USER_DAY}, w AS (SELECT *, {cols} FROM p), l AS ({parts})"
 
 
+#: Pearson over all rows: missing where a return is infinite.
+_WHOLE_IC = """CASE WHEN count(*) >= 2 AND bool_and(isfinite(fwd)) AND stddev_pop(CASE WHEN isfinite(fwd) THEN factor END) > 1e-12 AND stddev_pop(CASE WHEN isfinite(fwd) THEN fwd END) > 1e-12
+        THEN covar_pop(factor, CASE WHEN isfinite(fwd) THEN fwd END) / (stddev_pop(factor) * stddev_pop(CASE WHEN isfinite(fwd) THEN fwd END)) END"""
+
+
 def _sections_sql(source: str = "l", out: str = "s", least: int = 8) -> str:
     rank = lambda c: f"rank() OVER (PARTITION BY expr_id, day ORDER BY {c}) + (count(*) OVER (PARTITION BY expr_id, day, {c}) - 1) / 2.0::DOUBLE"
-    ic = """CASE WHEN count(*) >= 2 AND bool_and(isfinite(fwd)) AND stddev_pop(CASE WHEN isfinite(fwd) THEN factor END) > 1e-12 AND stddev_pop(CASE WHEN isfinite(fwd) THEN fwd END) > 1e-12
-        THEN covar_pop(factor, CASE WHEN isfinite(fwd) THEN fwd END) / (stddev_pop(factor) * stddev_pop(CASE WHEN isfinite(fwd) THEN fwd END)) END"""
     spread = "avg(CASE WHEN place > n - greatest(1, floor(n * 0.2::DOUBLE)) THEN fwd END) - avg(CASE WHEN place <= greatest(1, floor(n * 0.2::DOUBLE)) THEN fwd END)"
     return f"""{out}0 AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY expr_id, day) AS n FROM {source} WHERE factor IS NOT NULL AND fwd IS NOT NULL) WHERE n >= {least}),
 {out}1 AS (SELECT *, {rank("factor")} AS rf, {rank("fwd")} AS rr, row_number() OVER (PARTITION BY expr_id, day ORDER BY factor, asset) AS place FROM {out}0),
-{out} AS (SELECT expr_id, day, any_value(n) AS assets, avg(CASE WHEN sign(factor) <> 0 THEN CAST(sign(factor) = sign(fwd) AS DOUBLE) END) AS dir_acc, {ic} AS ic, {_pearson("rf", "rr")} AS rank_ic,
+{out} AS (SELECT expr_id, day, any_value(n) AS assets, avg(CASE WHEN sign(factor) <> 0 THEN CAST(sign(factor) = sign(fwd) AS DOUBLE) END) AS dir_acc, {_WHOLE_IC} AS ic, {_pearson("rf", "rr")} AS rank_ic,
     CASE WHEN isfinite({spread}) THEN {spread} END AS spread FROM {out}1 GROUP BY expr_id, day)"""
 
 
@@ -175,13 +178,13 @@ def _invalid(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {_pairs_sql()}, d0 AS (SELECT expr_id, asset, factor, fwd FROM l WHERE factor IS NOT NULL AND fwd IS NOT NULL),
 d1 AS (SELECT *, rank() OVER (PARTITION BY expr_id, asset ORDER BY factor) + (count(*) OVER (PARTITION BY expr_id, asset, factor) - 1) / 2.0::DOUBLE AS rf,
     rank() OVER (PARTITION BY expr_id, asset ORDER BY fwd) + (count(*) OVER (PARTITION BY expr_id, asset, fwd) - 1) / 2.0::DOUBLE AS rr FROM d0),
-d2 AS (SELECT expr_id, asset, avg(CASE WHEN sign(factor) <> 0 THEN CAST(sign(factor) = sign(fwd) AS DOUBLE) END) AS dir_acc, {_pearson("rf", "rr")} AS rank_ic, count(*) AS samples FROM d1 GROUP BY 1, 2),
+d2 AS (SELECT expr_id, asset, avg(CASE WHEN sign(factor) <> 0 THEN CAST(sign(factor) = sign(fwd) AS DOUBLE) END) AS dir_acc, {_pearson("rf", "rr")} AS rank_ic, {_WHOLE_IC} AS ic, count(*) AS samples FROM d1 GROUP BY 1, 2),
 a AS (SELECT DISTINCT expr_id, asset FROM l)
-SELECT a.expr_id, a.asset, round(CASE WHEN samples IS NOT NULL THEN coalesce(dir_acc, -1.0::DOUBLE) END, 6) AS score, round(dir_acc, 6) AS dir_acc, round(rank_ic, 6) AS rank_ic, coalesce(samples, 0) AS samples
+SELECT a.expr_id, a.asset, round(CASE WHEN samples IS NOT NULL THEN coalesce(dir_acc, -1.0::DOUBLE) END, 6) AS score, round(dir_acc, 6) AS dir_acc, round(rank_ic, 6) AS rank_ic, round(ic, 6) AS ic, coalesce(samples, 0) AS samples
 FROM a LEFT JOIN d2 ON a.expr_id = d2.expr_id AND a.asset = d2.asset""",
 )
 def _score_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scored(scoring.score_direction(T.user_day(spark, sf_dir), list(SCORED), "crypto", "close", 1, _HISTORY).drop("expr", "ic"))
+    return _scored(scoring.score_direction(T.user_day(spark, sf_dir), list(SCORED), "crypto", "close", 1, _HISTORY).drop("expr"))
 
 
 @query("score_forward_returns", f"WITH {T.USER_DAY} SELECT asset, day, round(fwd, 6) AS fwd FROM p", times=('day',))
@@ -316,17 +319,43 @@ def _daily_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(rows.select("asset", "day", "dlyret"))
 
 
-@query(
-    "ingest_bars",
-    f"""WITH {T.TICKS}, r AS (SELECT *, date_trunc('hour', ts) AS h, CASE WHEN price > mid THEN 1 WHEN price < mid THEN -1 ELSE 0 END * size AS signed FROM tk),
+def _bars_sql(width: str, where: str = "true") -> str:
+    return f"""WITH {T.TICKS}, r AS (SELECT *, date_trunc('{width}', ts) AS h, CASE WHEN price > mid THEN 1 WHEN price < mid THEN -1 ELSE 0 END * size AS signed FROM tk WHERE {where}),
 g AS (SELECT symbol, h, arg_min(price, ts) AS open, max(price) AS high, min(price) AS low, arg_max(price, ts) AS "close", sum(size) AS volume, avg(sp) AS spread, avg(size) AS trade_size, count(*)::DOUBLE AS trade_count, sum(signed) AS signed, arg_max(mid, ts) FILTER (WHERE mid IS NOT NULL) AS mid FROM r GROUP BY 1, 2),
 m AS (SELECT *, last_value(mid IGNORE NULLS) OVER (PARTITION BY symbol, CAST(h AS DATE) ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS now_, last_value(mid IGNORE NULLS) OVER (PARTITION BY symbol, CAST(h AS DATE) ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS then_ FROM g)
 SELECT symbol, CAST(h AS TIMESTAMP) AS ts, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round("close", 6) AS "close", round(volume, 6) AS volume, round(spread, 6) AS spread, round(CASE WHEN then_ <> 0 THEN now_ / then_ - 1 END, 6) AS midret,
-    round(CASE WHEN abs(volume) > 0 THEN signed / abs(volume) END, 6) AS imbalance, round(trade_size, 6) AS trade_size, trade_count FROM m""", times=('ts',))
+    round(CASE WHEN abs(volume) > 0 THEN signed / abs(volume) END, 6) AS imbalance, round(trade_size, 6) AS trade_size, trade_count FROM m"""
+
+
+@query("ingest_bars", _bars_sql("hour"), times=("ts",))
 def _bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(ingest.build_bars(T.ticks(spark, sf_dir), "1 hour"))
 
 
+_SCANNED = "CAST(ts AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-16' AND isodow(ts) < 6 AND CAST(ts AS TIME) BETWEEN TIME '09:30:00' AND TIME '16:00:00' AND symbol IN ('CLICK', 'VIEW', 'PURCHASE')"
+
+
+def _named_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Symbols written carelessly."""
+    return T.ticks(spark, sf_dir).withColumn("symbol", F.concat(F.lit(" "), "symbol"))
+
+
+_SOME, _FROM, _TO = (" click", "VIEW", "", "view", "purchase "), "2024-01-05", "2024-01-16"
+
+
+@query("ingest_tick_scan", f"WITH {T.TICKS} SELECT symbol, ts, round(price, 6) AS price, round(size, 6) AS size FROM tk WHERE {_SCANNED} AND price IS NOT NULL", times=("ts",))
+def _tick_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ingest.scan_ticks(_named_ticks(spark, sf_dir), _SOME, _FROM, _TO)
+    return _round(found.select(F.upper(F.trim("symbol")).alias("symbol"), F.col("ts").cast("timestamp_ntz").alias("ts"), "price", "size"))
+
+
+@query("ingest_multi_day", _bars_sql("minute", _SCANNED), times=("ts",))
+def _multi_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One-minute bars of the business days of a range, in two batches that overlap."""
+    t = _named_ticks(spark, sf_dir)
+    return _round(ingest.build_days(t, _SOME, "2024-01-10", _TO, old=ingest.build_days(t, _SOME, _FROM, "2024-01-11")))
+
+
 @query("ingest_symbol_counts", "SELECT s AS symbol, coalesce(n, 0) AS \"rows\" FROM (SELECT DISTINCT event_type AS s FROM events UNION SELECT 'none') LEFT JOIN (SELECT event_type, count(*) AS n FROM events GROUP BY 1) ON s = event_type")
 def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = T.ticks(spark, sf_dir)

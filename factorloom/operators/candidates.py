@@ -63,12 +63,12 @@ def refine(text: str) -> Request:
         raise ValueError("the request is empty")
     ranked = registry.CROSS_SECTION if any(w in text for w in RANKING_WORDS) else registry.DIRECTION
     if any(w in text for w in INTRADAY_WORDS):
-        kind, market, space, price, rule = registry.INTRADAY, "wrds_taq", "taq", "close", "TAQ-derived"
+        kind, market, space, price, rule = registry.INTRADAY, "wrds_taq", "taq", "close", "bars built from trades and quotes"
     elif any(w in text for w in COIN_WORDS):
-        kind, market, space, price, rule = ranked, "crypto", "crypto", "close", "crypto OHLCV"
+        kind, market, space, price, rule = ranked, "crypto", "crypto", "close", "daily coin prices and volumes"
     else:
-        kind, market, space, price, rule = ranked, "wrds_crsp", "crsp", "dlyclose", "WRDS CRSP daily"
-    return Request(Scenario.of(kind, market, horizon_in(text), constraints=(f"use only point-in-time {rule} fields",)), space, price)
+        kind, market, space, price, rule = ranked, "wrds_crsp", "crsp", "dlyclose", "daily stock records"
+    return Request(Scenario.of(kind, market, horizon_in(text), constraints=(f"nothing but {rule}, as known at the time",)), space, price)
 
 
 # Candidates ------------------------------------------------------------------
@@ -208,14 +208,21 @@ def task_bank_frame(seeds: DataFrame, windows: DataFrame) -> DataFrame:
 
 
 def score_all(panel: DataFrame, exprs: Sequence[str], scenario: Scenario, space: str, price: str, min_history: int = 1, min_assets: int = 8) -> dict[str, dict[str, float | None]]:
-    """Metrics (with ``score``) of many expressions in one job."""
+    """Metrics (with ``score``) of many expressions in one job.
+
+    Direction is that of one asset: a panel of several is refused.  An
+    expression without scored rows has a missing score.
+    """
     if scenario.benchmark == registry.CROSS_SECTION:
         rows = score_cross_section(panel, exprs, space, price, scenario.horizon, min_history, min_assets).collect()
         names = ("score", *CROSS_SECTION_METRICS, "valid_times", "mean_assets")
     else:
+        if len(panel.select("asset").distinct().limit(2).collect()) > 1:
+            raise ValueError("a direction is scored for one asset; choose one of the panel's")
         rows = score_direction(panel, exprs, space, price, scenario.horizon, min_history).collect()
         names = ("score", "dir_acc", "ic", "rank_ic", "samples")
-    return {r["expr"]: {n: plain(r[n]) for n in names} for r in rows}
+    missing = dict.fromkeys(names) | ({"samples": 0} if "samples" in names else {})
+    return {e: dict(missing) for e in exprs} | {r["expr"]: {n: plain(r[n]) for n in names} for r in rows}
 
 
 @dataclass(frozen=True)
@@ -411,7 +418,7 @@ def reward_spread(outcomes: DataFrame, most_flat: float = 0.05) -> DataFrame:
     return out.withColumn("varies", F.col("reward_std") > most_flat)
 
 
-# Prompt rows and generators --------------------------------------------------
+# Prompt rows (their ids are of this package's own making) and generators --------------------------------------------------
 
 _SYSTEM = (
     "You improve quantitative factor expressions. Change the given seed into valid candidates. "
@@ -448,7 +455,7 @@ def prompt_rows(spark: SparkSession, tasks: Sequence[Task], space: str, repeats:
     rows = []
     for i, t in enumerate(tasks):
         family, split, s = f"{space}_{t.scenario.benchmark}", f"{t.window.start}_{t.window.end}", t.scenario
-        info = (i, f"{s.name}__{family}__{split}__{i}", f"seed_{i}", f"{space}_seed_{i}", t.seed_expr, float(t.seed_score), family, split, t.window.start, t.window.end, int(bar_minutes), space, s.benchmark, s.horizon, s.horizon, (t.window.start, t.window.end), (s.name, s.benchmark, s.market, s.horizon, s.objective, list(s.fields), list(s.constraints)), t.objective)
+        info = (i, f"{family}/{split}/{i}", f"{i}", f"{space}/{i}", t.seed_expr, float(t.seed_score), family, split, t.window.start, t.window.end, int(bar_minutes), space, s.benchmark, s.horizon, s.horizon, (t.window.start, t.window.end), (s.name, s.benchmark, s.market, s.horizon, s.objective, list(s.fields), list(s.constraints)), t.objective)
         rows += [(data_source, [(m["role"], m["content"]) for m in messages(t, space)], ([], "rule"), (*info, k)) for k in range(max(1, int(repeats)))]
     return spark.createDataFrame(rows, PROMPT_ROW)
 

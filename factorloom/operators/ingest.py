@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.guarded import finite, number, ratio
@@ -109,6 +109,45 @@ def build_bars(ticks: DataFrame, width: str = "1 minute", symbol: str = "symbol"
     return out.select("symbol", "ts", *BARS)
 
 
+def normal_symbols(symbols: Sequence[str]) -> tuple[str, ...]:
+    """Symbols trimmed, in upper case, in the order given, each once; none at all is an error."""
+    out = tuple(dict.fromkeys(t for x in symbols if (t := str(x).strip().upper())))
+    if not out:
+        raise ValueError("no symbol was given")
+    return out
+
+
+def scan_ticks(ticks: DataFrame, symbols: Sequence[str], start: str, end: str, opens: str = "09:30:00", closes: str = "16:00:00", symbol: str = "symbol", ts: str = "ts", price: str = "price", size: str = "size", day: str | None = None) -> DataFrame:
+    """Trades of some symbols on the business days of a range, within a time of day (both ends included), with price and size.
+
+    ``day``: a date column that the table is partitioned by; it prunes whole days.
+    """
+    when = F.col(ts).cast("timestamp_ntz")
+    first, last = F.lit(start).cast("date"), F.lit(end).cast("date")
+    clock = F.date_format(when, "HH:mm:ss.SSSSSS")
+    upto = closes if "." in closes else f"{closes}.000000"
+    out = ticks.where(F.col(day).between(first, last)) if day else ticks
+    return out.where(
+        when.cast("date").between(first, last)
+        & (F.weekday(when) < 5)
+        & clock.between(F.lit(opens), F.lit(upto))
+        & F.upper(F.trim(F.col(symbol).cast("string"))).isin(*normal_symbols(symbols))
+        & F.col(price).isNotNull()
+        & F.col(size).isNotNull()
+    )
+
+
+def read_days(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """A table of day partitions (``day=2024-01-02/``); files that are missing or cannot be read are passed over."""
+    return spark.read.schema(schema).option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").parquet(folder)
+
+
+def build_days(ticks: DataFrame, symbols: Sequence[str], start: str, end: str, width: str = "1 minute", old: DataFrame | None = None, **scan: str) -> DataFrame:
+    """Bars of several days in one job; bars of ``old`` stay where the new days have none."""
+    bars = build_bars(scan_ticks(ticks, symbols, start, end, **scan), width)
+    return bars if old is None else upsert(old, bars)
+
+
 def bars_panel(bars: DataFrame) -> DataFrame:
     """Bars as a panel; prices stay beside the features, for scoring on ``close``."""
     return bars.withColumnRenamed("symbol", "asset")

@@ -1,6 +1,7 @@
 from datetime import date
 
 import pytest
+from pyspark.sql import functions as F
 from test_scoring import coins, rising
 
 from factorloom.operators import candidates as C
@@ -59,7 +60,6 @@ def test_rewards_and_archive(tmp_path, spark):
     assert a.closest({"x": 2.0, "y": 4.0, "z": 8.0}) == pytest.approx(1.0) and a.closest({"x": 2.0}) == 0.0
     a.save(str(tmp_path / "a.jsonl"))
     assert C.Archive.load(str(tmp_path / "a.jsonl")).records == a.records and C.Archive.load(str(tmp_path / "none")).records == []
-    from pyspark.sql import functions as F
 
     files.write_archive(a.frame(spark).withColumn("task", F.lit("{}")), str(tmp_path / "table"))
     assert files.read_archive(spark, str(tmp_path / "table")).first()["metrics"] == {"x": 1.0, "y": 2.0, "z": 4.0}
@@ -111,3 +111,20 @@ def test_gate_and_rollout(spark):
     assert A.sweep(panel, ["last(crypto.close(1))", "neg(crypto.close(1))"], min_history=2)["passed"]
     bank, rows = A.rollout(panel, "crypto cross-sectional", lambda *_: ["last(crypto.low(1))", "bad("], ["last(crypto.close(1))"], min_history=2)
     assert len(bank.tasks) == 1 and [r["valid"] for r in rows] == [True, False]
+
+
+def test_direction_is_that_of_one_asset(spark):
+    rows = [(a, f"2024-01-{d:02d} 00:00:00", 1.0 + d * (1 if a == "x" else -1) / 100) for a in "xy" for d in range(1, 9)]
+    panel = spark.createDataFrame(rows, "asset string, ts string, close double").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    scenario = C.Scenario.of(registry.DIRECTION, "crypto", 1)
+    with pytest.raises(ValueError):
+        C.score_all(panel, ["last(crypto.close(1))"], scenario, "crypto", "close")
+    one = panel.where("asset = 'x'")
+    assert C.score_all(one, ["last(crypto.close(1))"], scenario, "crypto", "close")["last(crypto.close(1))"]["score"] == 1.0
+    short = C.score_all(one, ["last(crypto.close(1))"], scenario, "crypto", "close", min_history=50)
+    assert short == {"last(crypto.close(1))": {"score": None, "dir_acc": None, "ic": None, "rank_ic": None, "samples": 0}}
+
+
+def test_templates_are_valid():
+    for name in registry.surface_names():
+        assert all(C.realize(t).valid for t in registry.templates(name)), name

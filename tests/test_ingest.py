@@ -73,3 +73,17 @@ def test_stream(spark, tmp_path):
     write_upserts(stream_bars(stream), str(tmp_path / "out"), str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out" / "version=0")).orderBy("start").collect()
     assert [(r["open"], r["close"], r["trade_count"]) for r in got] == [(101.0, 120.0, 2), (99.0, 99.0, 1)]
+
+
+def test_tick_scan(spark, tmp_path):
+    rows = [(" ab ", "2024-01-05 09:30:00", 1.0, 1.0), ("AB", "2024-01-05 16:00:00", 2.0, 1.0), ("AB", "2024-01-05 16:00:00.000001", 3.0, 1.0), ("AB", "2024-01-06 10:00:00", 4.0, 1.0), ("C", "2024-01-08 10:00:00", 5.0, 1.0), ("AB", "2024-01-08 10:00:00", None, 1.0), ("AB", "2024-01-09 10:00:00", 6.0, 1.0)]
+    ticks = spark.createDataFrame(rows, "symbol string, ts string, price double, size double").selectExpr("symbol", "CAST(ts AS TIMESTAMP_NTZ) AS ts", "price", "size", "CAST(ts AS DATE) AS day")
+    assert I.normal_symbols([" ab", "AB", "", "c "]) == ("AB", "C")
+    with pytest.raises(ValueError):
+        I.scan_ticks(ticks, [" "], "2024-01-05", "2024-01-08")
+    ticks.write.partitionBy("day").parquet(str(tmp_path / "ticks"))
+    (tmp_path / "ticks" / "day=2024-01-05" / "broken.parquet").write_bytes(b"not parquet")
+    stored = I.read_days(spark, str(tmp_path / "ticks"), "symbol string, ts timestamp_ntz, price double, size double, day date")
+    got = I.scan_ticks(stored, ["ab"], "2024-01-05", "2024-01-08", day="day")
+    assert sorted(r["price"] for r in got.collect()) == [1.0, 2.0]
+    assert "PartitionFilters: [isnotnull(day" in got._jdf.queryExecution().executedPlan().toString()
