@@ -83,9 +83,10 @@ def ways_up(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
         if open_.isEmpty():
             break
         jumps.append(open_.select("tree", "node", "above"))
-        x, y = state.alias("x"), state.alias("y")
-        further = x.join(y, _same("x", "y") & (F.col("x.above") == F.col("y.node")), "left")
-        state, _ = materialise(further.select("x.tree", "x.node", "y.above", (F.col("x.sum") + F.coalesce("y.sum", F.lit(0.0))).alias("sum")), "tree-ways")
+        # ways that have reached a root are not joined again
+        x, y = open_.alias("x"), state.alias("y")
+        further = x.join(y, _same("x", "y") & (F.col("x.above") == F.col("y.node"))).select("x.tree", "x.node", "y.above", (F.col("x.sum") + F.col("y.sum")).alias("sum"))
+        state, _ = materialise(further.unionByName(state.where(F.col("above").isNull())), "tree-ways")
     # after as many rounds as the largest tree could take, what still goes up goes round
     done = state.where(F.col("above").isNull()).alias("d")
     leaf = done.join(first.alias("f"), _same("d", "f") & (F.col("d.node") == F.col("f.above")), "left_anti")
