@@ -83,6 +83,18 @@ def _file(spark: SparkSession, path: str):
     return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def move(spark: SparkSession, path: str, to: str) -> bool:
+    """Rename a folder, in place of what was at ``to``; false if there is none."""
+    where, store = _file(spark, path)
+    target, _ = _file(spark, to)
+    store.delete(target, True)
+    if not store.exists(where):
+        return False
+    if not store.rename(where, target):
+        raise OSError(f"{path} could not be moved to {to}")
+    return True
+
+
 def read_text(spark: SparkSession, path: str) -> str | None:
     """A small file, or None; if its replacement was broken off, the new one."""
     for at in (path, f"{path}.new"):

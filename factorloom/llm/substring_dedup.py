@@ -214,7 +214,10 @@ class Runs:
         return out
 
     def add(self, asked: DataFrame) -> DataFrame:
-        """Merge-join a batch of requests with the runs, keep its run, return its reports."""
+        """Merge-join a batch of requests with the runs, keep its run, return its reports.
+
+        The reports are read from the run's folder until ``taken`` moves or removes them.
+        """
         old = self.history()
         rows = asked if old is None else asked.unionByName(old)
         path = self._path()
@@ -222,6 +225,14 @@ class Runs:
         self.state["runs"].append(path)
         return self._open(path).where(F.col("kind") == _IS_REPORT)
 
+    def taken(self, to: str | None = None) -> bool:
+        """Move the last batch's reports out of its run's folder, or remove them; false if there are none to move."""
+        reports = f"{self.state['runs'][-1]}/kind={_IS_REPORT}"
+        if to is not None:
+            return _store.move(self.spark, reports, to)
+        _store.remove(self.spark, reports)
+        return False
+
     def compact(self, bits: int) -> list[str]:
         """One run in place of all, in 2^bits buckets; returns the folders that are no longer needed."""
         old = self.state["runs"]
@@ -241,7 +252,7 @@ class RepeatIndex:
     def __init__(self, spark: SparkSession, path: str, text: str = "text", window: int = 35, fanout: int = 4):
         self.spark, self.path, self.fanout = spark, path.rstrip("/"), fanout
         held = _store.read_text(spark, f"{self.path}/manifest.json")
-        self.state = json.loads(held) if held else {"text": text, "window": window, "words": 0, "batches": 0, "chunks": [], "hits": [], "schema": None, "keys": {"runs": [], "bits": 0}, "digests": {"runs": [], "bits": 0}}
+        self.state = json.loads(held) if held else {"text": text, "window": window, "words": 0, "batches": 0, "chunks": [], "folds": 0, "hits": [], "schema": None, "keys": {"runs": [], "bits": 0}, "digests": {"runs": [], "bits": 0}}
         if (self.state["text"], self.state["window"]) != (text, window):
             raise ValueError(f"this index holds windows of {self.state['window']} words of {self.state['text']}")
         self.window = window
@@ -267,7 +278,7 @@ class RepeatIndex:
         self.state.update(schema=schema, batches=number, chunks=[*self.state["chunks"], path], words=self.state["words"] + total["n_words"])
         return table, total
 
-    def fold(self, chunks: DataFrame, words: int) -> None:
+    def fold(self, chunks: DataFrame) -> None:
         """Find what ``chunks`` (stored, not folded in yet) share with each other and with the index."""
         gone: list[str] = []
         for name, per in (("keys", 8), ("digests", 2)):
@@ -295,19 +306,22 @@ class RepeatIndex:
             count = np.diff(np.concatenate((np.flatnonzero(first), [len(a)])))
             return pa.table(_rows(_IS_REPORT, chunk, a[head], b[head], np.minimum(count, 2).astype(np.uint8), digest_bits), schema=_RUN_ARROW)
 
-        told = self._runs("keys").add(ask(chunks, fingerprints, _RUN))
-        held = self._chunks() if len(self.state["chunks"]) > 1 or self.state["hits"] else chunks
+        keys, digests = self._runs("keys"), self._runs("digests")
+        told = keys.add(ask(chunks, fingerprints, _RUN))
+        held = self._chunks() if len(self.state["chunks"]) > 1 or self.state["folds"] else chunks
         wanted = held.join(told.select("chunk").distinct(), "chunk", "left_semi")
-        hits = self._runs("digests").add(resolve(wanted, told, whole, _RUN))
-        path = f"{self.path}/hits-{len(self.state['hits']) + 1:06d}"
-        _store.write(hits.select("chunk", "n", "keys", "rest"), path, "none", mode="overwrite")
-        self.state["hits"].append(path)
+        digests.add(resolve(wanted, told, whole, _RUN))
+        keys.taken()
+        path = f"{self.path}/hits-{self.state['folds'] + 1:06d}"
+        found = digests.taken(path)
+        self.state.update(folds=self.state["folds"] + 1, hits=self.state["hits"] + [path] * found)
         self._save()
         for p in gone:
             _store.remove(self.spark, p)
 
     def _hits(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.schema("chunk long, n int, keys binary, rest binary").parquet(*paths)
+        schema = "chunk long, n int, keys binary, rest binary"
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def decide(self, chunks: DataFrame, kept: list[str], with_text: bool = False) -> DataFrame:
         """Decisions on the rows of ``chunks``, from all that the index has found."""
@@ -359,9 +373,10 @@ class RepeatIndex:
 
     def add(self, docs: DataFrame, with_text: bool = False) -> DataFrame:
         """Fold a batch in; decisions on its rows, and again on older rows of the chunks that it touches (``is_new`` false)."""
-        chunks, total = self.store(docs)
-        self.fold(chunks, total["n_words"])
-        touched = self._hits(self.state["hits"][-1:]).select("chunk").unionByName(chunks.select("chunk")).distinct()
+        chunks, _ = self.store(docs)
+        before = len(self.state["hits"])
+        self.fold(chunks)
+        touched = self._hits(self.state["hits"][before:]).select("chunk").unionByName(chunks.select("chunk")).distinct()
         names = {"n_words", "n_removed", "kept_sha256", "kept_text", "is_new", self.state["text"]}
         out = self.decide(self._chunks().join(touched, "chunk", "left_semi"), [c for c in docs.columns if c not in names], with_text)
         return out.withColumn("is_new", F.shiftright("__chunk", _BATCH) == self.state["batches"]).drop("__chunk")
@@ -379,8 +394,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", window: int = 35, batche
     spark = docs.sparkSession
     index = RepeatIndex(spark, _store.new_path(spark, "repeats"), "__text", window, fanout)
     given = docs.select(*(col(c).alias(f"c{i}") for i, c in enumerate(kept)), col(text).alias("__text"))
-    chunks, total = index.store(given)
+    chunks, _ = index.store(given)
     for b in range(batches):
-        index.fold(chunks.where(F.pmod(F.col("chunk"), F.lit(batches)) == b), total["n_words"])
+        index.fold(chunks.where(F.pmod(F.col("chunk"), F.lit(batches)) == b))
     out = index.decide(chunks, [f"c{i}" for i in range(len(kept))], with_text)
     return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(kept)), "n_words", "n_removed", "kept_sha256", *["kept_text"] * with_text)
