@@ -262,15 +262,36 @@ def _lib_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(library.evaluate(fused).drop("expr_id"))
 
 
-@query("lib_evaluate")
+_SCORED_NAMES = "[" + ", ".join(f"'{e}'" for e in SCORED) + "]"
+
+
+def _totals_sql(source: str, out: str) -> str:
+    return _TOTALS.replace("t AS", f"{out} AS", 1).replace("FROM s ", f"FROM {source} ")
+
+
+@query(
+    "lib_evaluate",
+    f"""WITH RECURSIVE {_pairs_sql()}, d AS (SELECT list(day ORDER BY day) AS ds, least(CAST(floor(count(*) * 0.7::DOUBLE) AS BIGINT), count(*) - 1) AS k, count(*) AS n FROM (SELECT DISTINCT day FROM p)),
+cut AS (SELECT ds[1] AS v0, ds[k + 1] AS v1, ds[least(k + 1, n - 1) + 1] AS t0, ds[n] AS t1 FROM d),
+lv AS (SELECT l.* FROM l, cut WHERE day BETWEEN v0 AND v1), {_sections_sql("lv", "sv")}, {_totals_sql("sv", "tv")},
+c AS (SELECT x.expr_id AS a, y.expr_id AS b, x.factor AS u, y.factor AS v FROM lv x JOIN lv y ON x.day = y.day AND x.asset = y.asset AND x.expr_id < y.expr_id WHERE x.factor IS NOT NULL AND y.factor IS NOT NULL),
+near AS (SELECT a, b FROM c GROUP BY a, b HAVING abs({_pearson("u", "v")}) > 0.7),
+o AS (SELECT CAST(i AS INTEGER) AS expr_id, row_number() OVER (ORDER BY coalesce(rank_ic_mean, -1e12) DESC, i) AS place, coalesce((SELECT list(CASE WHEN a = i THEN b ELSE a END) FROM near WHERE a = i OR b = i), []) AS rivals FROM range({len(SCORED)}) r(i) LEFT JOIN tv ON expr_id = i),
+g AS (SELECT 0::BIGINT AS i, []::INTEGER[] AS chosen UNION ALL SELECT g.i + 1, CASE WHEN len(chosen) < 5 AND NOT list_has_any(chosen, rivals) THEN list_append(chosen, expr_id) ELSE chosen END FROM g JOIN o ON place = g.i + 1),
+best AS (SELECT arg_max(chosen, i) AS chosen FROM g), {_RANKED},
+z AS (SELECT day, asset, round(sum("rank") / len(chosen), 12) AS factor, any_value(fwd) AS fwd FROM n, best WHERE list_contains(chosen, expr_id) GROUP BY day, asset, chosen HAVING count(*) = len(chosen)),
+zs AS (SELECT 0 AS expr_id, z.* FROM z, cut WHERE day BETWEEN v0 AND v1 UNION ALL SELECT 1, z.* FROM z, cut WHERE day BETWEEN t0 AND t1), {_sections_sql("zs")}, {_TOTALS}
+SELECT split, array_to_string(list_transform(chosen, lambda i: {_SCORED_NAMES}[i + 1]), ',') AS selected, round(rank_ic_mean, 6) AS rank_ic_mean, round(ic_mean, 6) AS ic_mean, coalesce(valid_times, 0) AS valid_times
+FROM (VALUES (0, 'validation_fused'), (1, 'test_fused')) AS e(k, split) CROSS JOIN best LEFT JOIN t ON expr_id = k""",
+)
 def _lib_evaluate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Selection and fusion on a 70/30 split of days; sequential, so held against plain Python in tests."""
+    """Selection and fusion on a 70/30 split of days."""
     panel = T.user_day(spark, sf_dir)
     days = [r[0] for r in panel.select(F.col("ts").cast("date")).distinct().orderBy("ts").collect()]
     first, second = C.split_days(days)
     found = library.evaluate_library(panel, list(SCORED), "crypto", "close", library.Selection((first.start, first.end), (second.start, second.end), min_history=_HISTORY))
     rows = [(e.split, ",".join(found.selected), e.rank_ic_mean, e.ic_mean, e.valid_times) for e in (found.validation, found.test)]
-    return spark.createDataFrame(rows, "split string, selected string, rank_ic_mean double, ic_mean double, valid_times long")
+    return _round(spark.createDataFrame(rows, "split string, selected string, rank_ic_mean double, ic_mean double, valid_times long"))
 
 
 # Ingest -----------------------------------------------------------------------------
@@ -518,22 +539,56 @@ def _spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(C.reward_spread(o), 4)
 
 
-@query("seed_discover")
+def _settled_sql(exprs: dict[str, str], least: float) -> str:
+    """CTE y: k, score, reward, stored; what is stored changes the rewards after it."""
+    named = ("score", "rank_ic_mean", "rank_ic_std", "rank_ic_ir", "long_short_mean", "long_short_sharpe", "valid_times", "mean_assets")
+    profile = " UNION ALL ".join(f"SELECT k, '{m}' AS name, CAST({m} AS DOUBLE) AS x FROM made" for m in named)
+    closest = "coalesce(list_max(list_transform(list_filter(others, lambda e: list_contains(held, e.b)), lambda e: e.c)), 0)"
+    reward = f"greatest(-1.0::DOUBLE, least(1.0::DOUBLE, score + 0.05::DOUBLE + 0.05::DOUBLE * (1 - {closest})))"
+    kept = f"score >= {least} AND {reward} >= {least}"
+    return f"""{_pairs_sql(exprs)}, {_sections_sql()}, {_TOTALS},
+made AS (SELECT i AS k, CASE WHEN rank_ic_mean IS NULL THEN -1.0::DOUBLE ELSE greatest(-1.0::DOUBLE, least(1.0::DOUBLE, rank_ic_mean * 5 + 0.02::DOUBLE * tanh(rank_ic_ir))) END AS score, * EXCLUDE (i, valid_times, mean_assets), coalesce(valid_times, 0) AS valid_times, coalesce(mean_assets, 0) AS mean_assets FROM range({len(exprs)}) r(i) LEFT JOIN t ON expr_id = i),
+u AS ({profile}), v AS (SELECT x.k AS a, y.k AS b, coalesce(abs({_pearson("x.x", "y.x")}), 0) AS c FROM u x JOIN u y ON x.name = y.name AND y.k < x.k GROUP BY x.k, y.k),
+o AS (SELECT k, score, coalesce((SELECT list({{'b': b, 'c': c}}) FROM v WHERE a = k), []) AS others FROM made),
+g AS (SELECT -1::BIGINT AS k, 0.0::DOUBLE AS score, 0.0::DOUBLE AS reward, false AS stored, []::BIGINT[] AS held
+    UNION ALL SELECT o.k, o.score, {reward.replace("score", "o.score")}, {kept.replace("score", "o.score")}, CASE WHEN {kept.replace("score", "o.score")} THEN list_append(held, o.k) ELSE held END FROM g JOIN o ON o.k = g.k + 1),
+y AS (SELECT k, round(score, 6) AS score, round(reward, 6) AS reward, stored FROM g WHERE k >= 0)"""
+
+
+@query(
+    "seed_discover",
+    f"""WITH RECURSIVE {_settled_sql(SCORED, -1.0)} SELECT {_SCORED_NAMES}[k + 1] AS expr, true AS valid, score, reward, stored, '' AS reason FROM y
+UNION ALL SELECT 'bad(', false, -1.0::DOUBLE, NULL, false, {_quoted(C.realize("bad(").reason)}""",
+)
 def _discover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A generator's candidates through scoring, reward and archive; order-dependent, tested in Python."""
+    """A generator's candidates through scoring, reward and archive."""
     scenario = C.Scenario.of(registry.CROSS_SECTION, "crypto", 1)
     task = C.Task(FLAGSHIP, 0.0, scenario, C.Period("2024-01-01", "2024-01-30"), scenario.objective)
     made = C.discover(T.user_day(spark, sf_dir), task, "crypto", "close", lambda *_: [*SCORED, FLAGSHIP, "bad("], archive=C.Archive(), min_history=5, min_score=-1.0, min_reward=-1.0)
-    return spark.createDataFrame([(o.expr, o.valid, o.score, o.reward, o.stored, o.reason) for o in made], "expr string, valid boolean, score double, reward double, stored boolean, reason string")
+    return _round(spark.createDataFrame([(o.expr, o.valid, o.score, o.reward, o.stored, o.reason) for o in made], "expr string, valid boolean, score double, reward double, stored boolean, reason string"))
 
 
-@query("seed_completions")
+#: The valid first expressions of the completions, with their places there, in SQL (the field of another namespace has no values here).
+_COMPLETED = {
+    "ts_mean(crypto.close(5))": (0, f"avg({_CLOSE}) {_w(5)}"),
+    "add(ts_std(crypto.close(4)), ts_mean(crypto.volume(3)))": (1, f"stddev_pop({_CLOSE}) {_w(4)} + avg(volume) {_w(3)}"),
+    "last(crsp.dlyclose(1))": (3, "CAST(NULL AS DOUBLE)"),
+    "corr(crypto.close(9), crypto.volume(9))": (6, _pearson(_CLOSE, "volume", _w(9))),
+}
+
+
+@query(
+    "seed_completions",
+    f"""WITH RECURSIVE {_settled_sql({e: q for e, (_, q) in _COMPLETED.items()}, 0.0)}
+SELECT CAST({[i for i, _ in _COMPLETED.values()]}[k + 1] AS INTEGER) AS ordinal, {list(_COMPLETED)}[k + 1] AS expr, true AS valid, score, reward, stored FROM y
+UNION ALL SELECT * FROM (VALUES (2, 'unknown(crypto.close(5))', false, -1.0::DOUBLE, -1.0::DOUBLE, false), (4, 'no expression here', false, -1.0, -1.0, false), (5, '', false, -1.0, -1.0, false))""",
+)
 def _rewarded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One reward for each completion, from its first expression; order-dependent, tested in Python."""
+    """One reward for each completion, from its first expression."""
     scenario = C.Scenario.of(registry.CROSS_SECTION, "crypto", 1)
     task = C.Task(FLAGSHIP, 0.0, scenario, C.Period("2024-01-01", "2024-01-30"), scenario.objective)
     made = C.reward_completions(T.user_day(spark, sf_dir), T.COMPLETIONS, task, "crypto", "close", C.Archive(), min_history=5)
-    return spark.createDataFrame([(i, o.expr, o.valid, o.score, o.reward, o.stored) for i, o in enumerate(made)], "ordinal int, expr string, valid boolean, score double, reward double, stored boolean")
+    return _round(spark.createDataFrame([(i, o.expr, o.valid, o.score, o.reward, o.stored) for i, o in enumerate(made)], "ordinal int, expr string, valid boolean, score double, reward double, stored boolean"))
 
 
 @query("seed_prompt_rows", "SELECT 'factorloom/factor_dsl' AS data_source, CAST(i AS INTEGER) AS index, CAST(k AS INTEGER) AS repeat_index, 'rule' AS style, 2::INTEGER AS messages, 'crypto_daily_cross_sectional_rankic' AS family FROM range(2) t(i) CROSS JOIN range(3) u(k)")

@@ -95,10 +95,13 @@ def normalised_rank(pairs: DataFrame, keys: Sequence[str] = ("expr_id",)) -> Dat
 
 
 def fuse(pairs: DataFrame, chosen: Sequence[int]) -> DataFrame:
-    """``ts, asset, factor, fwd``: the mean normalised rank of the chosen factors, where all are known."""
+    """``ts, asset, factor, fwd``: the mean normalised rank of the chosen factors, where all are known.
+
+    Means that agree in twelve digits are equal, so that the order in which rows arrive breaks no tie.
+    """
     ranked = normalised_rank(pairs.where(F.col("expr_id").isin(list(chosen))))
     cells = ranked.groupBy("ts", "asset").agg(F.count("*").alias("k"), F.sum("rank").alias("s"), F.first("fwd").alias("fwd"))
-    return cells.where(F.col("k") == len(chosen)).select("ts", "asset", (F.col("s") / len(chosen)).alias("factor"), "fwd")
+    return cells.where(F.col("k") == len(chosen)).select("ts", "asset", F.round(F.col("s") / len(chosen), 12).alias("factor"), "fwd")
 
 
 def _evaluation(name: str, split: str, row) -> Evaluation:
