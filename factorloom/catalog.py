@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from . import tables as T
 from .operators import acceptance, factors, ingest, library, scoring
 from .operators import candidates as C
-from .plans import expr as X
 from .plans import registry
 from .sources import panels
 from .streaming.bars import stream_bars
@@ -499,15 +498,26 @@ def _task_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.task_bank_frame(seeds, spark.createDataFrame(windows, "start string, end string"))
 
 
-_SEED_BANK_EXPRS = [e for e in registry.templates(registry.CROSS_SECTION) if X.only_uses(e, "crypto")]
+#: The request's templates in SQL; test_catalog holds the names against the registry.
+SEED_BANK = {
+    "neg(div(ts_mean(crypto.returns(7)), ts_std(crypto.returns(30))))": f"-(CASE WHEN abs(stddev_pop({_fin(_RET)}) {_w(30)}) >= 1e-12 THEN avg({_fin(_RET)}) {_w(7)} / stddev_pop({_fin(_RET)}) {_w(30)} END)",
+    "neg(corr(crypto.returns(25), crypto.volume(25)))": f"-({_pearson(_RET, 'volume', _w(25))})",
+    "div(sub(last(crypto.close(1)), ts_min(crypto.low(40))), ts_std(crypto.close(40)))": f"CASE WHEN abs(stddev_pop({_CLOSE}) {_w(40)}) >= 1e-12 THEN ({_CLOSE} - min(low) {_w(40)}) / stddev_pop({_CLOSE}) {_w(40)} END",
+}
+_TWO_DAYS = _pairs_sql(SEED_BANK).replace('lead("close") OVER a', 'lead("close", 2) OVER a')
 
 
-@query("seed_bank")
+@query(
+    "seed_bank",
+    f"""WITH {_TWO_DAYS}, {_sections_sql()}, {_TOTALS}
+SELECT {list(SEED_BANK)}[i + 1] AS expr, round(CASE WHEN rank_ic_mean IS NULL THEN -1.0::DOUBLE ELSE greatest(-1.0::DOUBLE, least(1.0::DOUBLE, rank_ic_mean * 5 + 0.02::DOUBLE * tanh(rank_ic_ir))) END, 6) AS score, x.start, x."end", 2::INTEGER AS horizon
+FROM range({len(SEED_BANK)}) r(i) LEFT JOIN t ON expr_id = i CROSS JOIN (VALUES ('2024-01-01', '2024-01-15'), ('2024-01-16', '2024-01-30')) AS x(start, "end")""",
+)
 def _seed_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All templates of a request, scored in one job; expression by expression in score_* queries' SQL."""
+    """All templates of a request, scored in one job."""
     request = C.refine("cross-sectional rankic on crypto, horizon 2d")
     bank = C.seed_bank(T.user_day(spark, sf_dir), request.scenario, request.space, request.price, C.time_windows("2024-01-01", "2024-01-30", 2), min_history=5)
-    return spark.createDataFrame([(t.seed_expr, t.seed_score, t.window.start, t.window.end, t.scenario.horizon) for t in bank.tasks], "expr string, score double, start string, end string, horizon int")
+    return _round(spark.createDataFrame([(t.seed_expr, t.seed_score, t.window.start, t.window.end, t.scenario.horizon) for t in bank.tasks], "expr string, score double, start string, end string, horizon int"))
 
 
 _REWARD_ROWS = [

@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 from factorloom import catalog
+from factorloom.plans import expr, registry
 
 
 @pytest.fixture(scope="module")
@@ -32,6 +33,11 @@ def test_query(spark, sf, db, name):
         assert len(got)
 
 
+def test_the_seed_bank_holds_all_templates():
+    own = [e for e in registry.templates(registry.CROSS_SECTION) if expr.only_uses(e, "crypto")]
+    assert own == list(catalog.SEED_BANK)
+
+
 def test_entry(spark, sf):
     spec = importlib.util.spec_from_file_location("entry_point", Path(__file__).resolve().parents[1] / "__spark_entry__.py")
     module = importlib.util.module_from_spec(spec)
