@@ -1,3 +1,4 @@
+import random
 from datetime import date
 
 import pytest
@@ -128,3 +129,22 @@ def test_direction_is_that_of_one_asset(spark):
 def test_templates_are_valid():
     for name in registry.surface_names():
         assert all(C.realize(t).valid for t in registry.templates(name)), name
+
+
+def test_rewards_against_an_archive_in_blocks(spark):
+    """The blocks give what the archive gives record by record."""
+    names, draw = ("score", "x", "y", "z", "w"), random.Random(5)
+    profile = lambda: {n: draw.choice([draw.uniform(-2, 2), draw.uniform(-2, 2), None, float("inf"), 1.0]) for n in draw.sample(names, draw.randint(0, 5))}
+    held = [C.Record(f"e{i}", f"s{i}", 0.0, 0.0, profile()) for i in range(23)]
+    rows = [(i, f"c{i}", f"s{i}" if i % 3 == 0 else f"n{i}", i % 5 > 0, 0.1, profile() if i % 7 else None) for i in range(20)]
+    given = spark.createDataFrame(rows, "ordinal int, expr string, signature string, valid boolean, score double, metrics map<string,double>")
+    archive = C.Archive(held)
+    for some, frame in ((archive, archive.frame(spark)), (C.Archive(), C.Archive().frame(spark))):
+        for block in (4, 1024):
+            got = {r["ordinal"]: r for r in C.reward_batch(given, frame, block=block).collect()}
+            assert len(got) == len(rows)
+            for ordinal, _, signature, valid, score, metrics in rows:
+                closest = some.closest(metrics or {})
+                assert got[ordinal]["closest"] == pytest.approx(closest, abs=1e-9)
+                assert got[ordinal]["duplicate"] == (signature in some)
+                assert got[ordinal]["reward"] == pytest.approx(C.reward_of(score, signature in some, closest) if valid else -1.0, abs=1e-9)
