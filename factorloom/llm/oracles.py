@@ -40,3 +40,29 @@ g AS (SELECT DISTINCT doc_id, i + k AS p FROM v, range(35) t(k) WHERE c > 1),
 x AS (SELECT doc_id, p, ws[p] AS word FROM w, unnest(range(1, len(ws) + 1)) t(p)),
 y AS (SELECT x.doc_id, string_agg(word, ' ' ORDER BY x.p) AS kept, count(*) AS n FROM x ANTI JOIN g ON g.doc_id = x.doc_id AND g.p = x.p GROUP BY 1)
 SELECT w.doc_id, len(ws)::BIGINT AS n_words, len(ws)::BIGINT - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN y ON y.doc_id = w.doc_id"""
+
+
+def _crc32(text: str) -> str:
+    """crc32 of a short text, bit by bit."""
+    steps = f"flatten(list_transform(range(1, length({text}) + 1), lambda k: [ascii(({text})[k])::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))"
+    return f"xor(list_reduce([4294967295::BIGINT] || {steps}, lambda c, b: CASE WHEN b >= 0 THEN xor(c, b) ELSE xor(c >> 1, 3988292384 * (c & 1)) END), 4294967295)"
+
+
+RUNS = f"""
+WITH o AS (SELECT doc_id, {_WORDS} AS ws, {_crc32("doc_id::VARCHAR")} AS h FROM documents),
+p AS (SELECT doc_id, ws, h, len(ws) AS n, (h // 10) % greatest(len(ws), 1) AS a, (h // 10) % 8 AS r FROM o),
+d AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN
+    list_transform(range(n), lambda i: ws[CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + r)) END + 1]) ELSE ws END AS ws FROM p),
+w AS (SELECT doc_id, n, i, ws[i + 1] AS w FROM d, unnest(range(n)) t(i)),
+m AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM w x JOIN w y ON x.doc_id = y.doc_id AND x.w = y.w AND y.i > x.i AND 3 * (y.i - x.i) <= x.n),
+g AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM m),
+c AS (SELECT doc_id, q, min(i) AS s, count(*) + q AS len FROM g GROUP BY doc_id, q, island HAVING count(*) >= greatest(24 - q, 2 * q)),
+f AS (SELECT doc_id, s, len, min(q) AS q FROM c GROUP BY doc_id, s, len),
+b AS (SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q) AS lines FROM f GROUP BY doc_id),
+t AS (SELECT x.doc_id, x.s, x.len, x.q FROM f x WHERE NOT EXISTS (SELECT 1 FROM f y WHERE y.doc_id = x.doc_id
+    AND (y.len * x.q > x.len * y.q OR y.len * x.q = x.len * y.q AND (y.s < x.s OR y.s = x.s AND y.q < x.q)))),
+e AS (SELECT DISTINCT doc_id, k AS i FROM f, unnest(range(s + q, s + len)) u(k)),
+k AS (SELECT w.doc_id, string_agg(w.w, ' ' ORDER BY w.i) AS kept FROM w ANTI JOIN e ON e.doc_id = w.doc_id AND e.i = w.i GROUP BY w.doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, t.s AS start, t.len AS length, t.q AS period, 1000 * t.len // t.q AS exponent_milli,
+    sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM d LEFT JOIN b ON b.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id LEFT JOIN k ON k.doc_id = d.doc_id"""

@@ -159,3 +159,24 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     packed = pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), length=1024, end_id=0)
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query("op13_periodic_runs", oracles.RUNS)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of all documents, a tenth of which have a period put in."""
+    from .periodic_runs import find_runs, plant_period, strongest
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", plant_period(F.col("text"), F.col("doc_id")).alias("text"))
+    found = find_runs(docs).withColumn("best", strongest(F.col("runs")))
+    line = lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string"))
+    lines = F.transform("runs", lambda r: F.concat(line(r), F.lit("\n")))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.floor(F.lit(1000) * F.col("best.length") / F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
