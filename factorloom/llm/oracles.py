@@ -66,3 +66,25 @@ k AS (SELECT w.doc_id, string_agg(w.w, ' ' ORDER BY w.i) AS kept FROM w ANTI JOI
 SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, t.s AS start, t.len AS length, t.q AS period, 1000 * t.len // t.q AS exponent_milli,
     sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
 FROM d LEFT JOIN b ON b.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id LEFT JOIN k ON k.doc_id = d.doc_id"""
+
+TRIE = f"""
+WITH RECURSIVE o AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, count(*) AS n, {_crc32("conv_id::VARCHAR")} % 6 AS h, conv_id - conv_id % 100 AS base FROM o GROUP BY conv_id),
+s AS (SELECT c.conv_id, c.base, c.h, least(c.h, coalesce(b.n, 0)) AS given FROM c LEFT JOIN c b ON b.conv_id = c.base),
+t AS (SELECT o.conv_id, pos - h + given AS pos, role, text FROM o JOIN s ON s.conv_id = o.conv_id WHERE pos > h
+    UNION ALL SELECT s.conv_id, pos, role, text FROM s JOIN o ON o.conv_id = s.base WHERE pos <= given),
+m AS (SELECT c.conv_id, count(t.pos) AS len FROM c LEFT JOIN t ON t.conv_id = c.conv_id GROUP BY c.conv_id),
+k AS (SELECT conv_id, pos, text, sha256(role || chr(10) || text) AS turn FROM t),
+p(conv_id, depth, path, parent, len) AS (SELECT conv_id, 0::BIGINT, '', NULL::VARCHAR, len FROM m
+    UNION ALL SELECT p.conv_id, p.depth + 1, sha256(p.path || k.turn), p.path, p.len FROM p JOIN k ON k.conv_id = p.conv_id AND k.pos = p.depth + 1),
+n AS (SELECT depth, path, parent, min(p.conv_id) AS conv_id, count(*) AS n_convs,
+    string_agg(CASE WHEN len = depth THEN p.conv_id::VARCHAR END, ',' ORDER BY p.conv_id) AS ends, max(coalesce(length(k.text), 0)) AS chars
+    FROM p LEFT JOIN k ON k.conv_id = p.conv_id AND k.pos = p.depth GROUP BY depth, path, parent),
+e AS (SELECT n.*, (SELECT count(*) FROM n x WHERE x.depth = n.depth + 1 AND x.parent = n.path) AS n_children FROM n),
+u AS (SELECT e.depth, e.path, sum((y.n_children = 0)::BIGINT) AS n_leaves, sum((y.n_convs - 1) * y.chars) AS saved
+    FROM e JOIN p ON p.conv_id = e.conv_id AND p.depth = e.depth
+    JOIN (SELECT DISTINCT a.depth AS depth, a.path AS path, b.depth AS d, b.path AS q FROM p a JOIN p b ON a.conv_id = b.conv_id AND b.depth >= a.depth) r ON r.depth = e.depth AND r.path = e.path
+    JOIN e y ON y.depth = r.d AND y.path = r.q GROUP BY e.depth, e.path)
+SELECT e.conv_id, e.depth, f.conv_id AS parent_conv_id, e.n_convs, e.n_children, u.n_leaves::BIGINT AS n_leaves, u.saved::BIGINT AS saved_tokens, sha256(coalesce(e.ends, '')) AS ends_sha256
+FROM e JOIN u ON u.depth = e.depth AND u.path = e.path LEFT JOIN e f ON f.depth = e.depth - 1 AND f.path = e.parent"""

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import mixing, oracles
+from ._store import materialise
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -180,3 +181,12 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
         F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+@query("op12_prefix_trie", oracles.TRIE)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trie of all conversations, each opened by turns of the first of its hundred."""
+    from .prefix_trie import build_trie, number_turns, share_openings
+
+    turns, _ = materialise(number_turns(table(spark, sf_dir, "conversations")), "conversations")
+    return build_trie(*share_openings(turns))

@@ -8,6 +8,7 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {i: i + 32 for i in range(65, 91)}
@@ -218,3 +219,80 @@ def outliers(rows, share=0.75, quantile_cut=25.7, factor=1.4121, min_rows=200):
                 best = last, mean, cov
         out[at] = distance(*best[1:])
     return out
+
+
+TRIE_COLUMNS = ("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+def reopened(rows):
+    """op12's rebuilt conversations by (conv_id, turn, role, text) rows."""
+    convs = defaultdict(list)
+    for c, turn, role, text in rows:
+        if c is not None:
+            convs[c].append((turn is not None, turn or 0, role or "", text or ""))
+    turns = {c: [t[2:] for t in sorted(ts)] for c, ts in convs.items()}
+    out = {}
+    for c, ts in turns.items():
+        h = zlib.crc32(str(c).encode()) % 6
+        out[c] = turns.get(c - c % 100, [])[:h] + ts[h:]
+    return out
+
+
+def trie(convs):
+    """Rows of TRIE_COLUMNS for a dict of turn lists."""
+    members, chars = defaultdict(list), {}
+    for c, ts in convs.items():
+        for d in range(len(ts) + 1):
+            members[tuple(ts[:d])].append(c)
+            chars[tuple(ts[:d])] = len(ts[d - 1][1]) if d else 0
+    children, below = Counter(n[:-1] for n in members if n), defaultdict(lambda: [0, 0])
+    for n, cs in members.items():
+        for d in range(len(n) + 1):
+            below[n[:d]][0] += not children[n]
+            below[n[:d]][1] += (len(cs) - 1) * chars[n]
+    out = []
+    for n, cs in members.items():
+        ends = ",".join(str(c) for c in sorted(cs) if len(convs[c]) == len(n))
+        out.append((min(cs), len(n), min(members[n[:-1]]) if n else None, len(cs), children[n], *below[n], hashlib.sha256(ends.encode()).hexdigest()))
+    return sorted(out)
+
+
+def runs(ws, least=24, times=3):
+    """(start, length, period) of all maximal runs, each lag and place looked at."""
+    found = {}
+    for q in range(1, len(ws) // times + 1):
+        i = 0
+        while i + q < len(ws):
+            j = i
+            while j + q < len(ws) and ws[j] == ws[j + q]:
+                j += 1
+            if j > i and j - i + q >= max(least, times * q):
+                found.setdefault((i, j - i + q), q)
+            i = j + 1
+    return sorted(((s, n, q) for (s, n), q in found.items()), key=lambda r: (r[0], r[2]))
+
+
+def collapsed(ws, found):
+    gone = {i for s, n, q in found for i in range(s + q, s + n)}
+    return " ".join(w for i, w in enumerate(ws) if i not in gone)
+
+
+def planted(doc_id, ws):
+    if doc_id is None:
+        return ws
+    h, n = zlib.crc32(str(doc_id).encode()), len(ws)
+    if h % 10 or not n:
+        return ws
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return [ws[i] if i < a else ws[a + (i - a) % p] for i in range(n)]
+
+
+def periodic(doc_id, text):
+    ws = planted(doc_id, words(text))
+    found = runs(ws)
+    best = max(found, key=lambda r: (Fraction(r[1], r[2]), -r[0], -r[2]), default=None)
+    lines = "".join(f"{s},{n},{q}\n" for s, n, q in found)
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    return (doc_id, len(found), *(best or (None,) * 3), best and 1000 * best[1] // best[2], sha(lines), sha(collapsed(ws, found)))
