@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tables as T
-from .operators import acceptance, factors, ingest, library, scoring
+from .operators import acceptance, factors, ingest, library, namespaces, scoring
 from .operators import candidates as C
 from .plans import registry
 from .sources import panels
@@ -645,3 +645,48 @@ def _gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     jobs = acceptance.acceptance_tasks(T.user_day(spark, sf_dir), C.Seed(FLAGSHIP, 0.0, ""), min_history=3)
     made = acceptance.reward_gate(jobs, lambda task, k: [f"<expr>{e}</expr>" for e in [*SCORED, "bad(", ""]][:k], rollouts=6, min_history=3)
     return spark.createDataFrame([(t["task"], t["benchmark"], t["reward_mean"], t["reward_std"], made["passed"]) for t in made["tasks"]], "task int, benchmark string, reward_mean double, reward_std double, passed boolean")
+
+
+# Several namespaces, wide libraries ------------------------------------------------------
+
+#: Expressions over two namespaces, and each in SQL over the trailing lists ``a`` (crypto) and ``r`` (crsp) at a row.
+ACROSS = ("corr(crypto.close(5), crsp.dlyclose(5))", "ts_mean(sub(crypto.close(4), crsp.dlyclose(4)))", "div(ts_mean(crypto.volume(3)), last(crsp.dlyvol(1)))", "cov(diff(crypto.close(5)), crsp.dlyclose(3)) + ts_max(crsp.dlyclose(6))", "zscore(crypto.close(6)) - ts_std(crypto.close(6))")
+
+
+@query(
+    "dsl_two_namespaces",
+    f"""WITH {T.USER_DAY}, {T.USER_SPOT},
+lt AS (SELECT asset, day, volume, list("close") {_w(5)} AS a5, list("close") {_w(4)} AS a4, list(CASE WHEN rn > 1 THEN "close" - prev END) {_w(4)} AS d4, avg(volume) {_w(3)} AS v3, rn,
+    CASE WHEN stddev_pop("close") {_w(6)} > 1e-12 THEN ("close" - avg("close") {_w(6)}) / stddev_pop("close") {_w(6)} END - stddev_pop("close") {_w(6)} AS z FROM p),
+rt AS (SELECT asset, t, dlyvol, list(dlyclose) OVER (w ROWS 4 PRECEDING) AS r5, list(dlyclose) OVER (w ROWS 3 PRECEDING) AS r4, list(dlyclose) OVER (w ROWS 2 PRECEDING) AS r3, max(dlyclose) OVER (w ROWS 5 PRECEDING) AS m6 FROM sp WINDOW w AS (PARTITION BY asset ORDER BY t)),
+j AS (SELECT lt.*, dlyvol, r5, r4, r3, m6, list_filter(d4, lambda x: x IS NOT NULL) AS e4 FROM lt ASOF LEFT JOIN rt ON lt.asset = rt.asset AND CAST(lt.day AS TIMESTAMP) >= rt.t),
+k AS (SELECT *, least(len(a5), len(r5)) AS n5, least(len(e4), len(r3)) AS n3 FROM j)
+SELECT asset, day,
+    round((SELECT {_pearson("x", "y")} FROM (SELECT a5[len(a5) - i] AS x, r5[len(r5) - i] AS y FROM unnest(range(n5)) t(i))), 6) AS f0,
+    round(CASE WHEN len(a4) = len(r4) THEN list_avg(list_transform(range(1, len(a4) + 1), lambda i: a4[i] - r4[i])) WHEN len(r4) = 1 THEN list_avg(list_transform(a4, lambda x: x - r4[1])) WHEN len(a4) = 1 THEN list_avg(list_transform(r4, lambda x: a4[1] - x)) END, 6) AS f1,
+    round(CASE WHEN abs(dlyvol) >= 1e-12 THEN v3 / dlyvol END, 6) AS f2,
+    round((SELECT CASE WHEN count(*) >= 2 THEN covar_pop(x, y) END FROM (SELECT e4[len(e4) - i] AS x, r3[len(r3) - i] AS y FROM unnest(range(n3)) t(i))) + m6, 6) AS f3,
+    round(z, 6) AS f4 FROM k""",
+    times=("day",),
+)
+def _two_namespaces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of coins and stocks in one expression, each over rows of its own."""
+    found = namespaces.across_frame({"crypto": T.user_day(spark, sf_dir), "crsp": T.user_spot(spark, sf_dir)}, ACROSS, "crypto")
+    return _round(found.select("asset", F.col("ts").cast("date").alias("day"), *(f"f{i}" for i in range(len(ACROSS)))))
+
+
+#: Two hundred factors: means of five fields over forty windows.
+WIDE = tuple((f"ts_mean(crypto.{c}({n}))", f'avg({_fin(chr(34) + c + chr(34))}) {_w(n)}') for c in ("open", "high", "low", "volume", "returns") for n in range(1, 41))
+
+
+@query(
+    "lib_wide_correlations",
+    f"""WITH {T.USER_DAY}, w AS (SELECT asset, day, rn, {", ".join(f"{s} AS f{i}" for i, (_, s) in enumerate(WIDE))} FROM p),
+l AS (SELECT asset, day, u.i AS expr_id, u.v AS factor FROM (SELECT asset, day, unnest([{", ".join(f"{{'i': {i}, 'v': f{i}}}" for i in range(len(WIDE)))}]) AS u FROM w WHERE rn >= 5) WHERE isfinite(u.v)),
+c AS (SELECT x.expr_id AS a, y.expr_id AS b, x.factor AS u, y.factor AS v FROM l x JOIN l y ON x.day = y.day AND x.asset = y.asset AND x.expr_id < y.expr_id)
+SELECT a, b, round({_pearson('u', 'v')}, 6) AS corr FROM c GROUP BY a, b""",
+)
+def _wide_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All 19,900 pairs of a library, without a row for a pair and cell."""
+    wide = factors.factor_frame(T.user_day(spark, sf_dir), [e for e, _ in WIDE], "crypto", _HISTORY)
+    return _round(library.wide_correlations(wide, range(len(WIDE))))

@@ -54,9 +54,13 @@ def factor_series(panel: DataFrame, text: str, space: str, min_history: int = 1,
 
 def factor_long(panel: DataFrame, exprs: Sequence[str], space: str, min_history: int = 1, price: str | None = None, horizon: int = 1, columns: Mapping[str, str] | None = None) -> DataFrame:
     """``expr_id, ts, asset, factor`` (and ``fwd``): one row for each expression, never a pivot."""
-    wide = factor_frame(panel, exprs, space, min_history, price, horizon, columns)
-    ids = F.posexplode(F.array(*(F.col(f"f{i}") for i in range(len(exprs))))).alias("expr_id", "factor")
-    return wide.select(ids, "ts", "asset", *(["fwd"] if price else []))
+    return lengthen(factor_frame(panel, exprs, space, min_history, price, horizon, columns), len(exprs))
+
+
+def lengthen(wide: DataFrame, count: int) -> DataFrame:
+    """Columns ``f0, f1, ...`` as rows ``expr_id, ts, asset, factor`` (and ``fwd`` where it is there)."""
+    ids = F.posexplode(F.array(*(F.col(f"f{i}") for i in range(count)))).alias("expr_id", "factor")
+    return wide.select(ids, "ts", "asset", *(["fwd"] if "fwd" in wide.columns else []))
 
 
 def last_values(panel: DataFrame, exprs: Sequence[str], space: str, min_history: int = 1, columns: Mapping[str, str] | None = None) -> DataFrame:

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.guarded import average_rank, pearson, plain
+from ..functions.comoments import pooled_pearson
+from ..functions.guarded import average_rank, plain
 from ..sources.panels import time_slice
-from .factors import factor_long
+from .factors import factor_frame, lengthen
 from .scoring import cross_sections, least_assets, over_time
 
 METRICS = ("dir_acc", "ic_mean", "rank_ic_mean", "icir", "long_short_mean", "long_short_sharpe")
@@ -58,16 +59,34 @@ def evaluate(pairs: DataFrame, min_assets: int = 8, keys: Sequence[str] = ("expr
     return over_time(cross_sections(pairs, min_assets, keys), keys).select(*keys, *METRICS, "valid_times", F.coalesce("mean_assets", F.lit(0.0)).alias("mean_assets"))
 
 
-def pair_correlations(factors: DataFrame) -> DataFrame:
+def pair_correlations(factors: DataFrame, ids: Sequence[int] | None = None) -> DataFrame:
     """``a, b, corr`` of all pairs of expressions, pooled over (ts, asset), from ``expr_id, ts, asset, factor``.
 
-    The factors of a cell meet in one map, so each pair is a conditional sum
-    over one scan, not a self-join for each pair.
+    ``ids``: only these expressions.  A cell's factors meet in one array; pairs are sums of
+    co-moment matrices, so neither rows nor shuffles grow with pairs times cells.
     """
-    cells = factors.where(F.col("factor").isNotNull()).groupBy("ts", "asset").agg(F.sort_array(F.collect_list(F.struct("expr_id", "factor"))).alias("x"))
-    pairs = F.flatten(F.transform("x", lambda p: F.transform(F.filter("x", lambda q: q["expr_id"] > p["expr_id"]), lambda q: F.struct(p["expr_id"].alias("a"), q["expr_id"].alias("b"), p["factor"].alias("u"), q["factor"].alias("v")))))
-    rows = cells.select(F.explode(pairs).alias("p")).select("p.*")
-    return rows.groupBy("a", "b").agg(pearson(F.col("u"), F.col("v")).alias("corr"))
+    if ids is None:
+        ids = [r[0] for r in factors.select("expr_id").distinct().collect()]  # one number for each expression
+    ids = sorted(ids)
+    rows = factors.where(F.col("factor").isNotNull() & F.col("expr_id").isin(ids))
+    cells = rows.groupBy("ts", "asset").agg(F.map_from_entries(F.collect_list(F.struct("expr_id", "factor"))).alias("m"))
+    return _named(pooled_pearson(cells.select(F.array(*(F.try_element_at("m", F.lit(i)) for i in ids)).alias("x")), "x", len(ids)), ids)
+
+
+def wide_correlations(wide: DataFrame, ids: Sequence[int]) -> DataFrame:
+    """The same from ``factors.factor_frame`` rows (columns ``f<id>``), without any shuffle of rows."""
+    ids = sorted(ids)
+    return _named(pooled_pearson(wide.select(F.array(*(F.col(f"f{i}") for i in ids)).alias("x")), "x", len(ids)), ids)
+
+
+def _named(found: DataFrame, ids: Sequence[int]) -> DataFrame:
+    named = F.array(*(F.lit(i) for i in ids)) if ids else F.array().cast("array<int>")
+    return found.select(*(F.get(named, F.col(c)).cast("int").alias(c) for c in ("a", "b")), "corr")
+
+
+def in_order(scores: Mapping[int, float | None]) -> list[int]:
+    """Best scores first, missing ones last, ties as given."""
+    return sorted(scores, key=lambda i: scores[i] if scores[i] is not None else -1e12, reverse=True)
 
 
 def select_decorrelated(scores: Mapping[int, float | None], corr: Mapping[tuple[int, int], float | None], threshold: float = 0.7, top_k: int = 5) -> list[int]:
@@ -75,9 +94,12 @@ def select_decorrelated(scores: Mapping[int, float | None], corr: Mapping[tuple[
 
     Runs on the driver: it is sequential by definition, over one number for each factor.
     """
-    order = sorted(scores, key=lambda i: scores[i] if scores[i] is not None else -1e12, reverse=True)
-    chosen: list[int] = []
-    for i in order:
+    return _admit([], in_order(scores), corr, threshold, top_k)
+
+
+def _admit(chosen: list[int], candidates: Sequence[int], corr: Mapping[tuple[int, int], float | None], threshold: float, top_k: int) -> list[int]:
+    chosen = list(chosen)
+    for i in candidates:
         if len(chosen) >= top_k:
             break
         near = [abs(corr.get((min(i, j), max(i, j))) or 0.0) for j in chosen]
@@ -86,6 +108,26 @@ def select_decorrelated(scores: Mapping[int, float | None], corr: Mapping[tuple[
     return chosen
 
 
+def select_lazily(scores: Mapping[int, float | None], correlate: Callable[[Sequence[int]], DataFrame], threshold: float = 0.7, top_k: int = 5, wave: int | None = None) -> list[int]:
+    """The choice of ``select_decorrelated``, with correlations only where the choice gets to.
+
+    Candidates come in waves in the order of their scores.  A wave is first compared with what is
+    chosen and with itself; it ends as soon as ``top_k`` are in, so lower candidates are never
+    compared.  A wave is ``wave`` candidates (four times ``top_k``), twice as many each time, so a
+    library of E factors takes log(E) waves at most.  Pair-wise masks leave no triangle inequality,
+    so there is no bound to skip a pair inside a wave by.
+    """
+    order, chosen, at = in_order(scores), [], 0
+    size = max(1, wave or 4 * top_k)
+    while at < len(order) and len(chosen) < top_k:
+        here = order[at : at + size]
+        met = [*chosen, *here]
+        corr = {(r["a"], r["b"]): plain(r["corr"]) for r in correlate(met).collect()} if len(met) > 1 else {}
+        chosen = _admit(chosen, here, corr, threshold, top_k)
+        at, size = at + len(here), 2 * size
+    return chosen
+
+
 def normalised_rank(pairs: DataFrame, keys: Sequence[str] = ("expr_id",)) -> DataFrame:
     """Adds ``rank``: average percentile rank at each time over all assets with a factor, from -1 to 1."""
     by = [*keys, "ts"]
@@ -117,13 +159,13 @@ def evaluate_library(panel: DataFrame, exprs: Sequence[str], space: str, price:
     if panel.select("asset").distinct().limit(least).count() < least:
         none = Evaluation("undersized_universe", "undersized")
         return LibraryResult((), none, none, config.threshold)
-    pairs = factor_long(panel, exprs, space, config.min_history, price, config.horizon, columns).cache()
+    wide = factor_frame(panel, exprs, space, config.min_history, price, config.horizon, columns).cache()
+    pairs = lengthen(wide, len(exprs))
     try:
-        inside = time_slice(pairs, *config.validation)
+        inside = time_slice(wide, *config.validation)
         scores: dict[int, float | None] = {i: None for i in range(len(exprs))}
-        scores |= {r["expr_id"]: plain(r["rank_ic_mean"]) for r in evaluate(inside, least).collect()}
-        corr = {(r["a"], r["b"]): plain(r["corr"]) for r in pair_correlations(inside).collect()}
-        chosen = select_decorrelated(scores, corr, config.threshold, config.top_k)
+        scores |= {r["expr_id"]: plain(r["rank_ic_mean"]) for r in evaluate(lengthen(inside, len(exprs)), least).collect()}
+        chosen = select_lazily(scores, lambda ids: wide_correlations(inside, ids), config.threshold, config.top_k)
         results = []
         for split, bounds in (("validation_fused", config.validation), ("test_fused", config.test)):
             row = None
@@ -133,4 +175,4 @@ def evaluate_library(panel: DataFrame, exprs: Sequence[str], space: str, price:
             results.append(_evaluation("equal_weight_fusion", split, row))
         return LibraryResult(tuple(exprs[i] for i in chosen), *results, config.threshold)
     finally:
-        pairs.unpersist()
+        wide.unpersist()

@@ -41,21 +41,39 @@ def _null() -> Column:
     return F.lit(None).cast("double")
 
 
+@dataclass(frozen=True)
+class Given:
+    """A subtree that is a column already: a double, or the array of a window's values (NULL: none)."""
+
+    column: str
+    kind: str
+
+
 @dataclass(frozen=True)
 class Compiler:
-    """Compiles trees for one panel: its asset and time columns, and the column of each field."""
+    """Compiles trees for one panel: its asset and time columns, and the column of each field.
+
+    ``block`` and ``place`` are columns of a panel cut into blocks of time (see
+    ``operators.blocks``): windows stay in a block, which has the rows they
+    reach back to, and the row number of an asset is the one given.
+    """
 
     columns: Mapping[str, str]
     asset: str = "asset"
     ts: str = "ts"
     arrays_only: bool = False
+    block: str | None = None
+    place: str | None = None
 
     # frames
+    def over(self):
+        return W.partitionBy(self.asset, *([self.block] if self.block else [])).orderBy(self.ts)
+
     def frame(self, n: int):
-        return W.partitionBy(self.asset).orderBy(self.ts).rowsBetween(-(n - 1), 0)
+        return self.over().rowsBetween(-(n - 1), 0)
 
     def row(self) -> Column:
-        return F.row_number().over(W.partitionBy(self.asset).orderBy(self.ts))
+        return F.col(self.place) if self.place else F.row_number().over(self.over())
 
     def value(self, w: X.Window) -> Column:
         name = self.columns.get(w.full_name.lower())
@@ -76,6 +94,8 @@ class Compiler:
         return None
 
     def length(self, node: X.Node) -> Column:
+        if isinstance(node, Given):
+            return F.size(node.column)
         known = self.span(node)
         if known:
             return F.greatest(F.least(F.lit(known[0]), self.row()) - F.lit(known[1]), F.lit(0))
@@ -93,6 +113,8 @@ class Compiler:
     def scalar(self, node: X.Node) -> Column:
         if isinstance(node, X.Number):
             return F.lit(float(node.value))
+        if isinstance(node, Given):
+            return F.col(node.column)
         name, args = X.ALIASES.get(node.name, node.name), node.args
         if name in X.ARITHMETIC:
             return _binary(name, self.scalar(args[0]), self.scalar(args[1]))
@@ -117,7 +139,7 @@ class Compiler:
 
     # the last element of an array
     def last(self, node: X.Node) -> Column:
-        if self.arrays_only:
+        if self.arrays_only or isinstance(node, Given):
             return F.try_element_at(self.array(node), F.lit(-1))
         if isinstance(node, X.Window):
             return self.value(node)
@@ -139,7 +161,7 @@ class Compiler:
         if isinstance(source, X.Window):
             x, frame = self.value(source), self.frame(source.length)
             if name == "diff":
-                return x - F.lag(x).over(W.partitionBy(self.asset).orderBy(self.ts)) if source.length > 1 else _null()
+                return x - F.lag(x).over(self.over()) if source.length > 1 else _null()
             if name == "normalize":
                 total = F.sum(F.abs(x)).over(frame)
                 return F.when((total > EPS) & (total < INF), F.try_divide(x, total))
@@ -154,6 +176,8 @@ class Compiler:
 
     # whole arrays; a NULL array is what could not be combined
     def array(self, node: X.Node) -> Column:
+        if isinstance(node, Given):
+            return F.col(node.column)
         if isinstance(node, X.Window):
             return F.collect_list(F.struct(self.value(node).alias("v"))).over(self.frame(node.length)).getField("v")
         name, args = X.ALIASES.get(node.name, node.name), node.args

@@ -30,6 +30,18 @@ p AS (SELECT *, CASE WHEN prev IS NULL THEN NULL WHEN prev = 0 THEN CASE WHEN "c
     CASE WHEN "close" = 0 THEN CASE WHEN nxt > 0 THEN 'inf'::DOUBLE WHEN nxt < 0 THEN '-inf'::DOUBLE END ELSE nxt / "close" END - 1 AS fwd FROM q)"""
 
 
+def user_spot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stock-like panel over the same assets with times of its own: every third event, by half days."""
+    e = load(spark, sf_dir, "events").where(F.col("event_id") % 3 == 0)
+    half = F.date_trunc("day", "ts") + F.when(F.hour("ts") < 12, F.expr("INTERVAL 0 HOURS")).otherwise(F.expr("INTERVAL 12 HOURS"))
+    rows = e.groupBy(F.col("user_id").cast("string").alias("asset"), half.cast("timestamp_ntz").alias("ts"))
+    return rows.agg(F.max("value").alias("dlyclose"), F.count("*").cast("double").alias("dlyvol"))
+
+
+USER_SPOT = """
+sp AS (SELECT CAST(user_id AS VARCHAR) AS asset, CAST(date_trunc('day', ts) AS TIMESTAMP) + CASE WHEN extract(hour FROM ts) < 12 THEN INTERVAL 0 HOURS ELSE INTERVAL 12 HOURS END AS t, max(value) AS dlyclose, count(*)::DOUBLE AS dlyvol FROM events WHERE event_id % 3 = 0 GROUP BY 1, 2)"""
+
+
 def brand_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily-equity-like rows: one asset for each brand, by month."""
     l = load(spark, sf_dir, "lineitem").select("l_partkey", "l_quantity", "l_extendedprice", "l_shipdate")
