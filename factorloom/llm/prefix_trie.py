@@ -12,7 +12,8 @@ with the sums of their children.
 
 Turns are compared by 128-bit digests.  Groups are sums and minima, made
 partially before the shuffle; conversations get the name of their group by an
-equi-join with one row for each group, whose skew adaptive execution splits.
+equi-join on group and salt, so a group that a third of all rows share is many
+keys, each with one row on the other side.
 Each level is a table in the shared folder, so a lost executor costs a level's
 task and lineage stays short.
 
@@ -43,6 +44,8 @@ from ._store import materialise
 
 #: Bits of the turn numbers that are numbered together, and of the ids that are put together.
 TURN_BITS, ID_BITS = 9, 8
+#: Parts of a group that get its name in tasks of their own.
+SALTS = 64
 
 
 def number_turns(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
@@ -138,8 +141,11 @@ def build_trie(turns: DataFrame, conversations: DataFrame) -> DataFrame:
         if live.isEmpty():
             break
         step = live.select("conv_id", F.col("node").alias("parent"), "n_turns").join(told.where(F.col("depth") == len(levels)).drop("depth"), "conv_id")
-        groups = step.groupBy("parent", "turn").agg(F.min("conv_id").alias("node"), F.count("*").alias("n_convs"))
-        level, _ = materialise(step.join(groups, ["parent", "turn"]).select("conv_id", "parent", "node", "n_convs", "n_turns", "chars"), "trie-level")
+        step = step.withColumn("salt", F.pmod(F.xxhash64("conv_id"), F.lit(SALTS)))
+        salted = step.groupBy("parent", "turn", "salt").agg(F.min("conv_id").alias("node"), F.count("*").alias("n_convs"))
+        groups = salted.groupBy("parent", "turn").agg(F.min("node").alias("node"), F.sum("n_convs").alias("n_convs"))
+        names = salted.select("parent", "turn", "salt").join(groups, ["parent", "turn"])
+        level, _ = materialise(step.join(names, ["parent", "turn", "salt"]).select("conv_id", "parent", "node", "n_convs", "n_turns", "chars"), "trie-level")
         levels.append(level)
     # up again: from the children's sums to the parents
     nodes, below = [], None
