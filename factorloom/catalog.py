@@ -690,3 +690,21 @@ def _wide_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All 19,900 pairs of a library, without a row for a pair and cell."""
     wide = factors.factor_frame(T.user_day(spark, sf_dir), [e for e, _ in WIDE], "crypto", _HISTORY)
     return _round(library.wide_correlations(wide, range(len(WIDE))))
+
+
+_ONE = "dense AS (SELECT 'all' AS asset, CAST(ts AS TIMESTAMP) AS ts, value AS \"close\", event_id FROM events WHERE ts IS NOT NULL), q AS (SELECT *, row_number() OVER (PARTITION BY ts ORDER BY event_id) AS k FROM dense), p AS (SELECT asset, ts, \"close\", lag(\"close\") OVER a AS prev, lead(\"close\", 3) OVER a AS nxt, row_number() OVER a AS rn FROM q WHERE k = 1 WINDOW a AS (ORDER BY ts))"
+_WT = lambda n: f"OVER (ORDER BY ts ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+
+
+@query(
+    "dsl_hot_asset",
+    f"""WITH {_ONE} SELECT * EXCLUDE (rn) FROM (SELECT asset, ts, rn, round(avg("close") {_WT(50)}, 6) AS f0, round(CASE WHEN rn > 1 THEN "close" - prev END, 6) AS f1, CAST(len(list_filter(list("close") {_WT(40)}, lambda v: v <= "close")) AS DOUBLE) AS f2,
+    round(stddev_pop(CASE WHEN rn > 1 THEN "close" - prev END) {_WT(29)}, 6) AS f3, round(CASE WHEN "close" <> 0 THEN nxt / "close" - 1 END, 6) AS fwd FROM p) WHERE rn >= 10""",
+    times=("ts",),
+)
+def _hot_asset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as the ticks of one asset: its windows run in blocks of time, in many tasks."""
+    e = T.load(spark, sf_dir, "events").where(F.col("ts").isNotNull()).groupBy("ts").agg(F.min_by("value", "event_id").alias("close"))
+    panel = e.select(F.lit("all").alias("asset"), F.col("ts").cast("timestamp_ntz").alias("ts"), "close")
+    texts = ["ts_mean(crypto.close(50))", "diff(crypto.close(2))", "rank(crypto.close(40))", "ts_std(diff(crypto.close(30)))"]
+    return _round(factors.factor_frame(panel, texts, "crypto", 10, "close", 3, block_rows=2000))

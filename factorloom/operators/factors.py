@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 from ..functions.guarded import ratio
 from ..plans import expr as X
-from ..plans.compiler import Compiler
+from ..plans.compiler import Compiler, Prepared
 from ..sources.panels import field_columns
+from . import blocks
 
 
-def compile_all(exprs: Sequence[str], columns: Mapping[str, str], limits: X.Limits = X.Limits()) -> list:
+def compile_all(exprs: Sequence[str], compiler: Compiler, limits: X.Limits = X.Limits()) -> list:
     """A column for each expression; one that is not usable here is missing everywhere."""
-    compiler = Compiler({k.lower(): v for k, v in columns.items()})
     out = []
     for text in exprs:
         try:
@@ -25,9 +25,20 @@ def compile_all(exprs: Sequence[str], columns: Mapping[str, str], limits: X.Limi
     return out
 
 
-def forward_return(price: str, horizon: int = 1):
+def reach(exprs: Sequence[str]) -> int:
+    """The rows that the longest window of some expressions has."""
+    longest = 1
+    for text in exprs:
+        try:
+            longest = max(longest, *(w.length for w in X.windows(X.validate(text))), 1)
+        except X.ExpressionError:
+            pass
+    return longest
+
+
+def forward_return(price: str, horizon: int = 1, *within: str):
     """price[t + horizon] / price[t] - 1; a zero price gives an infinite return."""
-    w = Window.partitionBy("asset").orderBy("ts")
+    w = Window.partitionBy("asset", *within).orderBy("ts")
     return ratio(F.lead(price, horizon).over(w), F.col(price)) - 1
 
 
@@ -35,16 +46,23 @@ def forward_returns(panel: DataFrame, price: str, horizon: int = 1) -> DataFrame
     return panel.select("asset", "ts", forward_return(price, horizon).alias("fwd"))
 
 
-def factor_frame(panel: DataFrame, exprs: Sequence[str], space: str, min_history: int = 1, price: str | None = None, horizon: int = 1, columns: Mapping[str, str] | None = None) -> DataFrame:
+def factor_frame(panel: DataFrame, exprs: Sequence[str], space: str, min_history: int = 1, price: str | None = None, horizon: int = 1, columns: Mapping[str, str] | None = None, block_rows: int | None = None, bucket_seconds: int = 3600) -> DataFrame:
     """``asset, ts, f0, f1, ...`` (and ``fwd`` with ``price``) from the ``min_history``-th row of each asset on.
 
     All windows of all expressions share one shuffle and one sort by (asset, ts).
+    ``block_rows``: an asset is cut into blocks of time of about so many rows
+    (``blocks.time_blocks``), for panels in which one asset is too much for a task.
     """
-    found = compile_all(exprs, columns or field_columns(space))
-    row = F.row_number().over(Window.partitionBy("asset").orderBy("ts"))
-    fwd = [forward_return(price, horizon).alias("fwd")] if price else []
-    wide = panel.select("asset", "ts", *(c.alias(f"f{i}") for i, c in enumerate(found)), *fwd, row.alias("__row"))
-    return wide.where(F.col("__row") >= min_history).drop("__row")
+    if block_rows:
+        panel = blocks.time_blocks(panel, reach(exprs), horizon if price else 0, block_rows, bucket_seconds)
+    at = {"block": blocks.BLOCK, "place": blocks.PLACE} if block_rows else {}
+    compiler = Compiler({k.lower(): v for k, v in (columns or field_columns(space)).items()}, prepared=Prepared(), **at)
+    found = compile_all(exprs, compiler)
+    panel = compiler.prepared.add_to(panel, compiler)
+    fwd = [forward_return(price, horizon, *([blocks.BLOCK] if block_rows else [])).alias("fwd")] if price else []
+    own = [F.col(blocks.OWN)] if block_rows else []
+    wide = panel.select("asset", "ts", *(c.alias(f"f{i}") for i, c in enumerate(found)), *fwd, compiler.row().alias("__row"), *own)
+    return wide.where((F.col("__row") >= min_history) & (F.col(blocks.OWN) if block_rows else F.lit(True))).drop("__row", blocks.OWN)
 
 
 def factor_series(panel: DataFrame, text: str, space: str, min_history: int = 1, columns: Mapping[str, str] | None = None) -> DataFrame:

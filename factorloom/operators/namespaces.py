@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..plans import expr as X
 from ..plans import registry
-from ..plans.compiler import Compiler, Given
+from ..plans.compiler import Compiler, Given, Prepared
 from ..sources.panels import field_columns
 from .factors import forward_return, lengthen
 
@@ -77,8 +77,9 @@ def across_frame(panels: Mapping[str, DataFrame], exprs: Sequence[str], base: st
         own = parts.of(name)
         if not own and name != base:
             continue
-        compiler = Compiler({k.lower(): v for k, v in field_columns(name).items()})
+        compiler = Compiler({k.lower(): v for k, v in field_columns(name).items()}, prepared=Prepared())
         cells = [_part(compiler, node).alias(c) for c, node in own.items()] or [F.lit(1).alias("__one")]
+        panel = compiler.prepared.add_to(panel, compiler)
         more = []
         if name == base:
             more = [F.row_number().over(everywhere).alias("__row"), *([forward_return(price, horizon).alias("fwd")] if price else [])]

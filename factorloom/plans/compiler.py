@@ -1,28 +1,37 @@
 """Expressions as Spark columns over a long panel.
 
-Three rules, all JVM-side and all over one partitioning (asset) and order (ts):
+Four rules, all over one partitioning (asset) and order (ts):
 
-1. a reduction of a plain field is a native window aggregate;
+1. an array whose elements are values of their own rows (fields, element-wise
+   functions of fields of one length, differences of those) is reduced by a
+   native window aggregate over that value;
 2. of an array root only the last element is needed, so element-wise functions
    work on row values and window scalars, without arrays;
-3. what is left builds the window as an array and uses higher-order functions.
+3. the last ``ema`` and ``rank`` of such an array are one scan along the asset
+   (``functions.sliding``), which keeps one window and not one for each row;
+4. what is left builds the window as an array and uses higher-order functions.
+
+Differences and scans are columns that must be there before the others: a
+``Prepared`` collects them while expressions are compiled and adds them to the
+panel.  Without one, rule 4 does their work.
 
 Missing values are NULL.  A window counts rows, missing ones included.  Arrays
 of different lengths combine as length 1 or not at all; lengths are those at
 the row (shorter at the start of an asset), and what does not combine is
-missing.  ``arrays_only`` forces rule 3, which tests hold against 1 and 2.
+missing.  ``arrays_only`` forces rule 4, which tests hold against the others.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.guarded import EPS, INF, covariance, divide, finite, is_finite, pearson
+from ..functions.sliding import Scan, scan_columns
 from . import expr as X
 
 _EMPTY = "array<double>"
@@ -49,6 +58,28 @@ class Given:
     kind: str
 
 
+@dataclass
+class Prepared:
+    """Columns that compiled expressions need beside the panel's: row values, then scans along them."""
+
+    values: dict[X.Node, tuple[str, Column]] = field(default_factory=dict)
+    scans: dict[Scan, str] = field(default_factory=dict)
+
+    def value(self, node: X.Node, column: Column) -> str:
+        return self.values.setdefault(node, (f"__value{len(self.values)}", column))[0]
+
+    def scan(self, scan: Scan) -> str:
+        return self.scans.setdefault(scan, f"__scan{len(self.scans)}")
+
+    def add_to(self, panel: DataFrame, compiler: Compiler) -> DataFrame:
+        for name, column in self.values.values():  # a difference may be of a difference
+            panel = panel.withColumn(name, column)
+        if not self.scans:
+            return panel
+        keys = [compiler.asset, *([compiler.block] if compiler.block else [])]
+        return scan_columns(panel, [(s, n) for s, n in self.scans.items()], keys, compiler.ts, compiler.place)
+
+
 @dataclass(frozen=True)
 class Compiler:
     """Compiles trees for one panel: its asset and time columns, and the column of each field.
@@ -64,6 +95,7 @@ class Compiler:
     arrays_only: bool = False
     block: str | None = None
     place: str | None = None
+    prepared: Prepared | None = None
 
     # frames
     def over(self):
@@ -81,6 +113,33 @@ class Compiler:
             raise X.LimitProblem(f"the panel has no {w.full_name}")
         return F.col(name)
 
+    def by_row(self, node: X.Node) -> tuple[Column, int, int] | None:
+        """(value, n, d) if the array has the values of the last n rows so far but the asset's first d ones, else None."""
+        if self.arrays_only or isinstance(node, (Given, X.Number)) or node.kind != X.ARRAY:
+            return None
+        if isinstance(node, X.Window):
+            return self.value(node), node.length, 0
+        name, args = X.ALIASES.get(node.name, node.name), node.args
+        if name in X.ARITHMETIC:
+            if any(not isinstance(a, X.Number) and a.kind == X.SCALAR for a in args):
+                return None  # a scalar belongs to the row of evaluation
+            sides = [F.lit(float(a.value)) if isinstance(a, X.Number) else self.by_row(a) for a in args]
+            arrays = [s for s in sides if not isinstance(s, Column)]
+            if None in arrays or len({s[1:] for s in arrays}) != 1:
+                return None
+            return _binary(name, *(s if isinstance(s, Column) else s[0] for s in sides)), *arrays[0][1:]
+        if name not in X.ELEMENT and name not in ("log", "diff"):
+            return None
+        inner = self.by_row(args[0])
+        if inner is None:
+            return None
+        value, n, d = inner
+        if name == "diff":
+            if self.prepared is None:
+                return None
+            return F.col(self.prepared.value(node, value - F.lag(value).over(self.over()))), n, d + 1
+        return _log(value) if name == "log" else _unary(name, value), n, d
+
     # lengths of arrays at a row: (n, d) is min(n, rows so far) - d
     def span(self, node: X.Node) -> tuple[int, int] | None:
         if isinstance(node, X.Window):
@@ -121,16 +180,22 @@ class Compiler:
         if name in X.ELEMENT:
             return _unary(name, self.scalar(args[0]))
         if name in X.PAIR:
-            if all(isinstance(a, X.Window) for a in args) and not self.arrays_only:
-                a, b = (self.value(x) for x in args)
-                frame = self.frame(min(x.length for x in args))
-                return pearson(a, b, frame) if name == "corr" else covariance(a, b, frame)
+            sides = [self.by_row(a) for a in args]
+            if all(sides):
+                size = min(n - d for _, n, d in sides)
+                if size < 1:
+                    return _null()
+                a, b = (v for v, _, _ in sides)
+                return pearson(a, b, self.frame(size)) if name == "corr" else covariance(a, b, self.frame(size))
             return _let(self.array(args[0]), lambda a: _let(self.array(args[1]), lambda b: _pair(name, a, b)))
         source = args[0]
         if name == "last" and not self.arrays_only:
             return self.last(source)
-        if isinstance(source, X.Window) and not self.arrays_only:
-            x, frame = self.value(source), self.frame(source.length)
+        rows = self.by_row(source)
+        if rows and rows[1] <= rows[2]:
+            return _null()
+        if rows and (name != "first" or rows[2] == 0):
+            x, frame = rows[0], self.frame(rows[1] - rows[2])
             if name == "first":
                 return F.first_value(x).over(frame)
             fn = {"ts_mean": F.avg, "ts_std": F.stddev_pop, "ts_sum": F.sum, "ts_min": F.min, "ts_max": F.max}[name]
@@ -158,16 +223,31 @@ class Compiler:
             a, b = self.length(args[0]), self.length(args[1])
             return F.when(((a == b) | (a == 1) | (b == 1)) & (a > 0) & (b > 0), out)
         source = args[0]
-        if isinstance(source, X.Window):
-            x, frame = self.value(source), self.frame(source.length)
+        if isinstance(source, X.Window) and name == "diff":
+            x = self.value(source)
+            return x - F.lag(x).over(self.over()) if source.length > 1 else _null()
+        rows = self.by_row(source)
+        if rows:
+            x, n, d = rows
             if name == "diff":
-                return x - F.lag(x).over(self.over()) if source.length > 1 else _null()
+                inner = self.by_row(node)
+                if inner:
+                    return inner[0] if n > d + 1 else _null()
+            elif n <= d:
+                return _null()
+            else:
+                frame = self.frame(n - d)
+            if not isinstance(source, X.Window):
+                x = F.when(_known(x), x)
             if name == "normalize":
                 total = F.sum(F.abs(x)).over(frame)
                 return F.when((total > EPS) & (total < INF), F.try_divide(x, total))
             if name == "zscore":
                 std = F.stddev_pop(x).over(frame)
                 return F.when((std > EPS) & (std < INF), F.try_divide(x - F.avg(x).over(frame), std))
+            if name in ("ema", "rank") and self.prepared is not None:
+                held = self.prepared.value(source, rows[0])
+                return F.col(self.prepared.scan(Scan(name, held, n, d)))
         if name == "ema":
             return _let(self.array(source), _ema_last)
         if name == "rank":
@@ -208,7 +288,7 @@ def _unary(name: str, a: Column) -> Column:
 
 
 def _log(v: Column) -> Column:
-    return F.when(v > 0, F.ln(v))
+    return F.when((v > 0) & ~F.isnan(v), F.ln(v))
 
 
 def _combine(name: str, a: Column, b: Column, equal: bool) -> Column:

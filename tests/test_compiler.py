@@ -6,6 +6,7 @@ import pytest
 from naive import series
 from pyspark.sql import functions as F
 
+from factorloom.operators import blocks
 from factorloom.operators.factors import factor_frame, factor_series
 from factorloom.plans import expr as X
 from factorloom.plans.compiler import Compiler
@@ -21,6 +22,8 @@ EXPRESSIONS = [
     "sub(crypto.close(3), crypto.close(7))", "add(crypto.close(5), crypto.volume(1))", "div(crypto.close(2), diff(crypto.close(3)))", "ts_mean(diff(crypto.close(5)))", "ts_std(zscore(crypto.volume(6)))", "ema(diff(crypto.close(6)))",
     "ts_max(rank(crypto.volume(5)))", "ts_sum(normalize(crypto.returns(4)))", "ts_mean(ema(crypto.volume(5)))", "rank(div(crypto.close(5), crypto.volume(5)))", "first(diff(crypto.close(1)))", "diff(diff(crypto.close(5)))",
     "tanh(div(ts_mean(crypto.returns(3)), ts_std(crypto.returns(7))))", "sign(crypto.returns(3))", "abs_s(neg(crypto.volume(2)))", "ts_mean(mul(crypto.close(3), 2))", "div(1, crypto.volume(3))", "cov(diff(crypto.close(6)), crypto.volume(3))",
+    "ts_mean(div(crypto.close(4), crypto.volume(4)))", "corr(mul(crypto.close(5), 2), diff(crypto.close(7)))", "ts_std(diff(diff(crypto.close(6))))", "first(log(crypto.close(4)))", "ema(log(crypto.volume(6)))", "rank(diff(crypto.close(5)))",
+    "ema(crypto.volume(1))", "ema(diff(crypto.close(1)))", "rank(diff(crypto.close(1)))", "ts_sum(diff(crypto.close(1)))", "zscore(diff(crypto.close(6)))", "normalize(div(crypto.returns(5), crypto.returns(5)))", "ema(crypto.returns(20))", "rank(sub(crypto.returns(20), crypto.returns(20)))",
     "1.5", "zscore(zscore(crypto.close(5)))", "normalize(diff(crypto.close(4)))", "add(sub(crypto.close(3), crypto.open(6)), 1)", "ts_mean(sub(crypto.close(3), crypto.open(6)))",
 ]
 
@@ -41,11 +44,18 @@ def _frame(spark, panel):
     return spark.createDataFrame(rows, SCHEMA)
 
 
-@pytest.mark.parametrize("arrays_only", [False, True])
-def test_against_the_naive_evaluator(spark, arrays_only):
+@pytest.mark.parametrize("how", ["columns", "arrays only", "prepared", "blocks of 4 rows", "blocks of 11 rows"])
+def test_against_the_naive_evaluator(spark, how):
     panel = _panel(7)
-    c = Compiler(field_columns("crypto"), arrays_only=arrays_only)
-    df = _frame(spark, panel).select("asset", "ts", *(c.root(X.validate(e)).alias(f"f{i}") for i, e in enumerate(EXPRESSIONS)))
+    df = _frame(spark, panel)
+    if how in ("columns", "arrays only"):
+        c = Compiler(field_columns("crypto"), arrays_only=how == "arrays only")
+        df = df.select("asset", "ts", *(c.root(X.validate(e)).alias(f"f{i}") for i, e in enumerate(EXPRESSIONS)))
+    elif how == "prepared":
+        df = factor_frame(df, EXPRESSIONS, "crypto")
+    else:
+        df = factor_frame(df, EXPRESSIONS, "crypto", block_rows=int(how.split()[2]), bucket_seconds=86400)
+        assert df.count() == sum(len(c["open"]) for c in panel.values())
     got = {}
     for r in df.collect():
         got.setdefault(r["asset"], {})[(r["ts"] - DAY).days] = r
@@ -83,6 +93,66 @@ def test_one_sort_for_all_windows(spark):
     assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 1 and "Python" not in plan
 
 
+def test_a_hot_asset_is_cut_into_blocks(spark):
+    """Uneven times: buckets of no row and of many, blocks smaller than the reach between large ones."""
+    rng = random.Random(8)
+    minutes = sorted(rng.sample(range(60), 50) + rng.sample(range(600, 3000), 150) + list(range(5000, 5003)))
+    rows = [("hot", m, rng.random()) for m in minutes] + [("cold", m, rng.random()) for m in (3, 700, 9000)]
+    df = spark.createDataFrame([(a, DAY + timedelta(minutes=m), v) for a, m, v in rows], "asset string, ts timestamp_ntz, close double")
+    cut = blocks.time_blocks(df, before=7, after=2, rows=20)
+    own = cut.where(blocks.OWN)
+    assert own.select("asset", "ts", "close").exceptAll(df).isEmpty() and own.count() == len(rows)
+    places = {(r.asset, r.ts): r[blocks.PLACE] for r in own.collect()}
+    assert sorted(p for (a, _), p in places.items() if a == "hot") == list(range(1, len(minutes) + 1))
+    groups = {}
+    for r in cut.collect():
+        groups.setdefault((r.asset, r[blocks.BLOCK]), []).append(r)
+    hot = [g for (a, _), g in groups.items() if a == "hot"]
+    assert len(hot) > 5 and max(map(len, hot)) < len(minutes) / 2
+    for g in groups.values():
+        g.sort(key=lambda r: r.ts)
+        mine = [r[blocks.PLACE] for r in g if r[blocks.OWN]]
+        assert mine == list(range(mine[0], mine[-1] + 1))
+        have, last = [r[blocks.PLACE] for r in g], max(p for (a, _), p in places.items() if a == g[0].asset)
+        assert set(range(max(1, mine[0] - 6), min(last, mine[-1] + 2) + 1)) <= set(have) and len(set(have)) == len(have)
+
+
+def test_factors_of_a_hot_asset(spark):
+    rng = random.Random(6)
+    rows = [("hot", m, rng.choice([None, 1.0, rng.random()]) or 0.5) for m in range(400)] + [("cold", m, 1.5) for m in range(3)] + [(None, m, 2.5 + m) for m in range(5)]
+    df = spark.createDataFrame([(a, DAY + timedelta(minutes=m), float(v)) for a, m, v in rows], "asset string, ts timestamp_ntz, close double")
+    texts = ["ts_mean(crypto.close(9))", "ema(crypto.close(12))", "rank(crypto.close(30))", "diff(crypto.close(3))", "ts_sum(diff(crypto.close(7)))", "ts_mean(zscore(crypto.close(5)))"]
+    whole = factor_frame(df, texts, "crypto", 3, "close", 2)
+    parts = factor_frame(df, texts, "crypto", 3, "close", 2, block_rows=40, bucket_seconds=600)
+    key = lambda r: (r.asset or "", r.ts)
+    for a, b in zip(sorted(whole.collect(), key=key), sorted(parts.collect(), key=key), strict=True):
+        assert a[:2] == b[:2]
+        assert [None if x is None else round(x, 9) for x in a[2:]] == [None if x is None else round(x, 9) for x in b[2:]]
+    plan = parts._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(asset#" in plan and "__block" in plan
+
+
+def test_scans_keep_one_window(spark):
+    """Long series: the endless mean does not drift away from the windowed one."""
+    from factorloom.functions.sliding import Ema, Rank, Scan
+
+    rng = random.Random(4)
+    values = [math.nan if rng.random() < 0.2 else rng.choice([1e6, 1.0]) * rng.random() for _ in range(5000)]
+    for n in (1, 2, 7, 300):
+        ema, rank = Ema(Scan("ema", "x", n)), Rank(Scan("rank", "x", n))
+        for i, v in enumerate(values):
+            e, r = ema.step(v, i + 1), rank.step(v, i + 1)
+            assert len(ema.held) <= n and len(rank.held) <= n
+            if i % 97 == 0 or i < 20:
+                window = values[max(0, i - n + 1) : i + 1]
+                known = [x for x in window if math.isfinite(x)]
+                acc, a = None, 2 / (len(window) + 1)
+                for x in known:
+                    acc = x if acc is None else a * x + (1 - a) * acc
+                assert e == (None if acc is None else pytest.approx(acc, rel=1e-9))
+                assert r == (None if math.isnan(v) else float(sum(x <= v for x in known)))
+
+
 def test_unusable_expressions_are_missing(spark):
     df = factor_frame(_frame(spark, _panel(1)), ["no(", "last(crsp.dlyret(1))"], "crypto")
     assert df.where("f0 is not null or f1 is not null").isEmpty()
