@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.guarded import clip, plain
 from ..plans import expr as X
 from ..plans import registry
-from ..plans.compiler import array_pearson
+from .profiles import closest_profiles
 from .scoring import CROSS_SECTION_METRICS, score_cross_section, score_direction
 
 # Scenarios -------------------------------------------------------------------
@@ -334,27 +334,16 @@ def reward_column(valid: Column, score: Column, duplicate: Column, closest: Colu
     return F.when(valid, clip(total, -1.0, 1.0)).otherwise(F.lit(w.invalid))
 
 
-def profile_correlation(a: Column, b: Column) -> Column:
-    """Pearson over the finite metrics that two maps share; 0 for fewer than two or no spread."""
-    shared = F.transform(F.map_keys(b), lambda k: F.try_element_at(a, k))
-    return F.coalesce(array_pearson(shared, F.map_values(b)), F.lit(0.0))
-
-
-def reward_batch(candidates: DataFrame, archive: DataFrame, w: RewardWeights = RewardWeights(), block: int = 1024) -> DataFrame:
+def reward_batch(candidates: DataFrame, archive: DataFrame, w: RewardWeights = RewardWeights()) -> DataFrame:
     """Rewards of ``ordinal, expr, signature, valid, score, metrics`` against a stored archive.
 
     Adds ``duplicate``, ``closest`` (largest absolute profile correlation) and
     ``reward``.  The archive is read, not changed: within the batch candidates
-    do not see each other.  Each candidate meets the archive in blocks of about
-    ``block`` profiles, not record by record; Spark broadcasts the blocks only
-    while they are small.
+    do not see each other.  The closest profile comes from a pruned index
+    (``profiles``), not from meeting every record.
     """
     known = archive.select("signature").distinct().withColumn("duplicate", F.lit(True))
-    count = max(1, -(-archive.count() // block))
-    blocks = archive.where(F.col("metrics").isNotNull()).groupBy(F.pmod(F.xxhash64("expr", "signature"), F.lit(count)).alias("block")).agg(F.collect_list("metrics").alias("profiles"))
-    met = candidates.select("ordinal", "metrics").join(blocks.select("profiles"), F.lit(True))
-    most = F.array_max(F.transform("profiles", lambda p: F.abs(profile_correlation(F.col("metrics"), p))))
-    close = met.select("ordinal", most.alias("c")).groupBy("ordinal").agg(F.max("c").alias("closest"))
+    close = closest_profiles(candidates, archive)
     out = candidates.join(known, "signature", "left").join(close, "ordinal", "left").withColumns({"duplicate": F.coalesce("duplicate", F.lit(False)), "closest": F.coalesce("closest", F.lit(0.0))})
     return out.withColumn("reward", reward_column(F.col("valid"), F.col("score"), F.col("duplicate"), F.col("closest"), w))
 

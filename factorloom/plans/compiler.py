@@ -383,11 +383,6 @@ def _pair(name: str, a: Column, b: Column) -> Column:
     return _let(F.least(F.size(a), F.size(b)), aligned)
 
 
-def array_pearson(a: Column, b: Column) -> Column:
-    """Correlation of the finite pairs of two arrays; missing for fewer than two or no spread."""
-    return _pair("corr", a, b)
-
-
 def _ema_step(acc: Column, v: Column, alpha: Column) -> Column:
     return F.when(~F.coalesce(is_finite(v), F.lit(False)), acc).when(acc.isNull(), v).otherwise(alpha * v + (1 - alpha) * acc)
 
