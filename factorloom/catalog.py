@@ -435,67 +435,57 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Candidates -------------------------------------------------------------------------
 
 
-def _completions(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(T.COMPLETIONS)), "ordinal int, text string")
-
-
 def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-_COMPLETIONS_SQL = "c AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {_quoted(t)})" for i, t in enumerate(T.COMPLETIONS)) + ") AS v(ordinal, text))"
+def _completions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.completions(spark, sf_dir)
+
+
 _STRIP = "lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')"
 _EXTRACT_SQL = f"""x AS (SELECT ordinal, list_filter(list_transform(CASE WHEN len(tags) > 0 THEN tags ELSE regexp_split_to_array(text, '\\r\\n|\\n|\\r') END, {_STRIP}), lambda x: x <> '') AS found
     FROM (SELECT *, regexp_extract_all(text, '(?is)<expr>\\s*(.*?)\\s*</expr>', 1) AS tags FROM c))"""
 
 
-@query("seed_extract", f"WITH {_COMPLETIONS_SQL}, {_EXTRACT_SQL} SELECT ordinal, CAST(i - 1 AS INTEGER) AS place, found[i] AS expr FROM (SELECT ordinal, found, unnest(range(1, len(found) + 1)) AS i FROM x)")
+@query("seed_extract", f"WITH {T.COMPLETIONS_SQL}, {_EXTRACT_SQL} SELECT ordinal, CAST(i - 1 AS INTEGER) AS place, found[i] AS expr FROM (SELECT ordinal, found, unnest(range(1, len(found) + 1)) AS i FROM x)")
 def _extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.extract_expressions(_completions(spark))
+    return C.extract_expressions(_completions(spark, sf_dir))
 
 
-_ALL = [e for t in T.COMPLETIONS for e in C.expressions_in(t)]
+#: CTE r: what is found in the completions, with canonical forms put together from their parts.
+_REALIZED_SQL = f"{T.COMPLETIONS_SQL}, {T.REALIZED_SQL}"
 
 
-@query(
-    "seed_realize",
-    "SELECT * FROM (VALUES "
-    + ", ".join(
-        f"({i}, {_quoted(e)}, {str(ok).lower()}, {'sha256(' + _quoted(form) + ')' if ok else _quoted('')})"
-        for i, (e, ok, form) in enumerate(
-            [
-                ("ts_mean(crypto.close(5))", True, "call:ts_mean(field:crypto.close:5)"),
-                ("add(ts_mean(crypto.volume(3)), ts_std(crypto.close(4)))", True, "call:add(call:ts_mean(field:crypto.volume:3),call:ts_std(field:crypto.close:4))"),
-                ("add(ts_std(crypto.close(4)), ts_mean(crypto.volume(3)))", True, "call:add(call:ts_mean(field:crypto.volume:3),call:ts_std(field:crypto.close:4))"),
-                ("neg(ts_mean(crypto.returns(3)))", True, "call:neg(call:ts_mean(field:crypto.returns:3))"),
-                ("unknown(crypto.close(5))", False, ""),
-                ("last(crsp.dlyclose(1))", True, "call:last(field:crsp.dlyclose:1)"),
-                ("no expression here", False, ""),
-                ("corr(crypto.close(9), crypto.volume(9))", True, "call:corr(field:crypto.close:9,field:crypto.volume:9)"),
-            ]
-        )
-    )
-    + ") AS v(ordinal, expr, valid, signature)",
-)
+def _realized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = C.extract_expressions(_completions(spark, sf_dir))
+    return C.realize_table(found.select((F.col("ordinal") * 10 + F.col("place")).alias("ordinal"), "expr"))
+
+
+@query("seed_realize", f"WITH {_REALIZED_SQL} SELECT ordinal, expr, valid, signature FROM r")
 def _realize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.realize_all(spark, _ALL).drop("reason")
+    """Every expression of every completion: read, checked and signed in batches."""
+    return _realized(spark, sf_dir).drop("reason")
+
+
+_SCORED_SQL = f"{_REALIZED_SQL}, sc AS (SELECT *, CAST((ordinal * 7) % 5 AS DOUBLE) / 4 AS score FROM r)"
 
 
 @query(
     "seed_pool",
-    ORACLE["seed_realize"].replace("SELECT * FROM", "WITH r AS (SELECT *, CAST((ordinal * 7) % 5 AS DOUBLE) / 4 AS score FROM", 1)
-    + "), k AS (SELECT *, row_number() OVER (PARTITION BY signature ORDER BY score DESC, ordinal) AS place FROM r WHERE valid AND score >= 0.25) SELECT ordinal, expr, score, signature FROM k WHERE place = 1 ORDER BY score DESC, ordinal LIMIT 3",
+    f"WITH {_SCORED_SQL}, k AS (SELECT *, row_number() OVER (PARTITION BY signature ORDER BY score DESC, ordinal) AS place FROM sc WHERE valid AND score >= 0.25) SELECT ordinal, expr, score, signature FROM k WHERE place = 1 ORDER BY score DESC, ordinal LIMIT 30",
 )
 def _pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = C.realize_all(spark, _ALL).withColumn("score", ((F.col("ordinal") * 7) % 5).cast("double") / 4)
-    return C.pool_frame(scored, 3, 0.25)
+    scored = _realized(spark, sf_dir).withColumn("score", ((F.col("ordinal") * 7) % 5).cast("double") / 4)
+    return C.pool_frame(scored, 30, 0.25)
+
+
+_POOL_SQL = "pool AS (" + ORACLE["seed_pool"].replace(f"WITH {_SCORED_SQL}, k AS", "WITH k AS") + ")"
 
 
-@query("seed_task_bank", "SELECT s.expr, s.score, w.start, w.\"end\" FROM (VALUES ('a', 0.5::DOUBLE), ('b', 0.25::DOUBLE)) AS s(expr, score) CROSS JOIN (VALUES ('2020-01-01', '2020-07-01'), ('2020-07-02', '2020-12-31')) AS w(start, \"end\")")
+@query("seed_task_bank", f"WITH {_SCORED_SQL}, {_POOL_SQL} SELECT s.expr, s.score, w.start, w.\"end\" FROM pool s CROSS JOIN (VALUES ('2020-01-01', '2020-07-01'), ('2020-07-02', '2020-12-31')) AS w(start, \"end\")")
 def _task_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seeds = spark.createDataFrame([("a", 0.5), ("b", 0.25)], "expr string, score double")
-    windows = [(w.start, w.end) for w in C.time_windows("2020-01-01", "2020-12-31", 2)]
-    return C.task_bank_frame(seeds, spark.createDataFrame(windows, "start string, end string"))
+    return C.task_bank_frame(_pool(spark, sf_dir).select("expr", "score"), C.time_windows("2020-01-01", "2020-12-31", 2))
 
 
 #: The request's templates in SQL; test_catalog holds the names against the registry.
@@ -520,27 +510,20 @@ def _seed_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(spark.createDataFrame([(t.seed_expr, t.seed_score, t.window.start, t.window.end, t.scenario.horizon) for t in bank.tasks], "expr string, score double, start string, end string, horizon int"))
 
 
-_REWARD_ROWS = [
-    (0, "s0", True, 0.4, {"score": 0.4, "x": 1.0, "y": 3.0}),
-    (1, "s1", True, 0.9, {"score": 0.9, "x": -1.0, "y": -3.0}),
-    (2, "", False, -1.0, {}),
-    (3, "s3", True, -0.9, {"score": 1.0, "x": 1.0, "y": 1.0}),
-]
-_ARCHIVED = [("e", "s1", 0.5, 0.6, {"score": 0.5, "x": 2.0, "y": 4.0})]
-
-
 @query(
     "seed_reward",
-    """WITH m AS (SELECT * FROM (VALUES (0, 0.4::DOUBLE, 0.5::DOUBLE), (0, 1, 2), (0, 3, 4), (1, 0.9, 0.5), (1, -1, 2), (1, -3, 4), (3, 1, 0.5), (3, 1, 2), (3, 1, 4)) AS v(ordinal, x, y)),
-k AS (SELECT ordinal, coalesce(abs(CASE WHEN stddev_pop(x) > 1e-12 THEN covar_pop(x, y) / (stddev_pop(x) * stddev_pop(y)) END), 0) AS closest FROM m GROUP BY ordinal),
-r AS (SELECT * FROM (VALUES (0, true, 0.4::DOUBLE, false), (1, true, 0.9, true), (2, false, -1.0, false), (3, true, -0.9, false)) AS v(ordinal, valid, score, duplicate))
+    f"""WITH {T.PROFILES_SQL}, m AS (SELECT x.user_id AS ordinal, y.user_id AS other, x.x, y.x AS y FROM long x JOIN long y ON x.name = y.name WHERE x.user_id % 2 = 0 AND y.user_id % 2 = 1),
+k AS (SELECT ordinal, max(c) AS closest FROM (SELECT ordinal, other, coalesce(abs({_pearson("x", "y")}), 0) AS c FROM m GROUP BY ordinal, other) GROUP BY ordinal),
+r AS (SELECT user_id AS ordinal, user_id % 5 <> 0 AS valid, (user_id % 21 - 10) / 10.0::DOUBLE AS score, CAST(user_id % 89 AS VARCHAR) IN (SELECT CAST(user_id % 97 AS VARCHAR) FROM prof WHERE user_id % 2 = 1) AS duplicate FROM prof WHERE user_id % 2 = 0)
 SELECT r.ordinal, duplicate, round(coalesce(closest, 0), 6) AS closest, round(CASE WHEN valid THEN greatest(-1.0::DOUBLE, least(1.0::DOUBLE, score + CASE WHEN duplicate THEN -0.25::DOUBLE ELSE 0.05::DOUBLE END + 0.05::DOUBLE * (1 - coalesce(closest, 0)))) ELSE -1.0::DOUBLE END, 6) AS reward
 FROM r LEFT JOIN k ON r.ordinal = k.ordinal""",
 )
 def _reward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(_REWARD_ROWS, "ordinal int, signature string, valid boolean, score double, metrics map<string,double>")
-    archive = spark.createDataFrame(_ARCHIVED, "expr string, signature string, score double, reward double, metrics map<string,double>")
-    return _round(C.reward_batch(rows, archive).select("ordinal", "duplicate", "closest", "reward"))
+    """Profiles of users against those of other users: every one finds its closest."""
+    p = T.profiles(spark, sf_dir)
+    asked = p.where("user_id % 2 = 0").select(F.col("user_id").alias("ordinal"), "metrics", (F.col("user_id") % 89).cast("string").alias("signature"), (F.col("user_id") % 5 != 0).alias("valid"), ((F.col("user_id") % 21 - 10) / F.lit(10.0)).alias("score"))
+    held = p.where("user_id % 2 = 1").select("metrics", (F.col("user_id") % 97).cast("string").alias("signature"))
+    return _round(C.reward_batch(asked, held).select("ordinal", "duplicate", "closest", "reward"))
 
 
 @query("seed_reward_spread", "SELECT o_orderpriority AS task, count(*) AS rollouts, round(avg(o_totalprice), 4) AS reward_mean, round(stddev_pop(o_totalprice), 4) AS reward_std, sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END)::BIGINT AS valid, stddev_pop(o_totalprice) > 0.05 AS varies FROM orders GROUP BY 1")
@@ -601,42 +584,46 @@ def _rewarded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(spark.createDataFrame([(i, o.expr, o.valid, o.score, o.reward, o.stored) for i, o in enumerate(made)], "ordinal int, expr string, valid boolean, score double, reward double, stored boolean"))
 
 
-@query("seed_prompt_rows", "SELECT 'factorloom/factor_dsl' AS data_source, CAST(i AS INTEGER) AS index, CAST(k AS INTEGER) AS repeat_index, 'rule' AS style, 2::INTEGER AS messages, 'crypto_daily_cross_sectional_rankic' AS family FROM range(2) t(i) CROSS JOIN range(3) u(k)")
+_PROMPT = C.messages(C.Task("{expr}", 0.0, C.Scenario.of(registry.CROSS_SECTION, "crypto", 1), C.Period("{start}", "{end}"), C.Scenario.of(registry.CROSS_SECTION, "crypto", 1).objective), "crypto", 3)
+_PROMPT_SQL = "replace(replace(replace(replace(" + _quoted(_PROMPT[1]["content"].replace("Seed score: 0.0", "Seed score: {score}")) + ", '{start}', start), '{end}', \"end\"), '{score}', CAST(score AS VARCHAR)), '{expr}', expr)"
+
+
+@query("seed_prompt_rows", f"WITH {_SCORED_SQL}, {_POOL_SQL}, b AS (" + ORACLE["seed_task_bank"].split(f"{_POOL_SQL} ", 1)[1] + f") SELECT 'factorloom/factor_dsl' AS data_source, expr AS seed_expr, CAST(i AS INTEGER) AS repeat_index, 'system' AS first_role, {_quoted(_PROMPT[0]['content'])} AS system, {_PROMPT_SQL} AS user_text FROM b CROSS JOIN range(3) t(i)")
 def _prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The messages of every task of the bank, word for word."""
     scenario = C.Scenario.of(registry.CROSS_SECTION, "crypto", 1)
-    tasks = [C.Task(e, 0.0, scenario, C.Period("2024-01-01", "2024-01-30"), scenario.objective) for e in list(SCORED)[:2]]
-    rows = C.prompt_rows(spark, tasks, "crypto", 3)
-    return rows.select("data_source", "extra_info.index", "extra_info.repeat_index", "reward_model.style", F.size("prompt").alias("messages"), "extra_info.family")
+    rows = C.prompt_frame(_task_bank(spark, sf_dir), scenario, "crypto", 3, count=3)
+    at = lambda k, f: F.col("prompt")[k][f]
+    return rows.select("data_source", "seed_expr", "repeat_index", at(0, "role").alias("first_role"), at(0, "content").alias("system"), at(1, "content").alias("user_text"))
 
 
-@query("seed_single_expression", "WITH " + _COMPLETIONS_SQL + " SELECT ordinal, CASE WHEN t <> '' THEN t WHEN k <> '' THEN k ELSE trim(text) END AS expr FROM (SELECT *, regexp_extract(text, '(?is)<expr>\\s*(.*?)\\s*</expr>', 1) AS t, regexp_extract(text, '(?s)([A-Za-z_]\\w*\\s*\\(.*\\))', 1) AS k FROM c)")
+@query("seed_single_expression", f"WITH {T.COMPLETIONS_SQL}" + " SELECT ordinal, CASE WHEN t <> '' THEN t WHEN k <> '' THEN k ELSE trim(text) END AS expr FROM (SELECT *, regexp_extract(text, '(?is)<expr>\\s*(.*?)\\s*</expr>', 1) AS t, regexp_extract(text, '(?s)([A-Za-z_]\\w*\\s*\\(.*\\))', 1) AS k FROM c)")
 def _single(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _completions(spark).select("ordinal", C.single_expression(F.col("text")).alias("expr"))
+    return _completions(spark, sf_dir).select("ordinal", C.single_expression(F.col("text")).alias("expr"))
 
 
 @query("lib_compare_approaches")
 def _compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The offline generators under one protocol; each part has its own SQL elsewhere."""
     found = C.compare_approaches(T.user_day(spark, sf_dir), {"expansion": C.expansions, "refinement": C.refinements}, count=6, min_history=5)
-    rows = [(n, r["raw_candidate_count"], r["valid_candidate_count"], ";".join(r["selected"]), r["test"]["rank_ic_mean"]) for n, r in found.items()]
+    rows = [(n, r["candidates"], r["usable"], ";".join(r["selected"]), r["test"]["rank_ic_mean"]) for n, r in found.items()]
     return spark.createDataFrame(rows, "approach string, raw int, valid int, selected string, test_rank_ic double")
 
 
 @query(
     "seed_duplicates",
-    "WITH c AS (" + ORACLE["seed_realize"] + ") SELECT ordinal, expr, signature IN (SELECT signature FROM c WHERE ordinal = 1 AND valid) AS known FROM (SELECT *, row_number() OVER (PARTITION BY signature ORDER BY ordinal) AS place FROM c) WHERE place = 1 OR NOT valid",
+    f"WITH {_REALIZED_SQL}, old AS (SELECT DISTINCT signature FROM r WHERE ordinal % 50 = 0) SELECT ordinal, expr, signature IN (SELECT signature FROM old) AS known FROM (SELECT *, row_number() OVER (PARTITION BY signature ORDER BY ordinal) AS place FROM r) WHERE place = 1 OR NOT valid",
 )
 def _duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = acceptance.first_of_batch(C.realize_all(spark, _ALL))
-    archive = C.realize_all(spark, _ALL[1:2])
-    old, new = (acceptance.duplicates_of(rows, archive, k).withColumn("known", F.lit(k)) for k in (True, False))
+    found = _realized(spark, sf_dir)
+    rows = acceptance.first_of_batch(found)
+    old, new = (acceptance.duplicates_of(rows, found.where("ordinal % 50 = 0"), k).withColumn("known", F.lit(k)) for k in (True, False))
     return old.unionByName(new).select("ordinal", "expr", "known")
 
 
-@query("seed_rollout_expressions", "WITH c AS (" + ORACLE["seed_realize"] + ") SELECT expr, CAST(min(ordinal) AS INTEGER) AS ordinal FROM (SELECT * FROM c UNION ALL SELECT ordinal + 100, expr, valid, signature FROM c) WHERE valid GROUP BY expr")
+@query("seed_rollout_expressions", f"WITH {_REALIZED_SQL} SELECT expr, min(ordinal) AS ordinal FROM r WHERE valid GROUP BY expr")
 def _rollout_expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = C.realize_all(spark, [*_ALL, *_ALL])
-    return acceptance.valid_expressions(rows)
+    return acceptance.valid_expressions(_realized(spark, sf_dir))
 
 
 @query("gate_rewards")

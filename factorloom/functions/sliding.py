@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..workers import ship
+
 
 @dataclass(frozen=True)
 class Scan:
@@ -91,6 +93,7 @@ def scan_columns(panel: DataFrame, scans: Sequence[tuple[Scan, str]], keys: Sequ
 
     ``place``: the row number within the asset, where ``keys`` hold a part of it only.
     """
+    ship(panel.sparkSession)
     names = [n for _, n in scans]
     schema = T.StructType([*panel.schema.fields, *(T.StructField(n, T.DoubleType()) for n in names)])
     plan = [s for s, _ in scans]

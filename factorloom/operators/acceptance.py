@@ -104,7 +104,8 @@ def duplicates_of(candidates: DataFrame, archive: DataFrame, known: bool = True)
 def first_of_batch(candidates: DataFrame) -> DataFrame:
     """One candidate for each signature of a batch: the first by ordinal; invalid ones all stay."""
     place = F.row_number().over(Window.partitionBy("signature").orderBy("ordinal"))
-    return candidates.withColumn("__place", place).where((F.col("__place") == 1) | ~F.col("valid")).drop("__place")
+    first = candidates.where("valid").withColumn("__place", place).where("__place = 1").drop("__place")
+    return first.unionByName(candidates.where("not valid"))
 
 
 def report_rows(result: Mapping[str, dict]) -> list[dict]:

@@ -7,12 +7,15 @@ from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import asdict, dataclass, field, replace
 from datetime import date, datetime, timedelta
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.guarded import clip, plain
 from ..plans import expr as X
 from ..plans import registry
+from ..workers import ship
 from .profiles import closest_profiles
 from .scoring import CROSS_SECTION_METRICS, score_cross_section, score_direction
 
@@ -47,14 +50,14 @@ class Request:
     price: str
 
 
+#: A number of days ("5d"), or a number of up to three digits.
+_HORIZON = re.compile(r"(?<!\S)(?:(\d+)d|(\d{1,3}|0+\d{1,3}))(?!\S)")
+
+
 def horizon_in(text: str, default: int = 1) -> int:
     """The first "5d" or whole number from 1 to 252 in a text."""
-    for word in text.replace("-", " ").split():
-        if re.fullmatch(r"\d+d", word):
-            return int(word[:-1])
-        if word.isdigit() and 1 <= int(word) <= 252:
-            return int(word)
-    return default
+    found = (int(m[1] or m[2]) for m in _HORIZON.finditer(text.replace("-", " ")) if m[1] or 1 <= int(m[2]) <= 252)
+    return next(found, default)
 
 
 def refine(text: str) -> Request:
@@ -123,6 +126,36 @@ def realize_all(spark: SparkSession, exprs: Iterable[str]) -> DataFrame:
     return spark.createDataFrame(rows, "ordinal int, expr string, valid boolean, signature string, reason string")
 
 
+def realize_table(rows: DataFrame, expr: str = "expr", limits: X.Limits = X.Limits(), cache: int = 50_000) -> DataFrame:
+    """Adds ``valid, signature, reason`` to a table of candidates and trims ``expr``; a missing one is not valid.
+
+    Candidates are checked in Arrow batches; a worker keeps what it has last seen, since
+    generators repeat themselves.  Nothing of the table comes to the driver.
+    """
+    ship(rows.sparkSession)
+    names = [c for c in rows.columns if c not in (expr, "valid", "signature", "reason")]
+    given = rows.select(*names, F.col(expr).cast("string").alias(expr))
+    new = [(expr, T.StringType()), ("valid", T.BooleanType()), ("signature", T.StringType()), ("reason", T.StringType())]
+    schema = T.StructType([*(given.schema[n] for n in names), *(T.StructField(n, t) for n, t in new)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[str | None, Realized] = {}
+        for batch in batches:
+            found = []
+            for text in batch.column(expr).to_pylist():
+                r = seen.get(text)
+                if r is None:
+                    r = Realized("", False, reason="no expression") if text is None else realize(text, limits)
+                    if len(seen) >= cache:
+                        seen.clear()
+                    seen[text] = r
+                found.append(r)
+            made = [pa.array([getattr(r, n) for r in found], t) for n, t in (("expr", pa.string()), ("valid", pa.bool_()), ("signature", pa.string()), ("reason", pa.string()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *made], names=schema.names)
+
+    return given.mapInArrow(run, schema)
+
+
 @dataclass(frozen=True)
 class Seed:
     expr: str
@@ -200,9 +233,10 @@ def task_bank(seeds: Sequence[Seed], scenario: Scenario, windows: Sequence[Perio
     return tuple(Task(s.expr, s.score, scenario, w, scenario.objective) for s in seeds for w in windows)
 
 
-def task_bank_frame(seeds: DataFrame, windows: DataFrame) -> DataFrame:
-    """Every seed with every window; both are small lists of the driver's making."""
-    return seeds.join(F.broadcast(windows), F.lit(True))
+def task_bank_frame(seeds: DataFrame, windows: Sequence[Period]) -> DataFrame:
+    """Every row of ``seeds`` with every window (``start, end``), without a join."""
+    every = F.array(*(F.struct(F.lit(w.start).alias("start"), F.lit(w.end).alias("end")) for w in windows))
+    return seeds.select("*", F.inline(every)) if windows else seeds.select("*", F.lit("").alias("start"), F.lit("").alias("end")).limit(0)
 
 
 # Scores, rewards, archive ----------------------------------------------------
@@ -334,7 +368,7 @@ def reward_column(valid: Column, score: Column, duplicate: Column, closest: Colu
     return F.when(valid, clip(total, -1.0, 1.0)).otherwise(F.lit(w.invalid))
 
 
-def reward_batch(candidates: DataFrame, archive: DataFrame, w: RewardWeights = RewardWeights()) -> DataFrame:
+def reward_batch(candidates: DataFrame, archive: DataFrame, w: RewardWeights = RewardWeights(), block: int = 1024) -> DataFrame:
     """Rewards of ``ordinal, expr, signature, valid, score, metrics`` against a stored archive.
 
     Adds ``duplicate``, ``closest`` (largest absolute profile correlation) and
@@ -343,7 +377,7 @@ def reward_batch(candidates: DataFrame, archive: DataFrame, w: RewardWeights = R
     (``profiles``), not from meeting every record.
     """
     known = archive.select("signature").distinct().withColumn("duplicate", F.lit(True))
-    close = closest_profiles(candidates, archive)
+    close = closest_profiles(candidates, archive, block=block)
     out = candidates.join(known, "signature", "left").join(close, "ordinal", "left").withColumns({"duplicate": F.coalesce("duplicate", F.lit(False)), "closest": F.coalesce("closest", F.lit(0.0))})
     return out.withColumn("reward", reward_column(F.col("valid"), F.col("score"), F.col("duplicate"), F.col("closest"), w))
 
@@ -412,6 +446,28 @@ def reward_completions(panel: DataFrame, completions: Sequence[str], task: Task,
     return tuple(out)
 
 
+def reward_table(panel: DataFrame, completions: DataFrame, archive: DataFrame, scenario: Scenario, space: str, price: str, min_history: int = 1, min_assets: int = 8, weights: RewardWeights = RewardWeights(), batch: int = 64) -> DataFrame:
+    """One reward for each row of ``completions`` (``ordinal, text``) against a stored archive.
+
+    Adds ``expr, valid, signature, reason, score, metrics, duplicate, closest, reward``, from a
+    completion's first expression.  Completions stay a table: what comes to the driver is one text
+    for each different valid expression (by signature), which the plan over the panel is made of,
+    ``batch`` of them in a job.  The archive is read, not changed.
+    """
+    first = extract_expressions(completions).where("place = 0").drop("place")
+    done = realize_table(completions.select("ordinal").join(first, "ordinal", "left"))
+    done = done.withColumn("reason", F.when((F.col("expr") == "") & ~F.col("valid"), F.lit("no expression found")).otherwise(F.col("reason")))
+    texts = {r["signature"]: r["expr"] for r in done.where("valid").groupBy("signature").agg(F.min("expr").alias("expr")).collect()}
+    rows, names = [], list(texts)
+    for k in range(0, len(names), batch):
+        some = names[k : k + batch]
+        found = score_all(panel, [texts[s] for s in some], scenario, space, price, min_history, min_assets)
+        rows += [(s, found[texts[s]]["score"], {n: None if v is None else float(v) for n, v in found[texts[s]].items()}) for s in some]
+    scores = panel.sparkSession.createDataFrame(rows, "signature string, score double, metrics map<string,double>")
+    scored = done.join(scores, "signature", "left").withColumn("score", F.when(F.col("valid"), F.col("score")).otherwise(F.lit(-1.0)))
+    return reward_batch(scored, archive, weights)
+
+
 def reward_spread(outcomes: DataFrame, most_flat: float = 0.05) -> DataFrame:
     """By ``task`` of ``task, reward, valid``: mean, spread, valid count, and whether rewards vary."""
     out = outcomes.groupBy("task").agg(F.count("*").alias("rollouts"), F.avg("reward").alias("reward_mean"), F.stddev_pop("reward").alias("reward_std"), F.sum(F.col("valid").cast("long")).alias("valid"))
@@ -460,6 +516,22 @@ def prompt_rows(spark: SparkSession, tasks: Sequence[Task], space: str, repeats:
     return spark.createDataFrame(rows, PROMPT_ROW)
 
 
+def prompt_frame(tasks: DataFrame, scenario: Scenario, space: str, repeats: int = 1, count: int = 1, data_source: str = "factorloom/factor_dsl") -> DataFrame:
+    """``data_source, prompt, seed_expr, repeat_index``: the messages of a table of tasks (``expr, score, start, end``), each ``repeats`` times.
+
+    The prompt of a row is that of ``messages`` for the same task.
+    """
+    task = Task("\x00expr\x00", 0.0, scenario, Period("\x00start\x00", "\x00end\x00"), scenario.objective)
+    system, user = messages(task, space, count)
+    text = F.lit(user["content"].replace("Seed score: 0.0", "Seed score: \x00score\x00"))
+    for name in ("start", "end", "score", "expr"):  # the expression last: nothing in it is taken for a name
+        text = F.replace(text, F.lit(f"\x00{name}\x00"), F.coalesce(F.col(name).cast("string"), F.lit("")))
+    message = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
+    prompt = F.array(message(system["role"], F.lit(system["content"])), message(user["role"], text))
+    again = F.explode(F.sequence(F.lit(0), F.lit(max(1, int(repeats)) - 1))).alias("repeat_index")
+    return tasks.select(F.lit(data_source).alias("data_source"), prompt.alias("prompt"), F.col("expr").alias("seed_expr"), again)
+
+
 # What the offline generators try.
 MUTATED_WINDOWS, NEW_WINDOWS = ("7", "20", "30"), (5, 7, 10, 14, 20, 30, 45, 60)
 WRAPPERS = ("tanh", "zscore", "neg", "abs")
@@ -501,5 +573,5 @@ def compare_approaches(panel: DataFrame, approaches: Mapping[str, Callable[[Sequ
         candidates = tuple(generate(own, count))
         bank = seed_bank(panel, scenario, space, price, [first], candidates, min_history, top_k=max(top_k, 1), threshold=-1.0)
         result = evaluate_library(panel, [s.expr for s in bank.seeds], space, price, config)
-        out[name] = {"approach": name, "raw_candidate_count": len(candidates), "valid_candidate_count": len(bank.seeds), "selected": result.selected, "validation": asdict(result.validation), "test": asdict(result.test)}
+        out[name] = {"approach": name, "candidates": len(candidates), "usable": len(bank.seeds), "selected": result.selected, "validation": asdict(result.validation), "test": asdict(result.test)}
     return out
