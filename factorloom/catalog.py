@@ -532,16 +532,21 @@ def _spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(C.reward_spread(o), 4)
 
 
-def _settled_sql(exprs: dict[str, str], least: float) -> str:
-    """CTE y: k, score, reward, stored; what is stored changes the rewards after it."""
+def _profiled_sql(exprs: dict[str, str], met: str) -> str:
+    """CTEs made (k, score and metrics of each expression) and v (a, b, c: correlations of the profiles that ``met`` chooses)."""
     named = ("score", "rank_ic_mean", "rank_ic_std", "rank_ic_ir", "long_short_mean", "long_short_sharpe", "valid_times", "mean_assets")
     profile = " UNION ALL ".join(f"SELECT k, '{m}' AS name, CAST({m} AS DOUBLE) AS x FROM made" for m in named)
+    return f"""{_pairs_sql(exprs)}, {_sections_sql()}, {_TOTALS},
+made AS (SELECT i AS k, CASE WHEN rank_ic_mean IS NULL THEN -1.0::DOUBLE ELSE greatest(-1.0::DOUBLE, least(1.0::DOUBLE, rank_ic_mean * 5 + 0.02::DOUBLE * tanh(rank_ic_ir))) END AS score, * EXCLUDE (i, valid_times, mean_assets), coalesce(valid_times, 0) AS valid_times, coalesce(mean_assets, 0) AS mean_assets FROM range({len(exprs)}) r(i) LEFT JOIN t ON expr_id = i),
+u AS ({profile}), v AS (SELECT x.k AS a, y.k AS b, coalesce(abs({_pearson("x.x", "y.x")}), 0) AS c FROM u x JOIN u y ON x.name = y.name AND {met} GROUP BY x.k, y.k)"""
+
+
+def _settled_sql(exprs: dict[str, str], least: float) -> str:
+    """CTE y: k, score, reward, stored; what is stored changes the rewards after it."""
     closest = "coalesce(list_max(list_transform(list_filter(others, lambda e: list_contains(held, e.b)), lambda e: e.c)), 0)"
     reward = f"greatest(-1.0::DOUBLE, least(1.0::DOUBLE, score + 0.05::DOUBLE + 0.05::DOUBLE * (1 - {closest})))"
     kept = f"score >= {least} AND {reward} >= {least}"
-    return f"""{_pairs_sql(exprs)}, {_sections_sql()}, {_TOTALS},
-made AS (SELECT i AS k, CASE WHEN rank_ic_mean IS NULL THEN -1.0::DOUBLE ELSE greatest(-1.0::DOUBLE, least(1.0::DOUBLE, rank_ic_mean * 5 + 0.02::DOUBLE * tanh(rank_ic_ir))) END AS score, * EXCLUDE (i, valid_times, mean_assets), coalesce(valid_times, 0) AS valid_times, coalesce(mean_assets, 0) AS mean_assets FROM range({len(exprs)}) r(i) LEFT JOIN t ON expr_id = i),
-u AS ({profile}), v AS (SELECT x.k AS a, y.k AS b, coalesce(abs({_pearson("x.x", "y.x")}), 0) AS c FROM u x JOIN u y ON x.name = y.name AND y.k < x.k GROUP BY x.k, y.k),
+    return f"""{_profiled_sql(exprs, "y.k < x.k")},
 o AS (SELECT k, score, coalesce((SELECT list({{'b': b, 'c': c}}) FROM v WHERE a = k), []) AS others FROM made),
 g AS (SELECT -1::BIGINT AS k, 0.0::DOUBLE AS score, 0.0::DOUBLE AS reward, false AS stored, []::BIGINT[] AS held
     UNION ALL SELECT o.k, o.score, {reward.replace("score", "o.score")}, {kept.replace("score", "o.score")}, CASE WHEN {kept.replace("score", "o.score")} THEN list_append(held, o.k) ELSE held END FROM g JOIN o ON o.k = g.k + 1),
@@ -570,18 +575,27 @@ _COMPLETED = {
 }
 
 
+_AGAINST = {e: q for e, (_, q) in _COMPLETED.items()} | SCORED
+_PLACES = {place: k for k, (place, _) in enumerate(_COMPLETED.values())}
+
+
 @query(
     "seed_completions",
-    f"""WITH RECURSIVE {_settled_sql({e: q for e, (_, q) in _COMPLETED.items()}, 0.0)}
-SELECT CAST({[i for i, _ in _COMPLETED.values()]}[k + 1] AS INTEGER) AS ordinal, {list(_COMPLETED)}[k + 1] AS expr, true AS valid, score, reward, stored FROM y
-UNION ALL SELECT * FROM (VALUES (2, 'unknown(crypto.close(5))', false, -1.0::DOUBLE, -1.0::DOUBLE, false), (4, 'no expression here', false, -1.0, -1.0, false), (5, '', false, -1.0, -1.0, false))""",
+    f"""WITH {_profiled_sql(_AGAINST, f"x.k < {len(_COMPLETED)} AND y.k >= {len(_COMPLETED)}")}, near AS (SELECT a, max(c) AS closest FROM v GROUP BY a),
+asked AS (SELECT k, {list(_COMPLETED)}[k + 1] AS expr, score, k = 0 AS duplicate, coalesce(closest, 0) AS closest FROM made LEFT JOIN near ON a = k WHERE k < {len(_COMPLETED)}),
+cu AS (SELECT c_custkey AS ordinal, CASE c_custkey % {len(T.COMPLETIONS)} {" ".join(f"WHEN {i} THEN {k}" for i, k in _PLACES.items())} END AS k, CASE c_custkey % {len(T.COMPLETIONS)} WHEN 2 THEN 'unknown(crypto.close(5))' WHEN 4 THEN 'no expression here' ELSE '' END AS bad FROM customer)
+SELECT ordinal, coalesce(expr, bad) AS expr, cu.k IS NOT NULL AS valid, round(coalesce(score, -1.0::DOUBLE), 6) AS score, coalesce(duplicate, false) AS duplicate, round(coalesce(closest, 0), 6) AS closest,
+    round(CASE WHEN cu.k IS NULL THEN -1.0::DOUBLE ELSE greatest(-1.0::DOUBLE, least(1.0::DOUBLE, score + CASE WHEN duplicate THEN -0.25::DOUBLE ELSE 0.05::DOUBLE END + 0.05::DOUBLE * (1 - closest))) END, 6) AS reward
+FROM cu LEFT JOIN asked ON asked.k = cu.k""",
 )
 def _rewarded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One reward for each completion, from its first expression."""
-    scenario = C.Scenario.of(registry.CROSS_SECTION, "crypto", 1)
-    task = C.Task(FLAGSHIP, 0.0, scenario, C.Period("2024-01-01", "2024-01-30"), scenario.objective)
-    made = C.reward_completions(T.user_day(spark, sf_dir), T.COMPLETIONS, task, "crypto", "close", C.Archive(), min_history=5)
-    return _round(spark.createDataFrame([(i, o.expr, o.valid, o.score, o.reward, o.stored) for i, o in enumerate(made)], "ordinal int, expr string, valid boolean, score double, reward double, stored boolean"))
+    """A completion for each customer, rewarded against an archive of other factors' profiles."""
+    panel, scenario = T.user_day(spark, sf_dir), C.Scenario.of(registry.CROSS_SECTION, "crypto", 1)
+    held = [(C.realize(e).signature, m) for e, m in C.score_all(panel, list(SCORED), scenario, "crypto", "close", _HISTORY).items()]
+    archive = spark.createDataFrame([*held, (C.realize(next(iter(_COMPLETED))).signature, {})], "signature string, metrics map<string,double>")
+    texts = F.array(*(F.lit(t) for t in T.COMPLETIONS))
+    made = T.load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("ordinal"), F.get(texts, (F.col("c_custkey") % len(T.COMPLETIONS)).cast("int")).alias("text"))
+    return _round(C.reward_table(panel, made, archive, scenario, "crypto", "close", _HISTORY).select("ordinal", "expr", "valid", "score", "duplicate", "closest", "reward"))
 
 
 _PROMPT = C.messages(C.Task("{expr}", 0.0, C.Scenario.of(registry.CROSS_SECTION, "crypto", 1), C.Period("{start}", "{end}"), C.Scenario.of(registry.CROSS_SECTION, "crypto", 1).objective), "crypto", 3)

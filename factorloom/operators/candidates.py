@@ -463,9 +463,11 @@ def reward_table(panel: DataFrame, completions: DataFrame, archive: DataFrame, s
         some = names[k : k + batch]
         found = score_all(panel, [texts[s] for s in some], scenario, space, price, min_history, min_assets)
         rows += [(s, found[texts[s]]["score"], {n: None if v is None else float(v) for n, v in found[texts[s]].items()}) for s in some]
-    scores = panel.sparkSession.createDataFrame(rows, "signature string, score double, metrics map<string,double>")
-    scored = done.join(scores, "signature", "left").withColumn("score", F.when(F.col("valid"), F.col("score")).otherwise(F.lit(-1.0)))
-    return reward_batch(scored, archive, weights)
+    # a reward is that of the expression, so each is rewarded once
+    once = panel.sparkSession.createDataFrame([(k, True, *r) for k, r in enumerate(rows)], "ordinal int, valid boolean, signature string, score double, metrics map<string,double>")
+    rewarded = reward_batch(once, archive, weights).select("signature", "score", "metrics", "duplicate", "closest", "reward")
+    worst = {"score": F.lit(-1.0), "duplicate": F.lit(False), "closest": F.lit(0.0), "reward": F.lit(weights.invalid)}
+    return done.join(rewarded, "signature", "left").withColumns({c: F.when(F.col("valid"), F.col(c)).otherwise(v) for c, v in worst.items()})
 
 
 def reward_spread(outcomes: DataFrame, most_flat: float = 0.05) -> DataFrame:

@@ -148,3 +148,39 @@ def test_rewards_against_an_archive_in_blocks(spark):
                 assert got[ordinal]["closest"] == pytest.approx(closest, abs=1e-9)
                 assert got[ordinal]["duplicate"] == (signature in some)
                 assert got[ordinal]["reward"] == pytest.approx(C.reward_of(score, signature in some, closest) if valid else -1.0, abs=1e-9)
+
+
+def test_a_table_of_candidates(spark):
+    texts = ["last(crypto.close(1))", " last( crypto.close(1) ) ", "bad(", None, "", "add(last(crypto.open(1)), last(crypto.low(1)))", "last(crypto.close(0))"] * 20
+    df = spark.createDataFrame([(i, t, i * 2, "mine") for i, t in enumerate(texts)], "ordinal int, expr string, other int, reason string").repartition(3)
+    for cache in (1, 50_000):
+        got = C.realize_table(df, cache=cache)
+        assert got.columns == ["ordinal", "other", "expr", "valid", "signature", "reason"]
+        for r in got.collect():
+            want = C.realize(texts[r.ordinal]) if texts[r.ordinal] is not None else C.Realized("", False, reason="no expression")
+            assert (r.expr, r.valid, r.signature, r.reason) == (want.expr, want.valid, want.signature, want.reason) and r.other == 2 * r.ordinal
+
+
+def test_a_table_of_completions(spark):
+    panel = coins(spark, rising(8))
+    texts = ["<expr>last(crypto.close(1))</expr>", "", "<expr>nope</expr>", "junk", "<expr>last( crypto.close(1) )</expr> <expr>x</expr>", "neg(last(crypto.high(1)))"]
+    completions = spark.createDataFrame(list(enumerate(texts)), "ordinal int, text string")
+    held = C.Record("last(crypto.low(1))", C.realize("last(crypto.low(1))").signature, 0.1, 0.1, {"score": 0.3, "valid_times": 4.0, "mean_assets": 8.0})
+    got = {r.ordinal: r for r in C.reward_table(panel, completions, C.Archive([held]).frame(spark), SCENARIO, "crypto", "close", batch=1).collect()}
+    for i, text in enumerate(texts):
+        want = C.reward_completions(panel, [text], TASK, "crypto", "close", C.Archive([held]), min_score=9.0)[0]
+        assert (got[i].expr, got[i].valid, got[i].signature) == (want.expr, want.valid, want.signature)
+        assert got[i].score == pytest.approx(want.score) and got[i].reward == pytest.approx(want.reward) and (got[i].reason == want.reason)
+
+
+def test_prompts_of_a_table(spark):
+    tasks = C.task_bank([C.Seed("add({start}, \x00end\x00)", 0.25, "s"), C.Seed("b", -1.0, "t")], SCENARIO, C.time_windows("2020-01-01", "2020-12-31", 2))
+    frame = C.task_bank_frame(spark.createDataFrame([("add({start}, \x00end\x00)", 0.25), ("b", -1.0)], "expr string, score double"), C.time_windows("2020-01-01", "2020-12-31", 2))
+    got = sorted([(m["role"], m["content"]) for m in r.prompt] for r in C.prompt_frame(frame, SCENARIO, "crypto", 2, count=3).collect())
+    assert got == sorted([(m["role"], m["content"]) for m in C.messages(t, "crypto", 3)] for t in tasks for _ in range(2))
+    assert C.task_bank_frame(frame.select("expr"), []).count() == 0
+
+
+def test_horizons():
+    cases = {"5d": 5, "a 10-d b": 10, "300 7": 7, "0 0d 3": 0, "x5d": 1, "12 days": 12, "253": 1, "252": 252, "": 1, "1000d": 1000}
+    assert {t: C.horizon_in(t) for t in cases} == cases
