@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.guarded import is_finite
+from ..workers import cut
 
 #: Added to bounds, so that rounding of angles rules nothing out.
 SLACK = 1e-6
@@ -67,12 +68,10 @@ def closest_profiles(candidates: DataFrame, archive: DataFrame, pivots: int = 64
     kinds = lambda df, *more: df.where(F.col("metrics").isNotNull()).select(*more, _known(F.col("metrics")).alias("known")).withColumn("kind", F.array_sort(F.map_keys("known")))
     asked, records = kinds(candidates, "ordinal"), kinds(archive)
     spaces = _spaces(asked, records)
-    vectors = _vectors(records, spaces, "r_kind").distinct()
-    counts = vectors.groupBy("space").agg(F.count("*").alias("n"))
-    # about `pivots` vectors of each space, by hash; which ones they are changes only the work
-    chosen = vectors.join(counts, "space").where(F.pmod(F.xxhash64("u"), F.col("n")) < pivots).groupBy("space").agg(F.sort_array(F.collect_list("u")).alias("pivots"))
-    spare = vectors.groupBy("space").agg(F.array(F.min("u")).alias("one"))
-    chosen = spare.join(chosen, "space", "left").select("space", F.coalesce("pivots", "one").alias("pivots"))
+    vectors = cut(_vectors(records, spaces, "r_kind").distinct())
+    # one vector for each of `pivots` hashes; which ones they are changes only the work
+    spread = vectors.groupBy("space", F.pmod(F.xxhash64("u"), F.lit(pivots)).alias("h")).agg(F.min("u").alias("u"))
+    chosen = spread.groupBy("space").agg(F.sort_array(F.collect_list("u")).alias("pivots"))
 
     def near(df: DataFrame) -> DataFrame:
         angles = F.transform("pivots", lambda p: F.acos(_close(F.col("u"), p)))
@@ -88,7 +87,7 @@ def closest_profiles(candidates: DataFrame, archive: DataFrame, pivots: int = 64
     bound = F.transform(F.map_entries("radii"), lambda e: F.struct(e["key"].alias("cell"), F.greatest(F.lit(0.0), F.element_at("angles", e["key"] + 1) - e["value"] - SLACK).alias("least")))
     queries = queries.select("ordinal", "space", "u", bound.alias("cells"))
     first = F.array_min(F.transform("cells", lambda c: F.struct(c["least"], c["cell"])))
-    queries = queries.withColumn("first", first.getField("cell"))
+    queries = cut(queries.withColumn("first", first.getField("cell")))
 
     def meet(df: DataFrame) -> DataFrame:
         met = df.join(parts, ["space", "cell"])
