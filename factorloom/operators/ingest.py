@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from datetime import date, timedelta
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.guarded import finite, number, ratio
+from ..sources import store
 from ..sources.panels import require
+from ..sources.versioned import VersionedTable
 
 DAILY = ("dlyopen", "dlyhigh", "dlylow", "dlyclose", "dlyvol", "dlyret", "dlycap")
 BARS = ("open", "high", "low", "close", "volume", "spread", "midret", "imbalance", "trade_size", "trade_count")
@@ -137,9 +143,74 @@ def scan_ticks(ticks: DataFrame, symbols: Sequence[str], start: str, end: str, o
     )
 
 
-def read_days(spark: SparkSession, folder: str, schema: str) -> DataFrame:
-    """A table of day partitions (``day=2024-01-02/``); files that are missing or cannot be read are passed over."""
-    return spark.read.schema(schema).option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").parquet(folder)
+@contextmanager
+def _one_file_at_a_time(spark: SparkSession) -> Iterator[None]:
+    """Jobs inside hand Python one row at a time."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "1")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+DAY_STATUS = "day date, files long, rows long, damaged long, whole boolean, reason string"
+
+
+def prove_days(spark: SparkSession, folder: str, days: Sequence[str]) -> list[dict]:
+    """One status (of DAY_STATUS) for each of ``days`` of a table of day partitions (``day=2024-01-02/``).
+
+    Tasks read every file of the days to its end, one file at a time; a day is whole if it has
+    files and all of them can be read.  What comes back is a row for each day.  A file is at most 2 GB.
+    """
+    there = [d for d in days if store.exists(spark, f"{folder}/day={d}")]
+    found: dict[str, dict] = {}
+    if there:
+        raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load([f"{folder}/day={d}" for d in there])
+
+        def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
+                    rows, reason = 0, ""
+                    try:
+                        with pq.ParquetFile(pa.BufferReader(content.as_buffer())) as f:
+                            rows = sum(b.num_rows for b in f.iter_batches())
+                            if rows != f.metadata.num_rows:
+                                reason = f"{rows} of {f.metadata.num_rows} rows"
+                    except Exception as problem:  # whatever is wrong with it, the day is not whole
+                        reason = f"{type(problem).__name__}: {problem}"[:200]
+                    yield pa.RecordBatch.from_pydict({"path": [path], "rows": pa.array([rows], pa.int64()), "reason": [reason]})
+
+        proofs = raw.select("path", "content").mapInArrow(read, "path string, rows long, reason string")
+        bad = F.col("reason") != ""
+        by_day = proofs.groupBy(F.regexp_extract("path", "/day=([^/]+)/[^/]*$", 1).alias("day")).agg(
+            F.count("*").alias("files"), F.sum(F.when(~bad, F.col("rows")).otherwise(0)).alias("rows"), F.count_if(bad).alias("damaged"), F.min(F.when(bad, F.concat(F.element_at(F.split("path", "/"), -1), F.lit(": "), F.col("reason")))).alias("reason")
+        )
+        with _one_file_at_a_time(spark):
+            found = {r["day"]: r.asDict() for r in by_day.collect()}
+    none = lambda d: {"day": d, "files": 0, "rows": 0, "damaged": 0, "reason": "no files" if d in there else "missing"}
+    out = []
+    for d in days:
+        r = found.get(d) or none(d)
+        out.append({**r, "day": date.fromisoformat(d), "whole": r["files"] > 0 and r["damaged"] == 0, "reason": r["reason"] or ""})
+    return out
+
+
+def business_days(start: str, end: str) -> list[str]:
+    """Monday to Friday, both ends included."""
+    first, last = date.fromisoformat(start), date.fromisoformat(end)
+    every = (first + timedelta(days=k) for k in range((last - first).days + 1))
+    return [str(d) for d in every if d.weekday() < 5]
+
+
+def read_whole_days(spark: SparkSession, folder: str, schema: str, start: str, end: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of the whole business days of a range, and the status of all of them; no part of a damaged day is read."""
+    status = prove_days(spark, folder, business_days(start, end))
+    paths = [f"{folder}/day={s['day']}" for s in status if s["whole"]]
+    rows = spark.read.schema(schema).option("basePath", folder).parquet(*paths) if paths else spark.createDataFrame([], schema)
+    names = [c.split()[0] for c in DAY_STATUS.split(", ")]
+    return rows, spark.createDataFrame([tuple(s[n] for n in names) for s in status], DAY_STATUS)
 
 
 def build_days(ticks: DataFrame, symbols: Sequence[str], start: str, end: str, width: str = "1 minute", old: DataFrame | None = None, **scan: str) -> DataFrame:
@@ -148,15 +219,44 @@ def build_days(ticks: DataFrame, symbols: Sequence[str], start: str, end: str, w
     return bars if old is None else upsert(old, bars)
 
 
+def build_table(spark: SparkSession, folder: str, schema: str, symbols: Sequence[str], start: str, end: str, path: str, width: str = "1 minute", **scan: str) -> dict[str, DataFrame]:
+    """Bars of the whole days of a range, upserted into a versioned table by day.
+
+    Returns ``bars`` (the table as it now is), ``days`` (the status of every business day asked for)
+    and ``symbols`` (rows and range of every symbol asked for, over the table).
+    """
+    ticks, days = read_whole_days(spark, folder, schema, start, end)
+    bars = build_bars(scan_ticks(ticks, symbols, start, end, **scan), width).withColumn("day", F.to_date("ts"))
+    table = VersionedTable(spark, path, ("symbol", "ts"), "day")
+    table.upsert(bars)
+    now = table.read()
+    return {"bars": now, "days": days, "symbols": bar_summary(now, symbols)}
+
+
+def bar_summary(bars: DataFrame, symbols: Sequence[str]) -> DataFrame:
+    """``symbol, rows, first, last`` of the symbols asked for, without rows too, and of all others that there are."""
+    spark = bars.sparkSession
+    found = bars.groupBy("symbol").agg(F.count("*").alias("rows"), F.min("ts").alias("first"), F.max("ts").alias("last"))
+    wanted = spark.createDataFrame([(s,) for s in normal_symbols(symbols)], "symbol string")
+    return wanted.join(found, "symbol", "full").fillna(0, ["rows"]).select("symbol", "rows", "first", "last")
+
+
 def bars_panel(bars: DataFrame) -> DataFrame:
     """Bars as a panel; prices stay beside the features, for scoring on ``close``."""
     return bars.withColumnRenamed("symbol", "asset")
 
 
-def symbol_counts(ticks: DataFrame, symbols: DataFrame, symbol: str = "symbol") -> DataFrame:
-    """``symbol, rows`` of all wanted symbols, 0 for those without rows."""
-    n = ticks.groupBy(F.col(symbol).alias("symbol")).agg(F.count("*").alias("rows"))
-    return symbols.select("symbol").distinct().join(n, "symbol", "left").fillna(0, ["rows"])
+def symbol_counts(ticks: DataFrame, symbols: DataFrame | Sequence[str], symbol: str = "symbol") -> DataFrame:
+    """``symbol, rows`` of all wanted symbols, 0 for those without rows, in the order of the symbols.
+
+    Symbols are compared trimmed and in upper case; empty ones are left out.
+    """
+    normal = lambda c: F.upper(F.trim(F.col(c).cast("string")))
+    if not isinstance(symbols, DataFrame):
+        symbols = ticks.sparkSession.createDataFrame([(s,) for s in normal_symbols(symbols)], "symbol string")
+    n = ticks.groupBy(normal(symbol).alias("symbol")).agg(F.count("*").alias("rows"))
+    wanted = symbols.select(normal("symbol").alias("symbol")).where("symbol <> ''").distinct()
+    return wanted.join(n, "symbol", "left").fillna(0, ["rows"]).orderBy("symbol")
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str] = ("symbol", "ts")) -> DataFrame:

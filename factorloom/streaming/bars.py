@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.ingest import upsert
+from ..sources.versioned import VersionedTable
 
 
 def stream_bars(trades: DataFrame, width: str = "1 minute", late: str = "5 minutes", symbol: str = "symbol", ts: str = "ts", price: str = "price", size: str = "size") -> DataFrame:
@@ -23,16 +23,17 @@ def stream_bars(trades: DataFrame, width: str = "1 minute", late: str = "5 minut
     )
 
 
-def write_upserts(stream: DataFrame, path: str, checkpoint: str, keys: tuple[str, ...] = ("symbol", "start")):
-    """Keep a Parquet table of the last row of each key; every batch writes a new version beside the old one."""
+def write_upserts(stream: DataFrame, path: str, checkpoint: str, keys: tuple[str, ...] = ("symbol", "start"), by: str | None = None, keep: int | None = 10):
+    """Keep a versioned table of the last row of each key.
+
+    A batch writes the partitions (of ``by``) that it touches and one manifest; a batch that is
+    run again changes nothing.  All but the newest ``keep`` versions go.
+    """
 
     def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        fs = fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        old = sorted(int(str(s.getPath().getName()).split("=")[1]) for s in (fs.listStatus(fs_path) if fs.exists(fs_path) else []) if "=" in s.getPath().getName())
-        before = [k for k in old if k < number]
-        merged = upsert(spark.read.parquet(f"{path}/version={before[-1]}"), batch, keys) if before else batch
-        merged.write.mode("overwrite").parquet(f"{path}/version={number}")
+        table = VersionedTable(batch.sparkSession, path, keys, by)
+        table.upsert(batch, "stream", number)
+        if keep:
+            table.expire(keep)
 
     return stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(merge)

@@ -4,6 +4,7 @@ import pytest
 
 from factorloom.operators import ingest as I
 from factorloom.sources import panels as P
+from factorloom.sources.versioned import VersionedTable
 from factorloom.streaming.bars import stream_bars, write_upserts
 
 TICKS = "date date, time_m string, symbol string, size long, price double, nbo double, nbb double"
@@ -71,7 +72,7 @@ def test_stream(spark, tmp_path):
     spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, price double, size double").write.parquet(str(source))
     stream = spark.readStream.schema("symbol string, ts timestamp_ntz, price double, size double").parquet(str(source))
     write_upserts(stream_bars(stream), str(tmp_path / "out"), str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination()
-    got = spark.read.parquet(str(tmp_path / "out" / "version=0")).orderBy("start").collect()
+    got = VersionedTable(spark, str(tmp_path / "out")).read().orderBy("start").collect()
     assert [(r["open"], r["close"], r["trade_count"]) for r in got] == [(101.0, 120.0, 2), (99.0, 99.0, 1)]
 
 
@@ -83,7 +84,61 @@ def test_tick_scan(spark, tmp_path):
         I.scan_ticks(ticks, [" "], "2024-01-05", "2024-01-08")
     ticks.write.partitionBy("day").parquet(str(tmp_path / "ticks"))
     (tmp_path / "ticks" / "day=2024-01-05" / "broken.parquet").write_bytes(b"not parquet")
-    stored = I.read_days(spark, str(tmp_path / "ticks"), "symbol string, ts timestamp_ntz, price double, size double, day date")
+    schema = "symbol string, ts timestamp_ntz, price double, size double, day date"
+    stored = spark.read.schema(schema).option("pathGlobFilter", "part-*").parquet(str(tmp_path / "ticks"))
     got = I.scan_ticks(stored, ["ab"], "2024-01-05", "2024-01-08", day="day")
     assert sorted(r["price"] for r in got.collect()) == [1.0, 2.0]
     assert "PartitionFilters: [isnotnull(day" in got._jdf.queryExecution().executedPlan().toString()
+
+
+SCHEMA = "symbol string, ts timestamp_ntz, price double, size double"
+
+
+def _days(spark, folder, days, rows=40):
+    """Day folders of two files each, with pages that can be damaged apart."""
+    for d in days:
+        data = [(s, datetime.fromisoformat(d).replace(hour=10, minute=k), 1.0 + k, 2.0) for s in ("AA", "BB") for k in range(rows)]
+        spark.createDataFrame(data, SCHEMA).repartition(2).write.parquet(f"{folder}/day={d}")
+
+
+def test_a_damaged_file_takes_its_whole_day(spark, tmp_path):
+    folder = f"{tmp_path}/ticks"
+    _days(spark, folder, ["2024-01-03", "2024-01-04", "2024-01-05", "2024-01-09"])
+    torn = next((tmp_path / "ticks" / "day=2024-01-04").glob("*.parquet"))
+    data = bytearray(torn.read_bytes())
+    data[30:200] = bytes(170)  # the pages; the footer can still be read
+    torn.write_bytes(bytes(data))
+    for f in (tmp_path / "ticks").rglob(".*.crc"):
+        f.unlink()
+    (tmp_path / "ticks" / "day=2024-01-05" / "extra.parquet").write_bytes(b"not parquet")
+    (tmp_path / "ticks" / "day=2024-01-08").mkdir()
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    rows, status = I.read_whole_days(spark, folder, SCHEMA, "2024-01-02", "2024-01-09")
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+    assert sorted({r.ts.date().isoformat() for r in rows.collect()}) == ["2024-01-03", "2024-01-09"] and rows.count() == 160
+    got = {str(r.day): r for r in status.collect()}
+    assert list(got) == ["2024-01-02", "2024-01-03", "2024-01-04", "2024-01-05", "2024-01-08", "2024-01-09"]
+    assert [r.whole for r in got.values()] == [False, True, False, False, False, True]
+    assert (got["2024-01-02"].reason, got["2024-01-08"].reason) == ("missing", "no files") and got["2024-01-03"].rows == 80
+    assert got["2024-01-04"].damaged == 1 and got["2024-01-05"].damaged == 1 and got["2024-01-05"].reason.startswith("extra.parquet: ") and got["2024-01-05"].files == 3
+
+
+def test_a_table_of_whole_days(spark, tmp_path):
+    folder, path = f"{tmp_path}/ticks", f"{tmp_path}/bars"
+    _days(spark, folder, ["2024-01-03", "2024-01-04"])
+    first = I.build_table(spark, folder, SCHEMA, ["aa ", "ZZ"], "2024-01-03", "2024-01-03", path)
+    assert {r.symbol: r.rows for r in first["symbols"].collect()} == {"AA": 40, "ZZ": 0}
+    both = I.build_table(spark, folder, SCHEMA, ["AA", "bb"], "2024-01-03", "2024-01-05", path)
+    got = {r.symbol: r for r in both["symbols"].collect()}
+    assert {s: r.rows for s, r in got.items()} == {"AA": 80, "BB": 80}
+    assert (got["AA"].first, got["AA"].last) == (datetime(2024, 1, 3, 10), datetime(2024, 1, 4, 10, 39))
+    again = I.build_table(spark, folder, SCHEMA, ["AA", "BB"], "2024-01-03", "2024-01-04", path)
+    assert again["bars"].count() == 160
+    assert I.read_whole_days(spark, folder, SCHEMA, "2024-02-01", "2024-02-02")[0].count() == 0
+
+
+def test_symbol_check(spark):
+    t = spark.createDataFrame([(" aa",), ("AA",), ("bb",), ("cc",)], "symbol string")
+    assert [tuple(r) for r in I.symbol_counts(t, [" zz", "aa ", "AA", "", "bb"]).collect()] == [("AA", 2), ("BB", 1), ("ZZ", 0)]
+    with pytest.raises(ValueError):
+        I.symbol_counts(t, [" "])
