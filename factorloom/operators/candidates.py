@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import asdict, dataclass, field, replace
@@ -15,6 +16,9 @@ from pyspark.sql import types as T
 from ..functions.guarded import clip, plain
 from ..plans import expr as X
 from ..plans import registry
+from ..sources import store
+from ..sources.panels import time_slice
+from ..sources.versioned import VersionedTable
 from ..workers import ship
 from .profiles import closest_profiles
 from .scoring import CROSS_SECTION_METRICS, score_cross_section, score_direction
@@ -280,6 +284,13 @@ def seed_bank(panel: DataFrame, scenario: Scenario, space: str, price: str, wind
     return SeedBank(scenario, space, seeds, task_bank(seeds, scenario, windows), len(raw), len(own))
 
 
+def asset_seed_bank(panel: DataFrame, asset: str, space: str, price: str, windows: Sequence[Period], candidates: Sequence[str] | None = None, start: str | None = None, end: str | None = None, horizon: int = 1, min_history: int = 1, top_k: int = 16, threshold: float = float("-inf")) -> SeedBank:
+    """The seed bank of one asset within a range of time, scored by direction."""
+    scenario = Scenario.of(registry.DIRECTION, space, horizon, name=f"{space}_single_asset_seed_bank")
+    inside = time_slice(panel.where(F.col("asset") == asset), start, end and f"{end} 23:59:59.999999")
+    return seed_bank(inside, scenario, space, price, windows, candidates, min_history, top_k=top_k, threshold=threshold)
+
+
 @dataclass(frozen=True)
 class RewardWeights:
     invalid: float = -1.0
@@ -335,21 +346,15 @@ class Archive:
         self.signatures.add(r.signature)
         return True
 
-    def save(self, path: str) -> None:
-        import json
-
-        with open(path, "w") as out:
-            out.writelines(json.dumps(asdict(r), sort_keys=True) + "\n" for r in self.records)
+    def save(self, spark: SparkSession, path: str) -> None:
+        """JSON lines, by a Hadoop path."""
+        store.write_text(spark, path, "".join(json.dumps(asdict(r), sort_keys=True) + "\n" for r in self.records))
 
     @classmethod
-    def load(cls, path: str) -> "Archive":
-        import json
-        import os
-
-        if not os.path.exists(path):
-            return cls()
-        with open(path) as lines:
-            return cls(Record(**json.loads(x)) for x in lines if x.strip())
+    def load(cls, spark: SparkSession, path: str) -> "Archive":
+        """What ``save`` has written; without a file, an empty archive."""
+        text = store.read_text(spark, path) or ""
+        return cls(Record(**json.loads(x)) for x in text.splitlines() if x.strip())
 
     def frame(self, spark: SparkSession) -> DataFrame:
         rows = [(r.expr, r.signature, r.score, r.reward, r.metrics) for r in self.records]
@@ -470,6 +475,22 @@ def reward_table(panel: DataFrame, completions: DataFrame, archive: DataFrame, s
     return done.join(rewarded, "signature", "left").withColumns({c: F.when(F.col("valid"), F.col(c)).otherwise(v) for c, v in worst.items()})
 
 
+def store_rewards(rewarded: DataFrame, archive: VersionedTable, log: VersionedTable | None = None, source: str = "rewards", number: int = 0, min_score: float = 0.0, min_reward: float = 0.0) -> None:
+    """Keep a batch of ``reward_batch`` or ``reward_table`` rows: all in the ``log``, accepted ones in the ``archive``.
+
+    Accepted: valid, not in the archive already, not below the thresholds, the first by ordinal of
+    its signature.  A batch that is repeated (same ``source`` and ``number``) changes neither table.
+    """
+    names = ["ordinal", "expr", "signature", "score", "reward", "metrics"]
+    if log is not None:
+        log.append(rewarded.select(*names, "valid", "duplicate", "closest"), source, number)
+    good = rewarded.where(F.col("valid") & ~F.col("duplicate") & (F.col("score") >= min_score) & (F.col("reward") >= min_reward) & ~F.isnan("score") & ~F.isnan("reward"))
+    if archive.manifest() is not None:
+        good = good.join(archive.read().select("signature").distinct(), "signature", "left_anti")
+    first = good.groupBy("signature").agg(F.min_by(F.struct(*(n for n in names if n != "signature")), "ordinal").alias("c"))
+    archive.append(first.select("c.expr", "signature", "c.score", "c.reward", "c.metrics"), source, number)
+
+
 def reward_spread(outcomes: DataFrame, most_flat: float = 0.05) -> DataFrame:
     """By ``task`` of ``task, reward, valid``: mean, spread, valid count, and whether rewards vary."""
     out = outcomes.groupBy("task").agg(F.count("*").alias("rollouts"), F.avg("reward").alias("reward_mean"), F.stddev_pop("reward").alias("reward_std"), F.sum(F.col("valid").cast("long")).alias("valid"))

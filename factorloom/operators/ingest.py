@@ -45,6 +45,23 @@ def daily_rows(rows: DataFrame, start: str, end: str, intervals: DataFrame | Non
     return largest(out, key, "dlycap", most) if most else out
 
 
+def one_asset(rows: DataFrame, asset: int | str, start: str | None = None, end: str | None = None, key: str = "permno", day: str = "dlycaldt") -> DataFrame:
+    """The rows of one asset within a range of days (both included), in order; range and asset reach the scan."""
+    out = rows.where(F.col(key) == asset)
+    if start:
+        out = out.where(F.col(day) >= F.lit(start).cast("date"))
+    if end:
+        out = out.where(F.col(day) <= F.lit(end).cast("date"))
+    return out.orderBy(day)
+
+
+def first_asset(rows: DataFrame, key: str = "permno", day: str = "dlycaldt") -> DataFrame:
+    """The rows of the first asset of a table, the smallest key, in order; a table without ``key`` is one asset's."""
+    if key not in rows.columns:
+        return rows.orderBy(day)
+    return rows.where(F.col(key) == rows.agg(F.min(key)).scalar()).orderBy(day)
+
+
 def keep_last(rows: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
     """The last row of each key by ``order``."""
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(*[F.desc(c) if isinstance(c, str) else c for c in order]))

@@ -1,13 +1,14 @@
-"""Text and JSON in and out."""
+"""Text and JSON in and out, by Hadoop paths."""
 
 from __future__ import annotations
 
 import json
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import store
+
 ARCHIVE = "expr string, signature string, score double, reward double, metrics map<string,double>, task string"
 
 
@@ -20,21 +21,14 @@ def write_archive(records: DataFrame, path: str, mode: str = "overwrite") -> Non
     records.select("expr", "signature", "score", "reward", "metrics", "task").write.mode(mode).json(path)
 
 
-def append_log(rows: DataFrame, path: str) -> None:
-    """One JSON line for each completion, after those that are there."""
-    rows.write.mode("append").json(path)
-
-
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """Whole files as ``text`` rows."""
     return spark.read.text(path, wholetext=True).select(F.col("value").alias("text"))
 
 
-def write_report(payload: dict, path: str) -> None:
+def write_report(spark: SparkSession, payload: dict, path: str) -> None:
     """A small result (already on the driver) as a JSON document."""
-    target = Path(path)
-    target.parent.mkdir(parents=True, exist_ok=True)
-    target.write_text(json.dumps(payload, indent=2, sort_keys=True))
+    store.write_text(spark, path, json.dumps(payload, indent=2, sort_keys=True))
 
 
 def write_table(df: DataFrame, path: str, kind: str = "csv") -> None:

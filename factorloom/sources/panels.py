@@ -55,7 +55,8 @@ def adapt(df: DataFrame, space: str, asset: str = "asset", ts: str = "ts") -> Da
 def from_wide(fields: Mapping[str, DataFrame], ts: str = "ts", assets: Sequence[str] | None = None) -> DataFrame:
     """One table for each field, a column for each asset, as one long panel.
 
-    Every field must have every asset; rows are kept where any field has a value's row.
+    Every field must have every asset; rows are kept where any field has a value's row.  A time
+    that a field has twice keeps its largest value.
     """
     if not fields:
         raise ValueError("no fields")
@@ -63,9 +64,11 @@ def from_wide(fields: Mapping[str, DataFrame], ts: str = "ts", assets: Sequence[
     out = None
     for name, df in fields.items():
         require(df, [ts, *wanted])
-        long = df.select(F.col(ts).alias("ts"), *(number(F.col(f"`{a}`")).alias(a) for a in wanted)).unpivot("ts", wanted, "asset", name)
-        out = long if out is None else out.join(long, ["asset", "ts"], "full")
-    return out.select("asset", "ts", *fields)
+        long = df.select(F.col(ts).alias("ts"), *(number(F.col(f"`{a}`")).alias(a) for a in wanted)).unpivot("ts", wanted, "asset", "value")
+        long = long.select("asset", "ts", F.lit(name).alias("field"), "value")
+        out = long if out is None else out.unionByName(long)
+    # one shuffle for all fields, not a join for each
+    return out.groupBy("asset", "ts").agg(*(F.max(F.when(F.col("field") == n, F.col("value"))).alias(n) for n in fields))
 
 
 def to_long(panel: DataFrame, fields: Sequence[str] | None = None) -> DataFrame:

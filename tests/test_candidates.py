@@ -1,3 +1,4 @@
+import json
 import random
 from datetime import date
 
@@ -6,8 +7,11 @@ from pyspark.sql import functions as F
 from test_scoring import coins, rising
 
 from factorloom.operators import candidates as C
+from factorloom.operators import ingest
 from factorloom.plans import registry
-from factorloom.sources import files
+from factorloom.sources import files, panels
+from factorloom.sources.candidate_source import read_candidates
+from factorloom.sources.versioned import VersionedTable
 
 SCENARIO = C.Scenario.of(registry.CROSS_SECTION, "crypto", 1)
 TASK = C.Task("last(crypto.close(1))", 0.1, SCENARIO, C.Period("2024-01-01", "2024-01-06"), SCENARIO.objective)
@@ -59,8 +63,8 @@ def test_rewards_and_archive(tmp_path, spark):
     assert a.offer(r, 0.4, 0.6, {"x": 1.0, "y": 2.0, "z": 4.0}, {}) and not a.offer(r, 0.4, 0.6, {}, {})
     assert not a.offer(C.realize("last(crypto.open(1))"), -0.1, 0.6, {}, {}) and r.signature in a
     assert a.closest({"x": 2.0, "y": 4.0, "z": 8.0}) == pytest.approx(1.0) and a.closest({"x": 2.0}) == 0.0
-    a.save(str(tmp_path / "a.jsonl"))
-    assert C.Archive.load(str(tmp_path / "a.jsonl")).records == a.records and C.Archive.load(str(tmp_path / "none")).records == []
+    a.save(spark, f"{tmp_path}/deep/a.jsonl")
+    assert C.Archive.load(spark, f"{tmp_path}/deep/a.jsonl").records == a.records and C.Archive.load(spark, f"{tmp_path}/none").records == []
 
     files.write_archive(a.frame(spark).withColumn("task", F.lit("{}")), str(tmp_path / "table"))
     assert files.read_archive(spark, str(tmp_path / "table")).first()["metrics"] == {"x": 1.0, "y": 2.0, "z": 4.0}
@@ -184,3 +188,72 @@ def test_prompts_of_a_table(spark):
 def test_horizons():
     cases = {"5d": 5, "a 10-d b": 10, "300 7": 7, "0 0d 3": 0, "x5d": 1, "12 days": 12, "253": 1, "252": 252, "": 1, "1000d": 1000}
     assert {t: C.horizon_in(t) for t in cases} == cases
+
+
+def test_rewards_are_kept_once(spark, tmp_path):
+    archive, log = (VersionedTable(spark, f"{tmp_path}/{n}") for n in ("archive", "log"))
+    row = lambda i, s, valid, score, reward, dup=False: (i, f"e{i}", s, score, reward, {"x": score}, valid, dup, 0.0)
+    schema = "ordinal int, expr string, signature string, score double, reward double, metrics map<string,double>, valid boolean, duplicate boolean, closest double"
+    batch = spark.createDataFrame([row(0, "a", True, 0.5, 0.5), row(1, "a", True, 0.9, 0.9), row(2, "b", True, -0.1, 0.5), row(3, "c", True, 0.5, 0.5, True), row(4, "", False, -1.0, -1.0), row(5, "d", True, float("nan"), float("nan"))], schema)
+    for _ in range(2):
+        C.store_rewards(batch, archive, log, number=0)
+        assert [(r.signature, r.expr) for r in archive.read().collect()] == [("a", "e0")] and log.read().count() == 6
+    C.store_rewards(batch.withColumn("signature", F.concat("signature", F.lit("2"))).unionByName(batch), archive, log, number=1)
+    assert sorted(r.signature for r in archive.read().collect()) == ["a", "a2"] and log.read().count() == 18
+
+
+def test_one_asset_seed_bank(spark):
+    panel = coins(spark, rising(3, 20))
+    bank = C.asset_seed_bank(panel, panel.first()["asset"], "crypto", "close", [C.Period("2024-01-01", "2024-01-06")], ["last(crypto.close(1))", "neg(crypto.close(1))", "last(crsp.dlyret(1))"], start="2024-01-02", end="2024-01-15")
+    assert bank.scenario.benchmark == registry.DIRECTION and [s.expr for s in bank.seeds] == ["last(crypto.close(1))", "neg(crypto.close(1))"]
+    assert (bank.raw_count, bank.scored_count, len(bank.tasks)) == (3, 2, 2)
+
+
+def test_candidate_sources(spark, tmp_path):
+    def made(number):
+        return [f"<expr>last(crypto.close({number + 1}))</expr>", "plain line\nother"]
+
+    got = lambda **o: sorted(tuple(r) for r in read_candidates(spark, **o).collect())
+    templates = registry.templates(registry.CROSS_SECTION)
+    assert [(r[2], r[3]) for r in got(kind="template")] == list(enumerate(templates))
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("<expr>x</expr> <EXPR>y\n</EXPR>")
+    (tmp_path / "in" / "b.txt").write_text(" one \n\ntwo")
+    (tmp_path / "in" / "c.txt").write_text("")
+    folder = got(kind="file", path=f"{tmp_path}/in")
+    assert [(r[1].rpartition("/")[2], r[2], r[3]) for r in folder] == [("a.txt", 0, "x"), ("a.txt", 1, "y"), ("b.txt", 0, "one"), ("b.txt", 1, "two")]
+    assert [r[3] for r in got(kind="file", path=f"file://{tmp_path}/in/b.txt")] == ["one", "two"]
+    df = read_candidates(spark, "function", make=made, partitions=3)
+    assert df.rdd.getNumPartitions() == 3 and df.count() == 9 and {r.source for r in df.collect()} == {"function"}
+    for bad in ({"kind": "file"}, {"kind": "file", "path": f"{tmp_path}/none"}, {"kind": "function"}, {"kind": "web"}):
+        with pytest.raises(ValueError):
+            read_candidates(spark, **bad)
+
+
+def test_files_and_panels(spark, tmp_path):
+    files.write_report(spark, {"b": 1, "a": [2]}, f"{tmp_path}/deep/report.json")
+    assert json.loads((tmp_path / "deep" / "report.json").read_text()) == {"a": [2], "b": 1}
+    for kind in ("csv", "json"):
+        files.write_table(spark.createDataFrame([(1, "x")], "k int, v string"), f"{tmp_path}/{kind}", kind)
+        back = spark.read.option("header", True).csv(f"{tmp_path}/csv") if kind == "csv" else spark.read.json(f"{tmp_path}/json")
+        assert back.first()["v"] == "x"
+    (tmp_path / "t.txt").write_text("two\nlines")
+    assert files.read_texts(spark, f"{tmp_path}/t.txt").first().text == "two\nlines"
+    panel = coins(spark, rising(2))
+    panels.write_panel(panel, f"{tmp_path}/panel")
+    back = panels.read_panel(spark, f"{tmp_path}/panel", "crypto")
+    assert back.count() == panel.count() and {r.asset for r in back.select("asset").distinct().collect()} == {r.asset for r in panel.select("asset").distinct().collect()}
+    assert spark.createDataFrame([("BRK.B/x:y",)], "s string").select(panels.file_safe(F.col("s"))).first()[0] == "BRK_B_x_y"
+    bars = spark.createDataFrame([("AA", 1.0)], "symbol string, close double")
+    assert ingest.bars_panel(bars).columns == ["asset", "close"]
+    from factorloom.operators.acceptance import report_rows
+
+    result = {"one": {"approach": "one", "candidates": 3, "usable": 2, "selected": ("a", "b"), "validation": {"ic": 0.5}, "test": {"ic": None}}}
+    assert report_rows(result) == [{"approach": "one", "candidates": 3, "usable": 2, "selected_count": 2, "validation_ic": 0.5, "test_ic": None}]
+
+
+def test_daily_samples(spark):
+    rows = spark.createDataFrame([(k, date(2024, 1, d)) for k in (9, 7, 8) for d in (5, 3, 4)], "permno int, dlycaldt date")
+    assert [tuple(r) for r in ingest.one_asset(rows, 9, "2024-01-04", "2024-01-05").collect()] == [(9, date(2024, 1, 4)), (9, date(2024, 1, 5))]
+    assert [tuple(r) for r in ingest.first_asset(rows).collect()] == [(7, date(2024, 1, d)) for d in (3, 4, 5)]
+    assert ingest.first_asset(rows.drop("permno")).count() == 9 and ingest.first_asset(rows.limit(0)).count() == 0
