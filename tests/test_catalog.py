@@ -46,3 +46,11 @@ def test_entry(spark, sf):
     assert row["valid_times"] > 0 and -1 <= row["score"] <= 1
     assert set(module.oracle_sql()) <= set(module.queries())
     sys.modules.pop("entry_point", None)
+
+
+def test_the_approaches_hold_what_the_generators_make():
+    from factorloom.operators import candidates as C
+
+    own = [e for e in registry.templates(registry.CROSS_SECTION) if "crypto." in e]
+    for name, exprs in catalog.APPROACHES.items():
+        assert [e for e in C.GENERATORS[name](own, 6) if C.realize(e).valid] == list(exprs)
