@@ -13,14 +13,16 @@ tree.  The importance of a node is the weighted mean of
 A branch is as important as its most important node, so importance is carried
 from children to branches; branches under a threshold are notices, menus and
 slogans of the site and are removed with all below them, inside marked articles
-only if they show the same on practically all pages.  Copies of a page count
-once.  Entropy cannot tell a menu or an advert that changes from page to page
-from an article, so what HTML itself names (navigation, forms, footers, ...) and
-class, id or role names that mean nothing else go by that prior; names that an
-article may use too (related, search, alert, ...) only raise the threshold.
-Areas are judged afterwards, by the text that is left: the marked article of a
-page, else its main part, else all; a marked part with less than a
-``least_share`` of the text left is a teaser and gives no preference.
+only if they show the same on practically all pages and have a class or id of
+their own: headings and plain elements of an article always stay.  Copies of a
+page count once.  Entropy cannot tell a menu or an advert that changes from page
+to page from an article, so what HTML itself names (navigation, forms, footers,
+...) and whole class, id or role names that mean nothing else go by that prior;
+names that an article may use too (related, search, alert, ...), and any such
+name of a paragraph, figure, quotation or table of an article, only raise the
+threshold.  Areas are judged afterwards, by the text that is left: the marked
+article of a page, else its main part, if it is at least ``least_share`` of that
+text, else all of it.
 
 Trees are built by grouped counts keyed by host, node and content, so a host
 with a third of all pages is spread over tasks.  Branches removed are a short
@@ -78,7 +80,15 @@ NOISE_NAMES = set(
 )
 #: Names that articles use too: noise only where the site tree agrees more or less, or with one of FURNITURE beside them and nothing else.
 WEAK_NAMES = set("related recommended recommendations promotion banner alert notice notices share sharing social search skip overlay dialog reply responses reactions discussion rail hidden".split())
+#: What such a name may be put together with; any other part makes it a name of its own (ad-hoc, comment-on-law).
+QUALIFIERS = set(
+    "site page main top left right bottom global primary secondary local mobile desktop inner outer upper lower content area areas group item items header footer head foot post entry article blog news story reader readers user users google first second third small large wide sticky fixed floating inline slot unit zone holder body title text view count link wp td id js".split()
+)
+#: Elements of an article that are not noise for their names.
+CONTENT = set("p h1 h2 h3 h4 h5 h6 hgroup figure figcaption blockquote pre table caption thead tbody tfoot tr td th".split())
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup", "caption", "figcaption", "dt", "th"}
 FURNITURE = set("bar bars block box button buttons container field form icon icons input link links list panel posts row section tab tabs wrapper".split())
+_STRONG_PARTS = NOISE_NAMES | WEAK_NAMES | FURNITURE | QUALIFIERS
 CLOSES_P = BLOCKS - {"head", "html", "body", "option", "optgroup", "li", "dd", "dt", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "legend", "summary", "select"}
 SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 SCOPE = {"table", "td", "th", "caption", "html", "button", "object"}
@@ -136,7 +146,7 @@ def _scan(source: str, place: list[int]) -> Iterator[tuple[int, int, str, bool,
 class Page:
     """``nodes``: id, parent's place, area, whether a weak name; ``shows``: the labels of each node's children; ``blocks``: node's place and text.
 
-    Area 2: in an article, 1: in the main part, 0: elsewhere.
+    Area 2: in an article, 3: its headings and plain elements, 1: in the main part, 0: elsewhere.
     """
 
     def __init__(self, source: str):
@@ -201,16 +211,21 @@ class Page:
             self.take(" ")
             return
         _, above, _, area, weak = self.stack[-1] if self.stack else ("", 0, False, 0, False)
-        noisy, label = tag in NOISE_TAGS, tag
+        noisy, named, label = tag in NOISE_TAGS, False, tag
         if attributes.strip(" /"):
             for name, a, b, c in _ATTRIBUTE.findall(attributes):
                 name, value = name.lower(), a or b or c
                 if name in ("class", "id", "role") and tag not in ("html", "body"):
-                    words = [w.lower() for part in _NAME.findall(value) for w in _CAMEL.split(part)]
-                    noisy |= not (NOISE_NAMES - HEAD_NAMES if area == 2 else NOISE_NAMES).isdisjoint(words)
-                    doubtful = not WEAK_NAMES.isdisjoint(words)
-                    noisy |= doubtful and any(not WEAK_NAMES.isdisjoint(x) and len(x) > 1 and x <= WEAK_NAMES | FURNITURE for x in ({w.lower() for part in _NAME.findall(v) for w in _CAMEL.split(part)} for v in value.split()))
-                    weak |= doubtful
+                    tokens = [[w.lower() for part in _NAME.findall(v) for w in _CAMEL.split(part)] for v in value.split()]
+                    words = [w for token in tokens for w in token]
+                    named |= bool(words)
+                    noise = NOISE_NAMES - HEAD_NAMES if area == 2 else NOISE_NAMES
+                    strong = any(not noise.isdisjoint(t) and _STRONG_PARTS.issuperset(t) for t in tokens)
+                    strong |= any(len(set(t)) > 1 and not WEAK_NAMES.isdisjoint(t) and (WEAK_NAMES | FURNITURE).issuperset(t) for t in tokens)
+                    if strong and area == 2 and tag in CONTENT:
+                        strong, weak = False, True
+                    noisy |= strong
+                    weak |= not WEAK_NAMES.isdisjoint(words)
                     label += f".{'-'.join(words)}"
                     if name == "role" and "main" in words:
                         area = max(area, 1)
@@ -237,7 +252,8 @@ class Page:
             self.flush()
         above = self.stack[-1][1] if self.stack else 0
         area = 2 if tag == "article" else max(area, 1) if tag == "main" else area
-        self.push(tag, self.node(above, label, area, weak), noisy, area, weak)
+        plain = area == 2 and (tag in HEADINGS or not named)
+        self.push(tag, self.node(above, label, 3 if plain else area, weak), noisy, area, weak)
 
     def node(self, above: int, label: str, area: int, weak: bool) -> int:
         self.shows[above].add(label)
@@ -267,13 +283,14 @@ class Page:
             self.flush()
 
 
-def extract_text(pages: DataFrame, page: str = "html", url: str = "url", threshold: float = 0.2, marked: float = 0.02, doubted: float = 0.7, weight: float = 0.9, min_pages: int = 4, least_share: float = 0.1) -> DataFrame:
+def extract_text(pages: DataFrame, page: str = "html", url: str = "url", threshold: float = 0.2, marked: float = 0.02, doubted: float = 0.7, weight: float = 0.9, min_pages: int = 4, least_share: float = 0.4) -> DataFrame:
     """Adds ``text`` and ``n_chars``; the source of the page is left out.
 
     ``threshold``: branches of less importance are removed; ``marked``: the
     same in article elements; ``doubted``: the same for weak names.
     ``weight``: the share of content in importance, beside presentation.
     ``min_pages``: nodes on fewer pages of a host are not judged.
+    ``least_share``: of the text that is left, for an area to stand alone.
     """
     kept = [c for c in pages.columns if c not in {"text", "n_chars", page}]
     host = F.lower(F.coalesce(F.regexp_extract(col(url), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
@@ -325,7 +342,7 @@ def extract_text(pages: DataFrame, page: str = "html", url: str = "url", thresho
     varies = (F.log("pages") - F.col("c_log") / F.col("pages")) / measure
     scored = own.drop("texts", "t_log").join(below, by).withColumn("importance", F.when(F.col("pages") >= min_pages, weight * differs + (1 - weight) * varies).otherwise(F.lit(1.0)))
     branch = lines.join(scored.select(*by, "importance"), by).groupBy("__host", F.col("top").alias("id")).agg(F.max("importance").alias("branch"))
-    limit = F.when(F.col("weak"), F.lit(doubted)).when(F.col("area") == 2, F.lit(marked)).otherwise(F.lit(threshold))
+    limit = F.when(F.col("area") == 3, F.lit(0.0)).when(F.col("weak"), F.lit(doubted)).when(F.col("area") == 2, F.lit(marked)).otherwise(F.lit(threshold))
     low = scored.join(branch, by).where(F.col("branch") < limit).groupBy("__host").agg(F.collect_set("id").alias("low"))
     low, _ = materialise(low.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), "site-noise")
     salted = parsed.withColumn("__salt", F.pmod("page", F.lit(SALTS)).cast("int"))
@@ -337,7 +354,7 @@ def extract_text(pages: DataFrame, page: str = "html", url: str = "url", thresho
         noise, gone = set(low or ()), []
         for n in nodes:  # parents come before their children
             gone.append(n["id"] in noise or n["up"] >= 0 and gone[n["up"]])
-        left = [(nodes[b["node"]]["area"], b["text"]) for b in blocks if not gone[b["node"]]]
+        left = [(min(2, nodes[b["node"]]["area"]), b["text"]) for b in blocks if not gone[b["node"]]]
         every = sum(len(x) for _, x in left)
         for area in (2, 1):
             own = [x for a, x in left if a == area]

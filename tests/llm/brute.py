@@ -296,3 +296,43 @@ def periodic(doc_id, text):
     lines = "".join(f"{s},{n},{q}\n" for s, n, q in found)
     sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
     return (doc_id, len(found), *(best or (None,) * 3), best and 1000 * best[1] // best[2], sha(lines), sha(collapsed(ws, found)))
+
+
+def site_trees(rows, threshold=0.2, doubted=0.7, weight=0.9, min_pages=4):
+    """Texts that the style trees leave of (id, host, html) rows whose pages mark no article."""
+    from factorloom.llm.html_text import Page
+
+    parsed = [(i, host, Page(html)) for i, host, html in rows]
+    out = {}
+    for host in {h for _, h, _ in parsed}:
+        mine = [(i, p) for i, h, p in parsed if h == host]
+        different = {(tuple(p.nodes), tuple(map(frozenset, p.shows)), tuple(p.blocks)): p for _, p in mine}.values()
+        pages, styles, texts, above, weak = Counter(), defaultdict(Counter), defaultdict(Counter), {}, {}
+        for p in different:
+            for (n, up, _, doubt), shown in zip(p.nodes, p.shows):
+                pages[n] += 1
+                styles[n][frozenset(shown)] += 1
+                above[n] = p.nodes[up][0] if up >= 0 else None
+                weak[n] = weak.get(n, False) or doubt
+            for n, t in {(p.nodes[k][0], t) for k, t in p.blocks}:
+                texts[n][t] += 1
+        inside = defaultdict(list)
+        for n in pages:
+            top = n
+            while top is not None:
+                inside[top].append(n)
+                top = above[top]
+        importance = {}
+        for n, m in pages.items():
+            scale = math.log(max(m, 2))
+            below = [c for x in inside[n] for c in texts[x].values()]
+            differs = 1 - sum(map(math.log, below)) / len(below) / scale if below else 0.0
+            varies = (math.log(m) - sum(c * math.log(c) for c in styles[n].values()) / m) / scale
+            importance[n] = weight * differs + (1 - weight) * varies if m >= min_pages else 1.0
+        low = {n for n in pages if max(importance[x] for x in inside[n]) < (doubted if weak[n] else threshold)}
+        for i, p in mine:
+            gone = []
+            for n, up, _, _ in p.nodes:
+                gone.append(n in low or up >= 0 and gone[up])
+            out[i] = " ".join(t for k, t in p.blocks if not gone[k])
+    return out

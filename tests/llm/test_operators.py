@@ -12,7 +12,7 @@ from factorloom.llm import queries as Q
 from factorloom.llm.chat_format import format_trees, from_turns, masked_text, read_turns, tree_paths
 from factorloom.llm.decontaminate import find_contamination, remove_contamination
 from factorloom.llm.deleted_interpolation import learn_weights, score_texts
-from factorloom.llm.html_text import extract_text
+from factorloom.llm.html_text import Page, extract_text
 from factorloom.llm.jaccard_join import keep_one, link_documents
 from factorloom.llm.mixing import mix_sources
 from factorloom.llm.quality import judge
@@ -543,6 +543,50 @@ def test_names_that_articles_use(spark):
     assert got[30] == " ".join(["x"] * 20000) and got[31].startswith("y <a <a") and got[32] == "it's" and got[33] == " ".join(["z"] * 5000)
 
 
+def test_names_that_hold_other_names(spark):
+    """Only a whole name means noise, and none does for what an article is made of."""
+    story = "<div class='story'><p>" + "a long story " * 57 + "</p></div>"
+    pages = [
+        ("<article><p class='ad-hoc'>made for it</p><div class='comment-on-law'><p>on law</p></div><figure class='widget'><figcaption>a caption</figcaption></figure><p>end</p></article>", "made for it on law a caption end"),
+        (story + "<article><p>" + "teaser " * 40 + "</p></article>", " ".join(["a long story"] * 57 + ["teaser"] * 40)),
+        ("<article><p>x</p><div class='ad-slot top'>buy</div><div class='post-comments'>c</div><ol class='commentlist'><li>d</ol><div id='cookieBanner'>e</div><div class='downloads'>f</div></article>", "x f"),
+        ("<div class='adverse events'>kept</div><div class='site-footer'>no</div><div class='header'>no</div><div class='shared-values'>too</div>", "kept too"),
+    ]
+    rows = [(k, f"http://n{k}/", _page(body)) for k, (body, _) in enumerate(pages)]
+    got = {r["page_id"]: r["text"] for r in extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[k] for k in range(len(pages))] == [want for _, want in pages]
+
+
+def test_shared_headings_of_articles_stay(spark):
+    recipe = lambda i: f"<article><h1>Dish {i}</h1><h2>Ingredients</h2><p>salt</p><h2 class='how'>Method</h2><div><p>mix {i} well</p></div><div class='legal'>All rights</div></article>"
+    rows = [(i, "http://cook/x", _page(recipe(i))) for i in range(12)]
+    got = {r["page_id"]: r["text"] for r in extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[5] == "Dish 5 Ingredients salt Method mix 5 well"
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_the_site_tree_against_plain_python(spark, seed):
+    """Hosts whose pages name no article: the tree alone decides."""
+    rng = random.Random(seed)
+    words = lambda n: " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "eps"]) for _ in range(n))
+    rows = []
+    for host in range(3):
+        shared = {c: words(4) for c in "abcdef"}
+        for i in range(rng.randint(5, 14)):
+            parts = []
+            for c in "abcdef":
+                kind = (ord(c) + host) % 4
+                text = shared[c] if kind == 0 else words(6) + f" {i}" if kind == 1 else rng.choice([shared[c], shared["a"]]) if kind == 2 else shared[c] if rng.random() < 0.8 else words(3)
+                inner = f"<p>{text}</p>" + (f"<div class='in'><p>{words(2)}</p><p>{shared[c]}</p></div>" if rng.random() < 0.5 else "")
+                if rng.random() < 0.9:
+                    parts.append(f"<div class='{c}{'-related' if kind == 3 else ''}'>{inner}</div>")
+            rows.append((len(rows), f"http://h{host}/{i}", _page("".join(parts))))
+        rows.append((len(rows), f"http://h{host}/again", rows[-1][2]))
+    got = {r["page_id"]: r["text"] for r in extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = B.site_trees([(i, url.split("/")[2], html) for i, url, html in rows])
+    assert got == want and any(len(want[i]) < len(" ".join(t for _, t in Page(h).blocks)) for i, _, h in rows)
+
+
 # 10 ------------------------------------------------------------------------------
 
 
