@@ -66,15 +66,20 @@ def _run(a: Column, b: Column) -> Column:
 def anchor_table(benchmark: DataFrame, size: int, text: str = "text", item_id: str = "item_id") -> DataFrame:
     """``anchor, first_word, item_id, at, m, left, right``: the words around each anchor of each item."""
     items = benchmark.select(F.col(item_id).alias("item_id"), words_of(F.col(text)).alias("w")).withColumn("m", F.size("w")).where("m > 0")
-    windows = items.withColumn("start", F.explode(F.sequence(F.lit(0), F.greatest(F.col("m") - size, F.lit(0)))))
-    places = F.sequence(F.col("start"), F.greatest(F.col("start"), F.least(F.col("start") + size, F.col("m")) - 2))
-    length = lambda p: F.char_length(_word(F.col("w"), p)) + F.coalesce(F.char_length(_word(F.col("w"), p + 1)), F.lit(0))
+    # each window is cut out before it gets a row of its own: a row holds the words around it, not the item
+    start = F.sequence(F.lit(0), F.greatest(F.col("m") - size, F.lit(0)))
+    reach = size - 1
+    cut = F.transform(start, lambda k: F.struct(k.alias("start"), F.slice("w", F.greatest(k - reach, F.lit(0)) + 1, F.lit(3 * size)).alias("near"), F.least(k, F.lit(reach)).alias("k")))
+    windows = items.select("item_id", "m", F.inline(cut))
+    places = F.sequence(F.col("k"), F.greatest(F.col("k"), F.least(F.col("k") + size, F.col("k") + F.col("m") - F.col("start")) - 2))
+    length = lambda p: F.char_length(_word(F.col("near"), p)) + F.coalesce(F.char_length(_word(F.col("near"), p + 1)), F.lit(0))
     best = F.array_max(F.transform(places, lambda p: F.struct(length(p).alias("n"), (-p).alias("p"))))
-    chosen = windows.withColumn("at", -best["p"]).select("item_id", "w", "m", "at").distinct()
-    left, right = _around(F.col("w"), F.col("at"), size)
+    placed = windows.withColumn("p", -best["p"]).withColumn("at", F.col("start") - F.col("k") + F.col("p"))
+    left, right = _around(F.col("near"), F.col("p"), size)
     # an item of one word is known by the word alone
-    anchor = F.when(F.col("m") == 1, F.xxhash64(_word(F.col("w"), F.col("at")))).otherwise(_pair(F.col("w"), F.col("at")))
-    return chosen.select(anchor.alias("anchor"), _word(F.col("w"), F.col("at")).alias("first_word"), "item_id", "at", "m", left.alias("left"), right.alias("right"))
+    anchor = F.when(F.col("m") == 1, F.xxhash64(_word(F.col("near"), F.col("p")))).otherwise(_pair(F.col("near"), F.col("p")))
+    chosen = placed.select(anchor.alias("anchor"), _word(F.col("near"), F.col("p")).alias("first_word"), "item_id", "at", "m", left.alias("left"), right.alias("right"))
+    return chosen.distinct()
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, one_in: int = 20, text: str = "text", item_id: str = "item_id", most_anchors: int = MOST_ANCHORS) -> DataFrame:

@@ -15,8 +15,8 @@ Targets: the budget is shared by weight; a source cannot give more than
 
 Definitions for odd input: a null or empty text has size 0 and nothing taken; a
 null source is a source of its own, last in order; null ids are shuffled as the
-empty string; repeated rows (equal id and size) are told apart by nothing, so
-they are taken alike; ties in finish time are broken by source, hash, id and
+empty string; repeated rows (equal id, source and size) queue one after the other, so each is
+taken for itself, and which of them is taken is all the same; ties in finish time are broken by source, hash, id and
 round; an empty table, or one without words, takes nothing.
 """
 
@@ -74,7 +74,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: fl
     offsets = sums.withColumn("offset", F.coalesce(F.sum("words").over(before), F.lit(0))).alias("o")
     offsets = offsets.join(wanted.alias("t"), F.col("o.source").eqNullSafe(F.col("t.source"))).select("queue", "bucket", "offset", "rank", "source_size", "target")
     offsets, _ = materialise(offsets, "mix-offsets")
-    inside = Window.partitionBy("queue", "bucket").orderBy("key", "doc_id", "size").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy("queue", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     summed = rows.withColumn("within", F.sum("size").over(inside))
     placed = summed.join(offsets.hint("merge"), ["queue", "bucket"]).select("doc_id", "source", "size", "key", "rank", "source_size", "target", (F.col("offset") + F.col("within")).alias("upto"))
     placed, _ = materialise(placed, "mix-placed")
@@ -137,7 +137,7 @@ l AS (SELECT *, ({float(share)}::DOUBLE * sum(source_size) OVER () - coalesce(su
     / sum(weight) OVER (ORDER BY cap / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
 t AS (SELECT *, least(cap, coalesce(weight * max(CASE WHEN cap / weight > level THEN level END) OVER (), cap)) AS target FROM l),
 p AS (SELECT d.*, t.rank, t.source_size, t.target,
-    sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id, d.size RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
+    sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
     FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 c AS (SELECT p.*, x.round, CASE WHEN target > 0 THEN (upto + x.round * source_size)::DOUBLE / target ELSE 0 END AS finish
     FROM p, (VALUES {rounds}) AS x(round)),

@@ -5,7 +5,9 @@ source) the minimum-covariance-determinant estimate is sought: location and
 scatter of the ``share`` of rows whose scatter has the least determinant.  It
 starts from medians and median deviations and from seeded subsets of about
 SUBSET rows each, takes two concentration steps from every start, keeps the
-start of least determinant and goes on until its determinant no longer falls.
+start of least determinant and goes on until its determinant no longer falls (or
+for MOST_STEPS steps; an estimate that still falls then is used as it is, one
+step short of the next).  The lowest bins hold somewhat more than the share.
 The scatter is made consistent for a normal cloud (the factor follows from
 ``share``), and rows whose squared Mahalanobis distance exceeds the chi-square
 quantile of ``quantile`` are rejected.

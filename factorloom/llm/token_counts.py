@@ -20,7 +20,7 @@ the names of the results, which win.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -37,6 +37,12 @@ SPACE = "▁"
 _UNITS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
+def changes_texts(pieces: Callable[[str], list[str]]) -> bool:
+    """Whether a model folds characters, drops or turns white space, or puts no space before a text."""
+    folds = any("".join(pieces(given)).endswith(folded) for given, folded in (("Ⅳ", "IV"), ("Ａ", "A"), ("A", "a")))
+    return folds or "".join(pieces("  a")) != SPACE * 3 + "a" or "".join(pieces("a  ")) != SPACE + "a" + SPACE * 2 or SPACE in "".join(pieces("a\tb"))[1:]
+
+
 class PrefixCounter:
     """Token counts of all prefixes under a sentencepiece BPE model."""
 
@@ -48,7 +54,7 @@ class PrefixCounter:
         self.score = {lib.id_to_piece(i): lib.get_score(i) for i in range(lib.vocab_size()) if not (lib.is_control(i) or lib.is_unknown(i) or lib.is_byte(i) or lib.is_unused(i))}
         if any(SPACE in p.lstrip(SPACE) for p in self.score):
             raise ValueError("this vocabulary has pieces that run across a space")
-        if lib.encode(" Ⅳ", out_type=str)[:1] != [SPACE] and lib.encode("  a", out_type=str)[-1:] != [SPACE + "a"]:
+        if changes_texts(lambda text: lib.encode(text, out_type=str)):
             raise ValueError("this model changes texts before it encodes them")
         self.joined = {p[k : k + 2] for p in self.score for k in range(len(p) - 1)}
         self.tails = {p[k:] for p in self.score for k in range(len(p) - 1)}

@@ -298,6 +298,15 @@ def test_token_counts(spark, sf, model):
         assert (r["n_bytes"], r["n_tokens"], r["over_limit"]) == (len(docs[r["doc_id"]].encode()), n, n > 4096)
 
 
+def test_models_that_change_texts():
+    from factorloom.llm.token_counts import SPACE, changes_texts
+
+    whole = lambda t: [SPACE, *t.replace(" ", SPACE)]
+    assert not changes_texts(whole)
+    assert changes_texts(lambda t: whole(t.replace("Ⅳ", "IV"))) and changes_texts(lambda t: whole(t.lower()))
+    assert changes_texts(lambda t: whole(" ".join(t.split()))) and changes_texts(lambda t: whole(t)[1:]) and changes_texts(lambda t: whole(t.replace("\t", " ")))
+
+
 def test_prefixes_of_anything(model):
     from hypothesis import given, settings
     from hypothesis import strategies as st
@@ -465,6 +474,14 @@ def test_mix_is_near_its_targets(spark, sf):
     assert sum(r["taken"] for r in got) == pytest.approx(1.5 * sum(r["size"] for r in got), rel=0.02)
 
 
+def test_repeated_rows_are_mixed_one_by_one(spark):
+    """A thousand rows without id in one source come near its target too."""
+    rows = [(None, "nine words are in this text " * 1 + "and more here", "a")] * 1000 + [(k, "w " * 9, "b") for k in range(1000)] + [(k, "w " * 9, "c") for k in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mix_sources(docs).groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target")).collect()
+    assert len(got) == 3 and all(r.taken == pytest.approx(r.target, rel=0.01) for r in got)
+
+
 # 9 -------------------------------------------------------------------------------
 
 
