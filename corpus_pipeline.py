@@ -7,7 +7,7 @@ columns of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factorloom.llm import _store
@@ -60,11 +60,14 @@ def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 @_stage
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix at its target weights: each document that is taken, with the words taken (repeats counted)."""
-    mixed = mix_sources(docs, (3, 1, 2), 1.5, 2, "mix").where("taken > 0")
-    mixed, _ = _store.materialise(mixed.distinct(), "mixed")
-    sized = docs.withColumn("size", F.regexp_count("text", F.lit(WORD)).cast("long")).alias("d")
+    # rows of equal id, source and size are told apart by a number, whichever has which
+    cells = ["doc_id", "source", "size"]
+    number = F.row_number().over(Window.partitionBy(*cells).orderBy(F.desc("taken")))
+    mixed, _ = _store.materialise(mix_sources(docs, (3, 1, 2), 1.5, 2, "mix").withColumn("copy", number).where("taken > 0"), "mixed")
+    sized = docs.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
+    sized = sized.withColumn("copy", F.row_number().over(Window.partitionBy(*cells).orderBy("text"))).alias("d")
     m = mixed.alias("m")
-    same = F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & F.col("d.source").eqNullSafe(F.col("m.source")) & (F.col("d.size") == F.col("m.size"))
+    same = F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & F.col("d.source").eqNullSafe(F.col("m.source")) & (F.col("d.size") == F.col("m.size")) & (F.col("d.copy") == F.col("m.copy"))
     return sized.join(m, same).select(*(F.col(f"d.{c}") for c in docs.columns), "d.size", "source_size", "target", "taken")
 
 
