@@ -19,9 +19,13 @@ texts of the roles to learn.
 
 Definitions for odd input: null roles and texts are empty; a null tree id is a
 tree of its own; a message whose parent is missing is a root; messages on a
-cycle are on no path; rows of one turn follow each other by role and text, so
-repeated rows are turns of their own; equal scores are decided by the smaller
-leaf id; texts of any length are taken whole; an empty table gives an empty
+cycle are on no path; turns of one number follow each other by role and text,
+and repeated turns are turns of their own (``from_turns`` numbers them); rows of
+messages that are equal in all columns are one message; of different messages
+under one id, replies belong to the one with the highest score (then by parent,
+role and text), and the others, like every message without an id, are branches
+without replies (``copy`` is 0 for the first and no other); equal scores are
+decided by the smaller leaf id, then copy; texts of any length are taken whole; an empty table gives an empty
 result; other columns are left out.
 """
 
@@ -65,10 +69,18 @@ def _same(a: str, b: str) -> Column:
 
 
 def clean_messages(messages: DataFrame) -> DataFrame:
-    """One row for each ``tree, id``, null roles and texts empty, null scores 0."""
-    cells = F.struct(F.col("parent").cast("long").alias("parent"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
-    one = messages.where(F.col("id").isNotNull()).groupBy("tree", F.col("id").cast("long").alias("id")).agg(F.min(cells).alias("c"))
-    return one.select("tree", "id", "c.*")
+    """Different messages, null roles and texts empty, null scores 0; ``id`` is (id, copy), ``parent`` the first message of its id."""
+    long = lambda c: F.col(c).cast("long")
+    cells = F.struct(long("parent").alias("parent"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
+    rows = messages.select("tree", long("id").alias("id"), cells.alias("c")).distinct()
+    first = rows.where("id is not null").groupBy("tree", "id").agg(F.min_by("c", F.struct(-F.col("c.score"), "c.parent", "c.role", "c.text")).alias("first"))
+    r, f = rows.alias("r"), first.alias("f")
+    met = r.join(f, _same("r", "f") & (F.col("r.id") == F.col("f.id")), "left")
+    # copies are numbered by what they hold, so that no task counts them
+    copy = F.when(F.col("c") == F.col("first"), F.lit(0).cast("long")).otherwise(F.xxhash64("c.parent", "c.role", "c.text", "c.score").bitwiseOR(F.lit(1)))
+    key = lambda i, k: F.struct(i.alias("id"), k.alias("copy"))
+    parent = F.when(F.col("c.parent").isNotNull(), key(F.col("c.parent"), F.lit(0).cast("long")))
+    return met.select("r.tree", key(F.col("r.id"), copy).alias("id"), parent.alias("parent"), "c.role", "c.text", "c.score")
 
 
 def ways_up(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
@@ -104,13 +116,14 @@ def paths_of(leaves: DataFrame, jumps: list[DataFrame]) -> DataFrame:
 
 
 def tree_paths(messages: DataFrame) -> DataFrame:
-    """``tree, leaf, node, up``: every message of every root-to-leaf path."""
-    leaves, jumps = ways_up(clean_messages(messages.withColumns({c: F.lit(None) for c in ("role", "text", "score") if c not in messages.columns})))
-    return paths_of(leaves, jumps)
+    """``tree, leaf, node, up, leaf_copy, node_copy``: every message of every root-to-leaf path."""
+    nodes, _ = materialise(clean_messages(messages.withColumns({c: F.lit(None) for c in ("role", "text", "score") if c not in messages.columns})), "messages")
+    found = paths_of(*ways_up(nodes))
+    return found.select("tree", F.col("leaf.id").alias("leaf"), F.col("node.id").alias("node"), "up", F.col("leaf.copy").alias("leaf_copy"), F.col("node.copy").alias("node_copy"))
 
 
 def format_trees(messages: DataFrame, best: int = 1, learn: Sequence[str] = ("assistant",)) -> DataFrame:
-    """``tree, leaf, score, formatted, loss_spans``: the ``best`` paths of each tree, by score."""
+    """``tree, leaf, copy, score, formatted, loss_spans``: the ``best`` paths of each tree, by score."""
     nodes, _ = materialise(clean_messages(messages), "messages")
     leaves, jumps = ways_up(nodes)
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), "leaf"))
@@ -127,7 +140,7 @@ def format_trees(messages: DataFrame, best: int = 1, learn: Sequence[str] = ("as
     span = F.when(F.col("role").isin(list(learn)), F.struct((end - F.char_length("t")).alias("start"), end.alias("end")))
     turns = rows.withColumn("span", span).groupBy("tree", "leaf").agg(F.first("path_score").alias("score"), F.array_sort(F.collect_list(F.struct((-F.col("up")).alias("at"), "piece", "span"))).alias("x"))
     spans = F.filter(F.transform("x", lambda s: s["span"]), lambda s: s.isNotNull())
-    return turns.select("tree", "leaf", "score", F.array_join(F.transform("x", lambda s: s["piece"]), "").alias("formatted"), spans.alias("loss_spans"))
+    return turns.select("tree", F.col("leaf.id").alias("leaf"), F.col("leaf.copy").alias("copy"), "score", F.array_join(F.transform("x", lambda s: s["piece"]), "").alias("formatted"), spans.alias("loss_spans"))
 
 
 def read_turns(formatted: Column) -> Column:

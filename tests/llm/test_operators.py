@@ -417,12 +417,22 @@ def test_reply_trees(spark):
 
 
 def test_repeated_messages(spark):
-    """A chain with each row twice is one path; of different rows with one id the first stays."""
+    """A chain with each row twice is one path; a different row with one id of it is a branch without replies."""
     rows = [("t", k, k - 1 if k else None, "user", f"m{k}", 1.0) for k in range(12) for _ in range(2)] + [("t", 5, 4, "user", "m0 first", 0.5), (None, None, None, "user", "no id", 0.0)]
     m = spark.createDataFrame(rows, "tree string, id long, parent long, role string, text string, score double")
-    assert tree_paths(m).count() == 12
-    got = format_trees(m).select("score", read_turns(F.col("formatted")).alias("t")).collect()
-    assert len(got) == 1 and [t["text"] for t in got[0]["t"]] == ["m0 first" if k == 5 else f"m{k}" for k in range(12)] and got[0]["score"] == 11.5
+    assert tree_paths(m).count() == 12 + 6 + 1
+    got = sorted((r["score"], [t["text"] for t in r["t"]]) for r in format_trees(m, best=5).select("score", read_turns(F.col("formatted")).alias("t")).collect())
+    assert got == [(0.0, ["no id"]), (5.5, [*(f"m{k}" for k in range(5)), "m0 first"]), (12.0, [f"m{k}" for k in range(12)])]
+
+
+def test_no_message_is_dropped(spark):
+    """Two messages under one id, and messages without id, are branches of their own."""
+    rows = [(1, 10, None, "user", "q", 0.0), (1, 11, 10, "assistant", "A", 1.0), (1, 11, 10, "assistant", "B", 5.0), (1, 11, 10, "assistant", "B", 5.0), (1, None, 10, "assistant", "C", 2.0), (1, None, 10, "assistant", "D", 2.0), (1, None, None, "user", "alone", None), (1, 12, 11, "user", "more", 0.5), (None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "tree long, id long, parent long, role string, text string, score double").repartition(3)
+    got = format_trees(df, best=9).select("tree", "score", read_turns(F.col("formatted")).alias("turns")).collect()
+    paths = sorted((-1 if r.tree is None else r.tree, r.score, [t.text for t in r.turns]) for r in got)
+    assert paths == [(-1, 0.0, [""]), (1, 0.0, ["alone"]), (1, 1.0, ["q", "A"]), (1, 2.0, ["q", "C"]), (1, 2.0, ["q", "D"]), (1, 5.5, ["q", "B", "more"])]
+    assert {(r.leaf, r.leaf_copy == 0) for r in tree_paths(df).where("tree = 1").collect()} == {(None, False), (11, False), (12, True)}
 
 
 def test_branches_against_plain_python(spark):
