@@ -869,3 +869,10 @@ def _archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k in (0, 1, 1):
         C.store_rewards(rows.where(F.col("ordinal") % 2 == k), archive, log, number=k)
     return archive.read().select("expr", "signature", "score")
+
+
+@query("lib_spread_sections", ORACLE["lib_cross_sections"])
+def _spread_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same cross-sections with ranks that split a time over tasks."""
+    found = scoring.cross_sections(_library_pairs(spark, sf_dir), spread=True)
+    return _round(found.withColumn("day", F.col("ts").cast("date")).drop("ts"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.guarded import average_rank, clip, finite, pearson, sharpe
 from .factors import factor_long
 from .namespaces import across_long
+from .ranks import spread_ranks
 
 #: No cross-section has fewer assets than this, whatever the caller asks for.
 LEAST_ASSETS = 8
@@ -25,19 +26,25 @@ def _agreement() -> Column:
     return F.avg(F.when(active, (F.signum("factor") == F.signum("fwd")).cast("double")))
 
 
-def cross_sections(pairs: DataFrame, min_assets: int = LEAST_ASSETS, keys: Sequence[str] = ("expr_id",)) -> DataFrame:
+def cross_sections(pairs: DataFrame, min_assets: int = LEAST_ASSETS, keys: Sequence[str] = ("expr_id",), spread: bool = False) -> DataFrame:
     """Metrics at each time: ``assets, dir_acc, ic, rank_ic, spread`` by ``keys`` and ``ts``.
 
     Only rows with factor and forward return count, and only times with enough
     of them.  The spread is the mean return of the top fifth less that of the
     bottom fifth; equal factors are put in the order of their assets.
+    ``spread``: ranks by range exchanges (``ranks``), for cross-sections that
+    are too much for a task; else by windows, a third of the shuffles.
     """
     by = [*keys, "ts"]
     rows = pairs.where(F.col("factor").isNotNull() & F.col("fwd").isNotNull())
-    n = F.count(F.lit(1)).over(Window.partitionBy(*by))
-    rows = rows.withColumn("n", n).where(F.col("n") >= least_assets(min_assets))
-    place = F.row_number().over(Window.partitionBy(*by).orderBy("factor", "asset"))
-    rows = rows.select(*by, "asset", "factor", "fwd", "n", average_rank(F.col("factor"), *by).alias("rf"), average_rank(F.col("fwd"), *by).alias("rr"), place.alias("place"))
+    if spread:
+        ranked = spread_ranks(rows.select(*by, "asset", "factor", "fwd"), by, "factor", ["asset"]).withColumnRenamed("rank", "rf").where(F.col("n") >= least_assets(min_assets))
+        rows = spread_ranks(ranked.withColumnsRenamed({"place": "by_factor", "n": "assets"}), by, "fwd").select(*by, "asset", "factor", "fwd", "n", "rf", F.col("rank").alias("rr"), F.col("by_factor").alias("place"))
+    else:
+        n = F.count(F.lit(1)).over(Window.partitionBy(*by))
+        rows = rows.withColumn("n", n).where(F.col("n") >= least_assets(min_assets))
+        place = F.row_number().over(Window.partitionBy(*by).orderBy("factor", "asset"))
+        rows = rows.select(*by, "asset", "factor", "fwd", "n", average_rank(F.col("factor"), *by).alias("rf"), average_rank(F.col("fwd"), *by).alias("rr"), place.alias("place"))
     fifth = F.greatest(F.lit(1), F.floor(F.col("n") * 0.2))
     top, bottom = F.avg(F.when(F.col("place") > F.col("n") - fifth, F.col("fwd"))), F.avg(F.when(F.col("place") <= fifth, F.col("fwd")))
     return rows.groupBy(*by).agg(
