@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.guarded import clip, plain
 from ..plans import expr as X
@@ -160,6 +161,48 @@ def realize_table(rows: DataFrame, expr: str = "expr", limits: X.Limits = X.Limi
     return given.mapInArrow(run, schema)
 
 
+DESCRIBED = "kind string, problem string, fields array<string>, spaces array<string>, longest int, depth int"
+
+
+def describe(text: str | None, limits: X.Limits = X.Limits()) -> tuple:
+    """(kind, problem, fields, namespaces, longest window, depth) of an expression.
+
+    ``problem`` is empty, ``limit`` for one that can be read but not used, or ``syntax``; then the rest is missing.
+    """
+    try:
+        node = X.parse("" if text is None else text)
+    except (X.ExpressionError, RecursionError):
+        return None, "syntax", None, None, None, None
+    try:
+        X.check(node, limits)
+        problem = ""
+    except X.ExpressionError:
+        problem = "limit"
+    found = list(X.windows(node))
+    deep = lambda n: 1 + max(map(deep, n.args)) if isinstance(n, X.Apply) else 0
+    return node.kind, problem, sorted({w.full_name for w in found}), sorted({w.space for w in found}), max((w.length for w in found), default=None), deep(node)
+
+
+def describe_table(rows: DataFrame, expr: str = "expr", limits: X.Limits = X.Limits()) -> DataFrame:
+    """Adds DESCRIBED to a table of candidates: their types, problems, fields and namespaces, for filters on tables."""
+    ship(rows.sparkSession)
+    new = T._parse_datatype_string(DESCRIBED)
+    kept = [c for c in rows.columns if c not in new.names]
+    schema = T.StructType([*(rows.schema[c] for c in kept), *new.fields])
+    arrow = to_arrow_schema(new)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen: dict[str | None, tuple] = {}
+            texts = batch.column(expr).to_pylist()
+            for text in set(texts):
+                seen[text] = describe(text, limits)
+            made = [pa.array([seen[t][k] for t in texts], f.type) for k, f in enumerate(arrow)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *made], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
 @dataclass(frozen=True)
 class Seed:
     expr: str

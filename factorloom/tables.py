@@ -73,14 +73,14 @@ tk AS (SELECT upper(trim(event_type)) AS symbol, ts, value AS price, coalesce(TR
     CASE WHEN event_id % 11 <> 0 THEN (floor(value) + 0.95::DOUBLE) - (floor(value) + 0.05::DOUBLE) END AS sp FROM events)"""
 
 #: Completions as a model might write them, one for each order, by its key ``k``; the same text in Spark's SQL and DuckDB's.
-_FUNCTION = "CASE k % 5 WHEN 0 THEN 'ts_mean' WHEN 1 THEN 'ts_std' WHEN 2 THEN 'ts_max' WHEN 3 THEN 'first' ELSE 'nofn' END"
+_FUNCTION = "CASE k % 9 WHEN 0 THEN 'ts_mean' WHEN 1 THEN 'ts_std' WHEN 2 THEN 'ts_max' WHEN 3 THEN 'first' WHEN 4 THEN 'diff' WHEN 5 THEN 'zscore' WHEN 6 THEN 'abs' WHEN 7 THEN 'last' ELSE 'nofn' END"
 _FIELD = "CASE k % 4 WHEN 0 THEN 'close' WHEN 1 THEN 'volume' WHEN 2 THEN 'returns' ELSE 'dlyclose' END"
 _PARTS = f"SELECT k, {_FUNCTION} AS fn, {_FIELD} AS fd, CAST(k % 37 AS STRING) AS n, CAST(k % 11 + 2 AS STRING) AS m FROM (SELECT o_orderkey AS k FROM orders)"
 _TWO = "SELECT *, fn || '(crypto.' || fd || '(' || n || '))' AS e1, CASE WHEN k % 2 = 0 THEN 'add(' || fn || '(crypto.' || fd || '(' || n || ')), ts_std(crypto.close(' || m || ')))' ELSE 'add(ts_std(crypto.close(' || m || ')), ' || fn || '(crypto.' || fd || '(' || n || ')))' END AS e2 FROM parts"
 _TEXT = "CASE k % 7 WHEN 0 THEN '<expr>' || e1 || '</expr> and <EXPR> ' || e2 || chr(10) || '</EXPR>' WHEN 1 THEN 'so: <expr>' || e1 || '</expr><expr>' || e2 || '</expr>' WHEN 2 THEN e1 || chr(10) || chr(10) || '   ' || e2 || '  ' WHEN 3 THEN '  ' || e1 || chr(10) || e2 WHEN 4 THEN 'no expression here' WHEN 5 THEN '' ELSE '<expr></expr><expr>' || e2 || '</expr>' END"
 COMPLETIONS_SQL = f"parts AS ({_PARTS}), two AS ({_TWO}), c AS (SELECT k AS ordinal, {_TEXT} AS text FROM two)"
 #: What is in them; canonical forms are put together from the parts, not read.
-REALIZED_SQL = """f AS (SELECT *, fn <> 'nofn' AND fd <> 'dlyclose' AND n <> '0' AS ok, 'call:' || fn || '(field:crypto.' || fd || ':' || n || ')' AS f1, 'call:ts_std(field:crypto.close:' || m || ')' AS f3 FROM two),
+REALIZED_SQL = """f AS (SELECT *, CASE WHEN fn = 'nofn' THEN 'syntax' WHEN fd = 'dlyclose' OR n = '0' THEN 'limit' ELSE '' END AS problem, CASE WHEN fn IN ('diff', 'zscore', 'abs') THEN 'array' ELSE 'scalar' END AS kind, fn <> 'nofn' AND fd <> 'dlyclose' AND n <> '0' AS ok, 'call:' || fn || '(field:crypto.' || fd || ':' || n || ')' AS f1, 'call:ts_std(field:crypto.close:' || m || ')' AS f3 FROM two),
 r0 AS (SELECT k * 10 AS ordinal, e1 AS expr, ok AS valid, f1 AS form FROM f WHERE k % 7 < 4
     UNION ALL SELECT k * 10 + CASE WHEN k % 7 < 4 THEN 1 ELSE 0 END, e2, ok, 'call:add(' || least(f1, f3) || ',' || greatest(f1, f3) || ')' FROM f WHERE k % 7 < 4 OR k % 7 = 6
     UNION ALL SELECT k * 10, 'no expression here', false, '' FROM f WHERE k % 7 = 4),

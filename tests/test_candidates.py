@@ -257,3 +257,22 @@ def test_daily_samples(spark):
     assert [tuple(r) for r in ingest.one_asset(rows, 9, "2024-01-04", "2024-01-05").collect()] == [(9, date(2024, 1, 4)), (9, date(2024, 1, 5))]
     assert [tuple(r) for r in ingest.first_asset(rows).collect()] == [(7, date(2024, 1, d)) for d in (3, 4, 5)]
     assert ingest.first_asset(rows.drop("permno")).count() == 9 and ingest.first_asset(rows.limit(0)).count() == 0
+
+
+def test_descriptions(spark):
+    cases = {
+        "corr(crypto.close(5), crsp.dlyclose(9))": ("scalar", "", ["crsp.dlyclose", "crypto.close"], ["crsp", "crypto"], 9, 1),
+        "diff(crypto.close(2))": ("array", "", ["crypto.close"], ["crypto"], 2, 1),
+        "1.5": ("scalar", "", [], [], None, 0),
+        "abs(crypto.nothing(3))": ("array", "limit", ["crypto.nothing"], ["crypto"], 3, 1),
+        "last(crypto.close(99999))": ("scalar", "limit", ["crypto.close"], ["crypto"], 99999, 1),
+        "ts_mean(1)": (None, "syntax", None, None, None, None),
+        "a.b": (None, "syntax", None, None, None, None),
+        "lambda x: x": (None, "syntax", None, None, None, None),
+        "crypto.close(1) ** 2": (None, "syntax", None, None, None, None),
+        "-crypto.close(1)": (None, "syntax", None, None, None, None),
+        "": (None, "syntax", None, None, None, None),
+    }
+    df = spark.createDataFrame([(t, "mine") for t in cases] + [(None, "mine")], "expr string, kind string").repartition(2)
+    got = {r.expr: tuple(r)[1:] for r in C.describe_table(df).collect()}
+    assert got == cases | {None: (None, "syntax", None, None, None, None)}
