@@ -70,9 +70,12 @@ def factor_series(panel: DataFrame, text: str, space: str, min_history: int = 1,
     return factor_frame(panel, [text], space, min_history, columns=columns).withColumnRenamed("f0", "factor")
 
 
-def factor_long(panel: DataFrame, exprs: Sequence[str], space: str, min_history: int = 1, price: str | None = None, horizon: int = 1, columns: Mapping[str, str] | None = None) -> DataFrame:
-    """``expr_id, ts, asset, factor`` (and ``fwd``): one row for each expression, never a pivot."""
-    return lengthen(factor_frame(panel, exprs, space, min_history, price, horizon, columns), len(exprs))
+def factor_long(panel: DataFrame, exprs: Sequence[str], space: str, min_history: int = 1, price: str | None = None, horizon: int = 1, columns: Mapping[str, str] | None = None, **blocked: int) -> DataFrame:
+    """``expr_id, ts, asset, factor`` (and ``fwd``): one row for each expression, never a pivot.
+
+    ``blocked``: ``block_rows`` and ``bucket_seconds`` of ``factor_frame``.
+    """
+    return lengthen(factor_frame(panel, exprs, space, min_history, price, horizon, columns, **blocked), len(exprs))
 
 
 def lengthen(wide: DataFrame, count: int) -> DataFrame:

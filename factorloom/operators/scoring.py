@@ -85,24 +85,26 @@ def _expressions(panel: DataFrame, exprs: Sequence[str]) -> DataFrame:
 Panels = DataFrame | Mapping[str, DataFrame]
 
 
-def _paired(panel: Panels, exprs: Sequence[str], space: str, min_history: int, price: str, horizon: int, columns: Mapping[str, str] | None) -> tuple[DataFrame, DataFrame]:
+def _paired(panel: Panels, exprs: Sequence[str], space: str, min_history: int, price: str, horizon: int, columns: Mapping[str, str] | None, **blocked: int) -> tuple[DataFrame, DataFrame]:
     """The panel whose rows are scored, and its factors with their forward returns."""
     if isinstance(panel, Mapping):
         return panel[space], across_long(panel, exprs, space, min_history, price, horizon)
-    return panel, factor_long(panel, exprs, space, min_history, price, horizon, columns)
+    return panel, factor_long(panel, exprs, space, min_history, price, horizon, columns, **blocked)
 
 
-def score_cross_section(panel: Panels, exprs: Sequence[str], space: str, price: str, horizon: int = 1, min_history: int = 1, min_assets: int = LEAST_ASSETS, columns: Mapping[str, str] | None = None) -> DataFrame:
+def score_cross_section(panel: Panels, exprs: Sequence[str], space: str, price: str, horizon: int = 1, min_history: int = 1, min_assets: int = LEAST_ASSETS, columns: Mapping[str, str] | None = None, spread: bool = False, **blocked: int) -> DataFrame:
     """One row for each expression: its score from -1 to 1 and what it is made of.
 
     All expressions are scored in one job.  A universe of too few assets, an
     expression that cannot be used and one without any rank correlation score -1.
     With panels of several namespaces, the rows and the price are those of ``space``.
+    ``spread`` and ``blocked`` (``block_rows``, ``bucket_seconds``) are for times and
+    assets that are too much for a task: ``cross_sections``, ``factor_frame``.
     """
     least = least_assets(min_assets)
-    panel, pairs = _paired(panel, exprs, space, min_history, price, horizon, columns)
+    panel, pairs = _paired(panel, exprs, space, min_history, price, horizon, columns, **blocked)
     enough = panel.select("asset").distinct().limit(least).agg(F.count("*") >= least).scalar()  # part of the plan, not a job before it
-    totals = over_time(cross_sections(pairs, min_assets)).where((F.col("valid_times") > 0) & enough)
+    totals = over_time(cross_sections(pairs, min_assets, spread=spread)).where((F.col("valid_times") > 0) & enough)
     joined = _expressions(panel, exprs).join(totals, "expr_id", "left")
     score = clip(F.col("rank_ic_mean") * 5.0 + 0.02 * F.tanh("rank_ic_ir"), -1.0, 1.0)
     return joined.select(
@@ -115,12 +117,12 @@ def score_cross_section(panel: Panels, exprs: Sequence[str], space: str, price:
     )
 
 
-def score_direction(panel: Panels, exprs: Sequence[str], space: str, price: str, horizon: int = 1, min_history: int = 1, columns: Mapping[str, str] | None = None) -> DataFrame:
+def score_direction(panel: Panels, exprs: Sequence[str], space: str, price: str, horizon: int = 1, min_history: int = 1, columns: Mapping[str, str] | None = None, **blocked: int) -> DataFrame:
     """One row for each expression and asset: share of signed factors that foretold the sign of the return.
 
     Without aligned rows the score is missing; with rows but no signed factor it is -1.
     """
-    panel, pairs = _paired(panel, exprs, space, min_history, price, horizon, columns)
+    panel, pairs = _paired(panel, exprs, space, min_history, price, horizon, columns, **blocked)
     by = ["expr_id", "asset"]
     rows = pairs.where(F.col("factor").isNotNull() & F.col("fwd").isNotNull())
     ranked = rows.select(*by, "factor", "fwd", average_rank(F.col("factor"), *by).alias("rf"), average_rank(F.col("fwd"), *by).alias("rr"))

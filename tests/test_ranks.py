@@ -37,3 +37,16 @@ def test_cross_sections_are_the_same(spark):
     whole, dealt = ({r.ts: [None if x is None else round(x, 9) for x in r[2:]] for r in cross_sections(rows, spread=s).collect()} for s in (False, True))
     assert whole == dealt and set(whole) == {0, 1, None}
     assert cross_sections(rows.limit(0), spread=True).count() == 0
+
+
+def test_scores_in_blocks_and_spread(spark):
+    from datetime import datetime, timedelta
+
+    from factorloom.operators.scoring import score_cross_section
+
+    rng = random.Random(2)
+    rows = [(f"a{a}", datetime(2024, 1, 1) + timedelta(minutes=m), rng.uniform(1, 9)) for a in range(9) for m in range(60)]
+    panel = spark.createDataFrame(rows, "asset string, ts timestamp_ntz, close double")
+    texts = ["ts_mean(crypto.close(5))", "rank(crypto.close(9))", "ema(diff(crypto.close(4)))"]
+    plain, split = (sorted([None if x is None else round(x, 9) if isinstance(x, float) else x for x in r] for r in score_cross_section(panel, texts, "crypto", "close", 2, 3, **o).collect()) for o in ({}, {"spread": True, "block_rows": 20, "bucket_seconds": 600}))
+    assert plain == split
