@@ -336,3 +336,61 @@ def site_trees(rows, threshold=0.2, doubted=0.7, weight=0.9, min_pages=4):
                 gone.append(n in low or up >= 0 and gone[up])
             out[i] = " ".join(t for k, t in p.blocks if not gone[k])
     return out
+
+
+END, START = "</end>", "<start>"
+
+
+class Interpolated:
+    """Deleted interpolation over (text, role) rows, role 1: counts, 2: counts and held out for the weights, 0: neither."""
+
+    def __init__(self, rows, order, learn):
+        from factorloom.llm.deleted_interpolation import BUCKETS, GRID, PER_DECADE
+
+        self.order = order
+        texts = [(self.tokens(t), r) for t, r in rows]
+        every = [Counter(g for ts, r in texts if r for g in self.grams(ts, k)) for k in range(order)]
+        held = [Counter(g for ts, r in texts if r == 2 for g in self.grams(ts, k)) for k in range(order)]
+        rest = [c - d for c, d in zip(every, held)]
+        sizes = sum(r > 0 for _, r in texts), sum(r == 1 for _, r in texts)
+        hist = Counter()
+        self.counts, self.texts = rest, sizes[1]
+        for ts, r in texts:
+            if r == 2:
+                for i in range(len(ts)):
+                    seen = [self.seen(ts, i, k) for k in range(order)]
+                    step = [min(GRID - 2, math.floor(-math.log10(a / b) * PER_DECADE)) if a and b else GRID - 1 for a, b in seen]
+                    hist[(*(self.bucket(b, BUCKETS) for _, b in seen), *step)] += 1
+        self.weights = learn([(*k, n) for k, n in sorted(hist.items())], order, 1 / (len(rest[0]) + 1))
+        self.counts, self.texts, self.buckets = every, sizes[0], BUCKETS
+
+    @staticmethod
+    def tokens(text):
+        return [*words((text or "").translate(LOWER)), END]
+
+    @staticmethod
+    def bucket(n, most):
+        return min(most - 1, int(math.floor(math.log2(n))) + 1) if n else 0
+
+    @staticmethod
+    def grams(ts, k):
+        padded = [START] * k + ts
+        return [tuple(padded[i : i + k + 1]) for i in range(len(ts))]
+
+    def seen(self, ts, i, k):
+        """Count of the k + 1 tokens up to ``i``, and of their context."""
+        gram = tuple(([START] * k + ts)[i : i + k + 1])
+        context = sum(self.counts[0].values()) if k == 0 else self.texts if i == 0 else self.counts[k - 1][gram[:-1]]
+        return self.counts[k][gram], context
+
+    def probability(self, ts, i):
+        p = 1 / (len(self.counts[0]) + 1)
+        for k in range(self.order):
+            a, b = self.seen(ts, i, k)
+            w = self.weights[k][self.bucket(b, self.buckets)] if b else 0.0
+            p = w * (a / b if b else 0.0) + (1 - w) * p
+        return p
+
+    def score(self, text):
+        ts = self.tokens(text)
+        return sum(math.log10(self.probability(ts, i)) for i in range(len(ts)))

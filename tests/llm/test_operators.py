@@ -107,6 +107,22 @@ def test_the_model_is_a_distribution(spark, order):
     assert all(v < 0 for v in out.values()) and all(single[k] < out[k] for k in (100, 101, 102, 103))
 
 
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_scores_are_those_of_the_model(spark, order):
+    """Every text against plain counts, EM histogram and mixture; the mixture sums to one over the vocabulary, the end and one unknown word."""
+    rng, kinds = random.Random(order), [f"w{k}" for k in range(25)]
+    rows = [(k, " ".join(rng.choices(kinds, [1 / (i + 1) for i in range(25)], k=rng.choice([0, 1, 2, 7, 30]))), k % 5) for k in range(150)] + [(200, "new words w0 here", 0), (201, None, 1), (202, "W0 w1 W2", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, part long").repartition(4)
+    got = {r.doc_id: r.score for r in score_texts(docs, F.col("part") != 0, F.col("part") == 2, order=order).collect()}
+    model = B.Interpolated([(t, 0 if p == 0 else 2 if p == 2 else 1) for _, t, p in rows], order, learn_weights)
+    for k, t, _ in rows:
+        assert got[k] == pytest.approx(model.score(t), rel=1e-9), k
+    words = [w for (w,) in model.counts[0]]
+    for context in ([], ["w0"], ["w0", "w1"], ["w3", "w0", "w0"], ["unseen"], ["w1", "unseen"]):
+        total = sum(model.probability([*context, w], len(context)) for w in [*words, "unseen"])
+        assert total == pytest.approx(1.0, abs=1e-9), context
+
+
 def test_the_query_uses_trigrams(spark, sf):
     part = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 7
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
