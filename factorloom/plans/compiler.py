@@ -4,7 +4,9 @@ Four rules, all over one partitioning (asset) and order (ts):
 
 1. an array whose elements are values of their own rows (fields, element-wise
    functions of fields of one length, differences of those) is reduced by a
-   native window aggregate over that value;
+   native window aggregate over that value; ``zscore`` and ``normalize`` of it
+   are the same values moved and scaled by two scalars of the row of evaluation,
+   and so are its reductions;
 2. of an array root only the last element is needed, so element-wise functions
    work on row values and window scalars, without arrays;
 3. the last ``ema`` and ``rank`` of such an array are one scan along the asset
@@ -80,6 +82,23 @@ class Prepared:
         return scan_columns(panel, [(s, n) for s, n in self.scans.items()], keys, compiler.ts, compiler.place)
 
 
+@dataclass(frozen=True)
+class Affine:
+    """Values of rule 1 (``base`` is their tree), moved and scaled by columns of the row of evaluation; a missing scale makes all missing."""
+
+    base: X.Node
+    value: Column
+    rows: int
+    lost: int
+    shift: Column | None = None
+    scale: Column | None = None
+
+    def apply(self, c: Column, times: Column | float = 1.0) -> Column:
+        """What is ``c`` of the values, of the array; ``times``: how often the shift is in it."""
+        moved = c if self.shift is None or isinstance(times, float) and times == 0.0 else c - times * self.shift
+        return moved if self.scale is None else F.try_divide(moved, self.scale)
+
+
 @dataclass(frozen=True)
 class Compiler:
     """Compiles trees for one panel: its asset and time columns, and the column of each field.
@@ -140,6 +159,25 @@ class Compiler:
             return F.col(self.prepared.value(node, value - F.lag(value).over(self.over()))), n, d + 1
         return _log(value) if name == "log" else _unary(name, value), n, d
 
+    def affine(self, node: X.Node) -> "Affine | None":
+        """An array that is ``(value - shift) / scale`` with shift and scale of the row of evaluation: ``zscore`` and ``normalize`` of rule 1."""
+        rows = self.by_row(node)
+        if rows:
+            return Affine(node, *rows)
+        if self.arrays_only or not isinstance(node, X.Apply) or node.name not in ("zscore", "normalize"):
+            return None
+        inner = self.affine(node.args[0])
+        if inner is None or inner.rows <= inner.lost or (node.name == "normalize" and inner.shift is not None):
+            return None
+        x = inner.value if isinstance(inner.base, X.Window) else F.when(_known(inner.value), inner.value)
+        frame = self.frame(inner.rows - inner.lost)
+        if node.name == "zscore":
+            shift, scale = F.avg(x).over(frame), F.stddev_pop(x).over(frame)
+        else:
+            shift, scale = None, F.sum(F.abs(x)).over(frame)
+        seen = scale if inner.scale is None else F.try_divide(scale, inner.scale)  # as the values themselves have it
+        return Affine(inner.base, x, inner.rows, inner.lost, shift, F.when((seen > EPS) & (seen < INF), scale))
+
     # lengths of arrays at a row: (n, d) is min(n, rows so far) - d
     def span(self, node: X.Node) -> tuple[int, int] | None:
         if isinstance(node, X.Window):
@@ -180,26 +218,29 @@ class Compiler:
         if name in X.ELEMENT:
             return _unary(name, self.scalar(args[0]))
         if name in X.PAIR:
-            sides = [self.by_row(a) for a in args]
+            sides = [self.affine(a) for a in args]
             if all(sides):
-                size = min(n - d for _, n, d in sides)
+                size = min(x.rows - x.lost for x in sides)
                 if size < 1:
                     return _null()
-                a, b = (v for v, _, _ in sides)
-                return pearson(a, b, self.frame(size)) if name == "corr" else covariance(a, b, self.frame(size))
+                return _affine_pair(name, *sides, self.frame(size))
             return _let(self.array(args[0]), lambda a: _let(self.array(args[1]), lambda b: _pair(name, a, b)))
         source = args[0]
         if name == "last" and not self.arrays_only:
             return self.last(source)
-        rows = self.by_row(source)
-        if rows and rows[1] <= rows[2]:
+        rows = self.affine(source)
+        if rows and rows.rows <= rows.lost:
             return _null()
-        if rows and (name != "first" or rows[2] == 0):
-            x, frame = rows[0], self.frame(rows[1] - rows[2])
+        if rows and (name != "first" or rows.lost == 0):
+            x, frame = finite(rows.value), self.frame(rows.rows - rows.lost)
             if name == "first":
-                return F.first_value(x).over(frame)
-            fn = {"ts_mean": F.avg, "ts_std": F.stddev_pop, "ts_sum": F.sum, "ts_min": F.min, "ts_max": F.max}[name]
-            return fn(finite(x)).over(frame)
+                return rows.apply(F.first_value(rows.value).over(frame))
+            if name == "ts_std":
+                return rows.apply(F.stddev_pop(x).over(frame), 0.0)
+            if name == "ts_sum":
+                return rows.apply(F.sum(x).over(frame), F.count(x).over(frame))
+            fn = {"ts_mean": F.avg, "ts_min": F.min, "ts_max": F.max}[name]
+            return rows.apply(fn(x).over(frame))
         return _let(self.array(source), lambda a: _reduce(name, a))
 
     # the last element of an array
@@ -226,28 +267,22 @@ class Compiler:
         if isinstance(source, X.Window) and name == "diff":
             x = self.value(source)
             return x - F.lag(x).over(self.over()) if source.length > 1 else _null()
-        rows = self.by_row(source)
-        if rows:
-            x, n, d = rows
-            if name == "diff":
-                inner = self.by_row(node)
-                if inner:
-                    return inner[0] if n > d + 1 else _null()
-            elif n <= d:
+        if name == "diff":
+            rows = self.by_row(node)
+            if rows:
+                return rows[0] if rows[1] > rows[2] else _null()
+        elif name in ("zscore", "normalize"):
+            rows = self.affine(node)
+            if rows:
+                return rows.apply(rows.value)
+        elif self.prepared is not None:
+            rows = self.affine(source)
+            if rows and rows.rows <= rows.lost:
                 return _null()
-            else:
-                frame = self.frame(n - d)
-            if not isinstance(source, X.Window):
-                x = F.when(_known(x), x)
-            if name == "normalize":
-                total = F.sum(F.abs(x)).over(frame)
-                return F.when((total > EPS) & (total < INF), F.try_divide(x, total))
-            if name == "zscore":
-                std = F.stddev_pop(x).over(frame)
-                return F.when((std > EPS) & (std < INF), F.try_divide(x - F.avg(x).over(frame), std))
-            if name in ("ema", "rank") and self.prepared is not None:
-                held = self.prepared.value(source, rows[0])
-                return F.col(self.prepared.scan(Scan(name, held, n, d)))
+            if rows:
+                found = F.col(self.prepared.scan(Scan(name, self.prepared.value(rows.base, rows.value), rows.rows, rows.lost)))
+                # moving and scaling leaves places as they are, and is the same before a weighted mean and after it
+                return rows.apply(found) if name == "ema" else found if rows.scale is None else F.when(rows.scale.isNotNull(), found)
         if name == "ema":
             return _let(self.array(source), _ema_last)
         if name == "rank":
@@ -283,6 +318,19 @@ def _binary(name: str, a: Column, b: Column) -> Column:
     return {"add": lambda: a + b, "sub": lambda: a - b, "mul": lambda: a * b, "div": lambda: divide(a, b)}[name]()
 
 
+def _affine_pair(name: str, a: Affine, b: Affine, frame) -> Column:
+    """corr and cov over the rows where both are known; moving and scaling only matters to what counts as no spread."""
+    if name == "cov":
+        return b.apply(a.apply(covariance(a.value, b.value, frame), 0.0), 0.0)
+    if a.scale is None and b.scale is None:
+        return pearson(a.value, b.value, frame)
+    both = is_finite(a.value) & is_finite(b.value)
+    x, y = F.when(both, a.value), F.when(both, b.value)
+    sx, sy = F.stddev_pop(x).over(frame), F.stddev_pop(y).over(frame)
+    spread = (F.count(x).over(frame) >= 2) & (a.apply(sx, 0.0) > EPS) & (b.apply(sy, 0.0) > EPS)
+    return F.when(spread, finite(F.try_divide(F.covar_pop(x, y).over(frame), sx * sy)))
+
+
 def _unary(name: str, a: Column) -> Column:
     return {"neg": lambda: -a, "abs": lambda: F.abs(a), "tanh": lambda: F.tanh(a), "sign": lambda: F.signum(a)}[name]()
 

@@ -24,6 +24,8 @@ EXPRESSIONS = [
     "tanh(div(ts_mean(crypto.returns(3)), ts_std(crypto.returns(7))))", "sign(crypto.returns(3))", "abs_s(neg(crypto.volume(2)))", "ts_mean(mul(crypto.close(3), 2))", "div(1, crypto.volume(3))", "cov(diff(crypto.close(6)), crypto.volume(3))",
     "ts_mean(div(crypto.close(4), crypto.volume(4)))", "corr(mul(crypto.close(5), 2), diff(crypto.close(7)))", "ts_std(diff(diff(crypto.close(6))))", "first(log(crypto.close(4)))", "ema(log(crypto.volume(6)))", "rank(diff(crypto.close(5)))",
     "ema(crypto.volume(1))", "ema(diff(crypto.close(1)))", "rank(diff(crypto.close(1)))", "ts_sum(diff(crypto.close(1)))", "zscore(diff(crypto.close(6)))", "normalize(div(crypto.returns(5), crypto.returns(5)))", "ema(crypto.returns(20))", "rank(sub(crypto.returns(20), crypto.returns(20)))",
+    "ts_max(zscore(diff(crypto.close(6))))", "ts_min(normalize(crypto.returns(5)))", "ts_mean(normalize(normalize(crypto.close(4))))", "corr(zscore(crypto.close(7)), crypto.volume(5))", "cov(normalize(crypto.close(6)), zscore(crypto.volume(6)))", "ts_std(normalize(zscore(crypto.close(5))))",
+    "rank(zscore(crypto.volume(5)))", "ema(zscore(crypto.close(6)))", "ema(normalize(diff(crypto.close(5))))", "first(zscore(crypto.volume(4)))", "ts_sum(zscore(crypto.returns(6)))", "zscore(normalize(crypto.volume(5)))", "ts_sum(normalize(abs(crypto.returns(3))))", "zscore(diff(crypto.close(1)))", "last(zscore(crypto.close(1)))",
     "1.5", "zscore(zscore(crypto.close(5)))", "normalize(diff(crypto.close(4)))", "add(sub(crypto.close(3), crypto.open(6)), 1)", "ts_mean(sub(crypto.close(3), crypto.open(6)))",
 ]
 
