@@ -688,12 +688,45 @@ def _rollout_expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return acceptance.valid_expressions(_realized(spark, sf_dir))
 
 
-@query("gate_rewards")
+def _gate_sql(exprs: dict[str, str], parts: int = 5, ranked: int = 3, history: int = 3) -> str:
+    """Windows of the panel as panels of their own (assets are named by window), both scores, then rewards in order."""
+    e = len(exprs)
+    reward = "greatest(-1.0::DOUBLE, least(1.0::DOUBLE, o.score + CASE WHEN {dup} THEN -0.25::DOUBLE ELSE 0.05::DOUBLE END + 0.05::DOUBLE * (1 - {near})))".format(
+        dup=f"list_contains(list_transform(held, lambda h: h % {e}), o.k % {e})", near="coalesce(list_max(list_transform(list_filter(others, lambda x: list_contains(held, x.b)), lambda x: x.c)), 0)"
+    )
+    # a factor without a score is no reason against it, as no threshold is above it
+    kept = f"NOT list_contains(list_transform(held, lambda h: h % {e}), o.k % {e}) AND (o.score IS NULL OR o.score >= 0 AND {reward} >= 0)"
+    columns = ", ".join(f"{q} AS f{i}" for i, q in enumerate(exprs.values()))
+    rows = " UNION ALL ".join(f"SELECT task * {e} + {i} AS expr_id, task, day, asset, {_fin(f'f{i}')} AS factor, fwd FROM w WHERE rn >= {history}" for i in range(e))
+    ranks = lambda c: f"rank() OVER (PARTITION BY expr_id ORDER BY {c}) + (count(*) OVER (PARTITION BY expr_id, {c}) - 1) / 2.0::DOUBLE"
+    cross, direct = ("score", "rank_ic_mean", "rank_ic_std", "rank_ic_ir", "long_short_mean", "long_short_sharpe", "valid_times", "mean_assets"), ("score", "dir_acc", "ic", "rank_ic", "samples")
+    profile = " UNION ALL ".join([f"SELECT k, '{m}' AS name, CAST({m} AS DOUBLE) AS x FROM mc" for m in cross] + [f"SELECT k, '{m}', CAST({m} AS DOUBLE) FROM md" for m in direct])
+    return f"""WITH RECURSIVE {T.USER_DAY.replace("p AS (", "whole AS (", 1)},
+ds AS (SELECT list(day ORDER BY day) AS ds, count(*) AS n FROM (SELECT DISTINCT day FROM whole)),
+wi AS (SELECT CAST(i AS INTEGER) AS task, ds[CAST(round(i * n / {parts}.0::DOUBLE) AS BIGINT) + 1] AS a, ds[CAST(round((i + 1) * n / {parts}.0::DOUBLE) AS BIGINT)] AS b FROM ds, range({parts}) r(i)),
+cp AS (SELECT task, task || ':' || asset AS asset, day, open, high, low, "close", volume, "returns" FROM whole JOIN wi ON day BETWEEN a AND b WHERE task < {ranked} OR asset = (SELECT min(asset) FROM whole)),
+ln AS (SELECT *, lag("close") OVER a AS prev, lead("close") OVER a AS nxt, row_number() OVER a AS rn FROM cp WINDOW a AS (PARTITION BY asset ORDER BY day)),
+p AS (SELECT *, CASE WHEN "close" = 0 THEN CASE WHEN nxt > 0 THEN 'inf'::DOUBLE WHEN nxt < 0 THEN '-inf'::DOUBLE END ELSE nxt / "close" END - 1 AS fwd FROM ln),
+w AS (SELECT *, {columns} FROM p), la AS ({rows}), l AS (SELECT * FROM la WHERE task < {ranked}), {_sections_sql()}, {_TOTALS},
+mc AS (SELECT CAST(i AS BIGINT) AS k, CASE WHEN rank_ic_mean IS NULL THEN -1.0::DOUBLE ELSE greatest(-1.0::DOUBLE, least(1.0::DOUBLE, rank_ic_mean * 5 + 0.02::DOUBLE * tanh(rank_ic_ir))) END AS score, rank_ic_mean, rank_ic_std, rank_ic_ir, long_short_mean, long_short_sharpe, coalesce(valid_times, 0) AS valid_times, coalesce(mean_assets, 0) AS mean_assets FROM range({ranked * e}) r(i) LEFT JOIN t ON expr_id = i),
+d0 AS (SELECT expr_id, factor, fwd FROM la WHERE task >= {ranked} AND factor IS NOT NULL AND fwd IS NOT NULL),
+d1 AS (SELECT *, {ranks("factor")} AS rf, {ranks("fwd")} AS rr FROM d0),
+md AS (SELECT CAST(expr_id AS BIGINT) AS k, coalesce(avg(CASE WHEN sign(factor) <> 0 THEN CAST(sign(factor) = sign(fwd) AS DOUBLE) END), -1.0::DOUBLE) AS score, avg(CASE WHEN sign(factor) <> 0 THEN CAST(sign(factor) = sign(fwd) AS DOUBLE) END) AS dir_acc, {_WHOLE_IC} AS ic, {_pearson("rf", "rr")} AS rank_ic, count(*) AS samples FROM d1 GROUP BY expr_id),
+me AS (SELECT CAST(i AS BIGINT) AS k, score FROM range({ranked * e}, {parts * e}) r(i) LEFT JOIN md ON k = i),
+u AS ({profile}), v AS (SELECT x.k AS a, y.k AS b, coalesce(abs({_pearson("x.x", "y.x")}), 0) AS c FROM u x JOIN u y ON x.name = y.name AND y.k < x.k GROUP BY x.k, y.k),
+o AS (SELECT k, score, coalesce((SELECT list({{'b': b, 'c': c}}) FROM v WHERE a = k), []) AS others FROM (SELECT k, score FROM mc UNION ALL SELECT k, score FROM me)),
+g AS (SELECT -1::BIGINT AS k, 0.0::DOUBLE AS reward, []::BIGINT[] AS held UNION ALL SELECT o.k, CASE WHEN o.score IS NULL THEN -1.0::DOUBLE ELSE {reward} END, CASE WHEN {kept} THEN list_append(held, o.k) ELSE held END FROM g JOIN o ON o.k = g.k + 1),
+every AS (SELECT k // {e} AS task, reward FROM g WHERE k >= 0 UNION ALL SELECT i // 2, -1.0 FROM range({2 * parts}) r(i)),
+sums AS (SELECT CAST(task AS INTEGER) AS task, avg(reward) AS reward_mean, stddev_pop(reward) AS reward_std, bool_and(reward = -1) AS worst FROM every GROUP BY 1)
+SELECT task, CASE WHEN task < {ranked} THEN '{registry.CROSS_SECTION}' ELSE '{registry.DIRECTION}' END AS benchmark, round(reward_mean, 6) AS reward_mean, round(reward_std, 6) AS reward_std, (SELECT count(*) FROM sums WHERE reward_std > 0.05) >= 3 AND NOT (SELECT bool_or(worst) FROM sums) AS passed FROM sums"""
+
+
+@query("gate_rewards", _gate_sql(SCORED))
 def _gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five windows of the panel, a fixed generator; order-dependent, tested in Python."""
+    """Five windows of the panel, a fixed generator, one archive through all of them."""
     jobs = acceptance.acceptance_tasks(T.user_day(spark, sf_dir), C.Seed(FLAGSHIP, 0.0, ""), min_history=3)
     made = acceptance.reward_gate(jobs, lambda task, k: [f"<expr>{e}</expr>" for e in [*SCORED, "bad(", ""]][:k], rollouts=6, min_history=3)
-    return spark.createDataFrame([(t["task"], t["benchmark"], t["reward_mean"], t["reward_std"], made["passed"]) for t in made["tasks"]], "task int, benchmark string, reward_mean double, reward_std double, passed boolean")
+    return _round(spark.createDataFrame([(t["task"], t["benchmark"], t["reward_mean"], t["reward_std"], made["passed"]) for t in made["tasks"]], "task int, benchmark string, reward_mean double, reward_std double, passed boolean"))
 
 
 # Several namespaces, wide libraries ------------------------------------------------------
