@@ -478,13 +478,13 @@ def _realize(spark: SparkSession, sf_dir: str) -> DataFrame:
 d AS (SELECT k * 10 AS ordinal, kind, problem, a AS fields, CAST(n AS INTEGER) AS longest, 1 AS depth FROM two_fields WHERE k % 7 < 4
     UNION ALL SELECT k * 10 + CASE WHEN k % 7 < 4 THEN 1 ELSE 0 END, kind, problem, b, big, 2 FROM two_fields WHERE k % 7 < 4 OR k % 7 = 6
     UNION ALL SELECT k * 10, NULL, 'syntax', NULL, NULL, NULL FROM two_fields WHERE k % 7 = 4)
-SELECT ordinal, problem, CASE WHEN problem <> 'syntax' THEN kind END AS kind, CASE WHEN problem <> 'syntax' THEN fields END AS fields, CASE WHEN problem <> 'syntax' THEN 'crypto' END AS spaces, CASE WHEN problem <> 'syntax' THEN longest END AS longest, CASE WHEN problem <> 'syntax' THEN depth END AS depth FROM d""",
+SELECT ordinal, problem, CASE WHEN problem <> 'syntax' THEN kind END AS kind, CASE WHEN problem <> 'syntax' THEN fields END AS fields, CASE WHEN problem <> 'syntax' THEN 'crypto' END AS spaces, coalesce(CASE WHEN problem <> 'syntax' THEN longest END, -1) AS longest, coalesce(CASE WHEN problem <> 'syntax' THEN depth END, -1) AS depth FROM d""",
 )
 def _describe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Types, problems, fields and namespaces of every expression of every completion."""
     found = C.extract_expressions(_completions(spark, sf_dir))
     out = C.describe_table(found.select((F.col("ordinal") * 10 + F.col("place")).alias("ordinal"), "expr"))
-    return out.select("ordinal", "problem", "kind", F.array_join("fields", ",").alias("fields"), F.array_join("spaces", ",").alias("spaces"), "longest", "depth")
+    return out.select("ordinal", "problem", "kind", F.array_join("fields", ",").alias("fields"), F.array_join("spaces", ",").alias("spaces"), *(F.coalesce(c, F.lit(-1)).alias(c) for c in ("longest", "depth")))
 
 
 _SCORED_SQL = f"{_REALIZED_SQL}, sc AS (SELECT *, CAST((ordinal * 7) % 5 AS DOUBLE) / 4 AS score FROM r)"

@@ -13,17 +13,20 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def user_day(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A coin-like daily panel: one asset for each user; volume is missing on days divisible by 7."""
+    """A coin-like daily panel: one asset for each user; volume is missing on days divisible by 7.
+
+    Sums are rounded, so that the order in which rows arrive decides nothing.
+    """
     e = load(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("asset"), F.to_date("ts").alias("day"), "ts", "value")
     bars = e.groupBy("asset", "day").agg(
-        F.min_by("value", "ts").alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", "ts").alias("close"), F.sum("value").alias("volume")
+        F.min_by("value", "ts").alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", "ts").alias("close"), F.round(F.sum("value"), 6).alias("volume")
     )
     out = bars.select("asset", F.col("day").cast("timestamp_ntz").alias("ts"), "open", "high", "low", "close", F.when(F.dayofmonth("day") % 7 != 0, F.col("volume")).alias("volume"))
     return out.withColumn("returns", pct_change(F.col("close"), "asset", order="ts"))
 
 
 USER_DAY = """
-b AS (SELECT CAST(user_id AS VARCHAR) AS asset, CAST(ts AS DATE) AS day, arg_min(value, ts) AS open, max(value) AS high, min(value) AS low, arg_max(value, ts) AS "close", sum(value) AS vol
+b AS (SELECT CAST(user_id AS VARCHAR) AS asset, CAST(ts AS DATE) AS day, arg_min(value, ts) AS open, max(value) AS high, min(value) AS low, arg_max(value, ts) AS "close", round(sum(value), 6) AS vol
     FROM events GROUP BY 1, 2),
 q AS (SELECT *, CASE WHEN extract(day FROM day) % 7 <> 0 THEN vol END AS volume, lag("close") OVER a AS prev, lead("close") OVER a AS nxt, row_number() OVER a AS rn FROM b WINDOW a AS (PARTITION BY asset ORDER BY day)),
 p AS (SELECT *, CASE WHEN prev IS NULL THEN NULL WHEN prev = 0 THEN CASE WHEN "close" > 0 THEN 'inf'::DOUBLE WHEN "close" < 0 THEN '-inf'::DOUBLE END ELSE "close" / prev END - 1 AS "returns",
