@@ -279,7 +279,7 @@ cut AS (SELECT ds[1] AS v0, ds[k + 1] AS v1, ds[least(k + 1, n - 1) + 1] AS t0,
 lv AS (SELECT l.* FROM l, cut WHERE day BETWEEN v0 AND v1), {_sections_sql("lv", "sv")}, {_totals_sql("sv", "tv")},
 c AS (SELECT x.expr_id AS a, y.expr_id AS b, x.factor AS u, y.factor AS v FROM lv x JOIN lv y ON x.day = y.day AND x.asset = y.asset AND x.expr_id < y.expr_id WHERE x.factor IS NOT NULL AND y.factor IS NOT NULL),
 near AS (SELECT a, b FROM c GROUP BY a, b HAVING abs({_pearson("u", "v")}) > 0.7),
-o AS (SELECT CAST(i AS INTEGER) AS expr_id, row_number() OVER (ORDER BY coalesce(rank_ic_mean, -1e12) DESC, i) AS place, coalesce((SELECT list(CASE WHEN a = i THEN b ELSE a END) FROM near WHERE a = i OR b = i), []) AS rivals FROM range({len(SCORED)}) r(i) LEFT JOIN tv ON expr_id = i),
+o AS (SELECT CAST(i AS INTEGER) AS expr_id, row_number() OVER (ORDER BY round(coalesce(rank_ic_mean, -1e12), 12) DESC, i) AS place, coalesce((SELECT list(CASE WHEN a = i THEN b ELSE a END) FROM near WHERE a = i OR b = i), []) AS rivals FROM range({len(SCORED)}) r(i) LEFT JOIN tv ON expr_id = i),
 g AS (SELECT 0::BIGINT AS i, []::INTEGER[] AS chosen UNION ALL SELECT g.i + 1, CASE WHEN len(chosen) < 5 AND NOT list_has_any(chosen, rivals) THEN list_append(chosen, expr_id) ELSE chosen END FROM g JOIN o ON place = g.i + 1),
 best AS (SELECT arg_max(chosen, i) AS chosen FROM g), {_RANKED},
 z AS (SELECT day, asset, round(sum("rank") / len(chosen), 12) AS factor, any_value(fwd) AS fwd FROM n, best WHERE list_contains(chosen, expr_id) GROUP BY day, asset, chosen HAVING count(*) = len(chosen)),
@@ -650,14 +650,14 @@ def _approach_sql(name: str, exprs: dict[str, str]) -> str:
     names = "[" + ", ".join(_quoted(e) for e in exprs) + "]"
     near = f"SELECT a, b FROM c GROUP BY a, b HAVING abs({_pearson('u', 'v')}) > 0.7"
     return f"""SELECT * FROM (WITH RECURSIVE {_pairs_sql(exprs).replace(", l AS (", ", la AS (", 1)}, {_sections_sql("la", "sa")}, {_totals_sql("sa", "ta")},
-seeds AS (SELECT CAST(i AS INTEGER) AS was, CAST(row_number() OVER (ORDER BY CASE WHEN rank_ic_mean IS NULL THEN -1.0::DOUBLE ELSE greatest(-1.0::DOUBLE, least(1.0::DOUBLE, rank_ic_mean * 5 + 0.02::DOUBLE * tanh(rank_ic_ir))) END DESC, i) - 1 AS INTEGER) AS expr_id FROM range({len(exprs)}) r(i) LEFT JOIN ta ON expr_id = i),
+seeds AS (SELECT CAST(i AS INTEGER) AS was, CAST(row_number() OVER (ORDER BY round(CASE WHEN rank_ic_mean IS NULL THEN -1.0::DOUBLE ELSE greatest(-1.0::DOUBLE, least(1.0::DOUBLE, rank_ic_mean * 5 + 0.02::DOUBLE * tanh(rank_ic_ir))) END, 12) DESC, i) - 1 AS INTEGER) AS expr_id FROM range({len(exprs)}) r(i) LEFT JOIN ta ON expr_id = i),
 l AS (SELECT seeds.expr_id, day, asset, factor, fwd FROM la JOIN seeds ON la.expr_id = was WHERE seeds.expr_id < 5),
 d AS (SELECT list(day ORDER BY day) AS ds, least(CAST(floor(count(*) * 0.7::DOUBLE) AS BIGINT), count(*) - 1) AS k, count(*) AS n FROM (SELECT DISTINCT day FROM p)),
 cut AS (SELECT ds[1] AS v0, ds[k + 1] AS v1, ds[least(k + 1, n - 1) + 1] AS t0, ds[n] AS t1 FROM d),
 lv AS (SELECT l.* FROM l, cut WHERE day BETWEEN v0 AND v1), {_sections_sql("lv", "sv")}, {_totals_sql("sv", "tv")},
 c AS (SELECT x.expr_id AS a, y.expr_id AS b, x.factor AS u, y.factor AS v FROM lv x JOIN lv y ON x.day = y.day AND x.asset = y.asset AND x.expr_id < y.expr_id WHERE x.factor IS NOT NULL AND y.factor IS NOT NULL),
 near AS ({near}),
-o AS (SELECT CAST(i AS INTEGER) AS expr_id, row_number() OVER (ORDER BY coalesce(rank_ic_mean, -1e12) DESC, i) AS place, coalesce((SELECT list(CASE WHEN a = i THEN b ELSE a END) FROM near WHERE a = i OR b = i), []) AS rivals FROM range({min(5, len(exprs))}) r(i) LEFT JOIN tv ON expr_id = i),
+o AS (SELECT CAST(i AS INTEGER) AS expr_id, row_number() OVER (ORDER BY round(coalesce(rank_ic_mean, -1e12), 12) DESC, i) AS place, coalesce((SELECT list(CASE WHEN a = i THEN b ELSE a END) FROM near WHERE a = i OR b = i), []) AS rivals FROM range({min(5, len(exprs))}) r(i) LEFT JOIN tv ON expr_id = i),
 g AS (SELECT 0::BIGINT AS i, []::INTEGER[] AS chosen UNION ALL SELECT g.i + 1, CASE WHEN len(chosen) < 5 AND NOT list_has_any(chosen, rivals) THEN list_append(chosen, expr_id) ELSE chosen END FROM g JOIN o ON place = g.i + 1),
 best AS (SELECT arg_max(chosen, i) AS chosen FROM g), {_RANKED},
 z AS (SELECT 0 AS expr_id, day, asset, round(sum("rank") / len(chosen), 12) AS factor, any_value(fwd) AS fwd FROM n, best, cut WHERE list_contains(chosen, expr_id) AND day BETWEEN t0 AND t1 GROUP BY day, asset, chosen HAVING count(*) = len(chosen)), {_sections_sql("z")}, {_TOTALS}

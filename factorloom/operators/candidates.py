@@ -222,14 +222,14 @@ def pool_frame(scored: DataFrame, top_k: int = 16, threshold: float = float("-in
 
 
 def seed_pool(candidates: Sequence[str], scores: Mapping[str, float] | None = None, score_fn: Callable[[str], float] | None = None, top_k: int = 16, threshold: float = float("-inf")) -> tuple[Seed, ...]:
-    """The same for a list on the driver."""
+    """The same for a list on the driver; scores that agree in twelve digits tie."""
     seeds = []
     for r in map(realize, (c for c in candidates if str(c).strip())):
         if r.valid:
             score = float(score_fn(r.expr) if score_fn else (scores or {}).get(r.expr, 0.0))
             if not score < threshold:
                 seeds.append(Seed(r.expr, score, r.signature))
-    seeds.sort(key=lambda s: s.score if s.score == s.score else float("-inf"), reverse=True)
+    seeds.sort(key=lambda s: round(s.score, 12) if s.score == s.score else float("-inf"), reverse=True)
     best = {s.signature: s for s in reversed(seeds)}
     return tuple(s for s in seeds if best[s.signature] is s)[:top_k]
 

@@ -85,8 +85,8 @@ def _named(found: DataFrame, ids: Sequence[int]) -> DataFrame:
 
 
 def in_order(scores: Mapping[int, float | None]) -> list[int]:
-    """Best scores first, missing ones last, ties as given."""
-    return sorted(scores, key=lambda i: scores[i] if scores[i] is not None else -1e12, reverse=True)
+    """Best scores first, missing ones last, ties as given; scores that agree in twelve digits tie, as sums of other orders do."""
+    return sorted(scores, key=lambda i: round(scores[i], 12) if scores[i] is not None else -1e12, reverse=True)
 
 
 def select_decorrelated(scores: Mapping[int, float | None], corr: Mapping[tuple[int, int], float | None], threshold: float = 0.7, top_k: int = 5) -> list[int]:
