@@ -3,12 +3,17 @@
 A Python data source (``candidates``): templates are one partition, each file of
 texts is one, and a function is called once for each of its partitions, on the
 executors, so a slow generator runs in as many tasks as it has partitions.
+Files are read as streams: a task keeps a piece of its file, not all of it.
 """
 
 from __future__ import annotations
 
+import codecs
+import itertools
+import re
 from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -26,13 +31,62 @@ class _Part(InputPartition):
         self.kind, self.origin, self.number = kind, origin, number
 
 
-def _texts(path: str) -> str:
-    """A whole text file, by URI or local path."""
+#: Bytes of a file that are read at once, and rows that are handed on at once.
+CHUNK, ROWS = 1 << 20, 4096
+_OPEN, _CLOSED = re.compile("<expr>", re.I), re.compile("</expr>", re.I)
+
+
+def _pieces(path: str) -> Iterator[str]:
+    """A text file, by URI or local path, piece by piece."""
     from pyarrow import fs
 
     where, name = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    decoder = codecs.getincrementaldecoder("utf-8")()
     with where.open_input_stream(name) as f:
-        return f.read().decode()
+        while data := f.read(CHUNK):
+            yield decoder.decode(data)
+    yield decoder.decode(b"", True)
+
+
+def tagged_in(pieces: Iterable[str]) -> Iterator[str]:
+    """What is between the tags of a text that comes in pieces; no more is kept than a piece and what is open."""
+    held, inside, seen = "", False, 0
+    for piece in pieces:
+        held += piece
+        at = 0
+        while True:
+            # of what is held already, a tag can only be in the last few characters
+            found = (_CLOSED if inside else _OPEN).search(held, max(at, seen))
+            if not found:
+                break
+            if inside:
+                yield held[at : found.start()].strip()
+            at, inside = found.end(), not inside
+        held = held[at:] if inside else held[max(at, len(held) - len("<expr")) :]
+        seen = max(0, len(held) - len("</expr")) if inside else 0
+
+
+def lines_in(pieces: Iterable[str]) -> Iterator[str]:
+    """The lines of a text that comes in pieces; an end of line of two characters may give an empty one more."""
+    held: list[str] = []
+    for piece in pieces:
+        for line in piece.splitlines(keepends=True):
+            held.append(line)
+            if line.splitlines()[0] != line:
+                yield "".join(held).strip()
+                held = []
+    yield "".join(held).strip()
+
+
+def file_expressions(path: str) -> Iterator[str]:
+    """The expressions of a file (tagged ones, else lines), as ``expressions_in`` finds them, without the file as a whole."""
+    tags = False
+    for text in tagged_in(_pieces(path)):
+        tags = True
+        if text:
+            yield text
+    if not tags:
+        yield from filter(None, lines_in(_pieces(path)))
 
 
 class _Reader(DataSourceReader):
@@ -42,17 +96,21 @@ class _Reader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         return self.parts
 
-    def read(self, part: _Part) -> Iterator[tuple]:
+    def read(self, part: _Part) -> Iterator[pa.RecordBatch]:
         from factorloom.operators.candidates import expressions_in
 
         if part.kind == "template":
             found: Iterable[str] = registry.templates(self.surface)
         elif part.kind == "file":
-            found = expressions_in(_texts(part.origin))
+            found = file_expressions(part.origin)
         else:
             found = (e for text in self.make(part.number) for e in expressions_in(text))
-        for place, expr in enumerate(found):
-            yield part.kind, part.origin, place, expr
+        found, place = iter(found), 0
+        while some := list(itertools.islice(found, ROWS)):
+            n = len(some)
+            columns = [pa.array([part.kind] * n), pa.array([part.origin] * n), pa.array(range(place, place + n), pa.int64()), pa.array(some, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["source", "origin", "place", "expr"])
+            place += n
 
 
 def _source(parts: list[_Part], surface: str, make: Callable[[int], Iterable[str]] | None) -> type[DataSource]:
