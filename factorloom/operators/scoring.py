@@ -104,8 +104,13 @@ def score_cross_section(panel: Panels, exprs: Sequence[str], space: str, price:
     least = least_assets(min_assets)
     panel, pairs = _paired(panel, exprs, space, min_history, price, horizon, columns, **blocked)
     enough = panel.select("asset").distinct().limit(least).agg(F.count("*") >= least).scalar()  # part of the plan, not a job before it
-    totals = over_time(cross_sections(pairs, min_assets, spread=spread)).where((F.col("valid_times") > 0) & enough)
-    joined = _expressions(panel, exprs).join(totals, "expr_id", "left")
+    return score_sections(cross_sections(pairs, min_assets, spread=spread), exprs, enough)
+
+
+def score_sections(sections: DataFrame, exprs: Sequence[str], enough: Column | bool = True) -> DataFrame:
+    """The scores of ``score_cross_section`` from the ``cross_sections`` of expressions, numbered as given; ``enough``: whether there are enough assets."""
+    totals = over_time(sections).where((F.col("valid_times") > 0) & enough)
+    joined = _expressions(sections, exprs).join(totals, "expr_id", "left")
     score = clip(F.col("rank_ic_mean") * 5.0 + 0.02 * F.tanh("rank_ic_ir"), -1.0, 1.0)
     return joined.select(
         "expr_id",
